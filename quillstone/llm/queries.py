@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import table
+from .kneser_ney import judge
 from .spotsigs import fingerprint_edits
 
 
@@ -22,8 +23,19 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that every label of theirs calls good and none calls toxic."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t"))
+    return labels.where("q = 1 and coalesce(t, 0) = 0").select("doc_id")
+
+
+def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity under the model of trusted text and the decision, for every document."""
+    return judge(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs}
+    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality}
 
 
 def oracle_sql() -> dict[str, str]:
