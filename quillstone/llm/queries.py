@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .common import table
 from .kneser_ney import judge
+from .minhash_join import similar
 from .spotsigs import fingerprint_edits
 
 
@@ -34,8 +35,13 @@ def op3_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("text_hash")
 
 
+def op4_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document at five words and 0.8."""
+    return similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality}
+    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join}
 
 
 def oracle_sql() -> dict[str, str]:
