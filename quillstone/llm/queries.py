@@ -12,6 +12,8 @@ from .chat_format import digests, format_turns, turns_of_rows
 from .common import table
 from .kneser_ney import judge
 from .minhash_join import similar
+from .mixing import mix
+from .packing import PackParams, pack
 from .spotsigs import fingerprint_edits
 from .url_trust import judge_urls
 
@@ -55,6 +57,23 @@ def op8_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def pack_params() -> PackParams:
+    """The public tokenizer's file; its path is a parameter of the operator."""
+    import public_tokenizers
+
+    return PackParams(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document lies in sequences of at most 4096 ids."""
+    return pack(table(spark, sf_dir, "documents"), pack_params())
+
+
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and taken words of every document."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -71,7 +90,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join, "op6_chat_format": op6_chat_format, "op8_link_trust": op8_link_trust}
+    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join, "op6_chat_format": op6_chat_format, "op8_link_trust": op8_link_trust, "op9_pattern_packing": op9_pattern_packing, "op10_sainte_lague_mix": op10_sainte_lague_mix}
 
 
 def oracle_sql() -> dict[str, str]:
