@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .chat_format import digests, format_turns, turns_of_rows
 from .common import table
+from .html_extract import extract
 from .kneser_ney import judge
 from .minhash_join import similar
 from .mixing import mix
@@ -58,6 +59,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(rows.union(extra)))
 
 
+def op7_host_suffix_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -96,7 +102,7 @@ FROM t GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join, "op5_template_dedup": op5_template_dedup, "op6_chat_format": op6_chat_format, "op8_link_trust": op8_link_trust, "op9_pattern_packing": op9_pattern_packing, "op10_sainte_lague_mix": op10_sainte_lague_mix}
+    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join, "op5_template_dedup": op5_template_dedup, "op6_chat_format": op6_chat_format, "op7_host_suffix_extract": op7_host_suffix_extract, "op8_link_trust": op8_link_trust, "op9_pattern_packing": op9_pattern_packing, "op10_sainte_lague_mix": op10_sainte_lague_mix}
 
 
 def oracle_sql() -> dict[str, str]:
