@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
+_SCRATCH: list[tuple[str, str]] = []  # (owner, path)
+_OWNER = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,23 +40,28 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _SCRATCH.append(path)
+    _SCRATCH.append((_OWNER[-1], path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_mark() -> int:
-    """A point to which :func:`release` can go back."""
-    return len(_SCRATCH)
+@contextmanager
+def owned(owner: str) -> Iterator[None]:
+    """Scratch tables written inside belong to ``owner``."""
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the scratch tables written after ``since``; results read from them must be written by now."""
+def release(spark: SparkSession, owner: str) -> None:
+    """Delete the owner's scratch tables; all results that read them must be written by now."""
     jvm = spark.sparkContext._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _SCRATCH[since:]:
+    for path in [p for o, p in _SCRATCH if o == owner]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(hadoop).delete(where, True)
-    del _SCRATCH[since:]
+    _SCRATCH[:] = [x for x in _SCRATCH if x[0] != owner]
 
 
 def partitions(spark: SparkSession) -> int:
