@@ -47,6 +47,7 @@ class JoinParams:
     recall: float = 0.9995
     seed: int = 2026
     block: int = 512
+    broadcast_rows: int = 1_000_000
 
 
 def banding(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
@@ -254,3 +255,24 @@ def _blocks(docs: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
 
     found = jobs.groupBy("component", "x", "y").applyInPandas(check, "k long, links long, a long, b long")
     return materialize(found, "join-found")
+
+
+def one_of_each(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """``docs`` with one row of each class of :func:`similar`: least doc_id (null last), then least text hash.
+
+    Rows without any word stay; of repeated rows one stays.
+    """
+    found = materialize(similar(docs, p).select("doc_id", "text_hash", "class_key").where("class_key is not null"), "join-classes")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "text_hash", "doc_id")
+    first = found.groupBy("class_key").agg(F.min(order).alias("first"))
+    every = found.groupBy("class_key", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    marked = every.join(first, "class_key").select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "times", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("stays"))
+    marked = materialize(marked.where("not stays or times > 1"), "join-marked-rows")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("m_id")) & (F.xxhash64("text") == F.col("m_hash"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= p.broadcast_rows else df
+
+    others = docs.join(small(marked), same, "left_anti")
+    repeated = docs.join(small(marked.where("stays")), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return others.union(repeated)
