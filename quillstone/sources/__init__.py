@@ -1 +1 @@
-
+"""Data sources and sinks."""
