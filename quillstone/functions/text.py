@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType
 
 # Months in calendar order, name suffixes, and the shares of the DOI prefixes that
 # each normalizer removes.
@@ -39,7 +40,7 @@ def clean_markup(c: Column) -> Column:
     return F.when(text.isin(r"\N", "NULL", "nan", "None"), "").otherwise(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """HTML character references decoded, at most three times over."""
 
@@ -53,7 +54,7 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(decode)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def to_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
@@ -166,7 +167,7 @@ def code_letters(c: Column, digits: str = r"(?:\d{2})?") -> Column:
 
 def number(c: Column) -> Column:
     """A double, or null where the text is none."""
-    return F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")
+    return c.try_cast("double")
 
 
 def whole(c: Column) -> Column:
@@ -196,13 +197,13 @@ def inverted_index_text(c: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(places), lambda p: p["word"]), " ")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; not symmetric, so the order of the arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def common_substring_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common substring."""
 

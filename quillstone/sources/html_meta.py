@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class _Meta(HTMLParser):
@@ -66,6 +67,6 @@ def metadata(page: str) -> dict[str, str]:
     return out
 
 
-@F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
+@F.pandas_udf(StructType([StructField(f, StringType()) for f in FIELDS]))
 def page_metadata(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([metadata(p or "") for p in pages], columns=FIELDS)
