@@ -176,13 +176,13 @@ def similar(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     marked = materialize(base.mapInPandas(fingerprint, "doc_id long, h long, k long, n int, bands array<long>"), "join-marked")
-    sets = marked.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = marked.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("copy"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     sets = materialize(sets, "join-sets")
 
     keyed = sets.select("k", F.posexplode("bands").alias("band", "hash"))
     stars = keyed.groupBy("band", "hash").agg(F.min("k").alias("low"), F.count("*").alias("c")).where("c > 1")
     edges = keyed.join(stars, ["band", "hash"]).where("k <> low").select(F.col("k").alias("a"), F.col("low").alias("b")).distinct()
-    groups = materialize(connected_components(edges, "join-candidates").join(sets.select(F.col("k").alias("node"), "n", "copies"), "node"), "join-groups")
+    groups = materialize(connected_components(edges, "join-candidates").join(sets.select(F.col("k").alias("node"), "n", "copies", "copy"), "node"), "join-groups")
 
     # Blocks: members of a component in the order of their size; a block's place follows from
     # per-size counts, so that a component of any size is never one task.
@@ -210,7 +210,7 @@ def _blocks(docs: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     within = F.row_number().over(Window.partitionBy("component", "n", "salt").orderBy("node"))
     placed = salted.withColumn("r", within).join(cells, ["component", "n", "salt"])
     placed = placed.withColumn("blk", F.floor((F.col("skip") + F.col("r") - 1) / p.block).cast("int"))
-    placed = materialize(placed.select("node", "component", "n", "copies", "blk"), "join-placed")
+    placed = materialize(placed.select("node", "component", "n", "copies", "copy", "blk"), "join-placed")
 
     spans = placed.groupBy("component", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("c"))
     left = spans.select("component", F.col("blk").alias("x"), F.col("lo").alias("lo_x"), F.col("hi").alias("hi_x"), F.col("c").alias("c_x"))
@@ -220,16 +220,19 @@ def _blocks(docs: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     roles = pairs.select("component", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("blk"))
     jobs = placed.join(roles, ["component", "blk"]).select("node", "component", "copies", "x", "y", "blk")
 
-    # The members' shingle sets, made again from one copy of each text.
-    wanted = placed.select("node").distinct()
+    # The members' shingle sets, made again from one copy of each text.  Which copies these are is
+    # broadcast up to a counted number of rows; beyond it the texts are shuffled.
+    wanted = placed.select("node", F.col("copy.doc_id").alias("w_id"), F.col("copy.h").alias("w_h"))
+    if placed.count() <= p.broadcast_rows:
+        wanted = F.broadcast(wanted)
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True), s.tobytes()) for s in (shingles(t, p.n) for t in b["text"]) if len(s)]
-            yield pd.DataFrame(out, columns=["node", "set"])
+            yield pd.DataFrame({"node": b["node"], "set": [shingles(t, p.n).tobytes() for t in b["text"]]})
 
-    texts = docs.select("text").where("text is not null").mapInPandas(again, "node long, set binary")
-    texts = materialize(texts.join(wanted, "node").groupBy("node").agg(F.first("set").alias("set")), "join-texts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    texts = texts.join(wanted, (F.col("h") == F.col("w_h")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    texts = materialize(texts.mapInPandas(again, "node long, set binary").dropDuplicates(["node"]), "join-texts")
     jobs = jobs.join(texts, "node")
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
