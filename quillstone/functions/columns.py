@@ -87,7 +87,7 @@ def map_values(c: Column, mapping: dict[str, str]) -> Column:
 
 def split_cell(c: Column, by: str = ";", distinct: bool = False) -> Column:
     """Delimited cell to an array of trimmed non-blank values."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), by), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), by), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(parts) if distinct else parts
 
 
@@ -111,7 +111,7 @@ def explode_cell(df: DataFrame, cell: str, out: str, by: str = ";") -> DataFrame
 
 def explode_parallel(df: DataFrame, a: str, b: str, out: tuple[str, str], by: str = ";") -> DataFrame:
     """Two delimited cells side by side; the shorter one is padded with blanks."""
-    zipped = F.arrays_zip(F.transform(F.split(F.coalesce(F.col(a), F.lit("")), by), F.trim).alias("a"), F.transform(F.split(F.coalesce(F.col(b), F.lit("")), by), F.trim).alias("b"))
+    zipped = F.arrays_zip(F.transform(F.split(F.coalesce(F.col(a), F.lit("")), by), lambda x: F.trim(x)).alias("a"), F.transform(F.split(F.coalesce(F.col(b), F.lit("")), by), lambda x: F.trim(x)).alias("b"))
     kept = [c for c in df.columns if c not in (a, b, *out, "position")]
     rows = df.select(*kept, F.posexplode(zipped).alias("position", "z"))
     return rows.select(*kept, (F.col("position") + 1).alias("position"), F.coalesce("z.a", F.lit("")).alias(out[0]), F.coalesce("z.b", F.lit("")).alias(out[1]))

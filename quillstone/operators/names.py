@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,7 +85,8 @@ def greedy_overlap(left: DataFrame, right: DataFrame, group: str, least: float =
     """Greedy one-to-one matches of ``left(group, l_id, l_name)`` and ``right(group, r_id, r_name)`` within a group.
 
     Overlap: longest common substring over the longer name.  Left rows in the order of their id take
-    the best remaining right row (ties to the smaller id).  Groups are the authors of one paper.
+    the best remaining right row (ties to the smaller id).  Groups are the authors of one paper, so
+    each side of a group is an array in one row, and many groups are matched in one Arrow batch.
     """
 
     def overlap(x: str, y: str) -> float:
@@ -95,18 +98,32 @@ def greedy_overlap(left: DataFrame, right: DataFrame, group: str, least: float =
                 best = max(best, row[j])
         return best / max(len(x), len(y), 1)
 
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(zip(b["r_id"], b["r_name"], strict=True))
-        out = []
-        for l_id, name in sorted(zip(a["l_id"], a["l_name"], strict=True)):
-            scored = [(-overlap(name, other), r_id, other) for r_id, other in free]
-            if scored and -(best := min(scored))[0] >= least:
-                out.append((l_id, best[1], -best[0]))
-                free = [x for x in free if x[0] != best[1]]
-        return pd.DataFrame(out, columns=["l_id", "r_id", "overlap"])
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[str, str], float] = {}
+        for batch in batches:
+            out = []
+            for lefts, rights in zip(batch["lefts"], batch["rights"], strict=True):
+                free = [(r["id"], r["name"]) for r in rights]
+                for row in lefts:
+                    if not free:
+                        break
+                    scored = []
+                    for r_id, name in free:
+                        pair = (row["name"], name)
+                        if pair not in known:
+                            known[pair] = overlap(*pair)
+                        scored.append((-known[pair], r_id))
+                    score, r_id = min(scored)
+                    if -score >= least:
+                        out.append((row["id"], r_id, -score))
+                        free = [x for x in free if x[0] != r_id]
+            known = known if len(known) < 100_000 else {}
+            yield pd.DataFrame(out, columns=["l_id", "r_id", "overlap"])
 
     kinds = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
-    return left.groupBy(group).cogroup(right.groupBy(group)).applyInPandas(match, f"l_id {kinds['l_id']}, r_id {kinds['r_id']}, overlap double")
+    a = left.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("l_id").alias("id"), F.coalesce("l_name", F.lit("")).alias("name")))).alias("lefts"))
+    b = right.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col("r_id").alias("id"), F.coalesce("r_name", F.lit("")).alias("name")))).alias("rights"))
+    return a.join(b, group).select("lefts", "rights").mapInPandas(match, f"l_id {kinds['l_id']}, r_id {kinds['r_id']}, overlap double")
 
 
 def manual_review(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:

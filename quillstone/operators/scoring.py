@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def evidence_score(similarity: Column, candidates: Column, has_institution: Column, has_year: Column, direct: Column) -> Column:
-    """0.95 of the weighted evidence, at most 0.99, to four places."""
+def evidence_score(similarity: Column, candidates: Column, has_institution: Column, has_year: Column, direct: Column, places: int = 4) -> Column:
+    """0.95 of the weighted evidence, at most 0.99, rounded."""
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), similarity))
     unique = F.when(direct, F.lit(1.0)).otherwise(F.greatest(F.lit(0.35), F.lit(1.0) - F.lit(0.15) * (F.greatest(candidates, F.lit(1)) - 1)))
     raw = F.lit(0.55) * clamped + F.lit(0.20) * unique + F.when(has_institution, 0.15).otherwise(0.0) + F.when(has_year, 0.10).otherwise(0.0)
-    return F.round(F.least(F.lit(0.99), F.lit(0.95) * raw), 4)
+    return F.round(F.least(F.lit(0.99), F.lit(0.95) * raw), places)
 
 
 def resolve(evidence: DataFrame, subjects: DataFrame, least: float = 0.85, margin: float = 0.12) -> DataFrame:
