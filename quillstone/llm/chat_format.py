@@ -19,6 +19,7 @@ empty table gives no conversations.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,17 +100,19 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
     return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def _below(array: str) -> Callable[[Column], Column]:
+    return lambda key: F.concat(F.lit(f"{array}[]."), key)
+
+
 def json_paths(record: Column) -> Column:
-    """Top-level fields of a JSON record, and the fields of the objects in its first-level arrays."""
-    names = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    """Top-level fields of a JSON record, and the fields of the first objects of its lists of turns."""
 
-    def inner(name: Column) -> Column:
-        first = F.get_json_object(record, F.concat(F.lit("$['"), name, F.lit("'][0]")))
-        return F.transform(F.coalesce(F.json_object_keys(first), F.array().cast("array<string>")), lambda k: F.concat(name, F.lit("[]."), k))
+    def keys(c: Column) -> Column:
+        return F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
 
-    listed = F.array(*[F.lit(x.turns[0]) for x in LAYOUTS if x.turns])
-    arrays = F.filter(names, lambda n: F.array_contains(listed, n))
-    return F.concat(names, F.flatten(F.transform(arrays, inner)))
+    lists = [x.turns[0] for x in LAYOUTS if x.turns]
+    inner = [F.transform(keys(F.get_json_object(record, f"$.{a}[0]")), _below(a)) for a in lists]
+    return F.concat(keys(record), *inner)
 
 
 def turns_of_json(df: DataFrame, conv_id: str, record: str) -> DataFrame:

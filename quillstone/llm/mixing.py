@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -189,19 +189,25 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
     ``n_chars`` is set to the new text's length where ``docs`` has it.
     """
-    places = materialize(place(docs, p).withColumn("words", _taken(p.block)).where("full > 0 or words > 0").drop("source", "source_size", "target"), "mix-places")
+    names = docs.columns
+    own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth"]
+    new = dict(zip(own, fresh(docs, *[f"mix_{c}" for c in own]), strict=True))
+    row_hash, row_nth = fresh(docs, "mix_row_hash", "mix_row_nth")
+    places = place(docs, p).withColumn("words", _taken(p.block)).where("full > 0 or words > 0")
     # Rows of one doc_id and text are alike in all that was placed but their start; number them.
-    same = Window.partitionBy("doc_id", "text_hash").orderBy("start")
-    places = places.withColumn("nth", F.row_number().over(same)).withColumnsRenamed({"doc_id": "p_id", "text_hash": "p_hash"})
-    rows = docs.withColumn("p_hash2", F.xxhash64("text"))
-    rows = rows.withColumn("nth2", F.row_number().over(Window.partitionBy("doc_id", "p_hash2").orderBy(F.lit(0))))
-    met = rows.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("p_hash2") == F.col("p_hash")) & (F.col("nth2") == F.col("nth")))
-    names, kinds = docs.columns, docs.schema
+    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("source", "start")))
+    places = materialize(places.select(*[F.col(c).alias(n) for c, n in new.items()], F.col("source").alias(fresh(docs, "mix_source")[0])), "mix-places")
+    source = places.columns[-1]
+    rows = docs.withColumn(row_hash, F.xxhash64("text"))
+    rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy("doc_id", row_hash).orderBy("source")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(new["doc_id"])) & (F.col(row_hash) == F.col(new["text_hash"])) & F.col("source").cast("string").eqNullSafe(F.col(source))
+    # Rows without taken words aren't placed, so the numbers are compared within equal source only if all are placed.
+    met = rows.join(places, same & (F.col(row_nth) == F.col(new["nth"])))
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, texts = [], []
-            for i, (text, full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*(b[c] for c in ("text", "full", "words", "start", "size", "quota", "blocks", "stride", "first")), strict=True)):
+            for i, (text, full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*(b[c] for c in ("text", *(new[x] for x in own[2:10]))), strict=True)):
                 at += [i] * full
                 texts += [text] * full
                 if words == size and size:
@@ -216,7 +222,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
                 out["n_chars"] = [len(t) for t in texts]
             yield out
 
-    return met.select(*names, "full", "words", "start", "size", "quota", "blocks", "stride", "first").mapInPandas(expand, kinds)
+    return met.select(*names, *[new[x] for x in own[2:10]]).mapInPandas(expand, docs.schema)
 
 
 def runs(text: str, start: int, quota: int, blocks: int, stride: int, first: int, block: int) -> str:

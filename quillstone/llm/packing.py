@@ -34,8 +34,13 @@ from .common import materialize, partitions
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) in descending length
 
-#: White space that this module doesn't cut at, or cuts at while a tokenizer may not: such texts go to the tokenizer whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+#: Texts with any of these go to the tokenizer whole: white space that Python and the tokenizer may see
+#: differently, combining marks and letters whose lower case depends on more than themselves.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\u036f\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
+#: Marks that end a word; a word and its end marks are tokenized apart, as the tokenizer does.
+_MARKS = ".,!?;:"
+#: Stands between words that are tokenized together; it never occurs in them.
+_BETWEEN = "\x01"
 
 
 @dataclass(frozen=True)
@@ -43,15 +48,16 @@ class PackParams:
     tokenizer: str
     capacity: int = 4096
     end_id: int = 1
-    cached_words: int = 400_000
+    cached_words: int = 1_000_000
     patterns: int = 8_000
     rank_rows: int = 100_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer that never joins characters across white space.
+    """Ids of whole texts by a tokenizer that lower-cases and never joins characters across white space.
 
-    Texts are cut at white space and each distinct word is tokenized once; the cache is emptied
+    Texts are cut at white space and each distinct lower-case word is tokenized once, its end marks
+    apart; new words go to the tokenizer together, with a mark between them.  The cache is emptied
     when it is full.
     """
 
@@ -62,20 +68,47 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.most = cached_words
         self.cache: dict[str, bytes] = {}
+        self.between = self._whole(_BETWEEN)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        cache, parts = self.cache, {}
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core and core != w and core[-1].isalpha() and core[-1] < "\u0250":
+                parts[w] = (core, w[len(core) :])
+        plain = words - parts.keys()
+        plain.update(x for pair in parts.values() for x in pair)
+        plain = [w for w in plain if w not in cache]
+        for at in range(0, len(plain), 5_000):
+            own = [w for w in plain[at : at + 5_000] if _BETWEEN not in w]
+            ids = self._whole(f" {_BETWEEN} ".join(own)) if own else np.empty(0, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
+            start = 0
+            for w, end in zip(own, ends, strict=True):
+                cache[w] = ids[start:end].tobytes()
+                start = end + 1
+        for w in plain:
+            if _BETWEEN in w:
+                cache[w] = self._whole(w).tobytes()
+        for w, (core, marks) in parts.items():
+            cache[w] = cache[core] + cache[marks]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        words = [None if _ODD.search(t) else t.lower().split() for t in texts]
+        new = set().union(*[w for w in words if w]).difference(self.cache)
+        if new:
+            if len(self.cache) + len(new) > self.most:
+                self.cache.clear()
+                new = set().union(*[w for w in words if w])
+            self._learn(new)
+        get = self.cache.__getitem__
+        return [self._whole(t) if w is None else np.frombuffer(b"".join(map(get, w)), dtype="<u4") for t, w in zip(texts, words, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text.isascii() and _ODD_SPACE.search(text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = text.split()
-        cache = self.cache
-        new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([cache[w] for w in words]), dtype="<u4")
+        return self.encode_many([text])[0]
 
 
 _LOADED: dict[tuple[str, int], WordTokenizer] = {}
@@ -98,8 +131,9 @@ def cut(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
         end = np.array([p.end_id], dtype="<u4")
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = np.concatenate([t.encode(text), end])
+            every = (x for at in range(0, len(b), 500) for x in t.encode_many(b["text"].iloc[at : at + 500].to_list()))
+            for doc_id, own_ids in zip(b["doc_id"], every, strict=True):
+                ids = np.concatenate([own_ids, end])
                 for piece, start in enumerate(range(0, len(ids), p.capacity)):
                     own = ids[start : start + p.capacity]
                     row = (None if pd.isna(doc_id) else int(doc_id), piece, start, len(own), crc32(own.tobytes()))
