@@ -36,7 +36,7 @@ class ParseRedif:
 
 def read_redif(spark: SparkSession, path: str) -> DataFrame:
     """``file, record, fields`` of all files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{rdf,redif,RDF,REDIF}").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{rdf,redif,RDF,REDIF}").text(path, wholetext=True)
     rows = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
     spark.udtf.register("parse_redif", ParseRedif)
     rows.createOrReplaceTempView("quillstone_redif_files")

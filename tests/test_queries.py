@@ -26,7 +26,7 @@ def cells(df):
     df = df[sorted(df.columns)]
 
     def text(v):
-        if v is None or v != v or str(v) in ("<NA>", "NaT"):
+        if v is None or str(v) in ("<NA>", "NaT", "nan"):
             return "~"
         if isinstance(v, float) or getattr(getattr(v, "dtype", None), "kind", "") == "f":
             return "~" if math.isnan(v) else f"{float(v):.8g}"
