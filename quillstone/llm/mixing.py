@@ -78,12 +78,14 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     """
     votes = np.asarray(votes, dtype=np.float64)
     most = np.where(votes > 0, most, 0)
-    seats = int(min(seats, most.sum()))
+    if seats >= most.sum():
+        return most.astype(np.int64)
     if seats <= 0:
         return np.zeros(len(votes), dtype=np.int64)
 
     def given(q: float) -> np.ndarray:
-        return np.minimum(np.floor(votes / q / 2 + 0.5).astype(np.int64), most)
+        with np.errstate(over="ignore"):
+            return np.minimum(np.floor(votes / q / 2 + 0.5), most).astype(np.int64)
 
     low, high = 0.0, float(votes.max()) * 1.0000001
     for _ in range(200):
@@ -187,7 +189,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and once
     more with the runs of its words that lie in taken blocks (joined by a line feed), if there are any.
 
-    ``n_chars`` is set to the new text's length where ``docs`` has it.
+    ``n_chars`` is set to the new text's length where ``docs`` has it.  A null text is taken as the empty one.
     """
     names = docs.columns
     own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth"]
@@ -208,6 +210,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         for b in batches:
             at, texts = [], []
             for i, (text, full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*(b[c] for c in ("text", *(new[x] for x in own[2:10]))), strict=True)):
+                text = text or ""
                 at += [i] * full
                 texts += [text] * full
                 if words == size and size:

@@ -36,7 +36,7 @@ Pattern = tuple[tuple[int, int], ...]  # (length, times) in descending length
 
 #: Texts with any of these go to the tokenizer whole: white space that Python and the tokenizer may see
 #: differently, combining marks and letters whose lower case depends on more than themselves.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\u036f\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\|")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\u036f\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\\|")
 #: Marks that end a word; a word and its end marks are tokenized apart, as the tokenizer does.
 _MARKS = ".,!?;:"
 #: Stands between words that are tokenized together; it never occurs in them.
