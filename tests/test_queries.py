@@ -56,4 +56,6 @@ def test_text_from_inverted_index_is_the_title(spark):
 def test_tfidf_model_beats_chance_out_of_fold(spark):
     rows = registry.queries()["tfidf_multilabel_lr"](spark, SF).toPandas()
     own = rows[rows["label"] == "quality"]
-    assert ((own["score"] >= 0.5).astype(int) == own["truth"]).mean() > 0.8
+    good, bad = own.loc[own["truth"].astype(int) == 1, "score"].to_numpy(), own.loc[own["truth"].astype(int) == 0, "score"].to_numpy()
+    above = (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2  # area under the curve; most labels are 1, so accuracy says little
+    assert above > 0.7
