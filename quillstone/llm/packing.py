@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +38,8 @@ Pattern = tuple[tuple[int, int], ...]  # (length, times) in descending length
 #: Texts with any of these go to the tokenizer whole: white space that Python and the tokenizer may see
 #: differently, combining marks and letters whose lower case depends on more than themselves.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u0130\u0300-\u036f\u03a3\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\\|")
-#: Marks that end a word; a word and its end marks are tokenized apart, as the tokenizer does.
-_MARKS = ".,!?;:"
+#: Marks that end a word after a Latin letter; a word and its end marks are tokenized apart, as the tokenizer does.
+_MARKS = re.compile("(?<=[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f])[.,!?;:]+(?=\\s|$)")
 #: Stands between words that are tokenized together; it never occurs in them.
 _BETWEEN = "\x01"
 
@@ -48,7 +49,7 @@ class PackParams:
     tokenizer: str
     capacity: int = 4096
     end_id: int = 1
-    cached_words: int = 1_000_000
+    cached_words: int = 400_000
     patterns: int = 8_000
     rank_rows: int = 100_000
 
@@ -56,9 +57,10 @@ class PackParams:
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that lower-cases and never joins characters across white space.
 
-    Texts are cut at white space and each distinct lower-case word is tokenized once, its end marks
-    apart; new words go to the tokenizer together, with a mark between them.  The cache is emptied
-    when it is full.
+    Texts are cut at white space and before end marks, and each distinct lower-case word is tokenized
+    once; new words go to the tokenizer together, with a mark between them.  The cache has a young
+    and an old half: when the young one is full it becomes the old one, whose words come back as
+    they are met, so frequent words stay and at most ``cached_words`` and one call's are held.
     """
 
     def __init__(self, path: str, cached_words: int) -> None:
@@ -68,20 +70,14 @@ class WordTokenizer:
         self.model = Tokenizer.from_file(path)
         self.most = cached_words
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.between = self._whole(_BETWEEN)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: set[str]) -> None:
-        cache, parts = self.cache, {}
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core and core != w and core[-1].isalpha() and core[-1] < "\u0250":
-                parts[w] = (core, w[len(core) :])
-        plain = words - parts.keys()
-        plain.update(x for pair in parts.values() for x in pair)
-        plain = [w for w in plain if w not in cache]
+        cache, plain = self.cache, list(words)
         for at in range(0, len(plain), 5_000):
             own = [w for w in plain[at : at + 5_000] if _BETWEEN not in w]
             ids = self._whole(f" {_BETWEEN} ".join(own)) if own else np.empty(0, dtype="<u4")
@@ -93,16 +89,17 @@ class WordTokenizer:
         for w in plain:
             if _BETWEEN in w:
                 cache[w] = self._whole(w).tobytes()
-        for w, (core, marks) in parts.items():
-            cache[w] = cache[core] + cache[marks]
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if _ODD.search(t) else t.lower().split() for t in texts]
+        words = [None if _ODD.search(t) else _MARKS.sub(r" \g<0>", t.lower()).split() for t in texts]
         new = set().union(*[w for w in words if w]).difference(self.cache)
+        if new and len(self.cache) + len(new) > self.most // 2:
+            self.old, self.cache = self.cache, {}
+            new = set().union(*[w for w in words if w])
+        if known := new & self.old.keys():
+            self.cache.update((w, self.old[w]) for w in known)
+            new -= known
         if new:
-            if len(self.cache) + len(new) > self.most:
-                self.cache.clear()
-                new = set().union(*[w for w in words if w])
             self._learn(new)
         get = self.cache.__getitem__
         return [self._whole(t) if w is None else np.frombuffer(b"".join(map(get, w)), dtype="<u4") for t, w in zip(texts, words, strict=True)]
@@ -125,23 +122,24 @@ def cut(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
     """Pieces ``doc_id, piece, start, length, ids_crc32`` (and ``ids``, on request) of ``docs(doc_id, text)``."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(p.tokenizer, p.cached_words)
         end = np.array([p.end_id], dtype="<u4")
-        for b in batches:
+        for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # few texts at a time are Python strings
             out = []
-            every = (x for at in range(0, len(b), 500) for x in t.encode_many(b["text"].iloc[at : at + 500].to_list()))
-            for doc_id, own_ids in zip(b["doc_id"], every, strict=True):
+            for doc_id, own_ids in zip(part.column("doc_id").to_pylist(), t.encode_many(part.column("text").to_pylist()), strict=True):
                 ids = np.concatenate([own_ids, end])
                 for piece, start in enumerate(range(0, len(ids), p.capacity)):
                     own = ids[start : start + p.capacity]
-                    row = (None if pd.isna(doc_id) else int(doc_id), piece, start, len(own), crc32(own.tobytes()))
+                    row = (doc_id, piece, start, len(own), crc32(own.tobytes()))
                     out.append(row + (own.astype(np.int32),) if with_ids else row)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            columns = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInPandas(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def enumerate_patterns(h: np.ndarray, capacity: int, most: int) -> list[Pattern]:
