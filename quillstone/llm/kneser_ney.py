@@ -1,17 +1,19 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Tokens are words and single punctuation marks, case kept.  A token is its own symbol if it makes
-up at least ``share`` of all trusted tokens together with its language (so there are at most
-``1 / share`` such symbols, a bound that holds at any size); every other token is the class of its
-shape (lower case, capitalised, upper case, digits, mark, other) in its language.  All trusted
-documents are counted, in full.
-
-1. Words of trusted text are counted; the symbols are those above the share.
-2. One pass encodes every document and cuts the corpus into chunks of about ``chunk_tokens``.
-   Each chunk gives its distinct trigrams and bigrams, and the trigram counts of its trusted
-   documents, so that what is shuffled is pre-aggregated.
-3. Trigram counts are summed over the chunks by key; continuation counts, context totals and
-   discounts follow from them by grouped aggregates.
+Tokens are words and single punctuation marks, case kept.  A token is its own symbol if trusted
+text of its language has it at least ``least_count`` times (and, where ``share`` is set, if it makes
+up that share of all trusted tokens); every other token is the class of its shape (lower case,
+capitalised, upper case, digits, mark, other) in its language.  All trusted documents are counted,
+in full.  The vocabulary grows with the input, so it is never gathered: symbols are 64-bit hashes
+of language and word, n-grams are 64-bit hashes of symbols, and both are only joined.
+
+1. Words of trusted text are counted; the vocabulary is a table.
+2. One pass cuts the corpus into chunks of about ``chunk_tokens`` and numbers each chunk's words;
+   a join with the vocabulary tells each chunk which of its words are symbols.  Each chunk gives
+   its distinct n-grams, and the trigram counts of its trusted documents, so that what is shuffled
+   is pre-aggregated.
+3. Trigram counts are summed over the chunks; continuation counts, context totals and discounts
+   follow from them by grouped aggregates.
 4. Each chunk's distinct n-grams are joined with the count tables, sharded by n-gram; the found
    values go back to their chunk, where each document's perplexity is summed.
 5. A document is kept if its perplexity is at most ``slack`` times its language's ``quantile``
@@ -31,12 +33,14 @@ documents without doc_id are judged too (never trusted).  Other columns are igno
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +52,8 @@ _SHAPES = 6
 
 @dataclass(frozen=True)
 class QualityParams:
-    share: float = 1 / 2000
+    share: float = 0.0
+    least_count: int = 2
     chunk_tokens: int = 4_000_000
     quantile: float = 0.99
     low_quantile: float = 0.005
@@ -72,7 +77,8 @@ def shape(word: str) -> int:
 
 @dataclass
 class Symbols:
-    """Numbers of symbols: each known language has its start mark, shapes and own words."""
+    """The symbols of a small vocabulary as dense numbers, for checks by brute force: each known
+    language has its start mark, shapes and own words."""
 
     base: dict[str, int]
     words: dict[str, dict[str, int]]
@@ -105,12 +111,45 @@ class Symbols:
         return out
 
 
-def _trigrams(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64)
-    return x[:-2] << 42 | x[1:-1] << 21 | x[2:]
+def _symbol(lang: str, kind: str, name: str) -> int:
+    h = xxhash.xxh3_64_intdigest(f"{lang}\x1f{kind}\x1f{name}".encode("utf-8", "surrogatepass"))
+    return h - (h >> 63 << 64)
 
 
-_ENC = "chunk long, doc_id long, h long, lang string, trusted boolean, toks binary, keys array<long>, tkeys array<long>, tcounts array<long>"
+def _word(lang: str, word: str) -> int:
+    return _symbol(lang, "w", word)
+
+
+def _class(lang: str, shape: int) -> int:
+    """The symbol of a shape; shape -1 is the start mark."""
+    return _symbol(lang, "c", str(shape))
+
+
+def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x.astype(np.int64).view(np.uint64) ^ np.uint64(salt)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a symbol adds to an n-gram's key as its third last, second last and last one."""
+    return _mixed(x, 0x9E3779B97F4A7C15), _mixed(x, 0xC2B2AE3D27D4EB4F), _mixed(x, 0x165667B19E3779F9)
+
+
+#: In front of shorter n-grams.
+_N3, _N2, _ = _sides(np.zeros(1, dtype=np.int64))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted, each once (``np.unique`` hashes, which is slow for so many)."""
+    x = np.sort(np.concatenate(parts))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+_ENC = "chunk long, doc_id long, h long, lang string, own string, trusted boolean, toks binary, words array<long>, classes array<long>"
+_GRAMS = "chunk long, symbols array<long>, keys array<long>, ta array<long>, tb array<long>, tc array<long>, tn array<long>"
+_SLICE = 200_000
 
 
 def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
@@ -120,7 +159,6 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
     (``xxhash64(text)``, which with doc_id finds the row again), lang, n_tokens, perplexity,
     threshold, low_threshold, keep.
     """
-    spark = docs.sparkSession
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     if trusted.count() <= p.broadcast_rows:  # checked: at most two million ids
         trusted = F.broadcast(trusted)
@@ -132,7 +170,7 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         size = 0
 
         def flush() -> pd.DataFrame:
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
+            rows = [(lang, _word(lang, w), n) for lang, c in found.items() for w, n in c.items()]
             found.clear()
             return pd.DataFrame(rows, columns=["lang", "word", "n"])
 
@@ -147,83 +185,125 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
                 size = 0
         yield flush()
 
-    words = base.where("trusted").select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = base.where("trusted").select("lang", "text").mapInPandas(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = materialize(words, "kn-words")
     total = words.agg(F.sum("n").alias("n")).first()["n"]
     if not total:
         n_tokens = F.regexp_count("text", F.lit(r"(?U)\w+|[^\w\s]")).cast("long")
         none = F.lit(None).cast("double")
         return base.select("doc_id", F.col("h").alias("text_hash"), _lang(F.col("lang")), n_tokens.alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), none.alias("low_threshold"), (n_tokens > 0).alias("keep"))
-    own = [(r["lang"], r["word"]) for r in words.where(F.col("n") >= p.share * total).select("lang", "word").collect()]  # at most 1 / share
-    symbols = Symbols.of(own)
-    shared = spark.sparkContext.broadcast(symbols)
+    vocabulary = words.where((F.col("n") >= p.least_count) & (F.col("n") >= p.share * total)).select("lang", "word")
+    kinds = materialize(vocabulary.groupBy("lang").agg((F.count("*") + 1 + _SHAPES).alias("kinds")), "kn-languages")
+    known = kinds.select("lang", F.col("lang").alias("own"))
+    # a language without a symbol of its own has the shapes of the language ""
+    base = base.join(F.broadcast(known) if _few(known, p) else known, "lang", "left").withColumn("own", F.coalesce("own", F.lit("")))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        size, keys, tkeys = 0, [], []
+        size, words, classes, numbers = 0, [], [], {}
 
         def summary() -> pd.DataFrame:
-            tri = np.unique(np.concatenate(keys))
-            both = np.unique(np.concatenate([tri >> 21, tri & (1 << 42) - 1]))
-            t, n = np.unique(np.concatenate([np.empty(0, np.int64), *tkeys]), return_counts=True)
-            return pd.DataFrame({"chunk": [chunk], "doc_id": [None], "h": [None], "lang": [None], "trusted": [None], "toks": [None], "keys": [np.concatenate([both, tri])], "tkeys": [t], "tcounts": [n]})
+            rest = {c: [None] for c in ("doc_id", "h", "lang", "own", "trusted", "toks")}
+            return pd.DataFrame({"chunk": [chunk], **rest, "words": [np.array(words, dtype=np.int64)], "classes": [np.array(classes, dtype=np.int64)]})
 
         for b in batches:
             rows = []
-            for doc_id, h, text, lang, good in zip(b["doc_id"], b["h"], b["text"], b["lang"], b["trusted"], strict=True):
-                ids = shared.value.encode(lang, text)
-                if len(ids) > 2:
-                    k = _trigrams(ids)
-                    keys.append(k)
-                    if good:
-                        tkeys.append(k)
-                rows.append((chunk, None if pd.isna(doc_id) else int(doc_id), h, lang, good, ids.tobytes(), None, None, None))
+            for doc_id, h, text, lang, own, good in zip(b["doc_id"], b["h"], b["text"], b["lang"], b["own"], b["trusted"], strict=True):
+                tokens = _TOKEN.findall(text)
+                number = numbers.setdefault(lang, {})
+                for w in ("", *dict.fromkeys(tokens)):
+                    if w not in number:
+                        number[w] = len(words)
+                        words.append(_word(lang, w) if w else _class(own, -1))
+                        classes.append(_class(own, shape(w) if w else -1))
+                ids = np.array([number[""], number[""], *map(number.__getitem__, tokens)], dtype=np.uint32)
+                rows.append((chunk, None if pd.isna(doc_id) else int(doc_id), h, lang, own, good, zlib.compress(ids.tobytes(), 1), None, None))
                 size += len(ids)
                 if size >= p.chunk_tokens:
                     yield pd.DataFrame(rows, columns=_names(_ENC)).astype({"doc_id": "Int64"})
-                    if keys:
-                        yield summary()
-                    rows, keys, tkeys, size, chunk = [], [], [], 0, chunk + 1
-                elif len(keys) > 1 and size // (p.chunk_tokens // 8 + 1) != (size - len(ids)) // (p.chunk_tokens // 8 + 1):
-                    keys = [np.unique(np.concatenate(keys))]
+                    yield summary()
+                    rows, size, words, classes, numbers, chunk = [], 0, [], [], {}, chunk + 1
             if rows:
                 yield pd.DataFrame(rows, columns=_names(_ENC)).astype({"doc_id": "Int64"})
-        if keys:
+        if words:
             yield summary()
 
     enc = materialize(base.mapInPandas(encode, _ENC), "kn-encoded")
-    model, p1, back2 = _model(enc, symbols)
-    asked = enc.where("keys is not null").select(F.col("chunk").alias("part"), F.explode("keys").alias("key"))
-    found = asked.join(model, "key").select("part", "key", "a", "g")
-    shared_p1, shared_b2 = spark.sparkContext.broadcast(p1), spark.sparkContext.broadcast(back2)
+
+    def grams(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's symbols by number, its distinct n-grams and its trusted trigrams, in slices."""
+        row = docs[docs["toks"].isna()].iloc[0]
+        chunk, words = row["chunk"], np.asarray(row["words"], dtype=np.int64)
+        symbols = np.where(np.isin(words, own["word"].to_numpy(dtype=np.int64)), words, np.asarray(row["classes"], dtype=np.int64))
+        m3, m2, m1 = _sides(symbols)
+        keys, t3, t = [_distinct([(_N3 ^ _N2 ^ m1).view(np.int64)])], [], []
+        held = 0
+        for toks, good in zip(docs["toks"], docs["trusted"], strict=True):
+            if toks is None or len(ids := _ids(toks)) == 2:
+                continue
+            k2 = m2[ids[:-1]] ^ m1[ids[1:]]
+            k3 = (m3[ids[:-2]] ^ k2[1:]).view(np.int64)
+            keys += [(_N3 ^ k2).view(np.int64), k3]
+            held += 2 * len(ids)
+            if held > 2_000_000:
+                keys, held = [_distinct(keys)], 0
+            if good:
+                t3.append(k3)
+                t.append(symbols[ids])
+        keys = _distinct(keys)
+        tri = [np.empty(0, dtype=np.int64)] * 4
+        if t3:
+            _, at, n = np.unique(np.concatenate(t3), return_index=True, return_counts=True)
+            tri = [*[np.concatenate([x[i : len(x) - 2 + i] for x in t])[at] for i in range(3)], n]
+        out = [(chunk, symbols, None, None, None, None, None)]
+        out += [(chunk, None, keys[i : i + _SLICE], None, None, None, None) for i in range(0, len(keys), _SLICE)]
+        out += [(chunk, None, None, *[x[i : i + _SLICE] for x in tri]) for i in range(0, len(tri[3]), _SLICE)]
+        return pd.DataFrame(out, columns=_names(_GRAMS))
+
+    met = enc.where("words is not null").select(F.col("chunk").alias("part"), F.explode("words").alias("word")).join(vocabulary.select("word"), "word")
+    found = enc.select("chunk", "trusted", "toks", "words", "classes").groupBy("chunk").cogroup(met.groupBy("part")).applyInPandas(grams, _GRAMS)
+    found = materialize(found, "kn-grams")
+    model, floors = _model(found, vocabulary, kinds, p)
+    asked = found.where("keys is not null").select(F.col("chunk").alias("part"), F.explode("keys").alias("key"))
+    answers = asked.join(model, "key").select("part", "key", "a", "g", F.lit(None).cast("array<long>").alias("symbols"))
+    answers = answers.union(found.where("symbols is not null").select(F.col("chunk").alias("part"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("double"), F.lit(None).cast("double"), "symbols"))
 
     def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(table["key"].to_numpy(), kind="stable")
-        keys = np.concatenate([table["key"].to_numpy(dtype=np.int64)[order], [np.iinfo(np.int64).max]])
+        own = table["symbols"].notna()  # a null key would make all keys floats
+        symbols = np.asarray(table.loc[own, "symbols"].iloc[0], dtype=np.int64)
+        table = table.loc[~own, ["key", "a", "g"]]
+        key = table["key"].to_numpy(dtype=np.int64)
+        order = np.argsort(key, kind="stable")
+        keys = np.concatenate([key[order], [np.iinfo(np.int64).max]])
         a = np.concatenate([table["a"].to_numpy(dtype=np.float64)[order], [0.0]])
         g = np.concatenate([table["g"].to_numpy(dtype=np.float64)[order], [1.0]])
-        bits, sizes = [], []
-        for toks in docs["toks"]:
-            ids = np.frombuffer(toks, dtype=np.uint16)
+
+        def find(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(keys, x)
+            met = keys[at] == x
+            return np.where(met, a[at], 0.0), np.where(met, g[at], 1.0)
+
+        m3, m2, m1 = _sides(symbols)
+        a1, back2 = find((_N3 ^ _N2 ^ m1).view(np.int64))
+        nats, sizes = [], []
+        for toks, floor in zip(docs["toks"], docs["floor"], strict=True):
+            ids = _ids(toks)
             sizes.append(len(ids) - 2)
             if len(ids) == 2:
-                bits.append(np.nan)
+                nats.append(np.nan)
                 continue
-            # values are looked up once for each distinct trigram of the text
-            tri, n = np.unique(_trigrams(ids), return_counts=True)
-            w2, w3 = tri >> 21 & (1 << 21) - 1, tri & (1 << 21) - 1
-            at3 = np.searchsorted(keys, tri)
-            ctx, low = tri >> 21, tri & (1 << 42) - 1
-            at_c, at_l = np.searchsorted(keys, ctx), np.searchsorted(keys, low)
-            p_low = np.where(keys[at_l] == low, a[at_l], 0.0) + shared_b2.value[w2] * shared_p1.value[w3]
-            prob = np.where(keys[at3] == tri, a[at3], 0.0) + np.where(keys[at_c] == ctx, g[at_c], 1.0) * p_low
-            bits.append(float(-(np.log(prob) * n).sum()))
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "h": docs["h"], "lang": docs["lang"], "trusted": docs["trusted"], "n_tokens": sizes, "nats": bits})
-
-    texts = enc.where("toks is not null").select("chunk", "doc_id", "h", "lang", "trusted", "toks")
-    scored = texts.groupBy("chunk").cogroup(found.groupBy("part")).applyInPandas(score, "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double")
+            k2 = m2[ids[:-1]] ^ m1[ids[1:]]
+            a2, back3 = find((_N3 ^ k2).view(np.int64))
+            a3, _ = find((m3[ids[:-2]] ^ k2[1:]).view(np.int64))
+            p2 = a2[1:] + back2[ids[1:-1]] * (a1[ids[2:]] + floor)
+            nats.append(float(-np.log(a3 + back3[:-1] * p2).sum()))
+        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "h": docs["h"], "lang": docs["lang"], "trusted": docs["trusted"], "n_tokens": sizes, "nats": nats})
+
+    texts = enc.where("toks is not null").join(F.broadcast(floors) if _few(floors, p) else floors, "own")
+    texts = texts.select("chunk", "doc_id", "h", "lang", "trusted", "toks", "floor")
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("part")).applyInPandas(score, "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double")
     scored = materialize(scored, "kn-scored")
 
     good = scored.where("trusted and n_tokens > 0")
@@ -252,6 +332,10 @@ def _few(df: DataFrame, p: QualityParams) -> bool:
     return df.count() <= p.broadcast_rows
 
 
+def _ids(toks: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(toks), dtype=np.uint32)
+
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -272,13 +356,15 @@ def _counts_of_counts(df: DataFrame, c: str) -> list[float]:
     return _discounts(*df.agg(*[F.count_if(F.col(c) == i) for i in (1, 2, 3, 4)]).first())
 
 
-def _model(enc: DataFrame, symbols: Symbols) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Keyed table ``key, a, g`` and, by symbol, unigram probability and bigram back-off weight.
+def _model(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]:
+    """Keyed table ``key, a, g`` and ``own, floor``: what every symbol of a language has at least.
 
-    ``a``: the discounted share of a trigram in its context, or of a bigram's continuation count
-    in its context; ``g``: the back-off weight of a trigram context, at the bigram's key.
+    ``a``: the discounted share of a trigram in its context, of a bigram's continuation count in
+    its context, or of a symbol's in its language; ``g``: the back-off weight of a trigram context,
+    at the bigram's key, or of a bigram context, at the symbol's.
     """
-    low21, low42 = (1 << 21) - 1, (1 << 42) - 1
+
+    spark = found.sparkSession
 
     def off(c: str, d: list[float]) -> Column:
         return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
@@ -286,36 +372,41 @@ def _model(enc: DataFrame, symbols: Symbols) -> tuple[DataFrame, np.ndarray, np.
     def weight(d: list[float]) -> Column:
         return (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("s")
 
-    pairs = enc.where("tkeys is not null").select(F.explode(F.arrays_zip("tkeys", "tcounts")).alias("x"))
-    tri = materialize(pairs.groupBy(F.col("x.tkeys").alias("key")).agg(F.sum("x.tcounts").alias("c")), "kn-trigrams")
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y, z = (_sides(b[c].to_numpy(dtype=np.int64))[i] for i, c in enumerate(("x", "y", "z")))
+            yield pd.DataFrame({"key": (x ^ y ^ z).view(np.int64), "a": b["a"], "g": b["g"]})
+
+    none = F.lit(0).cast("long")
+    counts = found.where("tn is not null").select(F.explode(F.arrays_zip("ta", "tb", "tc", "tn")).alias("t"))
+    tri = counts.groupBy(F.col("t.ta").alias("x"), F.col("t.tb").alias("y"), F.col("t.tc").alias("z")).agg(F.sum("t.tn").alias("c"))
+    tri = materialize(tri, "kn-trigrams")
     d3 = _counts_of_counts(tri, "c")
-    tri = tri.withColumn("ctx", F.shiftright("key", 21))
-    ctx3 = tri.groupBy("ctx").agg(*_levels("c"))
-    alpha3 = tri.join(ctx3, "ctx").select("key", (F.greatest(F.col("c") - off("c", d3), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(1.0).alias("g"))
-    bi = materialize(tri.groupBy(F.col("key").bitwiseAND(low42).alias("key")).agg(F.count("*").alias("cc")), "kn-bigrams")
+    ctx3 = tri.groupBy("x", "y").agg(*_levels("c"))
+    alpha3 = tri.join(ctx3, ["x", "y"]).select("x", "y", "z", (F.greatest(F.col("c") - off("c", d3), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(1.0).alias("g"))
+    bi = materialize(tri.groupBy("y", "z").agg(F.count("*").alias("cc")), "kn-bigrams")
     d2 = _counts_of_counts(bi, "cc")
-    bi = bi.withColumn("ctx", F.shiftright("key", 21))
-    ctx2 = bi.groupBy("ctx").agg(*_levels("cc"))
-    alpha2 = bi.join(ctx2, "ctx").select("key", (F.greatest(F.col("cc") - off("cc", d2), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(None).cast("double").alias("g"))
-    back3 = ctx3.select(F.col("ctx").alias("key"), F.lit(0.0).alias("a"), weight(d3).alias("g"))
-    pairs2 = alpha2.union(back3).groupBy("key").agg(F.max("a").alias("a"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g"))
-    model = materialize(alpha3.union(pairs2), "kn-model")
-
-    lang = symbols.language()
-    back2 = np.ones(symbols.n)
-    for r in ctx2.select("ctx", weight(d2).alias("g")).collect():  # at most one row a symbol
-        back2[r["ctx"]] = r["g"]
-    cc1 = np.zeros(symbols.n)
-    for r in bi.groupBy(F.col("key").bitwiseAND(low21).alias("w")).count().collect():  # likewise
-        cc1[r["w"]] = r["count"]
-    total = np.bincount(lang, weights=cc1, minlength=symbols.n)
-    kinds = np.bincount(lang, minlength=symbols.n)
-    seen = np.bincount(lang, weights=cc1 > 0, minlength=symbols.n)
+    ctx2 = bi.groupBy("y").agg(*_levels("cc"))
+    alpha2 = bi.join(ctx2, "y").select("y", "z", (F.greatest(F.col("cc") - off("cc", d2), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(None).cast("double").alias("g"))
+    back3 = ctx3.select(F.col("x").alias("y"), F.col("y").alias("z"), F.lit(0.0).alias("a"), weight(d3).alias("g"))
+    two = alpha2.union(back3).groupBy("y", "z").agg(F.max("a").alias("a"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g"))
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(_class(own, i), own) for own in b["own"] for i in range(-1, _SHAPES)], columns=["z", "own"])
+
+    owns = kinds.select(F.col("lang").alias("own"), "kinds").union(spark.createDataFrame([("", 1 + _SHAPES)], "own string, kinds long")).groupBy("own").agg(F.max("kinds").alias("kinds"))
+    spoken = vocabulary.select(F.col("word").alias("z"), F.col("lang").alias("own")).union(owns.select("own").mapInPandas(shapes, "z long, own string"))
+    uni = materialize(bi.groupBy("z").agg(F.count("*").alias("cc1")).join(spoken, "z"), "kn-unigrams")
+    sums = uni.groupBy("own").agg(F.sum("cc1").alias("s"), F.count("*").alias("seen"))
     d1 = 0.5
-    s = np.maximum(total[lang], 1.0)
-    left = np.where(total[lang] > 0, d1 * seen[lang] / s, 1.0)
-    p1 = np.maximum(cc1 - d1, 0.0) / s + left / np.maximum(kinds[lang], 1)
-    return model, p1, back2
+    alpha1 = uni.join(F.broadcast(sums) if _few(sums, p) else sums, "own").select("z", (F.greatest(F.col("cc1") - d1, F.lit(0.0)) / F.col("s")).alias("a"), F.lit(None).cast("double").alias("g"))
+    back2 = ctx2.select(F.col("y").alias("z"), F.lit(0.0).alias("a"), weight(d2).alias("g"))
+    one = alpha1.union(back2).groupBy("z").agg(F.max("a").alias("a"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g"))
+    floors = owns.join(sums, "own", "left").select("own", (F.coalesce(d1 * F.col("seen") / F.col("s"), F.lit(1.0)) / F.col("kinds")).alias("floor"))
+
+    every = alpha3.union(two.select(none.alias("x"), "y", "z", "a", "g")).union(one.select(none.alias("x"), none.alias("y"), "z", "a", "g"))
+    return materialize(every.mapInPandas(keyed, "key long, a double, g double"), "kn-model"), materialize(floors, "kn-floors")
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:

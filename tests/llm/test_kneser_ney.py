@@ -104,3 +104,22 @@ def test_nothing_trusted_and_empty(spark):
     got = {r["doc_id"]: r["keep"] for r in K.judge(frame(spark, [(1, "a b", "en"), (2, " ", "en"), (3, None, None)]), none, P).collect()}
     assert got == {1: True, 2: False, 3: False}
     assert K.judge(frame(spark, []), none, P).count() == 0
+
+
+def test_every_word_seen_twice_is_a_symbol(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    docs = [(i, " ".join(words[(7 * i + 3 * j) % 300] for j in range(40)), "en") for i in range(60)]
+    docs += [(100, " ".join(words[(21 + 3 * j) % 300] for j in range(40)), "en"), (101, " ".join(f"x{w}" for w in docs[3][1].split()), "en")]
+    p = K.QualityParams(chunk_tokens=200)
+    trusted = [i for i in range(60)]
+    got = {r["doc_id"]: r["perplexity"] for r in K.judge(frame(spark, docs).repartition(3), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), p).collect()}
+
+    class Least:  # the brute force's vocabulary: words seen twice
+        share = 2 / (60 * 40)
+        prior_tokens = p.prior_tokens
+
+    want = brute_perplexities(docs, trusted, Least)
+    for i, x in want.items():
+        assert got[i] == pytest.approx(x, rel=1e-9), i
+    # unknown words of the same shape are not like the known ones
+    assert got[101] > 2 * got[100]
