@@ -2,10 +2,12 @@
 
 Every line of every text is parsed into a tree of fixed depth: first by its number of tokens, then
 by its leading ``depth`` tokens.  Tokens that hold a digit are variable fields and are written
-``<*>`` from the start.  In a leaf, a token is kept at its position if at least ``min_docs``
-different texts have it there, else it is a variable field too; a line whose kept tokens make up
+``<*>`` from the start.  Lines of ``long_tokens`` tokens or more recur from ``long_docs`` different
+texts on: so many words are not met twice by chance.  Shorter lines, of one token too, need
+``min_docs``.  All lines of a leaf are of one length, so need the same number.  In a leaf, a token
+is kept at its position if at least so many different texts have it there, else it is a variable field too; a line whose kept tokens make up
 at least ``similarity`` of it is generalised to that template, any other line stays its own
-template.  A template that recurs in at least ``min_docs`` different texts is dropped from every
+template.  A template that recurs in at least so many different texts is dropped from every
 text but the first that has it (least doc_id, then text hash), so nothing leaves the corpus
 altogether.
 
@@ -16,8 +18,8 @@ Only hashes are shuffled at first: (leaf, line, text).  The tokens of a line are
 only where a leaf recurs but the line alone doesn't.  All counts are grouped aggregates with
 partial sums, so a line, leaf or text of any frequency is never one group in one task.
 
-Edge cases: a null text stays null and counts as empty; blank lines and lines of fewer than
-``min_tokens`` tokens are never dropped; a line that occurs more than once in its first text stays
+Edge cases: a null text stays null and counts as empty; blank lines are never dropped (nor
+lines of fewer than ``min_tokens`` tokens, where that is set above one); a line that occurs more than once in its first text stays
 there each time; repeated rows are treated alike; rows without doc_id come after all others when
 the first text is chosen; a text all of whose lines are dropped is empty.  Other columns are kept.
 """
@@ -44,7 +46,9 @@ class TemplateParams:
     min_docs: int = 5
     depth: int = 3
     similarity: float = 0.6
-    min_tokens: int = 3
+    min_tokens: int = 1
+    long_tokens: int = 20
+    long_docs: int = 2
     broadcast_rows: int = 500_000
 
 
@@ -64,25 +68,26 @@ def keys(tokens: list[str], depth: int) -> tuple[int, int]:
 
 
 def _lines(docs: DataFrame, p: TemplateParams) -> DataFrame:
-    """``first, th, at, leaf, line`` of every line that may be dropped."""
+    """``doc_id, th, at, leaf, line, need`` of every line that may be dropped; ``need``: texts from which on it recurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, hashes, ats, leaves, lines = [], [], [], [], []
+            ids, hashes, ats, leaves, lines, needs = [], [], [], [], [], []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
                 for at, line in enumerate(text.split("\n")):
                     tokens = masked(line)
-                    if len(tokens) >= p.min_tokens:
+                    if tokens and len(tokens) >= p.min_tokens:
                         leaf, key = keys(tokens, p.depth)
                         ids.append(None if pd.isna(doc_id) else int(doc_id))
                         hashes.append(th)
                         ats.append(at)
                         leaves.append(leaf)
                         lines.append(key)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "th": np.array(hashes, dtype=np.int64), "at": np.array(ats, dtype=np.int32), "leaf": np.array(leaves, dtype=np.int64), "line": np.array(lines, dtype=np.int64)})
+                        needs.append(min(p.min_docs, p.long_docs) if len(tokens) >= p.long_tokens else p.min_docs)
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "th": np.array(hashes, dtype=np.int64), "at": np.array(ats, dtype=np.int32), "leaf": np.array(leaves, dtype=np.int64), "line": np.array(lines, dtype=np.int64), "need": np.array(needs, dtype=np.int32)})
 
     base = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return base.mapInPandas(run, "doc_id long, th long, at int, leaf long, line long")
+    return base.mapInPandas(run, "doc_id long, th long, at int, leaf long, line long, need int")
 
 
 def recurring(docs: DataFrame, p: TemplateParams = TemplateParams()) -> tuple[DataFrame, DataFrame]:
@@ -92,33 +97,33 @@ def recurring(docs: DataFrame, p: TemplateParams = TemplateParams()) -> tuple[Da
     first (doc_id and th of the text that keeps it).
     """
     lines = materialize(_lines(docs, p), "template-lines")
-    once = lines.groupBy("leaf", "line", "th").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
+    once = lines.groupBy("leaf", "line", "need", "th").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"))
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "th")
-    per_line = once.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by("at", order).alias("at"))
+    per_line = once.groupBy("leaf", "line", "need").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.min_by("at", order).alias("at"))
     per_line = materialize(per_line, "template-counts")
     # Leaves that recur although one of their lines alone doesn't: only there can generalising change anything.
-    leaves = per_line.groupBy("leaf").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("kinds"))
-    open_leaves = leaves.where((F.col("n") >= p.min_docs) & (F.col("least") < p.min_docs) & (F.col("kinds") > 1)).select("leaf")
+    leaves = per_line.groupBy("leaf", "need").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("kinds"))
+    open_leaves = leaves.where((F.col("n") >= F.col("need")) & (F.col("least") < F.col("need")) & (F.col("kinds") > 1)).select("leaf")
     unsure = materialize(per_line.join(open_leaves, "leaf"), "template-unsure")
     tokens = _tokens(docs, unsure, p)
-    cells = tokens.select("leaf", "line", "n", F.posexplode("tokens").alias("pos", "token"))
-    common = cells.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("c")).where((F.col("c") >= p.min_docs) & (F.col("token") != WILD)).select("leaf", "pos", "token", F.lit(True).alias("kept"))
+    cells = tokens.select("leaf", "line", "n", "need", F.posexplode("tokens").alias("pos", "token"))
+    common = cells.groupBy("leaf", "need", "pos", "token").agg(F.sum("n").alias("c")).where((F.col("c") >= F.col("need")) & (F.col("token") != WILD)).select("leaf", "pos", "token", F.lit(True).alias("kept"))
     marked = cells.join(common, ["leaf", "pos", "token"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     shape = marked.groupBy("leaf", "line").agg(F.count("*").alias("size"), F.count_if("kept").alias("fixed"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).otherwise(WILD).alias("token")))), lambda x: x["token"]), " ").alias("template"))
     general = shape.where((F.col("fixed") >= p.similarity * F.col("size")) & (F.col("fixed") < F.col("size"))).select("leaf", "line", F.xxhash64("leaf", "template").alias("general"))
     # A line without any variable field belongs to the template of its leaf that equals it.
     general = materialize(general, "template-general")
     named = lines.join(F.broadcast(general) if general.count() <= p.broadcast_rows else general, ["leaf", "line"], "left")
-    named = named.select("doc_id", "th", "at", F.coalesce("general", F.xxhash64("leaf", "line")).alias("template"))
+    named = named.select("doc_id", "th", "at", "need", F.coalesce("general", F.xxhash64("leaf", "line")).alias("template"))
     named = materialize(named, "template-named")
-    texts = named.groupBy("template", "th").agg(F.min("doc_id").alias("doc_id"))
-    found = texts.groupBy("template").agg(F.count("*").alias("n_texts"), F.min(order).alias("first")).where(F.col("n_texts") >= p.min_docs)
+    texts = named.groupBy("template", "need", "th").agg(F.min("doc_id").alias("doc_id"))
+    found = texts.groupBy("template", "need").agg(F.count("*").alias("n_texts"), F.min(order).alias("first")).where(F.col("n_texts") >= F.col("need"))
     return named, materialize(found, "template-found")
 
 
 def _tokens(docs: DataFrame, unsure: DataFrame, p: TemplateParams) -> DataFrame:
-    """``leaf, line, n, tokens`` of the unsure lines, read again from one text that has them."""
-    places = unsure.select(F.col("first.th").alias("th"), "at", "leaf", "line", "n").groupBy("th").agg(F.collect_list(F.struct("at", "leaf", "line", "n")).alias("wanted"))
+    """``leaf, line, n, need, tokens`` of the unsure lines, read again from one text that has them."""
+    places = unsure.select(F.col("first.th").alias("th"), "at", "leaf", "line", "n", "need").groupBy("th").agg(F.collect_list(F.struct("at", "leaf", "line", "n", "need")).alias("wanted"))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
     met = texts.join(F.broadcast(places) if unsure.count() <= p.broadcast_rows // 10 else places, "th")
 
@@ -127,10 +132,10 @@ def _tokens(docs: DataFrame, unsure: DataFrame, p: TemplateParams) -> DataFrame:
             out = []
             for text, wanted in zip(b["text"], b["wanted"], strict=True):
                 lines = text.split("\n")
-                out += [(w["leaf"], w["line"], w["n"], masked(lines[w["at"]])) for w in wanted]
-            yield pd.DataFrame(out, columns=["leaf", "line", "n", "tokens"])
+                out += [(w["leaf"], w["line"], w["n"], w["need"], masked(lines[w["at"]])) for w in wanted]
+            yield pd.DataFrame(out, columns=["leaf", "line", "n", "need", "tokens"])
 
-    found = met.select("text", "wanted").mapInPandas(run, "leaf long, line long, n long, tokens array<string>")
+    found = met.select("text", "wanted").mapInPandas(run, "leaf long, line long, n long, need int, tokens array<string>")
     return materialize(found.dropDuplicates(["leaf", "line"]), "template-tokens")
 
 

@@ -78,3 +78,15 @@ def test_copies_are_one_text_and_empty_table(spark):
     rows = [(i, "the same whole text\nof two lines here") for i in range(9)]
     assert {r["n_dropped"] for r in T.dedup_lines(frame(spark, rows), P).collect()} == {0}
     assert T.dedup_lines(frame(spark, []), P).count() == 0
+
+
+def test_long_lines_recur_from_two_texts_and_short_ones_by_frequency(spark):
+    twice = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    near = twice.split()[:30]
+    rows = [(1, f"one\n{twice}\nAnd ornd."), (2, f"two\n{twice}\nAnd ornd."), (3, "three\n" + " ".join([*near[:25], "some", "thing", "else", "is", "here"]) + "\nAnd ornd."), (4, "four\n" + " ".join(near) + "\nAnd ornd.\nOf."), (5, "five\nAnd ornd.\nOf.\na line of three in two")]
+    rows += [(6, "six\nOf.\na line of three in two"), (7, "seven\nOf.")]
+    got = {r["doc_id"]: r["text"] for r in T.dedup_lines(frame(spark, rows)).collect()}
+    assert [twice in got[i] for i in (1, 2)] == [True, False]
+    assert got[3].count("\n") == 1 and got[4] == "four\nOf."  # one template, kept in the first text
+    assert ["And ornd." in got[i] for i in range(1, 6)] == [True, False, False, False, False]
+    assert all("Of." in got[i] for i in (4, 5, 6, 7)) and all("in two" in got[i] for i in (5, 6))
