@@ -6,12 +6,15 @@ follows them backwards (``distrust``: who links to a bad host is bad).  A host i
 distrust is at least ``least`` and more than ``ratio`` times its trust; a host without any
 evidence is allowed.
 
-Seeds: a host whose name has one of ``bad_words`` as a part, or of which rules block at least
+Seeds: a host whose name has one of ``bad_words`` as a part (with pages in the table or only
+linked to), or of which rules block at least
 ``seed_share`` of the pages and allow none, is a blocked seed; a host of which rules allow at
 least ``seed_share`` of the pages and block none is a trusted seed.
 
 Edges are counted per pair of hosts before anything else, self-links are left out, and every step
-of the iteration is a written table.  The ranks are sums (partial on the map side); a host with a
+of the iteration is a written table.  It ends when all that can still arrive anywhere is less than
+``tolerance`` of the best score: what is on its way shrinks by ``damping`` a step at least, so that
+is reached, after more steps the more seeds share the start.  The ranks are sums (partial on the map side); a host with a
 third of all links is only ever a sum.
 
 Edge cases: a null url, or one without ``://``, has the empty host and path, fits no rule and is
@@ -21,6 +24,7 @@ table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,7 +59,7 @@ RULES = (
 @dataclass(frozen=True)
 class TrustParams:
     damping: float = 0.85
-    steps: int = 20
+    steps: int | None = None  # a bound on the steps, for tests
     tolerance: float = 1e-4
     seed_share: float = 0.9
     ratio: float = 1.0
@@ -103,14 +107,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, p: TrustParams, what: str) ->
     rank = seeds.select("host", (F.col("seed") * (1 - p.damping)).alias("score"), (F.col("seed") * (1 - p.damping)).alias("new"))
     if shares.isEmpty() or not total:
         return rank.select("host", "score")
-    for _ in range(p.steps):
+    for _ in itertools.count() if p.steps is None else range(p.steps):
         # only what was new in the last step moves on; the scores add up to the whole series
         moved = rank.where("new > 0").join(shares, F.col("host") == F.col("src")).groupBy("dst").agg((p.damping * F.sum(F.col("new") * F.col("share"))).alias("new"))
         moved = moved.select(F.col("dst").alias("host"), F.lit(0.0).alias("score"), "new")
         kept = rank.select("host", "score", F.lit(0.0).alias("new")).union(moved)
         rank = materialize(kept.groupBy("host").agg((F.sum("score") + F.sum("new")).alias("score"), F.sum("new").alias("new")), f"{what}-rank")
-        left = rank.agg(F.coalesce(F.sum("new"), F.lit(0.0)).alias("x")).first()["x"]
-        if left < p.tolerance:
+        left, best = rank.agg(F.coalesce(F.sum("new"), F.lit(0.0)), F.max("score")).first()
+        if left * p.damping / (1 - p.damping) < p.tolerance * best:
             break
     return rank.select("host", "score")
 
@@ -122,15 +126,17 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: TrustParams
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.verdict)]) if rules else F.lit(None).cast("map<string,string>")
     judged = judged.withColumn("ruled", F.when(F.col("rule").isNotNull(), verdicts[F.col("rule")]))
     hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good"))
-    named = F.rlike(F.col("host"), F.lit(r"(?:^|[.\-_])(?:" + "|".join(p.bad_words) + r")(?:[.\-_]|$)")) if p.bad_words else F.lit(False)
-    blocked = named | ((F.col("bad") >= p.seed_share * F.col("n")) & (F.col("good") == 0))
+    bad_name = F.rlike(F.col("host"), F.lit(r"(?:^|[.\-_])(?:" + "|".join(p.bad_words) + r")(?:[.\-_]|$)")) if p.bad_words else F.lit(False)
+    blocked = bad_name | ((F.col("bad") >= p.seed_share * F.col("n")) & (F.col("good") == 0))
     trusted = ~blocked & (F.col("good") >= p.seed_share * F.col("n")) & (F.col("bad") == 0)
     hosts = materialize(hosts.select("host", blocked.alias("blocked"), trusted.alias("trusted")), "trust-hosts")
     edges = materialize(host_edges(pages), "trust-edges")
+    # a bad host that only links lead to has no pages here, yet its name tells
+    linked = edges.select(F.col("dst").alias("host")).where(bad_name).distinct()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     seed = F.lit(1.0).alias("weight")
     trust = propagate(edges, hosts.where("trusted").select("host", seed), p, "trust").withColumnRenamed("score", "trust")
-    distrust = propagate(back, hosts.where("blocked").select("host", seed), p, "distrust").withColumnRenamed("score", "distrust")
+    distrust = propagate(back, hosts.where("blocked").select("host").union(linked).distinct().select("host", seed), p, "distrust").withColumnRenamed("score", "distrust")
     # A share of a seed's own score, so that thresholds do not depend on how many seeds there are.
     scale = {c: d.agg(F.max(c)).first()[0] or 1.0 for c, d in (("trust", trust), ("distrust", distrust))}
     scores = trust.join(distrust, "host", "full").select("host", (F.coalesce("trust", F.lit(0.0)) / scale["trust"]).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) / scale["distrust"]).alias("distrust"))

@@ -61,3 +61,13 @@ def test_propagation_is_personalised_pagerank(spark):
     seed = np.array([0.25, 0, 0, 0, 0.75])
     want = np.linalg.solve(np.eye(5) - p.damping * m, (1 - p.damping) * seed)
     assert [got.get(n, 0.0) for n in names] == pytest.approx(want.tolist(), abs=1e-4)
+
+
+def test_distrust_reaches_far_hosts_from_seeds_without_pages(spark):
+    link = lambda host: f'<a href="https://{host}/p">t</a>'
+    rows = [(0, "http://h0.example/x", link("cheap-pills.example"))] + [(i, f"http://h{i}.example/x", link(f"h{i - 1}.example")) for i in range(1, 45)]
+    rows += [(100 + i, f"http://warez.s{i}.example/x", None) for i in range(20)]
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(frame(spark, rows)).collect()}
+    # host i is i + 1 links away: 0.85 ** 42 > 0.001 > 0.85 ** 43
+    assert [got[i] for i in range(45)] == ["block"] * 42 + ["allow"] * 3
+    assert {got[100 + i] for i in range(20)} == {"block"}
