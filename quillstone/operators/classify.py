@@ -67,9 +67,9 @@ def folds(df: DataFrame, stratum: str, key: str, k: int) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
 
 
-def out_of_fold(df: DataFrame, labels: list[str], row: str, k: int) -> DataFrame:
+def out_of_fold(df: DataFrame, labels: list[str], row: str, k: int, regularisation: float = 0.0) -> DataFrame:
     """Predictions for each fold by models of the others; ``df`` has ``fold`` and ``features``."""
-    parts = [predict(one_vs_rest(df.where(F.col("fold") != i), labels), df.where(F.col("fold") == i), row) for i in range(k)]
+    parts = [predict(one_vs_rest(df.where(F.col("fold") != i), labels, regularisation), df.where(F.col("fold") == i), row) for i in range(k)]
     return reduce(DataFrame.union, parts)
 
 

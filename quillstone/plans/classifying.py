@@ -116,19 +116,19 @@ def one_hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tfidf_multilabel_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold label scores from word n-grams; fitted, so without SQL."""
+    """Out-of-fold label scores from word n-grams, in five folds or as many as the smaller class has rows; fitted, so without SQL."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    features, _ = C.tfidf(C.folds(rows, "quality", "doc_id", 2), "text", n=1, vocabulary=4096)
-    return C.chosen(C.out_of_fold(features.select(F.col("doc_id"), "features", "quality", "toxic", "fold").cache(), ["quality", "toxic"], "doc_id", 2).withColumnRenamed("doc_id", "row"), 0.5)
+    k = max(2, min(5, rows.groupBy("quality").count().agg(F.min("count")).first()[0] or 0))
+    features, _ = C.tfidf(C.folds(rows, "quality", "doc_id", k), "text", n=2, vocabulary=50_000)
+    return C.chosen(C.out_of_fold(features.select(F.col("doc_id"), "features", "quality", "toxic", "fold").cache(), ["quality", "toxic"], "doc_id", k).withColumnRenamed("doc_id", "row"), 0.5)
 
 
 @query()
 def embedding_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out scores of one label from scaled embeddings; fitted, so without SQL."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).alias("part"))
-    features = C.scaled_vectors(rows, "embedding").drop("embedding")
-    models = C.one_vs_rest(features.where("part > 0"), ["is_3"], regularisation=0.01)
-    return C.predict(models, features.where("part = 0"), "vec_id")
+    """Out-of-fold scores of one label from scaled embeddings, in five hashed folds; fitted, so without SQL."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).alias("fold"))
+    features = C.scaled_vectors(rows, "embedding").drop("embedding").cache()
+    return C.out_of_fold(features, ["is_3"], "vec_id", 5, regularisation=0.01)
 
 
 @query(

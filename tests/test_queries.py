@@ -59,3 +59,29 @@ def test_tfidf_model_beats_chance_out_of_fold(spark):
     good, bad = own.loc[own["truth"].astype(int) == 1, "score"].to_numpy(), own.loc[own["truth"].astype(int) == 0, "score"].to_numpy()
     above = (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2  # area under the curve; most labels are 1, so accuracy says little
     assert above > 0.7
+
+
+def test_tfidf_model_has_bigrams_the_references_vocabulary_and_five_folds(spark, monkeypatch):
+    from quillstone.plans import classifying
+
+    tfidf, met = classifying.C.tfidf, {}
+
+    def fitted(df, text, **params):
+        features, model = tfidf(df, text, **params)
+        met.update(params, words=model.stages[0].vocabulary)
+        return features, model
+
+    def folded(df, labels, row, k):
+        met.update(k=k, folds=df.select("fold").distinct().count())
+        return spark.createDataFrame([(1, "quality", 1, 0.5)], "doc_id long, label string, truth int, score double")
+
+    monkeypatch.setattr(classifying.C, "tfidf", fitted)
+    monkeypatch.setattr(classifying.C, "out_of_fold", folded)
+    registry.queries()["tfidf_multilabel_lr"](spark, SF)
+    assert met["vocabulary"] == 50_000 and any(" " in w for w in met["words"])
+    assert met["k"] == met["folds"] == 5
+
+
+def test_embedding_model_scores_every_row(spark):
+    rows = registry.queries()["embedding_lr"](spark, SF)
+    assert sorted(r["vec_id"] for r in rows.collect()) == sorted(r["vec_id"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect())
