@@ -24,7 +24,7 @@ Text: character references are decoded, white space inside a block is one space,
 trimmed, empty ones left out, and joined by one line feed in page order.
 
 Edge cases: null or empty html gives the empty text; unclosed and stray tags are tolerated; pages
-with equal id, url and html are one page for the suffix array and one row each in the result; a
+of a host with equal html are one page for the suffix array and one row each in the result; a
 null url belongs to the empty host; an empty table gives no rows.  Other columns are ignored.
 """
 
@@ -218,7 +218,7 @@ def unique_runs(blocks: list[tuple[str, bool]], covered: set[int], run: int) ->
 def extract(pages: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    base = base.withColumn("page", F.xxhash64("page_id", "url", "html"))
+    base = base.withColumn("page", F.xxhash64("host", "html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -75,3 +75,9 @@ def test_repeated_rows_are_one_page_and_empty_table(spark):
     row = (1, "http://a.example/", "<div>one two three four five six seven eight nine ten</div>")
     assert {r["text"] for r in H.extract(frame(spark, [row, row])).collect()} == {"one two three four five six seven eight nine ten"}
     assert H.extract(frame(spark, [])).count() == 0
+
+
+def test_copies_of_a_page_do_not_cover_each_other(spark):
+    html = "<div>one two three four five six seven eight nine ten</div>"
+    rows = [(i, f"http://a.example/{i}", html) for i in range(3)] + [(9, "http://b.example/", html)]
+    assert {r["text"] for r in H.extract(frame(spark, rows), H.ExtractParams(run=5)).collect()} == {"one two three four five six seven eight nine ten"}
