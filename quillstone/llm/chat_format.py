@@ -14,7 +14,8 @@ can contain a control string and everything can be read back: :func:`parse` is t
 
 Edge cases: null texts and roles are empty; turns are ordered by turn (null first), then role,
 then text; repeated rows are turns of their own; a null conv_id is a conversation of its own; an
-empty table gives no conversations.  Other columns are ignored.
+empty table gives no conversations.  Other columns are ignored.  A conversation is one row and so
+one window group: its text must fit a string (2 GB); there is no other limit.
 """
 
 from __future__ import annotations
@@ -87,8 +88,10 @@ def fingerprint(paths: Column) -> Column:
 def typed_layout(df: DataFrame) -> Layout | None:
     """The layout that the table's schema selects: equal fingerprints first, else the first one it covers."""
     paths = sorted(set(schema_paths(df.schema)))
-    by_print = {layout.paths(): layout for layout in LAYOUTS}
-    return by_print.get(tuple(paths)) or next((x for x in LAYOUTS if set(x.paths()) <= set(paths)), None)
+    prints = [F.lit("\n".join(x)) for x in (paths, *(layout.paths() for layout in LAYOUTS))]
+    own, *known = df.sparkSession.range(1).select(*[F.xxhash64(x) for x in prints]).first()
+    by_print = dict(zip(known, LAYOUTS, strict=True))
+    return by_print.get(own) or next((x for x in LAYOUTS if set(x.paths()) <= set(paths)), None)
 
 
 def turns_of_rows(df: DataFrame) -> DataFrame:
@@ -201,10 +204,14 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, turn)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask: each span of the formatted text, unescaped, nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+
+
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the registered query returns, read back from the formatted text."""
+    """What the registered query returns, read back from the formatted text and the loss mask."""
     read = formatted.withColumn("turns", parse(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    read = read.withColumns({"said": said, "loss": loss})
+    read = read.withColumns({"said": said, "loss": masked(F.col("formatted"), F.col("loss_spans"))})
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

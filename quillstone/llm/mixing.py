@@ -30,6 +30,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,40 +193,50 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     ``n_chars`` is set to the new text's length where ``docs`` has it.  A null text is taken as the empty one.
     """
     names = docs.columns
-    own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth"]
+    own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth", "source"]
     new = dict(zip(own, fresh(docs, *[f"mix_{c}" for c in own]), strict=True))
-    row_hash, row_nth = fresh(docs, "mix_row_hash", "mix_row_nth")
-    places = place(docs, p).withColumn("words", _taken(p.block)).where("full > 0 or words > 0")
-    # Rows of one doc_id and text are alike in all that was placed but their start; number them.
-    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("source", "start")))
-    places = materialize(places.select(*[F.col(c).alias(n) for c, n in new.items()], F.col("source").alias(fresh(docs, "mix_source")[0])), "mix-places")
-    source = places.columns[-1]
+    row_hash, row_nth, row_salt = fresh(docs, "mix_row_hash", "mix_row_nth", "mix_row_salt")
+    places = place(docs, p).withColumn("words", _taken(p.block))
+    # Rows of one doc_id, text and source are alike in all that was placed but their start: both sides number them,
+    # before any is left out.  Only where such a row is repeated there is more than one number.
+    places = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("start")))
+    places = places.where("full > 0 or words > 0").select(*[F.col(c).alias(n) for c, n in new.items()])
+    places = materialize(places, "mix-places")
     rows = docs.withColumn(row_hash, F.xxhash64("text"))
-    rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy("doc_id", row_hash).orderBy("source")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(new["doc_id"])) & (F.col(row_hash) == F.col(new["text_hash"])) & F.col("source").cast("string").eqNullSafe(F.col(source))
-    # Rows without taken words aren't placed, so the numbers are compared within equal source only if all are placed.
+    rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy("doc_id", row_hash, "source").orderBy(F.lit(0))))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(new["doc_id"])) & (F.col(row_hash) == F.col(new["text_hash"])) & F.col("source").cast("string").eqNullSafe(F.col(new["source"]))
     met = rows.join(places, same & (F.col(row_nth) == F.col(new["nth"])))
+    used = own[2:10]
+    at_chars = names.index("n_chars") if "n_chars" in names else None
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, texts = [], []
-            for i, (text, full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*(b[c] for c in ("text", *(new[x] for x in own[2:10]))), strict=True)):
-                text = text or ""
-                at += [i] * full
-                texts += [text] * full
-                if words == size and size:
-                    at.append(i)
-                    texts.append(text)
-                elif words:
-                    at.append(i)
+            picked, texts, held = [], [], 0
+            columns = [b.column(new[c]).to_pylist() for c in used]
+            for i, (full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*columns, strict=True)):
+                text = b.column("text")[i].as_py() or ""
+                times = full + (words == size and size > 0)
+                picked += [i] * times
+                texts += [text] * times
+                held += len(text) * times
+                if words and words != size:
+                    picked.append(i)
                     texts.append(runs(text, start, quota, blocks, stride, first, p.block))
-            out = b[names].iloc[at].reset_index(drop=True)
-            out["text"] = texts
-            if "n_chars" in names:
-                out["n_chars"] = [len(t) for t in texts]
-            yield out
-
-    return met.select(*names, *[new[x] for x in own[2:10]]).mapInPandas(expand, docs.schema)
+                    held += len(texts[-1])
+                if held > 4 << 20:  # few texts at a time are Python strings
+                    yield mixed(b, picked, texts)
+                    picked, texts, held = [], [], 0
+            if picked:
+                yield mixed(b, picked, texts)
+
+    def mixed(b: pa.RecordBatch, picked: list[int], texts: list[str]) -> pa.RecordBatch:
+        at = pa.array(picked, type=pa.int64())
+        out = [pa.array(texts, type=b.schema.field(c).type) if c == "text" else b.column(c).take(at) for c in names]
+        if at_chars is not None:
+            out[at_chars] = pa.array([len(t) for t in texts], type=b.schema.field("n_chars").type)
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    return met.select(*names, *[new[x] for x in used]).mapInArrow(expand, docs.schema)
 
 
 def runs(text: str, start: int, quota: int, blocks: int, stride: int, first: int, block: int) -> str:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -28,6 +29,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +51,8 @@ class PackParams:
     tokenizer: str
     capacity: int = 4096
     end_id: int = 1
-    cached_words: int = 1_000_000
-    patterns: int = 8_000
+    cached_bytes: int = 96 << 20
+    patterns_a_length: int = 8
     rank_rows: int = 100_000
 
 
@@ -60,47 +62,50 @@ class WordTokenizer:
     Texts are cut at white space and before end marks, and each distinct lower-case word is tokenized
     once; new words go to the tokenizer together, with a mark between them.  The cache has a young
     and an old half: when the young one is full it becomes the old one, whose words come back as
-    they are met, so frequent words stay and at most ``cached_words`` and one call's are held.
+    they are met, so frequent words stay and at most ``cached_bytes`` and one call's words are held.
     """
 
-    def __init__(self, path: str, cached_words: int) -> None:
+    #: What an entry takes besides the word's characters and the ids' bytes: two objects' heads and its place in the table.
+    _ENTRY = 190
+
+    def __init__(self, path: str, cached_bytes: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.most = cached_words
+        self.most = cached_bytes
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the young half
         self.between = self._whole(_BETWEEN)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: set[str]) -> None:
-        cache, plain = self.cache, list(words)
+        cache, plain = self.cache, [w for w in words if _BETWEEN not in w]
         for at in range(0, len(plain), 5_000):
-            own = [w for w in plain[at : at + 5_000] if _BETWEEN not in w]
-            ids = self._whole(f" {_BETWEEN} ".join(own)) if own else np.empty(0, dtype="<u4")
+            own = plain[at : at + 5_000]
+            ids = self._whole(f" {_BETWEEN} ".join(own))
             ends = [*np.flatnonzero(ids == self.between[0]).tolist(), len(ids)]
             start = 0
             for w, end in zip(own, ends, strict=True):
                 cache[w] = ids[start:end].tobytes()
                 start = end + 1
-        for w in plain:
-            if _BETWEEN in w:
-                cache[w] = self._whole(w).tobytes()
+        for w in words.difference(plain):
+            cache[w] = self._whole(w).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         words = [None if _ODD.search(t) else _MARKS.sub(r" \g<0>", t.lower()).split() for t in texts]
         new = set().union(*[w for w in words if w]).difference(self.cache)
-        if new and len(self.cache) + len(new) > self.most // 2:
-            self.old, self.cache = self.cache, {}
+        if new and self.held > self.most // 2:
+            self.old, self.cache, self.held = self.cache, {}, 0
             new = set().union(*[w for w in words if w])
         if known := new & self.old.keys():
             self.cache.update((w, self.old[w]) for w in known)
-            new -= known
-        if new:
-            self._learn(new)
+        if unknown := new - known:
+            self._learn(unknown)
+        self.held += sum(self._ENTRY + len(w) + len(self.cache[w]) for w in new)
         get = self.cache.__getitem__
         return [self._whole(t) if w is None else np.frombuffer(b"".join(map(get, w)), dtype="<u4") for t, w in zip(texts, words, strict=True)]
 
@@ -111,11 +116,23 @@ class WordTokenizer:
 _LOADED: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def _tokenizer(path: str, cached_words: int) -> WordTokenizer:
-    """One tokenizer and cache for a Python worker, which serves many tasks."""
-    if (path, cached_words) not in _LOADED:
-        _LOADED[path, cached_words] = WordTokenizer(path, cached_words)
-    return _LOADED[path, cached_words]
+def _tokenizer(path: str, cached_bytes: int) -> WordTokenizer:
+    """One tokenizer and cache for a Python worker, which serves many tasks; the cache is bounded in bytes."""
+    if (path, cached_bytes) not in _LOADED:
+        _LOADED[path, cached_bytes] = WordTokenizer(path, cached_bytes)
+    return _LOADED[path, cached_bytes]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def cut(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
@@ -125,9 +142,9 @@ def cut(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(p.tokenizer, p.cached_words)
+        t = _tokenizer(p.tokenizer, p.cached_bytes)
         end = np.array([p.end_id], dtype="<u4")
-        for part in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # few texts at a time are Python strings
+        for part in _slices(batches, 500, 4 << 20):  # few texts at a time are Python strings
             out = []
             for doc_id, own_ids in zip(part.column("doc_id").to_pylist(), t.encode_many(part.column("text").to_pylist()), strict=True):
                 ids = np.concatenate([own_ids, end])
@@ -143,20 +160,29 @@ def cut(docs: DataFrame, p: PackParams, with_ids: bool = False) -> DataFrame:
 
 
 def enumerate_patterns(h: np.ndarray, capacity: int, most: int) -> list[Pattern]:
-    """Patterns of one to four documents that fill a sequence exactly, or as nearly as the lengths allow."""
+    """Patterns of one to four documents that fill a sequence exactly, or as nearly as the lengths allow.
+
+    Every length is the longest of some patterns: up to ``most`` of them with the commonest other
+    lengths, besides those of equal parts, so the whole histogram is covered at any size.
+    """
     lengths = np.nonzero(h)[0]
     lengths = lengths[lengths > 0]
     found: set[Pattern] = set()
 
+    there = h.tolist()
+
     def add(parts: list[int]) -> None:
-        kinds, n = np.unique(parts, return_counts=True)
-        if np.all(n <= h[kinds]):
-            found.add(tuple(sorted(zip(kinds.tolist(), n.tolist(), strict=True), reverse=True)))
+        pattern = tuple(sorted(Counter(parts).items(), reverse=True))
+        if all(n <= there[length] for length, n in pattern):
+            found.add(pattern)
+
+    below = np.zeros(capacity + 1, dtype=np.int64)
+    below[lengths[lengths <= capacity]] = lengths[lengths <= capacity]
+    below = np.maximum.accumulate(below).tolist()
 
     def nearest(space: int) -> int:
         """The greatest occurring length that fits, or 0."""
-        at = int(np.searchsorted(lengths, space, side="right"))
-        return int(lengths[at - 1]) if at else 0
+        return below[space] if space > 0 else 0
 
     common = lengths[np.argsort(-h[lengths], kind="stable")][:64]
     for a in lengths[::-1].tolist():
@@ -166,16 +192,18 @@ def enumerate_patterns(h: np.ndarray, capacity: int, most: int) -> list[Pattern]
                 add([a, b, c])
         else:
             add([a])
+        tried = 0
         for b in common.tolist():
             space = capacity - a - b
             if space < 0:
                 continue
+            if tried == most:
+                break
+            tried += 1
             c = nearest(space)
             add([a, b, c] if c else [a, b])
             if c and (d := nearest(space - c)):
                 add([a, b, c, d])
-            if len(found) >= most:
-                return sorted(found, reverse=True)
         for parts in (3, 4):
             if (capacity - a) // parts > 0 and (b := nearest((capacity - a) // (parts - 1))):
                 rest = capacity - a - (parts - 2) * b
@@ -184,23 +212,36 @@ def enumerate_patterns(h: np.ndarray, capacity: int, most: int) -> list[Pattern]
     return sorted(found, reverse=True)
 
 
-def fit_counts(patterns: list[Pattern], h: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - h|^2, A the patterns' lengths, by coordinate descent."""
-    rows = [np.array([length for length, _ in p]) for p in patterns]
-    times = [np.array([n for _, n in p], dtype=np.float64) for p in patterns]
-    norm = np.array([float((t * t).sum()) for t in times])
-    x = np.zeros(len(patterns))
-    left = h.astype(np.float64).copy()
-    scale = max(1.0, float(h.sum()))
+def fit_counts(patterns: list[Pattern], h: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise |A x - h|^2, A the patterns' lengths, by accelerated projected gradients."""
+    width = max(len(p) for p in patterns)
+    at, times = np.zeros((len(patterns), width), dtype=np.int64), np.zeros((len(patterns), width))
+    for i, p in enumerate(patterns):
+        at[i, : len(p)], times[i, : len(p)] = [a for a, _ in p], [n for _, n in p]
+
+    def of(x: np.ndarray) -> np.ndarray:
+        return np.bincount(at.ravel(), weights=(times * x[:, None]).ravel(), minlength=len(h))
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return (times * r[at]).sum(1)
+
+    v = np.ones(len(patterns))
+    for _ in range(20):
+        v = back(of(v))
+        largest = float(np.linalg.norm(v))
+        v /= largest
+    step = 1 / (1.05 * largest)
+    x = y = np.zeros(len(patterns))
+    momentum = 1.0
     for _ in range(rounds):
-        moved = 0.0
-        for i, (r, t) in enumerate(zip(rows, times, strict=True)):
-            new = max(0.0, x[i] + float(left[r] @ t) / norm[i])
-            if step := new - x[i]:
-                left[r] -= step * t
-                x[i] = new
-                moved += abs(step)
-        if moved < 1e-4 * scale:
+        grad = back(of(y) - h)
+        new = np.maximum(0.0, y - step * grad)
+        if float(grad @ (new - x)) > 0:
+            momentum = 1.0  # start the acceleration anew when it leads uphill
+        later = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
+        y = new + (momentum - 1) / later * (new - x)
+        moved, x, momentum = float(np.abs(new - x).sum()), new, later
+        if moved < 1e-7 * max(1.0, float(h.sum())):
             break
     return x
 
@@ -289,7 +330,7 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     h = np.zeros(p.capacity + 1, dtype=np.int64)
     for r in counts:
         h[r["length"]] = r["n"]
-    table = spark.sparkContext.broadcast(slots(plan(h, p.capacity, p.patterns)))
+    table = spark.sparkContext.broadcast(slots(plan(h, p.capacity, p.patterns_a_length)))
     salts = int(max(1, -(-int(h.max()) // p.rank_rows)))
     keyed = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(salts, min(64, int(h.max()) // 1_000 + 1)))).cast("int"))
     cells = keyed.groupBy("length", "salt").agg(F.count("*").alias("c"))

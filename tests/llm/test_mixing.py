@@ -99,6 +99,18 @@ def test_mixed_documents_hold_the_taken_words(spark):
     assert all((r["doc_id"], r["text"]) in whole or len(r["text"]) for r in got)
 
 
+def test_one_text_in_several_sources_keeps_its_words(spark):
+    shared = [(7, "same words in two sources " * 40, s) for s in ("a", "b", None)]
+    rows = [(i, f"word{i} " * 50, "a") for i in range(60)] + [(100 + i, f"other{i} " * 50, "b") for i in range(7)] + shared * 2 + [(7, shared[0][1], "a")]
+    df = frame(spark, rows)
+    want, got = {}, {}
+    for r in X.mix(df, P).collect():
+        want[r["source"]] = want.get(r["source"], 0) + r["taken"]
+    for r in X.mixed_documents(df, P).collect():
+        got[r["source"]] = got.get(r["source"], 0) + len(WORD.findall(r["text"]))
+    assert {k: v for k, v in want.items() if v} == got
+
+
 def test_empty_and_wordless(spark):
     assert X.mix(frame(spark, []), P).count() == 0 and X.mixed_documents(frame(spark, []), P).count() == 0
     got = X.mix(frame(spark, [(1, None, "a"), (2, " ", "b")]), P).collect()

@@ -62,6 +62,30 @@ def test_sequences_hold_the_ids(spark, params):
         assert crc32(own.tobytes()) == r["ids_crc32"]
 
 
+def test_words_that_hold_the_separator(spark, params):
+    rows = [(1, "a\x01b"), (2, "\x01"), (3, "\x01 c\x01\x01 plain"), (4, "plain words"), (5, "\x00 \x02\x7f")]
+    got = K.pack(frame(spark, rows), params).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == brute_pieces(rows, params)
+
+
+def test_cache_is_bounded_in_bytes(params):
+    t = K.WordTokenizer(params.tokenizer, 200_000)
+    for i in range(40):
+        texts = [f"w{i}x{k} common" for k in range(100)]
+        for text, ids in zip(texts, t.encode_many(texts), strict=True):
+            assert ids.tolist() == t.model.encode(text, add_special_tokens=False).ids
+        held = sum(t._ENTRY + len(w) + len(x) for c in (t.cache, t.old) for w, x in c.items())
+        assert held <= 200_000 + 2 * 101 * 300
+
+
+def test_every_length_leads_a_pattern():
+    h = np.zeros(4097, dtype=np.int64)
+    h[1:] = 50
+    leads = {p[0][0] for p in K.enumerate_patterns(h, 4096, 24)}
+    assert set(range(2048, 4097)) <= leads
+    assert len(leads) > 2500
+
+
 def test_empty(spark, params):
     assert K.pack(frame(spark, []), params).count() == 0
 
@@ -73,7 +97,7 @@ def test_plan_holds_the_histogram_and_is_nearly_full(seed):
     np.add.at(h, np.minimum(1024, rng.lognormal(5, 1, size=3000).astype(int) + 1), 1)
     if seed == 3:
         h[400] += 3000  # one length holds half of all
-    planned = K.plan(h, 1024, 2000)
+    planned = K.plan(h, 1024, 24)
     used = np.zeros_like(h)
     for pattern, n in planned:
         assert n > 0 and sum(a * k for a, k in pattern) <= 1024
