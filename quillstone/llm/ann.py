@@ -11,9 +11,14 @@ Search.  For each distinct query vector a priority queue holds the tree's open b
 inner product with their centroid; the best branch is opened first and leaves are visited in
 that order.  How many leaves are visited is calibrated: for a bounded set of calibration
 queries the true neighbours are found by brute force over every row, and the visits widen
-until the target recall is reached.  Visited (query, leaf) pairs meet the leaf's blocks in an
-equi-join; each pair of blocks is one matrix product, and the best of a block are scored again
-by one fixed sum in double precision, so equal vectors have equal scores wherever they lie.
+until the target recall is reached.  Neighbouring leaves form groups of bounded size.  A query
+goes once to each group that holds a leaf it visits; there a group's entries stay in memory
+while its queries stream past, each visited leaf is a matrix product with those queries, and a
+query leaves a group with its ``k + 1`` best.  The cut to the best is by exact score, then by
+smaller id, after every entry as good as the last one (but for rounding) was scored again by one
+fixed sum in double precision, so ties are cut by id and equal vectors have equal scores.
+
+On vectors without clusters a fixed share of the leaves has to be visited, as any tree must.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part,
 neither do rows without vec_id, nor vectors whose length is not the table's commonest (ties:
@@ -33,21 +38,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, partitions
 
 
 @dataclass(frozen=True)
 class AnnParams:
-    """``train_rows`` bounds the fitted sample, ``max_leaves`` the tree that is sent to executors."""
+    """``train_rows`` and ``train_bytes`` bound the fitted sample; the tree that is sent to executors has at most
+    a leaf for four sampled vectors.  ``group_bytes``: vectors that a task holds at once."""
 
     k: int = 20
-    train_rows: int = 65_536
+    train_rows: int = 131_072
+    train_bytes: int = 64 << 20
     branching: int = 16
     leaf_rows: int = 96
-    max_leaves: int = 8_192
-    target_recall: float = 0.97
+    target_recall: float = 0.96
     calibration_queries: int = 256
-    block_rows: int = 256
+    group_bytes: int = 32 << 20
+    hot_rows: int = 10_000
     seed: int = 2026
 
 
@@ -147,10 +154,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-score, k - 1)[:k] if len(score) > k else np.arange(len(score))
-
-
 def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) -> DataFrame:
     """The ``p.k`` nearest other rows of each query row of ``vectors(vec_id, embedding)``.
 
@@ -172,12 +175,13 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
         share = min(1.0, rows / max(of, 1))
         return df.where(F.pmod(F.xxhash64("vec_id", F.lit(p.seed + salt)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else df
 
-    sample = by_hash(base, p.train_rows, total, 0).select("v").limit(2 * p.train_rows).toPandas()
+    train = max(4, min(p.train_rows, p.train_bytes // (8 * dim)))
+    sample = by_hash(base, train, total, 0).select("v").limit(2 * train).toPandas()
     if not len(sample):
-        sample = base.select("v").limit(p.train_rows).toPandas()
-    leaves = max(1, min(p.max_leaves, round(total / p.leaf_rows), len(sample) // 4))
+        sample = base.select("v").limit(train).toPandas()
+    leaves = max(1, min(round(total / p.leaf_rows), len(sample) // 4))
     tree = fit_tree(np.stack(sample["v"].to_list()), leaves, p)
-    shared = spark.sparkContext.broadcast(tree)  # bounded: max_leaves * (1 + 1 / (branching - 1)) centroids
+    shared = spark.sparkContext.broadcast(tree)  # bounded by the sample
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -194,53 +198,141 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
     ids = ids.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k1)
     ids = ids.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("r") <= k1)
     ids = ids.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = routed.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("vec").alias("vec"), F.max("q").alias("q")).join(ids, "key")
+    entries = routed.groupBy("key").agg(F.first("leaf").alias("leaf"), F.first("vec").alias("vec"), F.max("q").alias("q"), F.count("*").alias("n")).join(ids, "key")
     entries = materialize(entries, "ann-entries")
 
     visits = _calibrate(entries, by_hash(routed.select("vec_id", "vec").dropDuplicates(["vec"]), p.calibration_queries, total, 1), tree, dim, p)
+    group_of, groups = _groups(entries, tree, dim, p)
+    grouping = spark.sparkContext.broadcast(group_of)
 
-    per_leaf = entries.groupBy("leaf").agg(F.ceil(F.count("*") / p.block_rows).cast("int").alias("cuts"))  # one row a leaf
-    blocks = entries.join(F.broadcast(per_leaf), "leaf")
-    blocks = blocks.groupBy("leaf", F.pmod(F.xxhash64("key"), F.col("cuts")).alias("cut")).agg(F.collect_list(F.struct("vec", "ids")).alias("rows"))
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every entry for its leaf's group, or one of the group's parts if its leaves alone are too large for one."""
+        for b in batches:
+            first, parts = (x[b["leaf"].to_numpy()] for x in grouping.value)
+            part = np.array([int.from_bytes(k[:8], "little") for k in b["key"]], dtype=np.uint64) % parts.astype(np.uint64)
+            yield pd.DataFrame({"grp": first + part.astype(np.int32), "kind": np.zeros(len(b), dtype=np.int8), "key": None, "vec": b["vec"], "leaves": [[x] for x in b["leaf"]], "ids": b["ids"]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, parts = grouping.value
         for b in batches:
-            for at in range(0, len(b), 128):
-                part = b.iloc[at : at + 128]
-                by_leaf: dict[int, list[int]] = {}
-                for i, v in enumerate(part["vec"]):
-                    for leaf in shared.value.best_first(np.frombuffer(v), visits):
-                        by_leaf.setdefault(leaf, []).append(i)
-                keys, vecs = part["key"].to_list(), part["vec"].to_list()
-                yield pd.DataFrame({"leaf": np.array(list(by_leaf), dtype=np.int32), "keys": [[keys[i] for i in x] for x in by_leaf.values()], "vecs": [b"".join(vecs[i] for i in x) for x in by_leaf.values()]})
-
-    probes = entries.where("q").select("key", "vec").mapInPandas(probe, "leaf int, keys array<binary>, vecs binary")
+            for at in range(0, len(b), 256):
+                rows = []
+                for key, vec in zip(b["key"].iloc[at : at + 256], b["vec"].iloc[at : at + 256], strict=True):
+                    seen = np.array(shared.value.best_first(np.frombuffer(vec), visits), dtype=np.int32)
+                    own = first[seen]
+                    for g in np.unique(own):
+                        mine = seen[own == g]
+                        rows += [(g + k, 1, key, vec, mine, None) for k in range(int(parts[mine[0]]))]
+                yield pd.DataFrame(rows, columns=["grp", "kind", "key", "vec", "leaves", "ids"])
+
+    kinds = "grp int, kind byte, key binary, vec binary, leaves array<int>, ids array<long>"
+    held = entries.select("key", "leaf", "vec", "ids").mapInPandas(gather, kinds)
+    asking = entries.where("q").select("key", "vec").mapInPandas(probe, kinds)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, new, block = None, [], None
         for b in batches:
-            for keys, vecs, rows in zip(b["keys"], b["vecs"], b["rows"], strict=True):
-                qs = np.frombuffer(vecs).reshape(-1, dim)
-                xs = np.frombuffer(b"".join(r["vec"] for r in rows)).reshape(-1, dim)
-                near = qs @ xs.T
-                out_k, out_s, out_i = [], [], []
-                for i, key in enumerate(keys):
-                    got = _top(near[i], min(len(xs), k1 + 11))
-                    exact = np.einsum("ij,j->i", xs[got], qs[i])
-                    order = np.argsort(-exact, kind="stable")[:k1]
-                    out_k += [key] * len(order)
-                    out_s += exact[order].tolist()
-                    out_i += [list(rows[got[j]]["ids"]) for j in order]
-                yield pd.DataFrame({"key": out_k, "score": out_s, "ids": out_i})
-
-    found = blocks.join(probes, "leaf").select("keys", "vecs", "rows").mapInPandas(score, "key binary, score double, ids array<long>")
-    best = Window.partitionBy("key").orderBy(F.desc("score"), F.col("ids")[0])
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k1)
-    found = found.select("key", "score", F.explode("ids").alias("vec_id"))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k1).drop("r")
-    asked = routed.where("q").select(F.col("vec_id").alias("query_id"), "key").distinct()
-    out = asked.join(found, "key").where(F.col("query_id") != F.col("vec_id"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return out.where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")
+            for (g, kind), rows in b.groupby(["grp", "kind"], sort=True):
+                if g != group:
+                    group, new, block = g, [], None
+                if kind == 0:
+                    new.append(rows[["vec", "leaves", "ids"]])
+                    continue
+                if block is None and new:
+                    block, new = _Block.of(pd.concat(new), dim), []
+                if block is not None:
+                    for at in range(0, len(rows), 256):
+                        yield block.best(rows.iloc[at : at + 256], k1)
+
+    found = held.union(asking).repartition(max(groups, partitions(spark)), "grp").sortWithinPartitions("grp", "kind")
+    found = found.mapInPandas(score, "key binary, scores array<double>, ids array<long>")
+    # A query meets a bounded number of groups, with k + 1 neighbours each.
+    pairs = F.transform(F.arrays_zip("scores", "ids"), lambda x: F.struct((-x["scores"]).alias("s"), x["ids"].alias("i")))
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k1)
+    lists = materialize(found.groupBy("key").agg(best.alias("best")), "ann-found")
+    # A key with very many copies answers as many queries: its list is dealt over 64 places.
+    hot = entries.where(F.col("q") & (F.col("n") > p.hot_rows)).select("key", F.lit(True).alias("hot"))
+    places = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    lists = lists.join(hot, "key", "left").withColumn("place", F.explode(places))
+    asked = routed.where("q").select(F.col("vec_id").alias("query_id"), "key").distinct().join(hot, "key", "left")
+    asked = asked.withColumn("place", F.when(F.col("hot"), F.pmod(F.xxhash64("query_id"), F.lit(64)).cast("int")).otherwise(F.lit(0)))
+    out = asked.select("query_id", "key", "place").join(lists.select("key", "place", "best"), ["key", "place"])
+    own = F.slice(F.filter("best", lambda x: x["i"] != F.col("query_id")), 1, p.k)
+    out = out.select("query_id", F.posexplode(own).alias("at", "x"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
+
+
+def _groups(entries: DataFrame, tree: Tree, dim: int, p: AnnParams) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """``((first group, parts) by leaf, number of groups)``: neighbouring leaves share a group, a hot leaf has several parts."""
+    spark = entries.sparkSession
+    sizes = np.zeros(tree.leaves, dtype=np.int64)
+    for r in entries.groupBy("leaf").count().collect():  # at most one row a leaf of the bounded tree
+        sizes[r["leaf"]] = r["count"]
+    most = max(1, p.group_bytes // (8 * dim + 8 * (p.k + 1)))
+    width = max(1, min(most, -(-int(sizes.sum()) // partitions(spark))))
+    first, parts = np.zeros(tree.leaves, dtype=np.int32), np.ones(tree.leaves, dtype=np.int32)
+    group, filled = 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if filled and filled + n > width:
+            group, filled = group + 1, 0
+        first[leaf] = group
+        filled += n
+        if n > most:
+            parts[leaf] = -(-n // most)
+            group, filled = group + int(parts[leaf]), 0
+    return (first, parts), group + 1
+
+
+@dataclass
+class _Block:
+    """The entries of a group, in the order of their leaves."""
+
+    x: np.ndarray
+    leaf: np.ndarray
+    ids: list[np.ndarray]
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, dim: int) -> _Block:
+        leaf = np.array([v[0] for v in rows["leaves"]], dtype=np.int32)
+        order = np.argsort(leaf, kind="stable")
+        x = np.frombuffer(b"".join(rows["vec"])).reshape(-1, dim)[order]
+        ids = [rows["ids"].iloc[i] for i in order]
+        return cls(x, leaf[order], ids, np.array([i[0] for i in ids], dtype=np.int64))
+
+    def best(self, asked: pd.DataFrame, k1: int) -> pd.DataFrame:
+        """``key, scores, ids``: each query's ``k1`` best ids among the leaves it visits, ties to smaller ids."""
+        qs = np.frombuffer(b"".join(asked["vec"])).reshape(len(asked), -1)
+        near = np.full((len(qs), len(self.x)), -np.inf)
+        visits = np.repeat(np.arange(len(qs)), [len(v) for v in asked["leaves"]])
+        leaves = np.concatenate(asked["leaves"].to_list())
+        order = np.argsort(leaves, kind="stable")
+        kinds, at = np.unique(leaves[order], return_index=True)
+        ends = [*at[1:].tolist(), len(order)]
+        for leaf, a, b in zip(kinds.tolist(), at.tolist(), ends, strict=True):
+            lo, hi = np.searchsorted(self.leaf, [leaf, leaf + 1])
+            if lo < hi:
+                rows = visits[order[a:b]]
+                near[rows, lo:hi] = qs[rows] @ self.x[lo:hi].T
+        last = np.partition(near, -k1, axis=1)[:, -k1] if near.shape[1] > k1 else np.full(len(qs), -np.inf)
+        # rounding: a matrix product may differ from the exact sum by far less than this
+        slack = 1e-9 * (np.abs(qs).sum(1) * np.abs(self.x).max() + 1e-300)
+        row, col = np.nonzero((near >= (last - slack)[:, None]) & (near > -np.inf))
+        exact = np.einsum("ij,ij->i", self.x[col], qs[row])
+        order = np.lexsort((self.least[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        starts = np.searchsorted(row, np.arange(len(qs)))
+        keep = np.arange(len(row)) - starts[row] < k1  # the best k1 ids are among the best k1 entries
+        row, col, exact = row[keep], col[keep], exact[keep]
+        each = [self.ids[c] for c in col.tolist()]
+        count = [len(i) for i in each]
+        row, exact = np.repeat(row, count), np.repeat(exact, count)
+        ids = np.concatenate(each) if each else np.empty(0, dtype=np.int64)
+        order = np.lexsort((ids, -exact, row))
+        row, exact, ids = row[order], exact[order], ids[order]
+        starts = np.searchsorted(row, np.arange(len(qs) + 1))
+        cuts = [(a, min(b, a + k1)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return pd.DataFrame({"key": asked["key"].to_list(), "scores": [exact[a:b] for a, b in cuts], "ids": [ids[a:b] for a, b in cuts]})
 
 
 def _calibrate(entries: DataFrame, queries: DataFrame, tree: Tree, dim: int, p: AnnParams) -> int:

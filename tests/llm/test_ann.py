@@ -44,6 +44,24 @@ def test_recall_order_and_scores(spark):
     assert [v for _, v, _ in by[hot]] == [v for v, _ in want[hot]]
 
 
+def test_ties_between_distinct_vectors_go_to_smaller_ids(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(300) + 1
+    rows = [(0, [1.0] + [0.0] * 7)] + [(int(i), [1.0, *rng.normal(size=7).astype(np.float32).tolist()]) for i in ids]
+    got = nearest(frame(spark, rows), F.col("vec_id") == 0, AnnParams(leaf_rows=400)).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_groups_and_parts_give_the_same_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(800)]
+    tiny = AnnParams(leaf_rows=200, calibration_queries=64, group_bytes=8_000, hot_rows=2)
+    rows += [(2000 + i, rows[20][1]) for i in range(9)]
+    whole = AnnParams(leaf_rows=200, calibration_queries=64)
+    every = [sorted(map(tuple, nearest(frame(spark, rows), F.col("vec_id") % 20 == 0, p).collect())) for p in (tiny, whole)]
+    assert every[0] == every[1]
+
+
 def test_fewer_candidates_than_k_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]
     got = nearest(frame(spark, rows), F.col("vec_id") == 0, P).orderBy("rank").collect()
