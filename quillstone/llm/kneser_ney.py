@@ -1,27 +1,28 @@
-"""Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text.
+"""Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
 Tokens are words and single punctuation marks, case kept.  A token is its own symbol if trusted
-text of its language has it at least ``least_count`` times (and, where ``share`` is set, if it makes
-up that share of all trusted tokens); every other token is the class of its shape (lower case,
-capitalised, upper case, digits, mark, other) in its language.  All trusted documents are counted,
-in full.  The vocabulary grows with the input, so it is never gathered: symbols are 64-bit hashes
-of language and word, n-grams are 64-bit hashes of symbols, and both are only joined.
-
-1. Words of trusted text are counted; the vocabulary is a table.
-2. One pass cuts the corpus into chunks of about ``chunk_tokens`` and numbers each chunk's words;
-   a join with the vocabulary tells each chunk which of its words are symbols.  Each chunk gives
-   its distinct n-grams, and the trigram counts of its trusted documents, so that what is shuffled
-   is pre-aggregated.
-3. Trigram counts are summed over the chunks; continuation counts, context totals and discounts
-   follow from them by grouped aggregates.
-4. Each chunk's distinct n-grams are joined with the count tables, sharded by n-gram; the found
-   values go back to their chunk, where each document's perplexity is summed.
-5. A document is kept if its perplexity is at most ``slack`` times its language's ``quantile``
-   over trusted documents and at least its ``low_quantile`` over ``slack``: text that is far more
-   predictable than any trusted text repeats itself.
-
-The perplexity of a text of n tokens is shrunk towards its language's mean with the weight of
-``prior_tokens`` tokens: a few tokens alone say little.
+text of its language has it at least ``least_count`` times; every other token is the class of its
+shape (lower case, capitalised, upper case, digits, mark, other) in its language.  All trusted
+documents are counted, in full.  Vocabulary and counts grow with the input, so neither is ever
+gathered: they are tables, joined by symbol or counted in shards of symbol pairs.
+
+1. One pass cuts the corpus into chunks of about ``chunk_tokens``.  A chunk is one row: its
+   documents, its distinct words with their counts in trusted documents, and its tokens as
+   numbers of these words.  Chunks are written bucketed, so that later joins leave them in place.
+2. The words' counts are summed; the words that are symbols, and the classes, are numbered.
+3. Each chunk learns the numbers of its symbols from a join and sends its distinct pairs, with
+   their counts in its trusted documents, to shards by the hash of the pair; a frequent word's
+   pairs are thus dealt over all shards.  What is sent is sorted and packed.
+4. A shard sums the counts of its pairs over all chunks and answers every chunk with the counts of
+   the pairs it asked for; what contexts and continuations need is summed from there by symbol.
+5. Each chunk gets its answers and its symbols' values back and sums its documents' log
+   probabilities.  All discounts, of pairs and of continuations, are estimated.
+6. A document is kept if its judged perplexity is at most ``slack`` times its language's
+   ``quantile`` over trusted documents and at least its ``low_quantile`` over ``slack``: text that
+   is far more predictable than any trusted text repeats itself.
+
+The judged perplexity of a text of n tokens is shrunk towards its language's mean with the weight
+of ``prior_tokens`` tokens: a few tokens alone say little.  The raw one is returned as well.
 
 Edge cases: null or blank texts have no tokens, perplexity null, and are not kept; a null language
 is a language of its own; a language without its own threshold (fewer than ``least_trusted``
@@ -33,18 +34,17 @@ documents without doc_id are judged too (never trusted).  Other columns are igno
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bucketed, materialize, partitions
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SHAPES = 6
@@ -52,9 +52,9 @@ _SHAPES = 6
 
 @dataclass(frozen=True)
 class QualityParams:
-    share: float = 0.0
     least_count: int = 2
-    chunk_tokens: int = 4_000_000
+    chunk_tokens: int = 2_000_000
+    shard_pairs: int = 4_000_000
     quantile: float = 0.99
     low_quantile: float = 0.005
     slack: float = 1.1
@@ -75,42 +75,6 @@ def shape(word: str) -> int:
     return 3 if word.isdigit() else 5
 
 
-@dataclass
-class Symbols:
-    """The symbols of a small vocabulary as dense numbers, for checks by brute force: each known
-    language has its start mark, shapes and own words."""
-
-    base: dict[str, int]
-    words: dict[str, dict[str, int]]
-    n: int
-
-    @classmethod
-    def of(cls, rows: list[tuple[str, str]]) -> Symbols:
-        base, words, n = {}, {}, 1
-        for lang in ["", *sorted({x for x, _ in rows} - {""})]:
-            base[lang] = n
-            n += 1 + _SHAPES
-        for lang, word in sorted(rows):
-            words.setdefault(lang, {})[word] = n
-            n += 1
-        return cls(base, words, n)
-
-    def encode(self, lang: str, text: str) -> np.ndarray:
-        base = self.base.get(lang, self.base[""])
-        get = self.words.get(lang, {}).get
-        ids = [base, base]
-        ids += [get(w) or base + 1 + shape(w) for w in _TOKEN.findall(text)]
-        return np.array(ids, dtype=np.uint16)
-
-    def language(self) -> np.ndarray:
-        """The start mark of each symbol's language."""
-        out = np.zeros(self.n, dtype=np.int64)
-        for lang, b in self.base.items():
-            out[b : b + 1 + _SHAPES] = b
-            out[list(self.words.get(lang, {}).values())] = b
-        return out
-
-
 def _symbol(lang: str, kind: str, name: str) -> int:
     h = xxhash.xxh3_64_intdigest(f"{lang}\x1f{kind}\x1f{name}".encode("utf-8", "surrogatepass"))
     return h - (h >> 63 << 64)
@@ -125,206 +89,328 @@ def _class(lang: str, shape: int) -> int:
     return _symbol(lang, "c", str(shape))
 
 
-def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    x = x.astype(np.int64).view(np.uint64) ^ np.uint64(salt)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    planes = np.ascontiguousarray(x, dtype="<i8").view(np.uint8).reshape(-1, 8).T
+    used = max((i + 1 for i in range(8) if planes[i].any()), default=1)
+    raw = planes[:used].tobytes()
+    return len(x).to_bytes(8, "little") + bytes([used]) + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
-def _sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What a symbol adds to an n-gram's key as its third last, second last and last one."""
-    return _mixed(x, 0x9E3779B97F4A7C15), _mixed(x, 0xC2B2AE3D27D4EB4F), _mixed(x, 0x165667B19E3779F9)
+def _unpack(blob: bytes) -> np.ndarray:
+    n, used = int.from_bytes(blob[:8], "little"), blob[8]
+    raw = pa.Codec("zstd").decompress(blob[9:], decompressed_size=n * used, asbytes=True) if n else b""
+    planes = np.zeros((8, n), dtype=np.uint8)
+    planes[:used] = np.frombuffer(raw, dtype=np.uint8).reshape(used, n)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(n)
 
 
-#: In front of shorter n-grams.
-_N3, _N2, _ = _sides(np.zeros(1, dtype=np.int64))
+def _shards(b: np.ndarray, c: np.ndarray, shards: int) -> np.ndarray:
+    """Each pair's shard, by its hash."""
+    x = b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ c.astype(np.uint64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ x >> np.uint64(31)) % np.uint64(shards)).astype(np.int64)
 
 
-def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+def _distinct(x: np.ndarray) -> np.ndarray:
     """Sorted, each once (``np.unique`` hashes, which is slow for so many)."""
-    x = np.sort(np.concatenate(parts))
+    x = np.sort(x)
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-_ENC = "chunk long, doc_id long, h long, lang string, own string, trusted boolean, toks binary, words array<long>, classes array<long>"
-_GRAMS = "chunk long, symbols array<long>, keys array<long>, ta array<long>, tb array<long>, tc array<long>, tn array<long>"
-_SLICE = 200_000
+@dataclass
+class _Pairs:
+    """A chunk's token pairs: ``at[i]`` is the place of pair i in the distinct ones, ``b`` and ``c``, which are sorted."""
+
+    b: np.ndarray
+    c: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> _Pairs:
+        """``ids``: symbol number by word number; ``starts``: the start mark's word number of each document."""
+        before = np.empty_like(tokens)
+        before[1:] = tokens[:-1]
+        some = sizes > 0
+        before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
+        kinds, rank = np.unique(ids, return_inverse=True)
+        keys = rank[before].astype(np.int64) * len(kinds) + rank[tokens]
+        once = _distinct(keys)
+        return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], np.searchsorted(once, keys))
+
+
+_ENC = "chunk long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, words array<long>, shapes array<int>, owns array<int>, own_names array<string>, counts array<long>"
+_GRAMS = "shard int, chunk long, b binary, c binary, n binary"
+_COUNTED = "shard int, chunk long, n binary, b array<long>, s array<long>, n1 array<long>, n2 array<long>, n3 array<long>, c array<long>, cc array<long>, cofc array<long>"
+_SCORED = "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double"
+
+
+class _Chunk:
+    """Documents as they are read, until they make a row."""
+
+    def __init__(self, number: int) -> None:
+        self.number, self.size = number, 0
+        self.docs: list[tuple] = []
+        self.tokens: list[np.ndarray] = []
+        self.words: list[int] = []
+        self.shapes: list[int] = []
+        self.owns: list[int] = []
+        self.numbers: dict[str, dict[str, int]] = {}
+
+    def add(self, doc_id: int | None, h: int, lang: str, good: bool, text: str) -> None:
+        found = _TOKEN.findall(text)
+        if lang not in self.numbers:
+            self.numbers[lang] = {"": len(self.words)}  # the start mark
+            self.words.append(_class(lang, -1))
+            self.shapes.append(-1)
+            self.owns.append(len(self.numbers) - 1)
+        number = self.numbers[lang]
+        own = self.owns[number[""]]
+        for w in dict.fromkeys(found):
+            if w not in number:
+                number[w] = len(self.words)
+                self.words.append(_word(lang, w))
+                self.shapes.append(shape(w))
+                self.owns.append(own)
+        self.tokens.append(np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.docs.append((doc_id, h, lang, bool(good), len(found), number[""]))
+        self.size += len(found) + 8
+
+    def row(self) -> pd.DataFrame:
+        """The chunk; its words are numbered by frequency, which packs best."""
+        tokens = np.concatenate(self.tokens)
+        order = np.argsort(-np.bincount(tokens, minlength=len(self.words)), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        doc_ids, hashes, langs, good, sizes, starts = zip(*self.docs, strict=True)
+        trusted = tokens[np.repeat(good, sizes)]
+        counts = np.bincount(rank[trusted], minlength=len(order))
+        words, shapes, owns = (np.array(x)[order] for x in (self.words, self.shapes, self.owns))
+        row = (self.number, list(doc_ids), list(hashes), list(langs), list(good), list(sizes), rank[list(starts)].tolist(), _pack(rank[tokens]), words, shapes, owns, list(self.numbers), counts)
+        return pd.DataFrame([row], columns=_names(_ENC))
 
 
 def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """Perplexity and decision for every row of ``docs(doc_id, text, lang)``.
 
     ``trusted(doc_id)``: the documents whose text is trusted.  Returns doc_id, text_hash
-    (``xxhash64(text)``, which with doc_id finds the row again), lang, n_tokens, perplexity,
-    threshold, low_threshold, keep.
+    (``xxhash64(text)``, which with doc_id finds the row again), lang, n_tokens, perplexity, judged
+    (the shrunk perplexity), threshold, low_threshold, keep.
     """
+    spark = docs.sparkSession
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     if trusted.count() <= p.broadcast_rows:  # checked: at most two million ids
         trusted = F.broadcast(trusted)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("\x00")).alias("lang"))
     base = base.join(trusted, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: dict[str, Counter] = {}
-        size = 0
-
-        def flush() -> pd.DataFrame:
-            rows = [(lang, _word(lang, w), n) for lang, c in found.items() for w, n in c.items()]
-            found.clear()
-            return pd.DataFrame(rows, columns=["lang", "word", "n"])
-
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                c = found.setdefault(lang, Counter())
-                size -= len(c)
-                c.update(_TOKEN.findall(text))
-                size += len(c)
-            if size > 500_000:
-                yield flush()
-                size = 0
-        yield flush()
-
-    words = base.where("trusted").select("lang", "text").mapInPandas(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = materialize(words, "kn-words")
-    total = words.agg(F.sum("n").alias("n")).first()["n"]
-    if not total:
-        n_tokens = F.regexp_count("text", F.lit(r"(?U)\w+|[^\w\s]")).cast("long")
-        none = F.lit(None).cast("double")
-        return base.select("doc_id", F.col("h").alias("text_hash"), _lang(F.col("lang")), n_tokens.alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), none.alias("low_threshold"), (n_tokens > 0).alias("keep"))
-    vocabulary = words.where((F.col("n") >= p.least_count) & (F.col("n") >= p.share * total)).select("lang", "word")
-    kinds = materialize(vocabulary.groupBy("lang").agg((F.count("*") + 1 + _SHAPES).alias("kinds")), "kn-languages")
-    known = kinds.select("lang", F.col("lang").alias("own"))
-    # a language without a symbol of its own has the shapes of the language ""
-    base = base.join(F.broadcast(known) if _few(known, p) else known, "lang", "left").withColumn("own", F.coalesce("own", F.lit("")))
-
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
-        size, words, classes, numbers = 0, [], [], {}
-
-        def summary() -> pd.DataFrame:
-            rest = {c: [None] for c in ("doc_id", "h", "lang", "own", "trusted", "toks")}
-            return pd.DataFrame({"chunk": [chunk], **rest, "words": [np.array(words, dtype=np.int64)], "classes": [np.array(classes, dtype=np.int64)]})
-
+        chunk = _Chunk(TaskContext.get().partitionId() << 32)
         for b in batches:
-            rows = []
-            for doc_id, h, text, lang, own, good in zip(b["doc_id"], b["h"], b["text"], b["lang"], b["own"], b["trusted"], strict=True):
-                tokens = _TOKEN.findall(text)
-                number = numbers.setdefault(lang, {})
-                for w in ("", *dict.fromkeys(tokens)):
-                    if w not in number:
-                        number[w] = len(words)
-                        words.append(_word(lang, w) if w else _class(own, -1))
-                        classes.append(_class(own, shape(w) if w else -1))
-                ids = np.array([number[""], number[""], *map(number.__getitem__, tokens)], dtype=np.uint32)
-                rows.append((chunk, None if pd.isna(doc_id) else int(doc_id), h, lang, own, good, zlib.compress(ids.tobytes(), 1), None, None))
-                size += len(ids)
-                if size >= p.chunk_tokens:
-                    yield pd.DataFrame(rows, columns=_names(_ENC)).astype({"doc_id": "Int64"})
-                    yield summary()
-                    rows, size, words, classes, numbers, chunk = [], 0, [], [], {}, chunk + 1
-            if rows:
-                yield pd.DataFrame(rows, columns=_names(_ENC)).astype({"doc_id": "Int64"})
-        if words:
-            yield summary()
-
-    enc = materialize(base.mapInPandas(encode, _ENC), "kn-encoded")
-
-    def grams(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        """The chunk's symbols by number, its distinct n-grams and its trusted trigrams, in slices."""
-        row = docs[docs["toks"].isna()].iloc[0]
-        chunk, words = row["chunk"], np.asarray(row["words"], dtype=np.int64)
-        symbols = np.where(np.isin(words, own["word"].to_numpy(dtype=np.int64)), words, np.asarray(row["classes"], dtype=np.int64))
-        m3, m2, m1 = _sides(symbols)
-        keys, t3, t = [_distinct([(_N3 ^ _N2 ^ m1).view(np.int64)])], [], []
-        held = 0
-        for toks, good in zip(docs["toks"], docs["trusted"], strict=True):
-            if toks is None or len(ids := _ids(toks)) == 2:
-                continue
-            k2 = m2[ids[:-1]] ^ m1[ids[1:]]
-            k3 = (m3[ids[:-2]] ^ k2[1:]).view(np.int64)
-            keys += [(_N3 ^ k2).view(np.int64), k3]
-            held += 2 * len(ids)
-            if held > 2_000_000:
-                keys, held = [_distinct(keys)], 0
-            if good:
-                t3.append(k3)
-                t.append(symbols[ids])
-        keys = _distinct(keys)
-        tri = [np.empty(0, dtype=np.int64)] * 4
-        if t3:
-            _, at, n = np.unique(np.concatenate(t3), return_index=True, return_counts=True)
-            tri = [*[np.concatenate([x[i : len(x) - 2 + i] for x in t])[at] for i in range(3)], n]
-        out = [(chunk, symbols, None, None, None, None, None)]
-        out += [(chunk, None, keys[i : i + _SLICE], None, None, None, None) for i in range(0, len(keys), _SLICE)]
-        out += [(chunk, None, None, *[x[i : i + _SLICE] for x in tri]) for i in range(0, len(tri[3]), _SLICE)]
+            for doc_id, h, lang, good, text in zip(b["doc_id"], b["h"], b["lang"], b["trusted"], b["text"], strict=True):
+                chunk.add(None if pd.isna(doc_id) else int(doc_id), h, lang, good, text)
+                if chunk.size >= p.chunk_tokens:
+                    yield chunk.row()
+                    chunk = _Chunk(chunk.number + 1)
+        if chunk.docs:
+            yield chunk.row()
+
+    enc = bucketed(base.mapInPandas(encode, _ENC), "chunk", "kn-chunks")
+    total = enc.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
+    shards = max(partitions(spark), -(-int(total) // p.shard_pairs))
+    vocabulary, kinds = _vocabulary(enc, p)
+
+    def grams(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's distinct pairs and their counts in its trusted documents, by shard."""
+        out = []
+        for row in docs.itertuples(index=False):
+            sizes = np.asarray(row.sizes, dtype=np.int64)
+            pairs = _Pairs.of(_find(row, known, ["id"])[0].astype(np.int64), _unpack(row.tokens), np.asarray(row.starts, dtype=np.int64), sizes)
+            n = np.bincount(pairs.at[np.repeat(np.asarray(row.trusted, dtype=bool), sizes)], minlength=len(pairs.b))
+            shard = _shards(pairs.b, pairs.c, shards)
+            order = np.argsort(shard, kind="stable")
+            for k, at in zip(*_parts(shard[order]), strict=True):
+                own = order[at]
+                out.append((k, row.chunk, _pack(np.diff(pairs.b[own], prepend=0)), _pack(pairs.c[own]), _pack(n[own])))
         return pd.DataFrame(out, columns=_names(_GRAMS))
 
-    met = enc.where("words is not null").select(F.col("chunk").alias("part"), F.explode("words").alias("word")).join(vocabulary.select("word"), "word")
-    found = enc.select("chunk", "trusted", "toks", "words", "classes").groupBy("chunk").cogroup(met.groupBy("part")).applyInPandas(grams, _GRAMS)
-    found = materialize(found, "kn-grams")
-    model, floors = _model(found, vocabulary, kinds, p)
-    asked = found.where("keys is not null").select(F.col("chunk").alias("part"), F.explode("keys").alias("key"))
-    answers = asked.join(model, "key").select("part", "key", "a", "g", F.lit(None).cast("array<long>").alias("symbols"))
-    answers = answers.union(found.where("symbols is not null").select(F.col("chunk").alias("part"), F.lit(0).cast("long").alias("key"), F.lit(None).cast("double"), F.lit(None).cast("double"), "symbols"))
-
-    def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        own = table["symbols"].notna()  # a null key would make all keys floats
-        symbols = np.asarray(table.loc[own, "symbols"].iloc[0], dtype=np.int64)
-        table = table.loc[~own, ["key", "a", "g"]]
-        key = table["key"].to_numpy(dtype=np.int64)
-        order = np.argsort(key, kind="stable")
-        keys = np.concatenate([key[order], [np.iinfo(np.int64).max]])
-        a = np.concatenate([table["a"].to_numpy(dtype=np.float64)[order], [0.0]])
-        g = np.concatenate([table["g"].to_numpy(dtype=np.float64)[order], [1.0]])
-
-        def find(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.searchsorted(keys, x)
-            met = keys[at] == x
-            return np.where(met, a[at], 0.0), np.where(met, g[at], 1.0)
-
-        m3, m2, m1 = _sides(symbols)
-        a1, back2 = find((_N3 ^ _N2 ^ m1).view(np.int64))
-        nats, sizes = [], []
-        for toks, floor in zip(docs["toks"], docs["floor"], strict=True):
-            ids = _ids(toks)
-            sizes.append(len(ids) - 2)
-            if len(ids) == 2:
-                nats.append(np.nan)
-                continue
-            k2 = m2[ids[:-1]] ^ m1[ids[1:]]
-            a2, back3 = find((_N3 ^ k2).view(np.int64))
-            a3, _ = find((m3[ids[:-2]] ^ k2[1:]).view(np.int64))
-            p2 = a2[1:] + back2[ids[1:-1]] * (a1[ids[2:]] + floor)
-            nats.append(float(-np.log(a3 + back3[:-1] * p2).sum()))
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "h": docs["h"], "lang": docs["lang"], "trusted": docs["trusted"], "n_tokens": sizes, "nats": nats})
-
-    texts = enc.where("toks is not null").join(F.broadcast(floors) if _few(floors, p) else floors, "own")
-    texts = texts.select("chunk", "doc_id", "h", "lang", "trusted", "toks", "floor")
-    scored = texts.groupBy("chunk").cogroup(answers.groupBy("part")).applyInPandas(score, "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double")
+    asked = enc.select("chunk", "trusted", "sizes", "starts", "tokens", "words", "shapes", "owns", "own_names")
+    lookups = _lookups(enc)
+    met = lookups.join(vocabulary.select("sym", "id"), "sym")
+    sent = asked.groupBy("chunk").cogroup(met.groupBy("part")).applyInPandas(grams, _GRAMS)
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        """The shard's pairs summed over the chunks, and for each chunk the counts of the pairs it sent."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for row in rows.itertuples(index=False):
+            n = _unpack(row.n)
+            some = n > 0
+            held.append((np.cumsum(_unpack(row.b))[some], _unpack(row.c)[some], n[some]))
+        b, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        kb, rb = np.unique(b, return_inverse=True)
+        kc, rc = np.unique(c, return_inverse=True)
+        keys = rb.astype(np.int64) * len(kc) + rc
+        order = np.argsort(keys, kind="stable")
+        first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.empty(0, dtype=bool)
+        at = np.nonzero(first)[0]
+        keys, n = keys[order][at], np.add.reduceat(n[order], at) if len(at) else n
+        none = [None] * 8
+        out = []
+        for row in rows.itertuples(index=False):
+            b, c = np.cumsum(_unpack(row.b)), _unpack(row.c)
+            found = np.zeros(len(b), dtype=np.int64)
+            if len(keys):
+                i, j = np.minimum(np.searchsorted(kb, b), len(kb) - 1), np.minimum(np.searchsorted(kc, c), len(kc) - 1)
+                wanted = i * len(kc) + j
+                k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                found = np.where((kb[i] == b) & (kc[j] == c) & (keys[k] == wanted), n[k], 0)
+            out.append((row.shard, row.chunk, _pack(found), *none))
+        own_b, own_c = keys // max(len(kc), 1), keys % max(len(kc), 1)
+        levels = [np.bincount(own_b, weights=w, minlength=len(kb)).astype(np.int64) for w in (n, n == 1, n == 2, n >= 3)]
+        cofc = [int((n == i).sum()) for i in (1, 2, 3, 4)]
+        out.append((rows["shard"].iloc[0], None, None, kb, *levels, kc, np.bincount(own_c, minlength=len(kc)), cofc))
+        return pd.DataFrame(out, columns=_names(_COUNTED)).astype({"chunk": "Int64"})
+
+    counted = materialize(sent.groupBy("shard").applyInPandas(count, _COUNTED), "kn-counted")
+    values, d2 = _values(counted.where("chunk is null"), vocabulary, kinds, p)
+    none = [F.lit(0).cast(x) for x in ("long", "double", "long", "double")]  # nulls would make all symbols floats
+    answers = counted.where("chunk is not null").select(F.col("chunk").alias("part"), "shard", "n", *[x.alias(c) for x, c in zip(none, ("sym", "low", "s", "g"), strict=True)], none[0].alias("id"))
+    symbols = lookups.join(values, "sym").select("part", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("n"), "sym", "low", "s", "g", "id")
+
+    def score(docs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        answer = {int(r.shard): r.n for r in given[given["shard"].notna()].itertuples(index=False)}
+        known = given[given["shard"].isna()]
+        for row in docs.itertuples(index=False):
+            sizes, tokens, starts = np.asarray(row.sizes, dtype=np.int64), _unpack(row.tokens), np.asarray(row.starts, dtype=np.int64)
+            ids, low, s, g = _find(row, known, ["id", "low", "s", "g"])
+            pairs = _Pairs.of(ids.astype(np.int64), tokens, starts, sizes)
+            n = np.zeros(len(pairs.b))
+            shard = _shards(pairs.b, pairs.c, shards)
+            order = np.argsort(shard, kind="stable")
+            for k, at in zip(*_parts(shard[order]), strict=True):
+                n[order[at]] = _unpack(answer[k])
+            n = n[pairs.at]
+            some = sizes > 0
+            before = np.empty_like(tokens)
+            before[1:] = tokens[:-1]
+            before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
+            off = np.choose(np.minimum(n, 3).astype(np.int64), [0.0, *d2])
+            prob = np.where(s[before] > 0, (n - off) / np.maximum(s[before], 1) + g[before] * low[tokens], low[tokens])
+            sums = np.concatenate([[0.0], np.cumsum(-np.log(prob))])
+            ends = np.cumsum(sizes)
+            nats = np.where(some, sums[ends] - sums[ends - sizes], np.nan)
+            out.append(pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "h": row.hashes, "lang": row.langs, "trusted": row.trusted, "n_tokens": sizes, "nats": nats}))
+        return pd.concat(out) if out else pd.DataFrame(columns=_names(_SCORED))
+
+    chunks = enc.select(*asked.columns, "doc_ids", "hashes", "langs")
+    scored = chunks.groupBy("chunk").cogroup(answers.union(symbols.select(*answers.columns)).groupBy("part")).applyInPandas(score, _SCORED)
     scored = materialize(scored, "kn-scored")
 
     good = scored.where("trusted and n_tokens > 0")
-    mean_all = good.agg((F.sum("nats") / F.sum("n_tokens")).alias("m")).first()["m"] or 0.0
+    mean_all = good.agg((F.sum("nats") / F.sum("n_tokens")).alias("m")).first()["m"]
     means = good.groupBy("lang").agg((F.sum("nats") / F.sum("n_tokens")).alias("mean"))
     scored = scored.join(F.broadcast(means) if _few(means, p) else means, "lang", "left")
-    prior = F.coalesce("mean", F.lit(mean_all))
-    scored = scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp((F.col("nats") + p.prior_tokens * prior) / (F.col("n_tokens") + p.prior_tokens))))
+    prior = F.coalesce("mean", F.lit(mean_all or 0.0))
+    any_good = F.lit(mean_all is not None)  # without trusted text there is no model
+    scored = scored.withColumn("perplexity", F.when(any_good & (F.col("n_tokens") > 0), F.exp(F.col("nats") / F.col("n_tokens"))))
+    scored = scored.withColumn("judged", F.when(any_good & (F.col("n_tokens") > 0), F.exp((F.col("nats") + p.prior_tokens * prior) / (F.col("n_tokens") + p.prior_tokens))))
     good = scored.where("trusted and n_tokens > 0")
-    quantile = F.percentile_approx("perplexity", p.quantile, 10_000)
-    low = F.percentile_approx("perplexity", p.low_quantile, 10_000)
+    quantile = F.percentile_approx("judged", p.quantile, 10_000)
+    low = F.percentile_approx("judged", p.low_quantile, 10_000)
     every = good.agg(quantile.alias("t"), low.alias("l")).first()
     own_t = good.groupBy("lang").agg(quantile.alias("t"), low.alias("l"), F.count("*").alias("c")).where(F.col("c") >= p.least_trusted).select("lang", "t", "l")
     out = scored.join(F.broadcast(own_t) if _few(own_t, p) else own_t, "lang", "left")
-    out = out.withColumn("threshold", p.slack * F.coalesce("t", F.lit(every["t"]))).withColumn("low_threshold", F.coalesce("l", F.lit(every["l"])) / p.slack)
-    within = F.col("perplexity").between(F.coalesce("low_threshold", F.lit(0.0)), F.coalesce("threshold", F.lit(float("inf"))))
-    return out.select("doc_id", F.col("h").alias("text_hash"), _lang(F.col("lang")), "n_tokens", "perplexity", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+    out = out.withColumn("threshold", p.slack * F.coalesce("t", F.lit(every["t"]).cast("double"))).withColumn("low_threshold", F.coalesce("l", F.lit(every["l"]).cast("double")) / p.slack)
+    within = F.when(any_good, F.col("judged").between(F.col("low_threshold"), F.col("threshold"))).otherwise(F.col("n_tokens") > 0)
+    lang = F.nullif(F.col("lang"), F.lit("\x00")).alias("lang")
+    return out.select("doc_id", F.col("h").alias("text_hash"), lang, "n_tokens", "perplexity", "judged", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+
+
+def _parts(ordered: np.ndarray) -> tuple[list[int], list[slice]]:
+    """The distinct values of a sorted array and where each lies."""
+    if not len(ordered):
+        return [], []
+    at = np.concatenate([[0], np.nonzero(ordered[1:] != ordered[:-1])[0] + 1, [len(ordered)]])
+    return ordered[at[:-1]].tolist(), [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _find(row: tuple, known: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
+    """What is known of each of the chunk's words: of the word, else of its class, else of the class without a language."""
+    sym = known["sym"].to_numpy(dtype=np.int64)
+    order = np.argsort(sym)
+    sym = sym[order]
+    shapes, owns = np.asarray(row.shapes, dtype=np.int64), np.asarray(row.owns, dtype=np.int64)
+    classes = np.array([[_class(x, k) for k in range(-1, _SHAPES)] for x in (*row.own_names, "")], dtype=np.int64)
+    tries = [np.asarray(row.words, dtype=np.int64), classes[owns, shapes + 1], classes[-1, shapes + 1]]
+    at = np.full(len(shapes), -1)
+    for want in tries:
+        i = np.minimum(np.searchsorted(sym, want), len(sym) - 1)
+        at = np.where((at < 0) & (sym[i] == want), i, at)
+    return [known[c].to_numpy(dtype=np.float64 if c in ("low", "g") else np.int64)[order][at] for c in columns]
+
+
+def _lookups(enc: DataFrame) -> DataFrame:
+    """``part, sym``: all symbols that a chunk may ask for."""
+
+    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk, names in zip(b["chunk"], b["own_names"], strict=True):
+                yield pd.DataFrame({"part": chunk, "sym": [_class(x, k) for x in {*names, ""} for k in range(-1, _SHAPES)]})
+
+    words = enc.select(F.col("chunk").alias("part"), F.explode("words").alias("sym"))
+    return words.union(enc.select("chunk", "own_names").mapInPandas(classes, "part long, sym long")).distinct()
 
 
-def _lang(lang: Column) -> Column:
-    return F.nullif(lang, F.lit("\x00")).alias("lang")
+def _vocabulary(enc: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]:
+    """``sym, own, id`` of every symbol and ``own, kinds`` of every language that has words of its own, and of none."""
+    spark = enc.sparkSession
+    words = enc.select("own_names", F.explode(F.arrays_zip("words", "owns", "counts")).alias("w")).where("w.counts > 0")
+    words = words.select(F.col("w.words").alias("sym"), F.element_at("own_names", F.col("w.owns") + 1).alias("own"), F.col("w.counts").alias("n"))
+    words = words.groupBy("sym").agg(F.first("own").alias("own"), F.sum("n").alias("n")).where(F.col("n") >= p.least_count)
+    words = materialize(words.select("sym", "own"), "kn-words")
+    kinds = words.groupBy("own").agg((F.count("*") + 1 + _SHAPES).alias("kinds")).union(spark.createDataFrame([("", 1 + _SHAPES)], "own string, kinds long"))
+    kinds = materialize(kinds.groupBy("own").agg(F.max("kinds").alias("kinds")), "kn-languages")
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(_class(own, i), own) for own in b["own"] for i in range(-1, _SHAPES)], columns=["sym", "own"])
+
+    every = words.union(kinds.select("own").mapInPandas(shapes, "sym long, own string"))
+    # Numbers are dense: the rank in one of many equal shares of the symbols, and the share.
+    share = max(64, words.count() // 100_000)
+    own = F.pmod("sym", F.lit(share))
+    rank = F.row_number().over(Window.partitionBy(own).orderBy("sym")) - 1
+    return materialize(every.select("sym", "own", (rank.cast("long") * share + own).alias("id")), "kn-vocabulary"), kinds
+
+
+def _values(stats: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, list[float]]:
+    """``sym, id, low, s, g`` and the pairs' discounts.
+
+    ``low``: the continuation probability of the symbol in its language, with the share of symbols
+    never seen; ``s``: how often the symbol is a context; ``g``: the back-off weight of that context.
+    """
+
+    def weight(d: list[float], n: str, s: Column) -> Column:
+        return (d[0] * F.col(f"{n}1") + d[1] * F.col(f"{n}2") + d[2] * F.col(f"{n}3")) / s
+
+    d2 = _discounts(*stats.agg(*[F.coalesce(F.sum(F.col("cofc")[i]), F.lit(0)) for i in range(4)]).first())
+    contexts = stats.select(F.explode(F.arrays_zip("b", "s", "n1", "n2", "n3")).alias("x")).select("x.*")
+    contexts = contexts.groupBy(F.col("b").alias("id")).agg(*[F.sum(x).alias(x) for x in ("s", "n1", "n2", "n3")])
+    follows = stats.select(F.explode(F.arrays_zip("c", "cc")).alias("x")).groupBy(F.col("x.c").alias("id")).agg(F.sum("x.cc").alias("cc"))
+    follows = materialize(follows.join(vocabulary.select("id", "own"), "id"), "kn-continuations")
+    d1 = _discounts(*follows.agg(*[F.count_if(F.col("cc") == i) for i in (1, 2, 3, 4)]).first())
+    sums = follows.groupBy("own").agg(F.count_if(F.col("cc") == 1).alias("m1"), F.count_if(F.col("cc") == 2).alias("m2"), F.count_if(F.col("cc") >= 3).alias("m3"), F.sum("cc").alias("m"))
+    floors = kinds.join(sums, "own", "left").select("own", "m", (F.coalesce(weight(d1, "m", F.col("m")), F.lit(1.0)) / F.col("kinds")).alias("floor"))
+    floors = materialize(floors, "kn-floors")
+    off = F.when(F.col("cc") == 1, d1[0]).when(F.col("cc") == 2, d1[1]).otherwise(d1[2])
+    found = vocabulary.join(follows.select("id", "cc"), "id", "left").join(contexts, "id", "left").join(F.broadcast(floors) if _few(floors, p) else floors, "own")
+    low = F.coalesce(F.greatest(F.col("cc") - off, F.lit(0.0)) / F.col("m"), F.lit(0.0)) + F.col("floor")
+    values = found.select("sym", "id", low.alias("low"), F.coalesce("s", F.lit(0)).cast("long").alias("s"), F.coalesce(weight(d2, "n", F.col("s")), F.lit(1.0)).alias("g"))
+    return materialize(values, "kn-values"), d2
 
 
 def _few(df: DataFrame, p: QualityParams) -> bool:
@@ -332,10 +418,6 @@ def _few(df: DataFrame, p: QualityParams) -> bool:
     return df.count() <= p.broadcast_rows
 
 
-def _ids(toks: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(toks), dtype=np.uint32)
-
-
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
@@ -345,68 +427,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     if not (n1 and n2 and n3 and n4):
         return [0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
-    return [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-
-
-def _levels(c: str) -> list[Column]:
-    return [F.count_if(F.col(c) == 1).alias("n1"), F.count_if(F.col(c) == 2).alias("n2"), F.count_if(F.col(c) >= 3).alias("n3"), F.sum(c).alias("s")]
-
-
-def _counts_of_counts(df: DataFrame, c: str) -> list[float]:
-    return _discounts(*df.agg(*[F.count_if(F.col(c) == i) for i in (1, 2, 3, 4)]).first())
-
-
-def _model(found: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]:
-    """Keyed table ``key, a, g`` and ``own, floor``: what every symbol of a language has at least.
-
-    ``a``: the discounted share of a trigram in its context, of a bigram's continuation count in
-    its context, or of a symbol's in its language; ``g``: the back-off weight of a trigram context,
-    at the bigram's key, or of a bigram context, at the symbol's.
-    """
-
-    spark = found.sparkSession
-
-    def off(c: str, d: list[float]) -> Column:
-        return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
-
-    def weight(d: list[float]) -> Column:
-        return (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("s")
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y, z = (_sides(b[c].to_numpy(dtype=np.int64))[i] for i, c in enumerate(("x", "y", "z")))
-            yield pd.DataFrame({"key": (x ^ y ^ z).view(np.int64), "a": b["a"], "g": b["g"]})
-
-    none = F.lit(0).cast("long")
-    counts = found.where("tn is not null").select(F.explode(F.arrays_zip("ta", "tb", "tc", "tn")).alias("t"))
-    tri = counts.groupBy(F.col("t.ta").alias("x"), F.col("t.tb").alias("y"), F.col("t.tc").alias("z")).agg(F.sum("t.tn").alias("c"))
-    tri = materialize(tri, "kn-trigrams")
-    d3 = _counts_of_counts(tri, "c")
-    ctx3 = tri.groupBy("x", "y").agg(*_levels("c"))
-    alpha3 = tri.join(ctx3, ["x", "y"]).select("x", "y", "z", (F.greatest(F.col("c") - off("c", d3), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(1.0).alias("g"))
-    bi = materialize(tri.groupBy("y", "z").agg(F.count("*").alias("cc")), "kn-bigrams")
-    d2 = _counts_of_counts(bi, "cc")
-    ctx2 = bi.groupBy("y").agg(*_levels("cc"))
-    alpha2 = bi.join(ctx2, "y").select("y", "z", (F.greatest(F.col("cc") - off("cc", d2), F.lit(0.0)) / F.col("s")).alias("a"), F.lit(None).cast("double").alias("g"))
-    back3 = ctx3.select(F.col("x").alias("y"), F.col("y").alias("z"), F.lit(0.0).alias("a"), weight(d3).alias("g"))
-    two = alpha2.union(back3).groupBy("y", "z").agg(F.max("a").alias("a"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g"))
-
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(_class(own, i), own) for own in b["own"] for i in range(-1, _SHAPES)], columns=["z", "own"])
-
-    owns = kinds.select(F.col("lang").alias("own"), "kinds").union(spark.createDataFrame([("", 1 + _SHAPES)], "own string, kinds long")).groupBy("own").agg(F.max("kinds").alias("kinds"))
-    spoken = vocabulary.select(F.col("word").alias("z"), F.col("lang").alias("own")).union(owns.select("own").mapInPandas(shapes, "z long, own string"))
-    uni = materialize(bi.groupBy("z").agg(F.count("*").alias("cc1")).join(spoken, "z"), "kn-unigrams")
-    sums = uni.groupBy("own").agg(F.sum("cc1").alias("s"), F.count("*").alias("seen"))
-    d1 = 0.5
-    alpha1 = uni.join(F.broadcast(sums) if _few(sums, p) else sums, "own").select("z", (F.greatest(F.col("cc1") - d1, F.lit(0.0)) / F.col("s")).alias("a"), F.lit(None).cast("double").alias("g"))
-    back2 = ctx2.select(F.col("y").alias("z"), F.lit(0.0).alias("a"), weight(d2).alias("g"))
-    one = alpha1.union(back2).groupBy("z").agg(F.max("a").alias("a"), F.coalesce(F.max("g"), F.lit(1.0)).alias("g"))
-    floors = owns.join(sums, "own", "left").select("own", (F.coalesce(d1 * F.col("seen") / F.col("s"), F.lit(1.0)) / F.col("kinds")).alias("floor"))
-
-    every = alpha3.union(two.select(none.alias("x"), "y", "z", "a", "g")).union(one.select(none.alias("x"), none.alias("y"), "z", "a", "g"))
-    return materialize(every.mapInPandas(keyed, "key long, a double, g double"), "kn-model"), materialize(floors, "kn-floors")
+    return [min(max(x, 0.0), float(i)) for i, x in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3), 1)]
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:

@@ -1,68 +1,64 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import kneser_ney as K
+from quillstone.llm.common import bucketed
 
-P = K.QualityParams(share=1 / 50, chunk_tokens=200, least_trusted=2)
+P = K.QualityParams(chunk_tokens=200, shard_pairs=50, least_trusted=2)
 
 
 def brute_perplexities(docs, trusted, p):
-    """Interpolated modified Kneser-Ney over symbol tuples, by the definition."""
+    """``{id: (raw, judged)}``: interpolated modified Kneser-Ney over pairs of symbols, by the definition."""
     text = {i: t or "" for i, t, _ in docs}
     lang = {i: g or "\x00" for i, _, g in docs}
     words = Counter((lang[i], w) for i in trusted for w in K._TOKEN.findall(text[i]))
-    total = sum(words.values())
-    symbols = K.Symbols.of([k for k, n in words.items() if n >= p.share * total])
-    ids = {i: symbols.encode(lang[i], text[i]).tolist() for i in text}
-    tri = Counter()
+    known = {k for k, n in words.items() if n >= p.least_count}
+    owns = {g for g, _ in known}
+
+    def symbol(g, w):
+        return ("w", g, w) if (g, w) in known else ("c", g if g in owns else "", K.shape(w))
+
+    ids = {i: [("c", lang[i] if lang[i] in owns else "", -1), *(symbol(lang[i], w) for w in K._TOKEN.findall(text[i]))] for i in text}
+    bi = Counter()
     for i in trusted:
-        tri.update(zip(ids[i], ids[i][1:], ids[i][2:], strict=False))
-    bi = Counter((b, c) for _, b, c in tri)
+        bi.update(zip(ids[i], ids[i][1:], strict=False))
     uni = Counter(c for _, c in bi)
 
     def discounts(counts):
         return K._discounts(*[sum(1 for v in counts.values() if v == k) for k in (1, 2, 3, 4)])
 
-    d3, d2 = discounts(tri), discounts(bi)
-    ctx3, ctx2 = defaultdict(list), defaultdict(list)
-    for (a, b, _), n in tri.items():
-        ctx3[a, b].append(n)
+    d2, d1 = discounts(bi), discounts(uni)
+    ctx = defaultdict(list)
     for (b, _), n in bi.items():
-        ctx2[b].append(n)
-    lang_of = symbols.language()
+        ctx[b].append(n)
 
     def back(counts, d):
         return sum(d[min(n, 3) - 1] for n in counts) / sum(counts)
 
     def p1(w):
-        same = [v for v in range(1, symbols.n) if lang_of[v] == lang_of[w]]
-        s = sum(uni[v] for v in same)
-        left = 0.5 * sum(1 for v in same if uni[v]) / s if s else 1.0
-        return max(uni[w] - 0.5, 0) / max(s, 1) + left / len(same)
+        same = [n for v, n in uni.items() if v[1] == w[1]]
+        kinds = sum(1 for g, _ in known if g == w[1]) + 7
+        n = uni[w]
+        return (max(n - d1[min(n, 3) - 1], 0) / sum(same) if n else 0) + (back(same, d1) if same else 1.0) / kinds
 
     def p2(b, c):
-        if b not in ctx2:
+        if b not in ctx:
             return p1(c)
         n = bi[b, c]
-        return (max(n - d2[min(n, 3) - 1], 0) / sum(ctx2[b]) if n else 0) + back(ctx2[b], d2) * p1(c)
+        return (max(n - d2[min(n, 3) - 1], 0) / sum(ctx[b]) if n else 0) + back(ctx[b], d2) * p1(c)
 
-    def p3(a, b, c):
-        if (a, b) not in ctx3:
-            return p2(b, c)
-        n = tri[a, b, c]
-        return (max(n - d3[min(n, 3) - 1], 0) / sum(ctx3[a, b]) if n else 0) + back(ctx3[a, b], d3) * p2(b, c)
-
-    nats = {i: -sum(math.log(p3(*g)) for g in zip(x, x[1:], x[2:], strict=False)) for i, x in ids.items()}
-    n = {i: len(x) - 2 for i, x in ids.items()}
+    nats = {i: -sum(math.log(p2(*g)) for g in zip(x, x[1:], strict=False)) for i, x in ids.items()}
+    n = {i: len(x) - 1 for i, x in ids.items()}
     mean_all = sum(nats[i] for i in trusted) / sum(n[i] for i in trusted)
     means = {}
     for g in set(lang.values()):
         own = [i for i in trusted if lang[i] == g and n[i]]
         means[g] = sum(nats[i] for i in own) / sum(n[i] for i in own) if own else mean_all
-    return {i: math.exp((nats[i] + p.prior_tokens * means[lang[i]]) / (n[i] + p.prior_tokens)) for i in text if n[i]}
+    return {i: (math.exp(nats[i] / n[i]), math.exp((nats[i] + p.prior_tokens * means[lang[i]]) / (n[i] + p.prior_tokens))) for i in text if n[i]}
 
 
 def frame(spark, rows):
@@ -84,7 +80,7 @@ def test_perplexity_is_the_models_definition(spark):
     want = brute_perplexities(docs, trusted, P)
     assert len(got) == len(docs)
     for i, p in want.items():
-        assert got[i]["perplexity"] == pytest.approx(p, rel=1e-9), i
+        assert (got[i]["perplexity"], got[i]["judged"]) == pytest.approx(p, rel=1e-9), i
     assert got[202]["perplexity"] is None and not got[202]["keep"] and not got[203]["keep"]
     assert not got[200]["keep"]
     assert all(got[i]["keep"] for i, _, _ in docs[:42])
@@ -113,13 +109,33 @@ def test_every_word_seen_twice_is_a_symbol(spark):
     p = K.QualityParams(chunk_tokens=200)
     trusted = [i for i in range(60)]
     got = {r["doc_id"]: r["perplexity"] for r in K.judge(frame(spark, docs).repartition(3), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), p).collect()}
-
-    class Least:  # the brute force's vocabulary: words seen twice
-        share = 2 / (60 * 40)
-        prior_tokens = p.prior_tokens
-
-    want = brute_perplexities(docs, trusted, Least)
-    for i, x in want.items():
+    for i, (x, _) in brute_perplexities(docs, trusted, p).items():
         assert got[i] == pytest.approx(x, rel=1e-9), i
     # unknown words of the same shape are not like the known ones
     assert got[101] > 2 * got[100]
+
+
+def test_chunks_stay_in_their_buckets(spark):
+    docs, trusted = corpus()
+    enc = bucketed(spark.range(10).withColumnRenamed("id", "chunk"), "chunk", "test-chunks")
+    other = spark.range(10).withColumnRenamed("id", "part")
+    joined = enc.groupBy("chunk").cogroup(other.groupBy("part")).applyInPandas(lambda a, b: a, "chunk long")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(part") == 1
+    assert "Exchange hashpartitioning(chunk" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 10
+
+
+def test_packing_round_trip():
+    for x in ([], [0], [1, 2, 2**62, -5], list(range(1000))):
+        assert K._unpack(K._pack(np.array(x, dtype=np.int64))).tolist() == x
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    docs, trusted = corpus()
+    long = ("the cat sat on the mat , and " * 30_000, "en")
+    rows = [*docs, (300, *long), (300, *long), docs[3]]
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    got = [(r["doc_id"], r["n_tokens"], r["perplexity"]) for r in K.judge(frame(spark, rows), ids, P).collect()]
+    assert len(got) == len(rows)
+    assert sorted(n for i, n, _ in got if i == 300) == [240_000, 240_000]
+    assert len({round(x, 9) for i, _, x in got if i in (300,)}) == 1
