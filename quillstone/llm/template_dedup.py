@@ -16,7 +16,10 @@ near-duplicate stages, not of line dedup.
 
 Only hashes are shuffled at first: (leaf, line, text).  The tokens of a line are fetched again
 only where a leaf recurs but the line alone doesn't.  All counts are grouped aggregates with
-partial sums, so a line, leaf or text of any frequency is never one group in one task.
+partial sums, so a line, leaf or text of any frequency is never one group in one task.  What meets
+the texts again (which lines to fetch, which to drop) is broadcast up to ``broadcast_bytes``, as
+counted; beyond it the texts are shuffled by their hash, where adaptive execution splits the
+partition of a text with very many copies.
 
 Edge cases: a null text stays null and counts as empty; blank lines are never dropped (nor
 lines of fewer than ``min_tokens`` tokens, where that is set above one); a line that occurs more than once in its first text stays
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 _DIGITS = frozenset("0123456789")
 WILD = "<*>"
@@ -49,7 +52,14 @@ class TemplateParams:
     min_tokens: int = 1
     long_tokens: int = 20
     long_docs: int = 2
-    broadcast_rows: int = 500_000
+    broadcast_bytes: int = 64 << 20
+
+
+def _small(df: DataFrame, row: int, p: TemplateParams, array: str | None = None, item: int = 0) -> DataFrame:
+    """``df``, to be broadcast if it is small as counted: ``row`` bytes a row, ``item`` for each element of ``array``."""
+    items = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    rows, items = df.agg(F.count("*"), items).first()
+    return F.broadcast(df) if rows * row + items * item <= p.broadcast_bytes else df
 
 
 def masked(line: str) -> list[str]:
@@ -113,7 +123,7 @@ def recurring(docs: DataFrame, p: TemplateParams = TemplateParams()) -> tuple[Da
     general = shape.where((F.col("fixed") >= p.similarity * F.col("size")) & (F.col("fixed") < F.col("size"))).select("leaf", "line", F.xxhash64("leaf", "template").alias("general"))
     # A line without any variable field belongs to the template of its leaf that equals it.
     general = materialize(general, "template-general")
-    named = lines.join(F.broadcast(general) if general.count() <= p.broadcast_rows else general, ["leaf", "line"], "left")
+    named = lines.join(_small(general, 64, p), ["leaf", "line"], "left")
     named = named.select("doc_id", "th", "at", "need", F.coalesce("general", F.xxhash64("leaf", "line")).alias("template"))
     named = materialize(named, "template-named")
     texts = named.groupBy("template", "need", "th").agg(F.min("doc_id").alias("doc_id"))
@@ -125,7 +135,7 @@ def _tokens(docs: DataFrame, unsure: DataFrame, p: TemplateParams) -> DataFrame:
     """``leaf, line, n, need, tokens`` of the unsure lines, read again from one text that has them."""
     places = unsure.select(F.col("first.th").alias("th"), "at", "leaf", "line", "n", "need").groupBy("th").agg(F.collect_list(F.struct("at", "leaf", "line", "n", "need")).alias("wanted"))
     texts = docs.where("text is not null").select(F.xxhash64("text").alias("th"), "text")
-    met = texts.join(F.broadcast(places) if unsure.count() <= p.broadcast_rows // 10 else places, "th")
+    met = texts.join(_small(places, 64, p, "wanted", 48), "th")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -143,16 +153,18 @@ def dedup_lines(docs: DataFrame, p: TemplateParams = TemplateParams()) -> DataFr
     """``docs`` with recurring lines removed, plus n_lines and n_dropped; n_chars is set anew if it is there."""
     lines, templates = recurring(docs, p)
     templates = templates.select("template", F.col("first.th").alias("keeper"))
-    hits = lines.join(F.broadcast(templates) if templates.count() <= p.broadcast_rows else templates, "template").where("th <> keeper")
+    hits = lines.join(_small(templates, 48, p), "template").where("th <> keeper")
     drops = hits.select("th", "at").distinct().groupBy("th").agg(F.collect_list("at").alias("drop_at"))
-    drops = drops.withColumnRenamed("th", "drop_th")
+    drops = _small(materialize(drops.withColumnRenamed("th", "drop_th"), "template-drops"), 64, p, "drop_at", 8)
     rows = docs.withColumn("own_th", F.xxhash64("text"))
     met = rows.join(drops, (F.col("own_th") == F.col("drop_th")) & F.col("text").isNotNull(), "left")
     parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains("drop_at", i), F.lit(False)))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop_at"))  # by hash: linear in the lines
+    kept, text = fresh(met, "kept_at", "kept_text")
     met = met.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("n_dropped", F.coalesce(F.array_size("drop_at"), F.lit(0)))
-    text = F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    cleaned = {c: F.col(c) for c in docs.columns} | {"text": text}
+    met = met.withColumn(kept, F.when(F.col("drop_at").isNotNull(), places))
+    met = met.withColumn(text, F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))
+    cleaned = {c: F.col(c) for c in docs.columns} | {"text": F.col(text)}
     if "n_chars" in docs.columns:
         cleaned["n_chars"] = F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))
     return met.select(*[v.alias(c) for c, v in cleaned.items()], F.col("n_lines").cast("int").alias("n_lines"), F.col("n_dropped").cast("int").alias("n_dropped"))

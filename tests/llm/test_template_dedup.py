@@ -74,6 +74,13 @@ def test_matches_brute_force(spark):
     assert sum("Visit our site" in (r["text"] or "") for r in rows_got) == 1
 
 
+def test_shuffled_and_broadcast_joins_agree(spark):
+    rows = ROWS + [(50, None), (51, ""), ROWS[2], (61, "x\n" * 500 + "Posted by user3 on day 4")]
+    small = T.TemplateParams(min_docs=3, broadcast_bytes=0)
+    got = [sorted(map(str, T.dedup_lines(frame(spark, rows), p).collect())) for p in (P, small)]
+    assert got[0] == got[1]
+
+
 def test_copies_are_one_text_and_empty_table(spark):
     rows = [(i, "the same whole text\nof two lines here") for i in range(9)]
     assert {r["n_dropped"] for r in T.dedup_lines(frame(spark, rows), P).collect()} == {0}
