@@ -7,18 +7,27 @@ Every page is parsed to blocks (the text between block-level tags) in three zone
 * ``out``: inside such parts, or in scripts, styles and other invisible elements;
 * ``open``: everything else.
 
-A page with a main zone gives its main blocks, all of them: an article's own text is never
-boilerplate, however often it is quoted elsewhere.  A page without one gives its open blocks
-minus what the suffix array of its host covers.
-
-Host suffix array.  The token streams of a host's pages (all blocks that are not main) are
-concatenated, with page ends as barriers.  A token is boilerplate if it lies in a substring of at
-least ``run`` tokens that also occurs on another page of the host.  Which tokens these are depends
-only on suffixes that agree in their first ``run`` tokens, so the suffixes are sorted by that
-prefix and no further: each suffix goes to the shard of (host, prefix), and a prefix that two
-distinct pages have marks its tokens.  Only the least and greatest page of each prefix are kept
-(summed on the map side), so a host with a third of all pages, or a notice on all of them, is
-never one task.  Covered tokens are removed; the unique runs stay, block by block.
+A page with a main zone gives its main blocks, but for what the suffix array of its host shows to
+be the site's own: a block that stands in more than ``share`` of the host's distinct pages, and in
+``least_pages`` at least, is a notice, not the article, however it is marked up.  (If such blocks
+hold most of a page's main text, the page is one of many editions of one article and keeps all.)
+A page without a main zone gives its open blocks minus what the suffix array covers.
+
+Host suffix array.  The token streams of a host's pages are concatenated, with page ends as
+barriers.  Outside main zones every token starts a suffix; a token is boilerplate if it lies in a
+substring of at least ``run`` tokens that also occurs on another page of the host.  Which tokens
+these are depends only on suffixes that agree in their first ``run`` tokens, so the suffixes are
+sorted by that prefix and no further: each suffix goes to the shard of (host, prefix), and a prefix
+that two distinct pages have marks its tokens: the union of the longest repeats.  Inside main zones the array
+is sparse: only block starts are suffixes, and they are sorted by the whole block.  Per prefix only
+a count and the least and greatest page are kept (summed on the map side), so a host with a
+third of all pages, or a notice on all of them, is never one task.  What is found meets the pages
+again through a broadcast of counted size, or beyond it through a join that is salted by page.
+Covered tokens are removed; the unique runs stay, block by block.
+
+Why tags come first: a menu, advert or footer that only one page of a host shows repeats nowhere,
+so repeats alone would leave it in; markup decides what is outside the article, and repeats decide
+what markup leaves open.
 
 Text: character references are decoded, white space inside a block is one space, blocks are
 trimmed, empty ones left out, and joined by one line feed in page order.
@@ -76,6 +85,10 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 @dataclass(frozen=True)
 class ExtractParams:
     run: int = 8
+    share: float = 0.5
+    least_pages: int = 8
+    broadcast_rows: int = 500_000
+    salts: int = 16
 
 
 @dataclass
@@ -215,6 +228,33 @@ def unique_runs(blocks: list[tuple[str, bool]], covered: set[int], run: int) ->
     return out
 
 
+def block_hash(block: str) -> int:
+    """Signed hash of a block's tokens, the key of the suffix that starts with it."""
+    h = xxhash.xxh3_64_intdigest(block.encode("utf-8", "surrogatepass"))
+    return h - (h >> 63 << 64)
+
+
+def _met(pages: DataFrame, found: DataFrame, keys: list[str], p: ExtractParams) -> DataFrame:
+    """``pages`` with ``found`` by ``keys``: broadcast if it has few rows, as counted, else salted by page."""
+    if found.count() <= p.broadcast_rows:
+        return pages.join(F.broadcast(found), keys)
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))))
+    return pages.withColumn("salt", F.pmod(F.col("page"), F.lit(p.salts)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def _notices(parsed: DataFrame, p: ExtractParams) -> DataFrame:
+    """``page, notices``: hashes of main blocks that are the host's own, by page."""
+    heads = parsed.where("main is not null").select(F.xxhash64("host").alias("site"), "page", F.explode(F.array_distinct("heads")).alias("head"))
+    found = heads.groupBy("site", "head").agg(F.count("*").alias("n"), F.min("page").alias("a"), F.max("page").alias("b"))
+    found = materialize(found.where((F.col("n") >= p.least_pages) & (F.col("a") != F.col("b"))).select("site", "head"), "html-heads")
+    # repeated pages count once, so what passed is counted again over distinct pages
+    met = materialize(_met(heads, found, ["site", "head"], p).distinct(), "html-met")
+    pages = parsed.select(F.xxhash64("host").alias("site"), "page").join(found.select("site").distinct(), "site", "left_semi").distinct().groupBy("site").agg(F.count("*").alias("pages"))
+    shown = met.groupBy("site", "head").agg(F.count("*").alias("n")).join(pages, "site")
+    shown = shown.where((F.col("n") >= p.least_pages) & (F.col("n") > p.share * F.col("pages"))).select("site", "head")
+    return _met(met, shown, ["site", "head"], p).groupBy("page").agg(F.collect_set("head").alias("notices"))
+
+
 def extract(pages: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages(page_id, url, html)``."""
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -222,22 +262,28 @@ def extract(pages: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts, rests, opens, marks = [], [], [], []
+            mains, heads, rests, opens, marks = [], [], [], [], []
             for html in b["html"]:
                 main, rest = split_zones(parse(html))
-                texts.append(None if main is None else "\n".join(main))
+                mains.append(main)
+                heads.append(None if main is None else [block_hash(x) for x in main])
                 needed = main is None
                 rests.append([t for t, _ in rest] if needed else None)
                 opens.append([o for _, o in rest] if needed else None)
                 marks.append(suffix_prefixes([t for text, _ in rest for t in text.split()], p.run))
-            yield b[["page_id", "url", "host", "page"]].assign(text=texts, rest=rests, open=opens, marks=marks)
+            yield b[["page_id", "url", "host", "page"]].assign(main=mains, heads=heads, rest=rests, open=opens, marks=marks)
+
+    kind = "page_id long, url string, host string, page long, main array<string>, heads array<long>, rest array<string>, open array<boolean>, marks array<long>"
+    parsed = materialize(base.mapInPandas(run, kind), "html-parsed")
+    notices = materialize(_notices(parsed, p), "html-notices")
 
-    parsed = base.mapInPandas(run, "page_id long, url string, host string, page long, text string, rest array<string>, open array<boolean>, marks array<long>")
-    parsed = materialize(parsed, "html-parsed")
-    suffixes = parsed.select("host", "page", F.explode("marks").alias("prefix"))
+    # Pages without a main zone: suffixes of the hosts that have such pages.
+    unsure = parsed.where("main is null")
+    hosts = unsure.select("host").distinct()
+    suffixes = parsed.join(F.broadcast(hosts) if hosts.count() <= p.broadcast_rows else hosts, "host", "left_semi").select("host", "page", F.explode("marks").alias("prefix"))
     repeated = suffixes.groupBy("host", "prefix").agg(F.min("page").alias("a"), F.max("page").alias("b")).where("a <> b").select("host", "prefix")
-    unsure = parsed.where("text is null")
-    places = unsure.select("host", "page", F.posexplode("marks").alias("at", "prefix")).join(repeated, ["host", "prefix"]).select("page", "at").distinct()
+    repeated = materialize(repeated, "html-repeated")
+    places = _met(unsure.select("host", "page", F.posexplode("marks").alias("at", "prefix")), repeated, ["host", "prefix"], p).select("page", "at").distinct()
     covered = places.groupBy("page").agg(F.collect_list("at").alias("covered"))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,5 +292,9 @@ def extract(pages: DataFrame, p: ExtractParams = ExtractParams()) -> DataFrame:
             yield b[["page_id", "url"]].assign(text=texts)
 
     other = unsure.join(covered, "page", "left").select("page_id", "url", "rest", "open", "covered").mapInPandas(rebuild, "page_id long, url string, text string")
-    whole = parsed.where("text is not null").select("page_id", "url", "text").union(other)
-    return whole.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    whole = parsed.where("main is not null").select("page_id", "url", "page", "main", "heads")
+    whole = whole.join(F.broadcast(notices) if notices.count() <= p.broadcast_rows else notices, "page", "left")
+    kept = F.transform(F.filter(F.arrays_zip("main", "heads"), lambda x: ~F.array_contains("notices", x["heads"])), lambda x: x["main"])
+    text, left = F.array_join("main", "\n"), F.array_join(kept, "\n")
+    whole = whole.select("page_id", "url", F.when(F.col("notices").isNull() | (2 * F.length(left) < F.length(text)), text).otherwise(left).alias("text"))
+    return whole.union(other).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

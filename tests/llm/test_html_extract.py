@@ -81,3 +81,19 @@ def test_copies_of_a_page_do_not_cover_each_other(spark):
     html = "<div>one two three four five six seven eight nine ten</div>"
     rows = [(i, f"http://a.example/{i}", html) for i in range(3)] + [(9, "http://b.example/", html)]
     assert {r["text"] for r in H.extract(frame(spark, rows), H.ExtractParams(run=5)).collect()} == {"one two three four five six seven eight nine ten"}
+
+
+def test_the_suffix_array_finds_notices_inside_articles(spark):
+    notice = "Sign our weekly letter to get more of this"
+    own = [f"Story {i} tells of thing{i} and place{i} and how they met again{i} later on." for i in range(20)]
+    rows = [(i, f"http://s.example/{i}", f"<article><p>{own[i]}<p>{notice}" + (f"<p>{own[0]}" if i < 9 else "") + "</article>") for i in range(20)]
+    rows += [(100 + i, f"http://few.example/{i}", f"<article><p>{own[i]}<p>{notice}</article>") for i in range(5)]
+    rows += [(200 + i, f"http://same.example/{i}", f"<article><p>{own[1]}<p>{own[2]}<p>edition {i}</article>") for i in range(12)]
+    rows += rows[:1] * 30
+    for p in (H.ExtractParams(), H.ExtractParams(broadcast_rows=0, salts=3)):
+        got = {r["page_id"]: r["text"] for r in H.extract(frame(spark, rows), p).collect()}
+        assert got[15] == own[15] and got[3] == f"{own[3]}\n{own[0]}"  # a passage in nine of twenty pages is the article's
+        assert got[101] == f"{own[1]}\n{notice}"  # too few pages to tell
+        assert got[205] == f"{own[1]}\n{own[2]}\nedition 5"  # editions of one article keep their text
+    off = {r["page_id"]: r["text"] for r in H.extract(frame(spark, rows), H.ExtractParams(least_pages=10**9)).collect()}
+    assert off[15] == f"{own[15]}\n{notice}"
