@@ -53,7 +53,7 @@ _SHAPES = 6
 @dataclass(frozen=True)
 class QualityParams:
     least_count: int = 2
-    chunk_tokens: int = 2_000_000
+    chunk_tokens: int = 4_000_000
     shard_pairs: int = 4_000_000
     quantile: float = 0.99
     low_quantile: float = 0.005
@@ -354,7 +354,7 @@ def _find(row: tuple, known: pd.DataFrame, columns: list[str]) -> list[np.ndarra
 
 
 def _lookups(enc: DataFrame) -> DataFrame:
-    """``part, sym``: all symbols that a chunk may ask for."""
+    """``part, sym``: all symbols that a chunk may ask for (a start mark twice)."""
 
     def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -362,7 +362,7 @@ def _lookups(enc: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"part": chunk, "sym": [_class(x, k) for x in {*names, ""} for k in range(-1, _SHAPES)]})
 
     words = enc.select(F.col("chunk").alias("part"), F.explode("words").alias("sym"))
-    return words.union(enc.select("chunk", "own_names").mapInPandas(classes, "part long, sym long")).distinct()
+    return words.union(enc.select("chunk", "own_names").mapInPandas(classes, "part long, sym long"))
 
 
 def _vocabulary(enc: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]:

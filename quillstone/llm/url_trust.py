@@ -6,10 +6,12 @@ follows them backwards (``distrust``: who links to a bad host is bad).  A host i
 distrust is at least ``least`` and more than ``ratio`` times its trust; a host without any
 evidence is allowed.
 
-Seeds: a host whose name has one of ``bad_words`` as a part (with pages in the table or only
-linked to), or of which rules block at least
-``seed_share`` of the pages and allow none, is a blocked seed; a host of which rules allow at
-least ``seed_share`` of the pages and block none is a trusted seed.
+Seeds: hosts that a given table names as blocked or allowed (with pages here or only linked to),
+and hosts of whose pages rules block at least ``seed_share`` and allow none (blocked seeds), or allow
+at least ``seed_share`` and block none (trusted seeds).  A given verdict comes before the rules' share.
+
+Links are the ``href`` of ``a`` and ``area`` tags, outside comments, scripts and other raw text, with
+character references decoded, resolved against the page's url and its ``base``.
 
 Edges are counted per pair of hosts before anything else, self-links are left out, and every step
 of the iteration is a written table.  It ends when all that can still arrive anywhere is less than
@@ -24,9 +26,14 @@ table gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import html
 import itertools
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +71,6 @@ class TrustParams:
     seed_share: float = 0.9
     ratio: float = 1.0
     least: float = 1e-3
-    bad_words: tuple[str, ...] = ("spam", "casino", "pills", "porn", "malware", "phishing", "warez")
 
 
 def host_of(url: Column) -> Column:
@@ -87,12 +93,42 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+_LINK = re.compile(
+    r"""<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|xmp|iframe)\b.*?(?:</\1\s*>|$)|<(a|area|base)(?=[\s/])((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    re.I | re.S,
+)
+_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def links(url: str | None, page: str | None) -> list[str]:
+    """The absolute http(s) urls that a page links to, in order."""
+    out, base = [], url or ""
+    for m in _LINK.finditer(page or ""):
+        if not m[2] or not (found := _HREF.search(m[3])):
+            continue
+        href = html.unescape(next(x for x in found.groups() if x is not None)).strip()
+        try:
+            target = urljoin(base, href)
+        except ValueError:  # not a url, such as http://[
+            continue
+        if m[2].lower() == "base":
+            base = target
+        elif target[:8].lower().startswith(("http://", "https://")):
+            out.append(target)
+    return out
+
+
 def host_edges(pages: DataFrame) -> DataFrame:
     """``src, dst, n``: how many links of pages on ``src`` lead to another host ``dst``."""
-    links = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""), F.lit(1))
-    found = pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("dst"))
-    found = found.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst")
-    return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(src, target) for src, url, page in zip(b["src"], b["url"], b["html"], strict=True) for target in links(url, page)]
+            yield pd.DataFrame(rows, columns=["src", "target"])
+
+    own = pages.where("html is not null and url is not null").select(host_of(F.col("url")).alias("src"), "url", "html").where("src <> ''")
+    found = own.mapInPandas(run, "src string, target string").select("src", host_of(F.col("target")).alias("dst"))
+    return found.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, p: TrustParams, what: str) -> DataFrame:
@@ -119,24 +155,27 @@ def propagate(edges: DataFrame, seeds: DataFrame, p: TrustParams, what: str) ->
     return rank.select("host", "score")
 
 
-def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: TrustParams = TrustParams()) -> DataFrame:
-    """``page_id, host, path, rule, verdict, trust, distrust`` of every row of ``pages(page_id, url, html)``."""
+def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, p: TrustParams = TrustParams(), seeds: DataFrame | None = None) -> DataFrame:
+    """``page_id, host, path, rule, verdict, trust, distrust`` of every row of ``pages(page_id, url, html)``.
+
+    ``seeds(host, verdict)``: hosts known to be good (allow) or bad (block); a host given as both is bad.
+    """
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     judged = judged.withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     verdicts = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.verdict)]) if rules else F.lit(None).cast("map<string,string>")
     judged = judged.withColumn("ruled", F.when(F.col("rule").isNotNull(), verdicts[F.col("rule")]))
     hosts = judged.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("bad"), F.count_if(F.col("ruled") == "allow").alias("good"))
-    bad_name = F.rlike(F.col("host"), F.lit(r"(?:^|[.\-_])(?:" + "|".join(p.bad_words) + r")(?:[.\-_]|$)")) if p.bad_words else F.lit(False)
-    blocked = bad_name | ((F.col("bad") >= p.seed_share * F.col("n")) & (F.col("good") == 0))
-    trusted = ~blocked & (F.col("good") >= p.seed_share * F.col("n")) & (F.col("bad") == 0)
+    given = pages.sparkSession.createDataFrame([], "host string, verdict string") if seeds is None else seeds
+    given = given.where("host is not null and verdict in ('allow', 'block')").groupBy(F.translate("host", _UPPER, _LOWER).alias("host")).agg(F.max("verdict").alias("given"))
+    hosts = hosts.join(given, "host", "full").fillna(0, ["n", "bad", "good"])
+    blocked = F.when(F.col("given").isNotNull(), F.col("given") == "block").otherwise((F.col("bad") >= p.seed_share * F.col("n")) & (F.col("good") == 0))
+    trusted = F.when(F.col("given").isNotNull(), F.col("given") == "allow").otherwise((F.col("good") >= p.seed_share * F.col("n")) & (F.col("bad") == 0))
     hosts = materialize(hosts.select("host", blocked.alias("blocked"), trusted.alias("trusted")), "trust-hosts")
     edges = materialize(host_edges(pages), "trust-edges")
-    # a bad host that only links lead to has no pages here, yet its name tells
-    linked = edges.select(F.col("dst").alias("host")).where(bad_name).distinct()
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     seed = F.lit(1.0).alias("weight")
     trust = propagate(edges, hosts.where("trusted").select("host", seed), p, "trust").withColumnRenamed("score", "trust")
-    distrust = propagate(back, hosts.where("blocked").select("host").union(linked).distinct().select("host", seed), p, "distrust").withColumnRenamed("score", "distrust")
+    distrust = propagate(back, hosts.where("blocked").select("host", seed), p, "distrust").withColumnRenamed("score", "distrust")
     # A share of a seed's own score, so that thresholds do not depend on how many seeds there are.
     scale = {c: d.agg(F.max(c)).first()[0] or 1.0 for c, d in (("trust", trust), ("distrust", distrust))}
     scores = trust.join(distrust, "host", "full").select("host", (F.coalesce("trust", F.lit(0.0)) / scale["trust"]).alias("trust"), (F.coalesce("distrust", F.lit(0.0)) / scale["distrust"]).alias("distrust"))

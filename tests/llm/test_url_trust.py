@@ -43,7 +43,9 @@ def test_distrust_follows_links_backwards(spark):
         (1, "http://good.net/de/1", link("fine.example")), (2, "http://fine.example/x", link("good.net")), (3, "http://ring.example/x", link("cheap-pills.example", "cheap-pills.example", "RING.example")),
         (4, "http://cheap-pills.example/x", ""), (5, "http://far.example/x", link("ring.example")), (6, "http://lone.example/x", None), (6, "http://lone.example/x", None),
     ]
-    got = {(r["page_id"], r["verdict"]) for r in U.judge_urls(frame(spark, rows)).collect()}
+    bad = spark.createDataFrame([("Cheap-Pills.example", "block"), ("nowhere.example", "allow"), (None, "block")], "host string, verdict string")
+    got = {(r["page_id"], r["verdict"]) for r in U.judge_urls(frame(spark, rows), seeds=bad).collect()}
+    assert {r["verdict"] for r in U.judge_urls(frame(spark, rows)).collect()} == {"allow"}  # nothing known is bad
     assert got == {(1, "allow"), (2, "allow"), (3, "block"), (4, "block"), (5, "block"), (6, "allow")}
     assert U.judge_urls(frame(spark, [])).count() == 0
 
@@ -67,7 +69,30 @@ def test_distrust_reaches_far_hosts_from_seeds_without_pages(spark):
     link = lambda host: f'<a href="https://{host}/p">t</a>'
     rows = [(0, "http://h0.example/x", link("cheap-pills.example"))] + [(i, f"http://h{i}.example/x", link(f"h{i - 1}.example")) for i in range(1, 45)]
     rows += [(100 + i, f"http://warez.s{i}.example/x", None) for i in range(20)]
-    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(frame(spark, rows)).collect()}
+    bad = spark.createDataFrame([(h, "block") for h in ("cheap-pills.example", *(f"warez.s{i}.example" for i in range(20)))], "host string, verdict string")
+    got = {r["page_id"]: r["verdict"] for r in U.judge_urls(frame(spark, rows), seeds=bad).collect()}
     # host i is i + 1 links away: 0.85 ** 42 > 0.001 > 0.85 ** 43
     assert [got[i] for i in range(45)] == ["block"] * 42 + ["allow"] * 3
     assert {got[100 + i] for i in range(20)} == {"block"}
+
+
+def test_rules_seed_distrust_without_any_given_seed(spark):
+    rows = [(1, "http://bad.org/es/1", ""), (2, "http://near.example/x", '<a href="//bad.org/es/1">t</a>'), (3, "http://far.example/x", None), (4, "http://good.net/de/1", '<a href=http://ok.example/>'), (5, "http://ok.example/", '<a href="http://bad.org/">t</a>')]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in U.judge_urls(frame(spark, rows)).collect()}
+    assert got == {1: ("org/es/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("net/de/", "allow"), 5: (None, got[5][1])}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<a href="/p?q#r">t</a><a href=\'b\'>', ["http://h.example/p?q#r", "http://h.example/d/b"]),
+        ('<base href="https://B.example/x/"><a href="y">', ["https://B.example/x/y"]),
+        ("<A title='>' HREF = //c.example/z >t<area href=http://d.example>", ["http://c.example/z", "http://d.example"]),
+        ('<!-- <a href="http://no.example"> --><script>"<a href=http://no.example>"</script><a href="mailto:x@y"><a name=href>', []),
+        ('<a href="http://e.example/?a=1&amp;b=2"><abbr href="http://no.example"><a data-href="http://no.example">', ["http://e.example/?a=1&b=2"]),
+        ('<a href="http://[">x</a><a href="  http://f.example/ ">', ["http://f.example/"]),
+        ("<a", []), (None, []), ("<!-- open <a href=http://no.example>", []),
+    ],
+)
+def test_links_are_resolved(page, want):
+    assert U.links("http://h.example/d/e", page) == want
