@@ -18,11 +18,15 @@ gathered: they are tables, joined by symbol or counted in shards of symbol pairs
 5. Each chunk gets its answers and its symbols' values back and sums its documents' log
    probabilities.  All discounts, of pairs and of continuations, are estimated.
 6. A document is kept if its judged perplexity is at most ``slack`` times its language's
-   ``quantile`` over trusted documents and at least its ``low_quantile`` over ``slack``: text that
-   is far more predictable than any trusted text repeats itself.
+   ``quantile`` over trusted documents and its fitted one at least the ``low_quantile`` over
+   ``slack``: text that is far more predictable than any trusted text repeats itself.
 
-The judged perplexity of a text of n tokens is shrunk towards its language's mean with the weight
-of ``prior_tokens`` tokens: a few tokens alone say little.  The raw one is returned as well.
+A trusted document is judged as if it were new: its own pairs are taken off the counts of pairs,
+contexts and continuations (back-off weights stay), else the model would know it by heart and every
+new document would exceed the trusted ones.  ``fitted`` is what the model says with those counts,
+which is also what it says of an untrusted copy.  Both are shrunk, for a text of n tokens, towards
+the language's mean with the weight of ``prior_tokens`` tokens: a few tokens alone say little.  The
+raw fitted perplexity is returned as well.
 
 Edge cases: null or blank texts have no tokens, perplexity null, and are not kept; a null language
 is a language of its own; a language without its own threshold (fewer than ``least_trusted``
@@ -143,7 +147,7 @@ class _Pairs:
 _ENC = "chunk long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, words array<long>, shapes array<int>, owns array<int>, own_names array<string>, counts array<long>"
 _GRAMS = "shard int, chunk long, b binary, c binary, n binary"
 _COUNTED = "shard int, chunk long, n binary, b array<long>, s array<long>, n1 array<long>, n2 array<long>, n3 array<long>, c array<long>, cc array<long>, cofc array<long>"
-_SCORED = "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double"
+_SCORED = "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double, new_nats double"
 
 
 class _Chunk:
@@ -195,8 +199,8 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
     """Perplexity and decision for every row of ``docs(doc_id, text, lang)``.
 
     ``trusted(doc_id)``: the documents whose text is trusted.  Returns doc_id, text_hash
-    (``xxhash64(text)``, which with doc_id finds the row again), lang, n_tokens, perplexity, judged
-    (the shrunk perplexity), threshold, low_threshold, keep.
+    (``xxhash64(text)``, which with doc_id finds the row again), lang, n_tokens, perplexity, fitted and
+    judged (shrunk perplexities), threshold, low_threshold, keep.
     """
     spark = docs.sparkSession
     trusted = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
@@ -275,10 +279,11 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         return pd.DataFrame(out, columns=_names(_COUNTED)).astype({"chunk": "Int64"})
 
     counted = materialize(sent.groupBy("shard").applyInPandas(count, _COUNTED), "kn-counted")
-    values, d2 = _values(counted.where("chunk is null"), vocabulary, kinds, p)
-    none = [F.lit(0).cast(x) for x in ("long", "double", "long", "double")]  # nulls would make all symbols floats
-    answers = counted.where("chunk is not null").select(F.col("chunk").alias("part"), "shard", "n", *[x.alias(c) for x, c in zip(none, ("sym", "low", "s", "g"), strict=True)], none[0].alias("id"))
-    symbols = lookups.join(values, "sym").select("part", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("n"), "sym", "low", "s", "g", "id")
+    values, d2, d1 = _values(counted.where("chunk is null"), vocabulary, kinds, p)
+    kinds_of = {"sym": "long", "id": "long", "cc": "long", "m": "double", "floor": "double", "s": "long", "g": "double"}
+    none = [F.lit(0).cast(k).alias(c) for c, k in kinds_of.items()]  # nulls would make all symbols floats
+    answers = counted.where("chunk is not null").select(F.col("chunk").alias("part"), "shard", "n", *none)
+    symbols = lookups.join(values, "sym").select("part", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("n"), *kinds_of)
 
     def score(docs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -286,7 +291,7 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         known = given[given["shard"].isna()]
         for row in docs.itertuples(index=False):
             sizes, tokens, starts = np.asarray(row.sizes, dtype=np.int64), _unpack(row.tokens), np.asarray(row.starts, dtype=np.int64)
-            ids, low, s, g = _find(row, known, ["id", "low", "s", "g"])
+            ids, cc, m, floor, s, g = _find(row, known, ["id", "cc", "m", "floor", "s", "g"])
             pairs = _Pairs.of(ids.astype(np.int64), tokens, starts, sizes)
             n = np.zeros(len(pairs.b))
             shard = _shards(pairs.b, pairs.c, shards)
@@ -298,36 +303,83 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
             before = np.empty_like(tokens)
             before[1:] = tokens[:-1]
             before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
-            off = np.choose(np.minimum(n, 3).astype(np.int64), [0.0, *d2])
-            prob = np.where(s[before] > 0, (n - off) / np.maximum(s[before], 1) + g[before] * low[tokens], low[tokens])
-            sums = np.concatenate([[0.0], np.cumsum(-np.log(prob))])
-            ends = np.cumsum(sizes)
-            nats = np.where(some, sums[ends] - sums[ends - sizes], np.nan)
-            out.append(pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "h": row.hashes, "lang": row.langs, "trusted": row.trusted, "n_tokens": sizes, "nats": nats}))
+            low = _discounted(cc, d1) / m + floor
+            prob = _interpolated(n, s[before], d2, g[before], low[tokens])
+            nats = _by_document(-np.log(prob), sizes)
+            # trusted documents once more, without what they added to the counts themselves
+            good = np.asarray(row.trusted, dtype=bool)
+            own = np.repeat(good, sizes)
+            new_nats = nats.copy()
+            if own.any():
+                doc = np.repeat(np.arange(len(sizes)), sizes)[own]
+                at, b, c = pairs.at[own], before[own], tokens[own]
+                n_new = n[own] - _times(doc, at)
+                s_new = s[b] - _times(doc, b)
+                cc_new = cc[c] - _alone(doc, at, c, n_new)
+                prob = _interpolated(n_new, s_new, d2, g[b], _discounted(cc_new, d1) / m[c] + floor[c])
+                new_nats[good] = _by_document(-np.log(prob), sizes[good])
+            out.append(pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "h": row.hashes, "lang": row.langs, "trusted": row.trusted, "n_tokens": sizes, "nats": nats, "new_nats": new_nats}))
         return pd.concat(out) if out else pd.DataFrame(columns=_names(_SCORED))
 
     chunks = enc.select(*asked.columns, "doc_ids", "hashes", "langs")
-    scored = chunks.groupBy("chunk").cogroup(answers.union(symbols.select(*answers.columns)).groupBy("part")).applyInPandas(score, _SCORED)
+    scored = chunks.groupBy("chunk").cogroup(answers.union(symbols).groupBy("part")).applyInPandas(score, _SCORED)
     scored = materialize(scored, "kn-scored")
 
     good = scored.where("trusted and n_tokens > 0")
-    mean_all = good.agg((F.sum("nats") / F.sum("n_tokens")).alias("m")).first()["m"]
-    means = good.groupBy("lang").agg((F.sum("nats") / F.sum("n_tokens")).alias("mean"))
+    mean_all = good.agg((F.sum("new_nats") / F.sum("n_tokens")).alias("m")).first()["m"]
+    means = good.groupBy("lang").agg((F.sum("new_nats") / F.sum("n_tokens")).alias("mean"))
     scored = scored.join(F.broadcast(means) if _few(means, p) else means, "lang", "left")
-    prior = F.coalesce("mean", F.lit(mean_all or 0.0))
-    any_good = F.lit(mean_all is not None)  # without trusted text there is no model
-    scored = scored.withColumn("perplexity", F.when(any_good & (F.col("n_tokens") > 0), F.exp(F.col("nats") / F.col("n_tokens"))))
-    scored = scored.withColumn("judged", F.when(any_good & (F.col("n_tokens") > 0), F.exp((F.col("nats") + p.prior_tokens * prior) / (F.col("n_tokens") + p.prior_tokens))))
+    any_good = F.lit(mean_all is not None) & (F.col("n_tokens") > 0)  # without trusted text there is no model
+    prior = p.prior_tokens * F.coalesce("mean", F.lit(mean_all or 0.0))
+
+    def shrunk(nats: str) -> Column:
+        return F.when(any_good, F.exp((F.col(nats) + prior) / (F.col("n_tokens") + p.prior_tokens)))
+
+    scored = scored.withColumns({"perplexity": F.when(any_good, F.exp(F.col("nats") / F.col("n_tokens"))), "fitted": shrunk("nats"), "judged": shrunk("new_nats")})
     good = scored.where("trusted and n_tokens > 0")
     quantile = F.percentile_approx("judged", p.quantile, 10_000)
-    low = F.percentile_approx("judged", p.low_quantile, 10_000)
+    low = F.percentile_approx("fitted", p.low_quantile, 10_000)
     every = good.agg(quantile.alias("t"), low.alias("l")).first()
     own_t = good.groupBy("lang").agg(quantile.alias("t"), low.alias("l"), F.count("*").alias("c")).where(F.col("c") >= p.least_trusted).select("lang", "t", "l")
     out = scored.join(F.broadcast(own_t) if _few(own_t, p) else own_t, "lang", "left")
     out = out.withColumn("threshold", p.slack * F.coalesce("t", F.lit(every["t"]).cast("double"))).withColumn("low_threshold", F.coalesce("l", F.lit(every["l"]).cast("double")) / p.slack)
-    within = F.when(any_good, F.col("judged").between(F.col("low_threshold"), F.col("threshold"))).otherwise(F.col("n_tokens") > 0)
+    within = F.when(F.lit(mean_all is None), F.col("n_tokens") > 0).otherwise((F.col("judged") <= F.col("threshold")) & (F.col("fitted") >= F.col("low_threshold")))
     lang = F.nullif(F.col("lang"), F.lit("\x00")).alias("lang")
-    return out.select("doc_id", F.col("h").alias("text_hash"), lang, "n_tokens", "perplexity", "judged", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+    return out.select("doc_id", F.col("h").alias("text_hash"), lang, "n_tokens", "perplexity", "fitted", "judged", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+
+
+def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.maximum(n - np.choose(np.clip(n, 0, 3).astype(np.int64), [0.0, *d]), 0.0)
+
+
+def _interpolated(n: np.ndarray, s: np.ndarray, d: list[float], g: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A pair's probability from its count, its context's, and what its second symbol has without a context."""
+    return np.where(s > 0, _discounted(n, d) / np.maximum(s, 1) + g * low, low)
+
+
+def _by_document(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums over each document's tokens; NaN where it has none."""
+    sums, ends = np.concatenate([[0.0], np.cumsum(x)]), np.cumsum(sizes)
+    return np.where(sizes > 0, sums[ends] - sums[ends - sizes], np.nan)
+
+
+def _times(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often each token's value occurs in its document."""
+    _, at, n = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _alone(doc: np.ndarray, pair: np.ndarray, c: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each token: how many distinct pairs with its second symbol only its document has."""
+    only = left <= 0
+    _, first = np.unique(doc[only] * (int(pair.max()) + 1) + pair[only], return_index=True)
+    width = int(c.max()) + 1
+    keys, n = np.unique(doc[only][first] * width + c[only][first], return_counts=True)
+    if not len(keys):
+        return np.zeros(len(c), dtype=np.int64)
+    want = doc * width + c
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return np.where(keys[at] == want, n[at], 0)
 
 
 def _parts(ordered: np.ndarray) -> tuple[list[int], list[slice]]:
@@ -350,7 +402,7 @@ def _find(row: tuple, known: pd.DataFrame, columns: list[str]) -> list[np.ndarra
     for want in tries:
         i = np.minimum(np.searchsorted(sym, want), len(sym) - 1)
         at = np.where((at < 0) & (sym[i] == want), i, at)
-    return [known[c].to_numpy(dtype=np.float64 if c in ("low", "g") else np.int64)[order][at] for c in columns]
+    return [known[c].to_numpy(dtype=np.float64 if c in ("m", "floor", "g") else np.int64)[order][at] for c in columns]
 
 
 def _lookups(enc: DataFrame) -> DataFrame:
@@ -387,11 +439,11 @@ def _vocabulary(enc: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]
     return materialize(every.select("sym", "own", (rank.cast("long") * share + own).alias("id")), "kn-vocabulary"), kinds
 
 
-def _values(stats: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, list[float]]:
-    """``sym, id, low, s, g`` and the pairs' discounts.
+def _values(stats: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, list[float], list[float]]:
+    """``sym, id, cc, m, floor, s, g`` and the discounts of pairs and of continuations.
 
-    ``low``: the continuation probability of the symbol in its language, with the share of symbols
-    never seen; ``s``: how often the symbol is a context; ``g``: the back-off weight of that context.
+    ``cc``: the symbol's continuations, ``m``: those of all symbols of its language, ``floor``: the
+    share of symbols never seen; ``s``: how often the symbol is a context; ``g``: the back-off weight of that context.
     """
 
     def weight(d: list[float], n: str, s: Column) -> Column:
@@ -406,11 +458,10 @@ def _values(stats: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: Qualit
     sums = follows.groupBy("own").agg(F.count_if(F.col("cc") == 1).alias("m1"), F.count_if(F.col("cc") == 2).alias("m2"), F.count_if(F.col("cc") >= 3).alias("m3"), F.sum("cc").alias("m"))
     floors = kinds.join(sums, "own", "left").select("own", "m", (F.coalesce(weight(d1, "m", F.col("m")), F.lit(1.0)) / F.col("kinds")).alias("floor"))
     floors = materialize(floors, "kn-floors")
-    off = F.when(F.col("cc") == 1, d1[0]).when(F.col("cc") == 2, d1[1]).otherwise(d1[2])
     found = vocabulary.join(follows.select("id", "cc"), "id", "left").join(contexts, "id", "left").join(F.broadcast(floors) if _few(floors, p) else floors, "own")
-    low = F.coalesce(F.greatest(F.col("cc") - off, F.lit(0.0)) / F.col("m"), F.lit(0.0)) + F.col("floor")
-    values = found.select("sym", "id", low.alias("low"), F.coalesce("s", F.lit(0)).cast("long").alias("s"), F.coalesce(weight(d2, "n", F.col("s")), F.lit(1.0)).alias("g"))
-    return materialize(values, "kn-values"), d2
+    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cc", "s")]
+    values = found.select("sym", "id", *whole, F.coalesce("m", F.lit(1)).cast("double").alias("m"), "floor", F.coalesce(weight(d2, "n", F.col("s")), F.lit(1.0)).alias("g"))
+    return materialize(values, "kn-values"), d2, d1
 
 
 def _few(df: DataFrame, p: QualityParams) -> bool:
