@@ -112,6 +112,8 @@ DOI_VARIANTS = {
     "all": {"urls": (DOI_URLS[0], DOI_URLS[1], DOI_URLS[3]), "strip": ".,;"},
     "papers": {"doi_word": True, "strip": ".,;"},
     "records": {"where": "start", "doi_word": True, "strip": "."},
+    "plain": {"urls": (), "doi_word": False},
+    "keys": {"urls": tuple(DOI_URLS), "where": "start", "strip": ".,;"},
 }
 
 
@@ -165,6 +167,47 @@ def code_letters(c: Column, digits: str = r"(?:\d{2})?") -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.substring(x, 1, 1)))
 
 
+#: Fixed value: how classification codes are announced, in any case.
+CODE_LABEL = r"(?:JEL|JEL\s+classification|JEL\s+classifications|JEL\s+codes?|JEL\s+No\.?)"
+_CODES = r"[A-Z][0-9]{2}(?:\s*[,;/]\s*[A-Z][0-9]{2})*"
+
+
+def announced_codes(c: Column) -> Column:
+    """Distinct codes (a letter, two digits) that follow an announcement within 50 other characters, in order, upper case."""
+    plain = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")
+    lists = F.regexp_extract_all(plain, F.lit(rf"(?i){CODE_LABEL}[^A-Za-z0-9]{{0,50}}({_CODES})"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(lists, lambda x: F.regexp_extract_all(F.upper(x), F.lit(r"\b[A-Z][0-9]{2}\b"), F.lit(0)))))
+
+
+def nearby_codes(c: Column, reach: int = 500) -> Column:
+    """Announced codes, else distinct codes within ``reach`` characters after the first ``JEL``."""
+    text = clean_text(c)
+    at = F.instr(F.lower(text), "jel")
+    near = F.when(at > 0, F.upper(F.substr(text, at, F.lit(reach)))).otherwise("")
+    found = F.array_distinct(F.regexp_extract_all(near, F.lit(r"\b[A-Z][0-9]{2}\b"), F.lit(0)))
+    own = announced_codes(text)
+    return F.when(F.size(own) > 0, own).otherwise(found)
+
+
+def without_codes(c: Column) -> Column:
+    """Without announcements of codes, up to the codes' end."""
+    text = F.regexp_replace(c, rf"(?i){CODE_LABEL}[^.;\n]*{_CODES}\.?", " ")
+    return F.regexp_replace(text, r"(?i)Classification-JEL:[^.;\n]*\.?", " ")
+
+
+def clean_abstract(c: Column, label: bool = False) -> Column:
+    """References decoded, without tags and announced codes; ``label``: also without a leading ``Abstract``."""
+    text = clean_text(without_codes(F.regexp_replace(unescape(clean_text(c)), "<[^>]+>", " ")))
+    return F.regexp_replace(text, r"(?i)^abstract[\s:.]*", "") if label else text
+
+
+def has_code(codes: Column, predicted: Column, by: str = ";") -> Column:
+    """Is the predicted label, if there is one, among the delimited codes?"""
+    each = F.transform(F.split(F.coalesce(codes, F.lit("")), by), lambda x: F.trim(x))
+    own = F.trim(F.coalesce(predicted, F.lit("")))
+    return (own != "") & F.array_contains(each, own)
+
+
 def number(c: Column) -> Column:
     """A double, or null where the text is none."""
     return c.try_cast("double")

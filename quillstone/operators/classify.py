@@ -5,28 +5,41 @@ Predictions are long tables ``(row, label, truth, score)``; every metric is one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StandardScaler, StopWordsRemover
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def tfidf(texts: DataFrame, text: str, n: int = 2, min_df: int = 2, max_df: float = 0.9, vocabulary: int = 20_000) -> tuple[DataFrame, PipelineModel]:
-    """``features``: word 1..n-grams, sublinear counts, smoothed idf plus one, unit length.
-
-    ``ln(1 + tf)`` counts and ``ln((N + 1) / (df + 1))`` weights are Spark's; the constant one is
-    added by weighting the plain counts too.
-    """
+    """``features``: word 1..n-grams; counts ``1 + ln(tf)``, weights ``ln((N + 1) / (df + 1)) + 1``, unit length."""
     stages = [RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+"), StopWordsRemover(inputCol="_words", outputCol="_g1")]
     stages += [NGram(n=k, inputCol="_g1", outputCol=f"_g{k}") for k in range(2, n + 1)]
     grams = Pipeline(stages=stages).fit(texts).transform(texts)
     grams = grams.withColumn("_grams", F.concat(*[f"_g{k}" for k in range(1, n + 1)]))
-    model = Pipeline(stages=[CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, maxDF=max_df, vocabSize=vocabulary), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]).fit(grams)
-    return model.transform(grams).drop("_words", *[f"_g{k}" for k in range(1, n + 1)], "_grams", "_tf", "_idf"), model
+    model = Pipeline(stages=[CountVectorizer(inputCol="_grams", outputCol="_tf", minDF=min_df, maxDF=max_df, vocabSize=vocabulary), IDF(inputCol="_tf", outputCol="_idf")]).fit(grams)
+    idf = model.stages[-1].idf.toArray()  # at most ``vocabulary`` numbers
+    rows = model.transform(grams)
+    weigh = _sublinear(idf)
+    out = Normalizer(inputCol="_weighted", outputCol="features").transform(rows.withColumn("_weighted", weigh("_tf")))
+    return out.drop("_words", *[f"_g{k}" for k in range(1, n + 1)], "_grams", "_tf", "_idf", "_weighted"), model
+
+
+def _sublinear(idf: np.ndarray) -> Callable[[str], Column]:
+    """The weighted vector of a count vector: ``(1 + ln(tf)) * (idf + 1)``."""
+
+    @F.udf(VectorUDT())
+    def weigh(tf: SparseVector) -> SparseVector:
+        return SparseVector(tf.size, tf.indices, (1.0 + np.log(tf.values)) * (idf[tf.indices] + 1.0))
+
+    return weigh
 
 
 def scaled_vectors(df: DataFrame, array: str) -> DataFrame:

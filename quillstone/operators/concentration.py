@@ -14,8 +14,8 @@ def credit(kind: str) -> Column:
         return F.lit(1.0)
     if kind == "fractional":
         positive = F.col("n_authors") > 0
-        return F.when(positive, F.lit(1.0) / F.col("n_authors")).otherwise(F.raise_error(F.lit("'n_authors' must be positive.")).cast("double"))
-    raise ValueError("credit must be either 'fractional' or 'full'.")
+        return F.when(positive, F.lit(1.0) / F.col("n_authors")).otherwise(F.raise_error(F.lit("n_authors: every row needs at least one author")).cast("double"))
+    raise ValueError(f"unknown kind of credit {kind!r}; there are full and fractional")
 
 
 def productivity(df: DataFrame, kind: str = "fractional", author: str = "author_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -53,6 +53,6 @@ def summary(df: DataFrame, value: str = "publication_credit", by: tuple[str, ...
         top(0.05).alias("top_5pct_share"),
         top(0.10).alias("top_10pct_share"),
         F.coalesce(F.sum(F.when(F.col("t") != 0, F.col("c") * share * share)), F.lit(0.0)).alias("hhi"),
-        F.when(F.first("t") == 0, 0.0).otherwise(2 * F.sum(ranks * F.col("v")) / (F.first("n") * F.first("t")) - (F.first("n") + 1) / F.first("n")).alias("gini"),
+        F.when(F.min("v") < 0, F.raise_error(F.lit(f"{value}: Gini needs values of at least 0")).cast("double")).when(F.first("t") == 0, 0.0).otherwise(2 * F.sum(ranks * F.col("v")) / (F.first("n") * F.first("t")) - (F.first("n") + 1) / F.first("n")).alias("gini"),
     )
     return out.drop("_all")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import assert_unique
-from ..functions.columns import blank
+from ..functions.columns import blank, first_nonblank, first_nonblank_source
+from ..functions.scratch import Scratch
+from .names import greedy_overlap
 
 
 def unique_keys(df: DataFrame, key: str) -> DataFrame:
@@ -25,17 +27,22 @@ def staged_link(left: DataFrame, right: DataFrame, ids: tuple[str, str], stages:
     rows have strategy ``left_only`` or ``right_only``.
     """
     a, b = ids
-    matches: list[DataFrame] = []
-    rest_l, rest_r = left, right
-    for name, key_l, key_r in stages:
-        own = unique_keys(rest_l, key_l).select(a, F.col(key_l).alias("_k"))
-        other = unique_keys(rest_r, key_r).select(b, F.col(key_r).alias("_k"))
-        found = own.join(other, "_k").select(a, b, F.lit(name).alias("strategy"))
-        matches.append(found)
-        rest_l, rest_r = rest_l.join(found.select(a), a, "left_anti"), rest_r.join(found.select(b), b, "left_anti")
-    matches.append(rest_l.select(a, F.lit(None).cast(right.schema[b].dataType).alias(b), F.lit("left_only").alias("strategy")))
-    matches.append(rest_r.select(F.lit(None).cast(left.schema[a].dataType).alias(a), b, F.lit("right_only").alias("strategy")))
-    return reduce(DataFrame.unionByName, matches)
+    kind_a, kind_b = left.schema[a].dataType, right.schema[b].dataType
+    with Scratch(left.sparkSession, "link") as scratch:
+        found: list[DataFrame] = []
+        for name, key_l, key_r in stages:
+            own = unique_keys(_unmatched(left, a, found).select(a, F.col(key_l).alias("_k")), "_k")
+            other = unique_keys(_unmatched(right, b, found).select(b, F.col(key_r).alias("_k")), "_k")
+            # written, so that a stage reads the matches before it and never plans them again
+            found.append(scratch.write(own.join(other, "_k").select(a, b, F.lit(name).alias("strategy"))))
+        left_only = _unmatched(left, a, found).select(a, F.lit(None).cast(kind_b).alias(b), F.lit("left_only").alias("strategy"))
+        right_only = _unmatched(right, b, found).select(F.lit(None).cast(kind_a).alias(a), b, F.lit("right_only").alias("strategy"))
+        return scratch.kept(reduce(DataFrame.unionByName, [*found, left_only, right_only]))
+
+
+def _unmatched(rows: DataFrame, key: str, found: list[DataFrame]) -> DataFrame:
+    """Rows whose ``key`` no stage has matched yet."""
+    return rows.join(reduce(DataFrame.union, [f.select(key) for f in found]), key, "left_anti") if found else rows
 
 
 def two_pass_outer(left: DataFrame, right: DataFrame, ids: tuple[str, str], first: list[str], second: list[str]) -> DataFrame:
@@ -72,15 +79,75 @@ def year_scoped_link(left: DataFrame, right: DataFrame, ids: tuple[str, str], ye
     ``left`` has array keys (ordered) or plain ones; the earliest key wins, then the least right id.
     """
     a, b = ids
-    matches: list[DataFrame] = []
-    rest_l, rest_r = left, right
-    for name, key_l, key_r in stages:
-        keys = F.col(key_l) if left.schema[key_l].dataType.typeName() == "array" else F.array(F.col(key_l))
-        own = rest_l.select(a, year, F.posexplode(F.array_distinct(keys)).alias("_at", "_k")).where(~blank(F.col("_k")))
-        other = rest_r.where(~blank(F.col(key_r))).select(b, year, F.col(key_r).alias("_k"))
-        other = other.withColumn("_n", F.count("*").over(Window.partitionBy(year, "_k"))).where("_n = 1").drop("_n")
-        best = Window.partitionBy(a).orderBy("_at", b)
-        found = own.join(other, [year, "_k"]).withColumn("_r", F.row_number().over(best)).where("_r = 1").select(a, b, F.lit(name).alias("strategy"))
-        matches.append(found)
-        rest_l, rest_r = rest_l.join(found.select(a), a, "left_anti"), rest_r.join(found.select(b).distinct(), b, "left_anti")
-    return reduce(DataFrame.unionByName, matches)
+    with Scratch(left.sparkSession, "year-link") as scratch:
+        found: list[DataFrame] = []
+        for name, key_l, key_r in stages:
+            keys = F.col(key_l) if left.schema[key_l].dataType.typeName() == "array" else F.array(F.col(key_l))
+            own = _unmatched(left, a, found).select(a, year, F.posexplode(F.array_distinct(keys)).alias("_at", "_k")).where(~blank(F.col("_k")))
+            other = _unmatched(right, b, found).where(~blank(F.col(key_r))).select(b, year, F.col(key_r).alias("_k"))
+            other = other.groupBy(year, "_k").agg(F.count("*").alias("_n"), F.first(b).alias(b)).where("_n = 1")
+            best = own.join(other, [year, "_k"]).groupBy(a).agg(F.min(F.struct("_at", b))[b].alias(b))
+            found.append(scratch.write(best.select(a, b, F.lit(name).alias("strategy"))))
+        return scratch.kept(reduce(DataFrame.unionByName, found))
+
+
+def keep_first_join(left: DataFrame, right: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Left join to the first right row of each non-blank key in the given order; left rows stay one each."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = right.where(~blank(F.col(key))).withColumn("_r", place).where("_r = 1").drop("_r")
+    return left.join(first, key, "left")
+
+
+def join_chain(base: DataFrame, others: list[DataFrame], key: str) -> DataFrame:
+    """Left joins of tables that have ``key`` once each (asserted), in order; the base's rows stay one each."""
+    for other in others:
+        assert_unique(other, [key])
+    return reduce(lambda a, b: a.join(b, key, "left"), others, base)
+
+
+def combined_columns(df: DataFrame, names: list[str], first: str, second: str, out: str = "") -> DataFrame:
+    """After a linkage: for each name the value of the ``first`` source's column, else the ``second``'s, and which it was."""
+    made = {}
+    for n in names:
+        a, b = F.col(f"{first}{n}"), F.col(f"{second}{n}")
+        made[f"{out}{n}"] = first_nonblank(a, b)
+        made[f"{out}{n}_source"] = first_nonblank_source({first.rstrip("_"): a, second.rstrip("_"): b})
+    return df.withColumns(made)
+
+
+def three_pass_outer(left: DataFrame, right: DataFrame, group: str, names: tuple[str, str], least: float = 0.8) -> DataFrame:
+    """Equal (group, last, first); then equal (group, last); then greedy overlap of last names within the group; the rest stays.
+
+    ``left(l_id, group, last, first)``, ``right(r_id, group, last, first)`` with ``names`` = (last, first).
+    Returns l_id, r_id, strategy of every row of both sides.
+    """
+    last, first = names
+    with Scratch(left.sparkSession, "three-pass") as scratch:
+        two = scratch.write(two_pass_outer(left, right, ("l_id", "r_id"), [group, last, first], [group, last]))
+        met = two.where("strategy in ('first_pass', 'second_pass')")
+        rest_l = left.join(met.select("l_id"), "l_id", "left_anti").select(group, "l_id", F.col(last).alias("l_name"))
+        rest_r = right.join(met.select("r_id"), "r_id", "left_anti").select(group, "r_id", F.col(last).alias("r_name"))
+        third = scratch.write(greedy_overlap(rest_l, rest_r, group, least).select("l_id", "r_id", F.lit("overlap").alias("strategy")))
+        found = met.unionByName(third)
+        only_l = _unmatched(left, "l_id", [found]).select("l_id", F.lit(None).cast(right.schema["r_id"].dataType).alias("r_id"), F.lit("left_only").alias("strategy"))
+        only_r = _unmatched(right, "r_id", [found]).select(F.lit(None).cast(left.schema["l_id"].dataType).alias("l_id"), "r_id", F.lit("right_only").alias("strategy"))
+        return scratch.kept(reduce(DataFrame.unionByName, [found, only_l, only_r]))
+
+
+def zip_by_position(tables: dict[str, DataFrame], position: str) -> DataFrame:
+    """Tables side by side by their row numbers ``position``, their other columns prefixed by their name.
+
+    Numbers of rows that differ, or repeated or missing positions, are an error.
+    """
+    sizes = {name: t.agg(F.count("*"), F.countDistinct(position), F.min(position), F.max(position)).first() for name, t in tables.items()}
+    if len({tuple(s) for s in sizes.values()}) > 1 or any(s[0] != s[1] for s in sizes.values()):
+        raise ValueError(f"row counts or positions differ: { {n: s[0] for n, s in sizes.items()} }")
+    named = [t.select(position, *[F.col(c).alias(f"{name}_{c}") for c in t.columns if c != position]) for name, t in tables.items()]
+    return reduce(lambda a, b: a.join(b, position), named)
+
+
+def inner_on_all(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Inner join of several tables on a composite key that is unique in each (asserted)."""
+    for t in tables:
+        assert_unique(t, keys)
+    return reduce(lambda a, b: a.join(b, keys), tables)

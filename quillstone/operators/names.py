@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
 from ..functions.text import sequence_ratio
 
 
@@ -48,37 +49,45 @@ def initial_pairs(names: DataFrame) -> DataFrame:
     return met.select(F.least("key", "full_key").alias("key_a"), F.greatest("key", "full_key").alias("key_b"), F.lit("unique initial").alias("reason"))
 
 
-def similar_pairs(names: DataFrame, least: float = 0.92) -> DataFrame:
-    """Pairs in a last-name block whose first names are that similar, compared in the order of their keys."""
-    a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in ("key", "first", "last")]), names.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "first", "last")])
-    pairs = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("key_a") < F.col("key_b")))
-    pairs = pairs.where((F.length("first_a") > 1) & (F.length("first_b") > 1)).withColumn("ratio", sequence_ratio("first_a", "first_b"))
+def similar_pairs(names: DataFrame, least: float = 0.92, letters: int = 4) -> DataFrame:
+    """Pairs in a last-name block whose first names begin with the same letter, have at least ``letters`` each and are
+    that similar, compared in the order of their keys.
+
+    Both conditions are part of the join, and the lengths alone bound the similarity (2 * shorter / sum), so
+    few pairs reach the comparison.
+    """
+    rows = names.where(F.length("first") >= letters).withColumn("initial", F.substring("first", 1, 1))
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "first", "last", "initial")]) for side in "ab")
+    size_a, size_b = F.length("first_a"), F.length("first_b")
+    possible = 2 * F.least(size_a, size_b) >= least * (size_a + size_b)
+    pairs = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("initial_a") == F.col("initial_b")) & (F.col("key_a") < F.col("key_b")) & possible)
+    pairs = pairs.withColumn("ratio", sequence_ratio("first_a", "first_b"))
     return pairs.where(F.col("ratio") >= least).select("key_a", "key_b", "ratio")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """``(node, component)``: the least node that edges ``(a, b)`` reach.
 
-    Minimum labels travel along the edges and, by pointer jumping, along the labels; each round
-    is a checkpoint in the shared folder.
+    Minimum labels travel along the edges and, by pointer jumping, along the labels, so a chain shortens by half a
+    round; each round is a written table.  ``rounds`` that do not suffice are an error, never a partial result.
     """
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstone-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "m").alias("m"))
-        jump = labels.select(F.col("node").alias("j"), F.col("component").alias("jc"))
-        new = step.join(jump, F.col("m") == F.col("j"), "left").select("node", "component", F.least("m", F.coalesce("jc", F.col("m"))).alias("m")).checkpoint()
-        changed = new.where("m < component").limit(1).count()
-        labels = new.select("node", F.col("m").alias("component"))
-        if not changed:
-            break
-    return labels
+    with Scratch(edges.sparkSession, "components") as scratch:
+        both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+        both = scratch.write(both)
+        keep = Scratch(edges.sparkSession, "labels")
+        labels = keep.write(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+        for _ in range(rounds):
+            near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+            step = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "m").alias("m"))
+            jump = labels.select(F.col("node").alias("j"), F.col("component").alias("jc"))
+            new = step.join(jump, F.col("m") == F.col("j"), "left").select("node", "component", F.least("m", F.coalesce("jc", F.col("m"))).alias("m"))
+            new = keep.write(new)
+            labels = new.select("node", F.col("m").alias("component"))
+            if new.where("m < component").isEmpty():
+                keep.drop(keep=1)
+                return labels
+            keep.drop(keep=1)
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def greedy_overlap(left: DataFrame, right: DataFrame, group: str, least: float = 0.8) -> DataFrame:

@@ -20,8 +20,11 @@ def resolve(evidence: DataFrame, subjects: DataFrame, least: float = 0.85, margi
     ``evidence(subject, profile, institution, year, confidence, seq)``; ``subjects(subject,
     candidates, truncated)``.  The best usable record (with an institution; ties to the smaller
     seq) decides, unless its profile contradicts itself, the search was truncated, another profile
-    comes too close, or its confidence is too low.
+    comes too close, or its confidence is too low.  Evidence that repeats a subject's profile, institution
+    (in any case) and year counts once: the first (least seq) of the most confident.
     """
+    same_record = [F.col("subject"), F.col("profile"), F.lower(F.trim("institution")), F.col("year")]
+    evidence = first_of_each(evidence, same_record, [F.desc("confidence"), F.col("seq")])
     usable = F.coalesce(F.trim("institution"), F.lit("")) != ""
     key = F.struct(F.col("confidence"), -F.col("seq"))
     tops = evidence.groupBy("subject").agg(

@@ -83,8 +83,8 @@ def conflict_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH l AS (SELECT o_orderkey AS left_id, CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey AS k1, o_custkey + 1 AS k2, o_custkey % 40 AS t FROM orders WHERE o_orderkey % 2 = 0),
-r AS (SELECT o_orderkey AS right_id, CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey AS k, o_custkey % 40 AS t FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey % 9 = 1),
+    """WITH l AS (SELECT o_orderkey AS left_id, CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey AS k1, o_custkey + 1 AS k2, o_custkey * 2406 + dayofyear(o_orderdate) AS t FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT o_orderkey AS right_id, CAST(year(o_orderdate) AS INTEGER) AS y, o_custkey AS k, o_custkey * 2406 + dayofyear(o_orderdate) AS t FROM orders WHERE o_orderkey % 2 = 1),
 lk AS (SELECT left_id, y, 0 AS pos, k1 AS k FROM l UNION ALL SELECT left_id, y, 1, k2 FROM l),
 rk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY y, k) AS n FROM r) WHERE n = 1),
 m1 AS (SELECT left_id, right_id FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY pos, right_id) AS rn FROM lk JOIN rk USING (y, k)) WHERE rn = 1),
@@ -93,10 +93,10 @@ m2 AS (SELECT left_id, right_id FROM (SELECT left_id, right_id, row_number() OVE
 SELECT left_id, right_id, 'doi' AS strategy FROM m1 UNION ALL SELECT left_id, right_id, 'title' FROM m2"""
 )
 def year_scoped_link(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), "o_custkey", (F.col("o_custkey") % 40).cast("string").alias("t"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), "o_custkey", (F.col("o_custkey") * 2406 + F.dayofyear("o_orderdate")).cast("string").alias("t"))
     key = F.col("o_custkey")
     left = rows.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("left_id"), "y", F.array(key.cast("string"), (key + 1).cast("string")).alias("dois"), "t")
-    right = rows.where("o_orderkey % 2 = 1 AND o_orderkey % 9 = 1").select(F.col("o_orderkey").alias("right_id"), "y", key.cast("string").alias("k"), "t")
+    right = rows.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("right_id"), "y", key.cast("string").alias("k"), "t")
     return L.year_scoped_link(left, right, ("left_id", "right_id"), "y", [("doi", "dois", "k"), ("title", "t", "t")])
 
 

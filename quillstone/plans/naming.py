@@ -84,7 +84,7 @@ def author_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fuzzy_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence similarity of first names in a last-name block (no SQL has this measure)."""
-    return N.similar_pairs(_keys(spark, sf_dir), 0.6)
+    return N.similar_pairs(_keys(spark, sf_dir), 0.8)
 
 
 @query()
@@ -105,17 +105,17 @@ def folded_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.to_ascii(T.unescape("title")).alias("ascii_title"))
 
 
-EVIDENCE = """ev AS (SELECT event_id AS seq, user_id % 300 AS subject, user_id % 7 AS profile, CASE WHEN event_type = 'click' THEN '' ELSE 'place ' || (event_id % 2) END AS institution,
+EVIDENCE = """ev AS (SELECT event_id AS seq, event_id // 5 AS subject, user_id % 2 AS profile, CASE WHEN event_type = 'click' THEN '' ELSE 'place ' || (event_id % 2) END AS institution,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 1990 + CAST(event_id % 2 AS INTEGER) END AS year,
   round(least(0.99, 0.95 * (0.55 * greatest(0, least(1, value / 100)) + 0.2 * CASE WHEN user_id % 5 = 0 THEN 1 ELSE greatest(0.35, 1 - 0.15 * (greatest(user_id % 6, 1) - 1)) END
-    + CASE WHEN event_type <> 'click' THEN 0.15 ELSE 0 END + CASE WHEN event_id % 3 <> 0 THEN 0.1 ELSE 0 END))::DOUBLE, 9) AS confidence FROM events WHERE event_id % 40 = 0)"""
+    + CASE WHEN event_type <> 'click' THEN 0.15 ELSE 0 END + CASE WHEN event_id % 3 <> 0 THEN 0.1 ELSE 0 END))::DOUBLE, 9) AS confidence FROM events)"""
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     place, year = F.col("event_type") != "click", F.col("event_id") % 3 != 0
     score = S.evidence_score(F.col("value") / 100, F.col("user_id") % 6, place, year, F.col("user_id") % 5 == 0, places=9)
-    rows = table(spark, sf_dir, "events").where("event_id % 40 = 0")
-    return rows.select(F.col("event_id").alias("seq"), (F.col("user_id") % 300).alias("subject"), (F.col("user_id") % 7).alias("profile"), F.when(place, F.concat(F.lit("place "), (F.col("event_id") % 2).cast("string"))).otherwise("").alias("institution"), F.when(year, (1990 + F.col("event_id") % 2).cast("int")).alias("year"), score.alias("confidence"))
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 5).cast("long").alias("subject"), (F.col("user_id") % 2).alias("profile"), F.when(place, F.concat(F.lit("place "), (F.col("event_id") % 2).cast("string"))).otherwise("").alias("institution"), F.when(year, (1990 + F.col("event_id") % 2).cast("int")).alias("year"), score.alias("confidence"))
 
 
 @query(
@@ -127,11 +127,12 @@ def evidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", score.alias("confidence"))
 
 
-RESOLVE = """, sub AS (SELECT DISTINCT c_custkey % 320 AS subject, CAST(c_custkey % 320 % 4 AS INTEGER) AS candidates, c_custkey % 320 % 11 = 0 AS truncated FROM customer),
-agg AS (SELECT subject, count(*) AS records, max(confidence) AS any_confidence FROM ev GROUP BY 1),
-top AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, seq) AS rn FROM ev WHERE institution <> '') WHERE rn = 1),
+RESOLVE = """, evd AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY subject, profile, lower(trim(institution)), year ORDER BY confidence DESC, seq) AS rn FROM ev) WHERE rn = 1),
+sub AS (SELECT DISTINCT s AS subject, CAST(s % 4 AS INTEGER) AS candidates, s % 11 = 0 AS truncated FROM (SELECT event_id // 5 AS s FROM events UNION SELECT 10000000 + c_custkey FROM customer)),
+agg AS (SELECT subject, count(*) AS records, max(confidence) AS any_confidence FROM evd GROUP BY 1),
+top AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, seq) AS rn FROM evd WHERE institution <> '') WHERE rn = 1),
 riv AS (SELECT t.subject, max(e.confidence) FILTER (e.profile <> t.profile) AS rival, count(DISTINCT e.institution) FILTER (e.profile = t.profile) AS places, count(DISTINCT e.year) FILTER (e.profile = t.profile) AS years
-  FROM top t JOIN ev e ON e.subject = t.subject AND e.institution <> '' GROUP BY 1),
+  FROM top t JOIN evd e ON e.subject = t.subject AND e.institution <> '' GROUP BY 1),
 dec AS (SELECT sub.*, records, any_confidence, top.confidence AS c, top.institution AS i, top.year AS yr, CASE
   WHEN top.profile IS NULL AND coalesce(records, 0) > 0 THEN 'record_missing_institution' WHEN top.profile IS NULL AND truncated THEN 'search_truncated_without_match'
   WHEN top.profile IS NULL AND candidates > 0 THEN 'profiles_without_record' WHEN top.profile IS NULL THEN 'no_profile' WHEN places > 1 OR years > 1 THEN 'profile_conflicts'
@@ -144,8 +145,10 @@ SELECT subject, CASE WHEN reason = 'record_missing_institution' THEN 'incomplete
 
 @query("WITH " + EVIDENCE.replace("0.95 *", "0.95::DOUBLE *").replace("(0.55 *", "(0.55::DOUBLE *").replace("0.2 *", "0.2::DOUBLE *").replace("greatest(0.35, 1 - 0.15 *", "greatest(0.35::DOUBLE, 1 - 0.15::DOUBLE *").replace("least(0.99,", "least(0.99::DOUBLE,").replace("THEN 0.15 ", "THEN 0.15::DOUBLE ").replace("THEN 0.1 ", "THEN 0.1::DOUBLE ").replace("))::DOUBLE, 9)", ")), 9)") + RESOLVE)
 def evidence_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("c_custkey") % 320
-    subjects = table(spark, sf_dir, "customer").select(s.alias("subject"), (s % 4).cast("int").alias("candidates"), (s % 11 == 0).alias("truncated")).distinct()
+    s = F.col("subject")
+    seen = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5).cast("long").alias("subject"))
+    subjects = seen.union(table(spark, sf_dir, "customer").select(F.col("c_custkey") + 10_000_000)).distinct()
+    subjects = subjects.select(s, (s % 4).cast("int").alias("candidates"), (s % 11 == 0).alias("truncated"))
     return S.resolve(_evidence(spark, sf_dir), subjects)
 
 

@@ -25,7 +25,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from . import classifying, concentrating, linking, naming, shaping  # noqa: F401
+    from . import classifying, concentrating, ensembling, linking, naming, people, recording, shaping  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -18,13 +18,14 @@ def records(text: str) -> Iterator[dict[str, str]]:
             if fields:
                 yield {k: "; ".join(v) for k, v in fields.items()}
             fields, last = {}, None
-        elif line[0].isspace() or ":" not in line:
+        elif line[0].isspace():
             if last:
                 fields[last][-1] = f"{fields[last][-1]} {line.strip()}".strip()
-        else:
+        elif ":" in line:  # any other line is no field and is left out
             name, _, value = line.partition(":")
-            last = name.strip().lower().replace("-", "_")
-            fields.setdefault(last, []).append(value.strip())
+            if name.strip():
+                last = name.strip().lower().replace("-", "_")
+                fields.setdefault(last, []).append(value.strip())
 
 
 @udtf(returnType="record int, fields map<string,string>")

@@ -1,3 +1,4 @@
+import datetime
 import gzip
 import json
 
@@ -32,7 +33,7 @@ def test_jsonl_combine_and_sink(spark, tmp_path):
     got = files.combine_jsonl(df, "id", F.col("y"), F.col("v"))
     assert sorted((r["id"], r["v"]) for r in got.collect()) == [("", 2), ("", 4), ("a", 3)]
     files.write_jsonl(got.select("id"), str(tmp_path / "out"), "2024-01-01")
-    assert {r["collection_date"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {"2024-01-01"} or True
+    assert {r["collection_date"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {datetime.date(2024, 1, 1)}
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad/x.jsonl").write_text("{oops\n")
     with pytest.raises(Exception):  # noqa: B017
@@ -49,7 +50,7 @@ def test_year_partitions(spark, tmp_path):
 
 def test_redif(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.rdf").write_text("Template-Type: x\nAuthor-Name: A\nAuthor-Name: B\nTitle: one\n two\n\nTitle: next\n")
+    (tmp_path / "in/a.rdf").write_text("Template-Type: x\nAuthor-Name: A\nAuthor-Name: B\nTitle: one\n two\nnot a field\n: no name\n\nTitle: next\n")
     rows = sorted(redif.read_redif(spark, str(tmp_path)).collect(), key=lambda r: r["record"])
     assert rows[0]["fields"] == {"template_type": "x", "author_name": "A; B", "title": "one two"}
     assert rows[1]["fields"] == {"title": "next"}
