@@ -19,6 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_KEPT: list[str] = []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, wherever the shared folder is."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(hadoop).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the results that operators wrote in this process; their DataFrames can't be read any more."""
+    delete(spark, _KEPT)
+    _KEPT.clear()
+
+
 class Scratch:
     """Written tables of one operator call: lineage is cut, and a lost executor rereads files.
 
@@ -35,18 +52,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def kept(self, df: DataFrame) -> DataFrame:
-        """The operator's result, written; it outlives the call."""
+        """The operator's result, written; it outlives the call, until :func:`release`."""
         out = self.write(df)
-        self.paths.pop()
+        _KEPT.append(self.paths.pop())
         return out
 
     def drop(self, keep: int = 0) -> None:
         """Delete all tables but the last ``keep``."""
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.paths[: len(self.paths) - keep]:
-            where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(hadoop).delete(where, True)
-        self.paths = self.paths[len(self.paths) - keep :]
+        at = len(self.paths) - keep
+        delete(self.spark, self.paths[:at])
+        self.paths = self.paths[at:]
 
     def __enter__(self) -> Scratch:
         return self

@@ -87,13 +87,14 @@ def clean_title(c: Column) -> Column:
     return clean_text(F.regexp_replace(text, r"\s*\*$", ""))
 
 
-def doi_key(c: Column, urls: tuple[str, ...] = tuple(DOI_URLS), where: str = "anywhere", doi_word: bool = False, lower: bool = True, strip: str = "") -> Column:
+def doi_key(c: Column, urls: tuple[str, ...] = tuple(DOI_URLS), where: str = "anywhere", doi_word: bool = False, lower: bool = True, strip: str = "", none: str = "") -> Column:
     """A DOI without its URL; the sources' normalizers differ in the parameters.
 
     ``where``: ``anywhere`` or ``start``; ``doi_word``: also drop ``doi:``; ``strip``: characters
-    dropped at the end.
+    dropped at the end; ``none``: a text that stands for no DOI.
     """
     text = clean_text(c)
+    text = F.when(text == none, "").otherwise(text) if none else text
     text = F.lower(text) if lower else text
     for url in [*urls, *["doi:"] * doi_word]:
         if where == "start":
@@ -112,8 +113,8 @@ DOI_VARIANTS = {
     "all": {"urls": (DOI_URLS[0], DOI_URLS[1], DOI_URLS[3]), "strip": ".,;"},
     "papers": {"doi_word": True, "strip": ".,;"},
     "records": {"where": "start", "doi_word": True, "strip": "."},
-    "plain": {"urls": (), "doi_word": False},
-    "keys": {"urls": tuple(DOI_URLS), "where": "start", "strip": ".,;"},
+    "collected": {"urls": (DOI_URLS[0], DOI_URLS[3])},
+    "working": {"urls": (DOI_URLS[0], DOI_URLS[1], DOI_URLS[3]), "strip": ".,;", "none": "NULL"},
 }
 
 

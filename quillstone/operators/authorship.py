@@ -12,6 +12,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
+
 
 def first_year(by: tuple[str, ...] = ()) -> Column:
     """First year of the author in the scope, on every row."""
@@ -19,19 +21,20 @@ def first_year(by: tuple[str, ...] = ()) -> Column:
 
 
 def history_counts(author_papers: DataFrame, look_back: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct papers of each author in the ``look_back`` years before each year.
+    """Papers of each author in the ``look_back`` years before each year.
 
-    Every publication counts for the years after it, so this is an explode and one aggregation,
-    not a range join.
+    ``author_papers`` has a paper's author once, so papers are counted per year first; only these
+    counts are dealt to the years after them: an explode and one sum, not a range join.
     """
-    years = author_papers.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    counted = author_papers.crossJoin(F.broadcast(years)).where("y < hi")  # one row
-    counted = counted.select(*by, "author", "paper", F.explode(F.sequence(F.col("y") + 1, F.least(F.col("y") + look_back, F.col("hi")))).alias("y"))
-    return counted.groupBy(*by, "y", "author").agg(F.countDistinct("paper").alias("c"))
+    years = author_papers.groupBy(*by, "author", "y").agg(F.count("*").alias("n"))
+    ends = author_papers.agg(F.max("y").alias("hi"))
+    counted = years.crossJoin(F.broadcast(ends)).where("y < hi")  # one row
+    counted = counted.select(*by, "author", "n", F.explode(F.sequence(F.col("y") + 1, F.least(F.col("y") + look_back, F.col("hi")))).alias("y"))
+    return counted.groupBy(*by, "y", "author").agg(F.sum("n").alias("c"))
 
 
-def top_authors(counts: DataFrame, percents: list[int], by: tuple[str, ...] = ()) -> DataFrame:
-    """Authors at or above the count at position ``max(1, ceil(n p / 100))``, ties included.
+def cutoffs(counts: DataFrame, percents: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """By key and percent: all authors ``n``, position ``nominal = max(1, ceil(n p / 100))``, the count there, and how many reach it.
 
     The position is found on (count, number of authors) rows, so no ranking of all authors is needed.
     """
@@ -42,22 +45,35 @@ def top_authors(counts: DataFrame, percents: list[int], by: tuple[str, ...] = ()
     kinds = kinds.withColumns({"n": F.sum("k").over(whole), "upto": F.sum("k").over(run)})
     kinds = kinds.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
     nominal = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("p") / F.lit(100.0)))
-    cutoffs = kinds.withColumn("nominal", nominal.cast("long")).where(F.col("upto") >= F.col("nominal")).groupBy(*key, "p", "n", "nominal").agg(F.max("c").alias("cutoff"))
-    return counts.join(cutoffs, key).where(F.col("c") >= F.col("cutoff")).select(*key, "p", "n", "nominal", "cutoff", "author", "c")
-
-
-def rolling_top_shares(papers: DataFrame, author_papers: DataFrame, look_back: int, percents: list[int], by: tuple[str, ...] = ()) -> DataFrame:
-    """Share of each year's papers that have an author from the top of the years before; a dense spine of years."""
-    counts = history_counts(author_papers, look_back, by)
-    chosen = top_authors(counts, percents, by)
-    sizes = chosen.groupBy(*by, "y", "p").agg(F.first("n").alias("eligible_authors"), F.first("cutoff").alias("cutoff_papers"), F.count("*").alias("selected_authors"))
-    hits = author_papers.join(chosen.select(*by, "y", "p", "author"), [*by, "y", "author"]).groupBy(*by, "y", "p").agg(F.countDistinct("paper").alias("papers_with_top"))
-    totals = papers.groupBy(*by, "y").agg(F.countDistinct("paper").alias("total_papers"))
-    spine = totals.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
-    out = spine.join(sizes, [*by, "y", "p"], "left").join(hits, [*by, "y", "p"], "left")
-    zero = ["eligible_authors", "selected_authors", "papers_with_top"]
-    out = out.na.fill(0, zero)
-    return out.select(*by, "y", "p", *zero[:2], "cutoff_papers", "papers_with_top", "total_papers", F.round(F.col("papers_with_top") / F.col("total_papers"), 6).alias("share"))
+    reached = kinds.withColumn("nominal", nominal.cast("long")).where(F.col("upto") >= F.col("nominal"))
+    return reached.groupBy(*key, "p", "n", "nominal").agg(F.max("c").alias("cutoff"), F.min("upto").alias("selected"))
+
+
+def top_authors(counts: DataFrame, percents: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """Authors at or above the :func:`cutoffs`, ties included."""
+    key = [*by, "y"]
+    met = counts.join(cutoffs(counts, percents, by), key).where(F.col("c") >= F.col("cutoff"))
+    return met.select(*key, "p", "n", "nominal", "cutoff", "author", "c")
+
+
+def rolling_top_shares(papers: DataFrame | None, author_papers: DataFrame, look_back: int, percents: list[int], by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of each year's papers that have an author from the top of the years before; a dense spine of years.
+
+    Without ``papers`` the papers that have an author are counted.  The facts and the authors' counts are
+    written once and read by each step that needs them.
+    """
+    with Scratch(author_papers.sparkSession, "top-shares") as scratch:
+        facts = scratch.write(author_papers.select(*by, "paper", "author", "y"))
+        counts = scratch.write(history_counts(facts, look_back, by))
+        cuts = scratch.write(cutoffs(counts, percents, by))
+        chosen = counts.join(cuts.select(*by, "y", "p", "cutoff"), [*by, "y"]).where(F.col("c") >= F.col("cutoff")).select(*by, "y", "p", "author")
+        hits = facts.join(chosen, [*by, "y", "author"]).groupBy(*by, "y", "p").agg(F.countDistinct("paper").alias("papers_with_top"))
+        totals = (facts if papers is None else papers).groupBy(*by, "y").agg(F.countDistinct("paper").alias("total_papers"))
+        spine = totals.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
+        sizes = cuts.select(*by, "y", "p", F.col("n").alias("eligible_authors"), F.col("selected").alias("selected_authors"), F.col("cutoff").alias("cutoff_papers"))
+        out = spine.join(sizes, [*by, "y", "p"], "left").join(hits, [*by, "y", "p"], "left").na.fill(0, ["eligible_authors", "selected_authors", "papers_with_top"])
+        share = F.round(F.col("papers_with_top") / F.col("total_papers"), 6)
+        return scratch.kept(out.select(*by, "y", "p", "eligible_authors", "selected_authors", "cutoff_papers", "papers_with_top", "total_papers", share.alias("share")))
 
 
 def new_author_stats(papers: DataFrame, author_papers: DataFrame) -> DataFrame:

@@ -84,9 +84,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             new = keep.write(new)
             labels = new.select("node", F.col("m").alias("component"))
             if new.where("m < component").isEmpty():
-                keep.drop(keep=1)
-                return labels
+                out = keep.kept(labels)
+                keep.drop()
+                return out
             keep.drop(keep=1)
+        keep.drop()
         raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -81,7 +81,7 @@ def rolling_top_author_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.rolling_top_shares(field_papers(spark, sf_dir), field_author_papers(spark, sf_dir), LOOK_BACK, [10], ("field",))
+    return A.rolling_top_shares(None, field_author_papers(spark, sf_dir), LOOK_BACK, [10], ("field",))
 
 
 FIELD_TOP = f"WITH {FAP}," + _rolling_sql("field", "fap", "fap", "(10)")

@@ -66,18 +66,20 @@ def normalize_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'http://dx.doi.org/' WHEN 2 THEN 'doi:' ELSE ' https://dx.doi.org/' END || '10.' || page_id || '/AB.' || CASE WHEN page_id % 3 = 0 THEN '.' ELSE '' END AS raw FROM pages)
+    r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 23 = 0 THEN 'NULL' ELSE CASE page_id % 4 WHEN 0 THEN 'https://doi.org/' WHEN 1 THEN 'http://dx.doi.org/' WHEN 2 THEN 'doi:' ELSE ' https://dx.doi.org/' END || '10.' || page_id || '/AB.' || CASE WHEN page_id % 3 = 0 THEN '.' ELSE '' END END AS raw FROM pages)
 SELECT page_id, replace(replace(replace(trim(raw), 'https://doi.org/', ''), 'http://doi.org/', ''), 'http://dx.doi.org/', '') AS works,
   replace(replace(replace(lower(trim(raw)), 'https://doi.org/', ''), 'http://doi.org/', ''), 'http://dx.doi.org/', '') AS scrape,
   regexp_replace(lower(trim(raw)), '^(https://doi\.org/|http://doi\.org/|https://dx\.doi\.org/|http://dx\.doi\.org/|doi:)', '') AS prefix,
   rtrim(replace(replace(replace(replace(replace(lower(trim(raw)), 'https://doi.org/', ''), 'http://doi.org/', ''), 'https://dx.doi.org/', ''), 'http://dx.doi.org/', ''), 'doi:', ''), '.,;') AS papers,
-  rtrim(regexp_replace(lower(trim(raw)), '^(https://doi\.org/|http://doi\.org/|https://dx\.doi\.org/|http://dx\.doi\.org/|doi:)', ''), '.') AS records FROM u"""
+  rtrim(regexp_replace(lower(trim(raw)), '^(https://doi\.org/|http://doi\.org/|https://dx\.doi\.org/|http://dx\.doi\.org/|doi:)', ''), '.') AS records,
+  rtrim(replace(replace(replace(lower(trim(raw)), 'https://doi.org/', ''), 'http://doi.org/', ''), 'http://dx.doi.org/', ''), '.,;') AS "all", replace(replace(lower(trim(raw)), 'https://doi.org/', ''), 'http://dx.doi.org/', '') AS collected,
+  CASE WHEN raw = 'NULL' THEN '' ELSE rtrim(replace(replace(replace(lower(trim(raw)), 'https://doi.org/', ''), 'http://doi.org/', ''), 'http://dx.doi.org/', ''), '.,;') END AS working FROM u"""
 )
 def normalize_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, end = F.col("page_id"), F.when(F.col("page_id") % 3 == 0, ".").otherwise("")
     start = F.when(page % 4 == 0, "https://doi.org/").when(page % 4 == 1, "http://dx.doi.org/").when(page % 4 == 2, "doi:").otherwise(" https://dx.doi.org/")
-    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(start, F.lit("10."), page.cast("string"), F.lit("/AB."), end).alias("raw"))
-    return rows.select("page_id", *[T.doi_key(F.col("raw"), **T.DOI_VARIANTS[v]).alias(v) for v in ("works", "scrape", "prefix", "papers", "records")])
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(page % 23 == 0, "NULL").otherwise(F.concat(start, F.lit("10."), page.cast("string"), F.lit("/AB."), end)).alias("raw"))
+    return rows.select("page_id", *[T.doi_key(F.col("raw"), **T.DOI_VARIANTS[v]).alias(v) for v in T.DOI_VARIANTS])
 
 
 @query(

@@ -32,16 +32,30 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str,
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None, strict: bool = True) -> DataFrame:
-    """One JSON record a line, blank lines skipped; ``strict``: a bad line is an error."""
-    reader = spark.read.option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    return (reader.schema(schema) if schema else reader).json(path)
+    """One JSON record a line, blank lines skipped; ``strict``: a bad line is an error that names its file and line."""
+    if not strict:
+        reader = spark.read.option("mode", "PERMISSIVE")
+        return (reader.schema(schema) if schema else reader).json(path)
+    schema = schema or spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad_line").json(path).drop("_bad_line").schema
+    lines = spark.read.text(path, wholetext=True, lineSep=None).select("value", F.col("_metadata.file_path").alias("_file"))
+    lines = lines.select("_file", F.posexplode(F.split("value", "\\r?\\n")).alias("_line", "_text")).where(F.trim("_text") != "")
+    bad = F.concat(F.lit("bad JSON in "), "_file", F.lit(", line "), (F.col("_line") + 1).cast("string"))
+    checked = F.when(F.try_parse_json("_text").isNull(), F.raise_error(bad).cast("string")).otherwise(F.col("_text"))
+    return lines.select("_file", (F.col("_line") + 1).alias("_line"), F.from_json(checked, schema).alias("_r")).select("_r.*")
 
 
 def combine_jsonl(df: DataFrame, key: str, year: Column, position: Column) -> DataFrame:
     """First record of each id in the order of (year, position); records without an id all stay."""
     has = F.coalesce(F.col(key), F.lit("")) != ""
     place = F.row_number().over(Window.partitionBy(key).orderBy(year, position))
-    return df.withColumn("_r", F.when(has, place).otherwise(1)).where("_r = 1").drop("_r")
+    first = df.where(has).withColumn("_r", place).where("_r = 1").drop("_r")
+    return first.unionByName(df.where(~has))  # rows without an id are no group
+
+
+def side_schema(spark: SparkSession, path: str, sep: str = "¿", quote: str = "¬") -> list[str]:
+    """Column names from a side file: the first cell of each non-blank line."""
+    cell = F.regexp_replace(F.substring_index("value", sep, 1), f"^{quote}|{quote}$", "")
+    return [r["c"] for r in spark.read.text(path).select(cell.alias("c")).where(F.trim("c") != "").collect()]  # one row a column
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,6 +16,8 @@ class _Meta(HTMLParser):
         self.found: dict[str, str] = {}
         self.metas: dict[str, list[str]] = {}
         self.at = ""
+        self.marked: dict[str, list[str]] = {}
+        self.open: list[tuple[str, str | None]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = {k: v or "" for k, v in attrs}
@@ -29,14 +32,29 @@ class _Meta(HTMLParser):
         elif tag in ("title", "h1") and tag not in self.found:
             self.at = tag
             self.found[tag] = ""
+        if tag not in _VOID:
+            words = set(f"{values.get('class', '')} {values.get('id', '')}".lower().replace("_", "-").split())
+            field = next((f for f, names in SELECTORS.items() if words & set(names)), None)
+            self.open.append((tag, field))
+            if field:
+                self.marked.setdefault(field, []).append("")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == self.at:
             self.at = ""
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         if self.at:
             self.found[self.at] += data
+        for field in {f for _, f in self.open if f}:
+            self.marked[field][-1] += data
+
+    def selected(self, field: str) -> str:
+        """The field's marked elements, for pages without its meta tags."""
+        return "; ".join(dict.fromkeys(filter(None, (" ".join(x.split()) for x in self.marked.get(field, [])))))
 
     def first(self, *names: str) -> str:
         return next((x for n in names for x in self.metas.get(n, []) if x), "")
@@ -50,7 +68,17 @@ META = {
     "keywords": ("citation_keywords", "keywords", "dc.subject"),
     "doi": ("citation_doi", "dc.identifier"),
 }
-FIELDS = ["title", "h1", "lang", "charset", "authors", "institutions", "year", "abstract", "keywords", "doi"]
+#: Class and id words of elements that hold a field, where no meta tag does.
+SELECTORS = {
+    "authors": ("author", "authors", "author-name", "contributor"),
+    "abstract": ("abstract", "article-abstract", "abstract-text"),
+    "keywords": ("keywords", "keyword", "article-keywords"),
+    "codes": ("jel", "jel-codes", "jel-classification"),
+}
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_CODE = re.compile(r"\b[A-Z][0-9]{2}\b")
+_ANNOUNCED = re.compile(r"JEL(?:\s+(?:classifications?|codes?|No\.?))?[^A-Za-z0-9]{0,50}([A-Z][0-9]{2}(?:\s*[,;/]\s*[A-Z][0-9]{2})*)", re.I)
+FIELDS = ["codes", "title", "h1", "lang", "charset", "authors", "institutions", "year", "abstract", "keywords", "doi"]
 
 
 def metadata(page: str) -> dict[str, str]:
@@ -63,6 +91,11 @@ def metadata(page: str) -> dict[str, str]:
     out |= {k: m.first(*names) for k, names in META.items()}
     out["title"] = out["title"] or text.get("title", "")
     out["authors"] = "; ".join(dict.fromkeys(filter(None, m.metas.get("citation_author", []) or m.metas.get("author", []))))
+    out["authors"] = out["authors"] or m.selected("authors")
+    for f in ("abstract", "keywords"):
+        out[f] = out[f] or m.selected(f)
+    announced = m.selected("codes") or " ".join(x[1] for x in _ANNOUNCED.finditer(page))
+    out["codes"] = "; ".join(dict.fromkeys(_CODE.findall(announced.upper())))
     out["institutions"] = "; ".join(dict.fromkeys(filter(None, m.metas.get("citation_author_institution", []))))
     return out
 

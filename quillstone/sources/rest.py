@@ -1,18 +1,26 @@
 """REST collectors as a Python data source: one partition for each journal and year, cursor paging, retries.
 
-The transport is a parameter: a callable ``(url, params) -> (status, headers, json)``.  The default
-reads fixture files, because engines are tested without a network; a deployment passes its own.
+The transport is a parameter: a callable ``(url, params) -> (status, headers, json)``, named to the source as
+``module:factory`` (a factory takes the options), so that executors import it.  ``fixtures`` names a folder of
+answers instead, because engines are tested without a network.
 """
 
 from __future__ import annotations
 
+import hashlib
+import importlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.text import DOI_VARIANTS, doi_key
+
 Transport = Callable[[str, dict[str, str]], tuple[int, dict[str, str], dict]]
 
 
@@ -64,9 +72,64 @@ class WorksPartition(InputPartition):
         self.source, self.year = source, year
 
 
+def named_transport(options: dict[str, str]) -> Transport:
+    """The transport that the options name, or the fixture folder's."""
+    if name := options.get("transport"):
+        module, _, factory = name.partition(":")
+        return getattr(importlib.import_module(module), factory)(options)
+    return fixture_transport(options["fixtures"])
+
+
+def paced(transport: Transport, seconds: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Transport:
+    """At least ``seconds`` between the starts of two calls."""
+    last = [float("-inf")]
+
+    def call(url: str, params: dict[str, str]) -> tuple[int, dict[str, str], dict]:
+        wait = last[0] + seconds - clock()
+        if wait > 0:
+            sleep(wait)
+        last[0] = clock()
+        return transport(url, params)
+
+    return call
+
+
+def cached(transport: Transport, folder: str) -> Transport:
+    """Good answers are kept as files by the hash of the call and never asked for again."""
+
+    def call(url: str, params: dict[str, str]) -> tuple[int, dict[str, str], dict]:
+        name = hashlib.sha256(json.dumps([url, params], sort_keys=True).encode()).hexdigest()
+        path = Path(folder) / f"{name}.json"
+        if path.exists():
+            return 200, {}, json.loads(path.read_text())
+        status, headers, body = transport(url, params)
+        if status == 200:
+            path.parent.mkdir(parents=True, exist_ok=True)
+            draft = path.with_suffix(f".{uuid.uuid4().hex}")
+            draft.write_text(json.dumps(body))
+            draft.replace(path)
+        return status, headers, body
+
+    return call
+
+
+def with_token(transport: Transport, token: str) -> Transport:
+    """Every call carries a bearer token."""
+    return lambda url, params: transport(url, params | {"Authorization": f"Bearer {token}"})
+
+
+def first_by_doi(df: DataFrame, doi: Column, order: list[Column]) -> DataFrame:
+    """The first record of each normalized DOI within and across years; records without one all stay."""
+    key = doi_key(doi, **DOI_VARIANTS["collected"])
+    keyed = df.withColumn("_k", key)
+    place = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
+    first = keyed.where("_k <> ''").withColumn("_r", place).where("_r = 1").drop("_r", "_k")
+    return first.unionByName(keyed.where("_k = ''").drop("_k"))
+
+
 class WorksReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder = options["fixtures"]
+        self.given = dict(options)
         self.sources = options["sources"].split(",")
         self.years = range(int(options["from"]), int(options["to"]) + 1)
 
@@ -74,13 +137,13 @@ class WorksReader(DataSourceReader):
         return [WorksPartition(s, y) for s in self.sources for y in self.years]
 
     def read(self, partition: WorksPartition) -> Iterator[tuple]:
-        for record in pages(fixture_transport(self.folder), partition.source, {"year": str(partition.year)}):
+        for record in pages(named_transport(self.given), partition.source, {"year": str(partition.year)}):
             yield partition.source, partition.year, str(record.get("id", "")), json.dumps(record, sort_keys=True)
 
 
 class WorksSource(DataSource):
     """``spark.dataSource.register(WorksSource)``, then ``spark.read.format("works")`` with options
-    ``fixtures`` (shared folder), ``sources`` (by comma), ``from`` and ``to`` (years)."""
+    ``transport`` (``module:factory``) or ``fixtures`` (shared folder), ``sources`` (by comma), ``from`` and ``to`` (years)."""
 
     @classmethod
     def name(cls) -> str:
