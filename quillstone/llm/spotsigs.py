@@ -102,49 +102,60 @@ def jaccard(a: np.ndarray, b: np.ndarray, at_least: float = 0.0) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _buckets(docs: DataFrame, doc_id: str, rows: int) -> tuple[list, dict[int, int], dict[int, int]]:
-    """Cut points of ``doc_id``, each bucket's greatest id and the bucket before it in descending order.
+#: Rows without an id are dealt to so many slices of their text hash.
+_SLICES = 64
 
-    One number a bucket comes to the driver; at most 20,000 buckets are made.
+
+def _buckets(docs: DataFrame, rows: int) -> tuple[np.ndarray, list[tuple[int, int | None, int, int]]]:
+    """Cut points of ``doc_id``, and each bucket's ``(number, greatest id, greatest hash, bucket before it)`` of ``docs(doc_id, th)``.
+
+    One row a bucket comes to the driver: at most 20,000 and the slices of rows without an id.
+    Buckets are streamed, so more rows than ``rows`` in one cost time, not memory.
     """
     n = docs.count()
     cuts = max(1, min(20_000, n // rows))
     share = [i / cuts for i in range(1, cuts)]
-    points = docs.agg(F.percentile_approx(doc_id, share, 100 * cuts).alias("p")).first()["p"] if share else []
-    points = sorted(set(points or []))
-    heads = {r["b"]: r["m"] for r in docs.groupBy(_bucket(F.col(doc_id), points).alias("b")).agg(F.max(doc_id).alias("m")).collect()}
-    order = sorted(heads, reverse=True)
-    return points, heads, {b: order[i - 1] for i, b in enumerate(order)}
+    points = docs.agg(F.percentile_approx("doc_id", share, 100 * cuts).alias("p")).first()["p"] if share else []
+    points = np.unique(np.array(points or [], dtype=np.int64))
+    heads = docs.groupBy(_bucket(points).alias("b")).agg(F.max("doc_id").alias("m"), F.max("th").alias("h")).collect()
+    heads.sort(key=lambda r: -r["b"])
+    return points, [(r["b"], r["m"], r["h"], heads[i - 1]["b"]) for i, r in enumerate(heads)]
+
+
+def _bucket(points: np.ndarray) -> Column:
+    """How many of the sorted points are below ``doc_id``, by bisection; rows without an id come after all, by slices of ``th``."""
 
+    @F.pandas_udf("int")
+    def below(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(points, ids.to_numpy(dtype=np.int64)).astype(np.int32))
 
-def _bucket(doc_id: Column, points: list) -> Column:
-    """How many of the sorted points are below ``doc_id``; rows without an id come last (-1)."""
-    if not points:
-        return F.when(doc_id.isNull(), -1).otherwise(0)
-    return F.when(doc_id.isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in points]), lambda x: x < doc_id)))
+    part = F.shiftrightunsigned(F.col("th").bitwiseXOR(F.lit(-(1 << 63))), 58).cast("int")  # in the order of the hashes
+    return F.when(F.col("doc_id").isNull(), part - _SLICES).otherwise(below(F.coalesce("doc_id", F.lit(0))))
 
 
 def fingerprint_edits(docs: DataFrame, p: SpotSigsParams = SpotSigsParams(), bucket_rows: int = 1_000) -> DataFrame:
     """Fingerprint every text and the same text with its last third replaced by the next one's start.
 
-    Next: descending doc_id, after the last the first; rows without doc_id follow all others;
-    among rows of one doc_id the greater text comes first.  Texts move once: they are dealt by
+    Next: descending doc_id, after the last the first; rows without doc_id follow all others, the
+    greater text hash first; among rows of one doc_id the greater text comes first.  Texts move once: they are dealt by
     ranges of doc_id, and the head of each range also goes to the range before it, where it
     follows the last row.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    points, heads, before = _buckets(base.select("doc_id"), "doc_id", bucket_rows)
+    base = base.withColumn("th", F.xxhash64("text"))
+    points, heads = _buckets(base.select("doc_id", "th"), bucket_rows)
     if not heads:
         return spark.createDataFrame([], _EDITS)
-    own = _bucket(F.col("doc_id"), points)
-    base = base.withColumn("b", own)
-    # The head rows: those whose id is the greatest of their range (one key a range, at most 20,000).
-    links = spark.createDataFrame([(b, m, before[b]) for b, m in heads.items()], "hb int, head long, into int")
-    rows = base.join(F.broadcast(links), (F.col("b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
+    base = base.withColumn("b", _bucket(points))
+    # The head rows: those whose id (or hash, where there is no id) is the greatest of their range; one row a range.
+    links = spark.createDataFrame(heads, "hb int, head long, head_th long, into int")
+    own = (F.col("b") == F.col("hb")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("doc_id").isNotNull() | (F.col("th") == F.col("head_th")))
+    rows = base.join(F.broadcast(links), own, "left")
     both = F.array(F.struct(F.col("b"), F.lit(0).alias("extra")), F.struct(F.col("into").alias("b"), F.lit(1).alias("extra")))
-    rows = rows.select("doc_id", "text", F.explode(F.when(F.col("into").isNotNull(), both).otherwise(F.slice(both, 1, 1))).alias("to")).select("doc_id", "text", "to.b", "to.extra")
-    rows = rows.repartition(partitions(spark), "b").sortWithinPartitions("b", "extra", F.desc_nulls_last("doc_id"), F.desc("text"))
+    rows = rows.select("doc_id", "text", "th", F.explode(F.when(F.col("into").isNotNull(), both).otherwise(F.slice(both, 1, 1))).alias("to")).select("doc_id", "text", "th", "to.b", "to.extra")
+    by_hash = F.when(F.col("doc_id").isNull(), F.col("th"))
+    rows = rows.repartition(partitions(spark), "b").sortWithinPartitions("b", "extra", F.desc_nulls_last("doc_id"), by_hash.desc(), F.desc("text")).drop("th")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []

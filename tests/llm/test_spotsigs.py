@@ -9,9 +9,12 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"b": F.lit("x"), "extra": F.lit(9), "head": F.lit(0), "n_chars": F.lit(-1)})
 
 
-def brute(rows):
+def brute(spark, rows):
     rows = [(i, t or "") for i, t in rows]
-    rows.sort(key=lambda r: r[1], reverse=True)
+    texts = spark.createDataFrame([(t,) for i, t in rows if i is None] or [("",)], "t string")
+    hashes = {r["t"]: r["h"] for r in texts.select("t", F.xxhash64("t").alias("h")).collect()}
+    rows.sort(key=lambda r: hashes[r[1]] if r[0] is None else 0, reverse=True)
+    rows.sort(key=lambda r: "" if r[0] is None else r[1], reverse=True)
     rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0)))
     out = []
     for at, (i, t) in enumerate(rows):
@@ -24,9 +27,9 @@ def brute(rows):
 
 def test_edits_match_brute_force_across_buckets(spark):
     rows = [(i * 7 % 101, f"the word{i} and some other thing{i % 5} of text é{i}\nline " * (i % 6)) for i in range(101)]
-    rows += [(3, "a second text of this id"), (3, "a second text of this id"), (None, "no id"), (None, None), (500, ""), (501, None), (502, "x" * 200_000)]
+    rows += [(3, "a second text of this id"), (3, "a second text of this id"), *[(None, f"no id {i}") for i in range(90)], (None, "no id 3"), (None, None), (500, ""), (501, None), (502, "x" * 200_000)]
     got = sorted((tuple(r) for r in S.fingerprint_edits(frame(spark, rows), bucket_rows=10).collect()), key=str)
-    assert got == brute(rows)
+    assert got == brute(spark, rows)
 
 
 def test_one_row_and_no_rows(spark):
