@@ -68,15 +68,18 @@ def owned(owner: str) -> Iterator[None]:
         _OWNER.pop()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever the shared folder is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the owner's scratch tables; all results that read them must be written by now."""
-    jvm = spark.sparkContext._jvm
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in [p for o, p in _SCRATCH if o == owner]:
         if name := _TABLES.pop(path, None):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
+        remove(spark, path)
     _SCRATCH[:] = [x for x in _SCRATCH if x[0] != owner]
 
 

@@ -190,7 +190,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The mix itself, with the columns of ``docs``: each document as often as it is taken whole, and once
     more with the runs of its words that lie in taken blocks (joined by a line feed), if there are any.
 
-    ``n_chars`` is set to the new text's length where ``docs`` has it.  A null text is taken as the empty one.
+    ``n_chars`` is set to the new text's length where ``docs`` has it.  Texts without words are never taken.
     """
     names = docs.columns
     own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth", "source"]
@@ -200,7 +200,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     # Rows of one doc_id, text and source are alike in all that was placed but their start: both sides number them,
     # before any is left out.  Only where such a row is repeated there is more than one number.
     places = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "text_hash", "source").orderBy("start")))
-    places = places.where("full > 0 or words > 0").select(*[F.col(c).alias(n) for c, n in new.items()])
+    places = places.where("size > 0 and (full > 0 or words > 0)").select(*[F.col(c).alias(n) for c, n in new.items()])
     places = materialize(places, "mix-places")
     rows = docs.withColumn(row_hash, F.xxhash64("text"))
     rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy("doc_id", row_hash, "source").orderBy(F.lit(0))))

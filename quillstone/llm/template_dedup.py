@@ -149,22 +149,26 @@ def _tokens(docs: DataFrame, unsure: DataFrame, p: TemplateParams) -> DataFrame:
     return materialize(found.dropDuplicates(["leaf", "line"]), "template-tokens")
 
 
-def dedup_lines(docs: DataFrame, p: TemplateParams = TemplateParams()) -> DataFrame:
-    """``docs`` with recurring lines removed, plus n_lines and n_dropped; n_chars is set anew if it is there."""
+def dedup_lines(docs: DataFrame, p: TemplateParams = TemplateParams(), counts: bool = True) -> DataFrame:
+    """``docs`` with recurring lines removed; n_chars is set anew if it is there.
+
+    ``counts``: n_lines and n_dropped are added (in place of columns of these names).
+    """
+    own, th, at, kept, text = fresh(docs, "own_th", "drop_th", "drop_at", "kept_at", "kept_text")
     lines, templates = recurring(docs, p)
     templates = templates.select("template", F.col("first.th").alias("keeper"))
     hits = lines.join(_small(templates, 48, p), "template").where("th <> keeper")
-    drops = hits.select("th", "at").distinct().groupBy("th").agg(F.collect_list("at").alias("drop_at"))
-    drops = _small(materialize(drops.withColumnRenamed("th", "drop_th"), "template-drops"), 64, p, "drop_at", 8)
-    rows = docs.withColumn("own_th", F.xxhash64("text"))
-    met = rows.join(drops, (F.col("own_th") == F.col("drop_th")) & F.col("text").isNotNull(), "left")
+    drops = hits.select("th", "at").distinct().groupBy(F.col("th").alias(th)).agg(F.collect_list("at").alias(at))
+    drops = _small(materialize(drops, "template-drops"), 64, p, at, 8)
+    met = docs.withColumn(own, F.xxhash64("text")).join(drops, (F.col(own) == F.col(th)) & F.col("text").isNotNull(), "left")
     parts = F.split("text", "\n", -1)
-    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drop_at"))  # by hash: linear in the lines
-    kept, text = fresh(met, "kept_at", "kept_text")
-    met = met.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(parts))).withColumn("n_dropped", F.coalesce(F.array_size("drop_at"), F.lit(0)))
-    met = met.withColumn(kept, F.when(F.col("drop_at").isNotNull(), places))
-    met = met.withColumn(text, F.when(F.col("drop_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))  # by hash: linear in the lines
+    met = met.withColumn(kept, F.when(F.col(at).isNotNull(), places))
+    met = met.withColumn(text, F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))
     cleaned = {c: F.col(c) for c in docs.columns} | {"text": F.col(text)}
     if "n_chars" in docs.columns:
         cleaned["n_chars"] = F.coalesce(F.length(text).cast("long"), F.lit(0).cast("long"))
-    return met.select(*[v.alias(c) for c, v in cleaned.items()], F.col("n_lines").cast("int").alias("n_lines"), F.col("n_dropped").cast("int").alias("n_dropped"))
+    if counts:
+        cleaned["n_lines"] = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("int")
+        cleaned["n_dropped"] = F.coalesce(F.array_size(at), F.lit(0)).cast("int")
+    return met.select(*[v.alias(c) for c, v in cleaned.items()])

@@ -29,6 +29,24 @@ def test_stages_keep_clean_text_and_pack_everything(spark, tmp_path):
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
 
 
+def test_every_stage_takes_odd_rows_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, clean(1, 3), "en", "a"), (1, clean(1, 3), "en", "a"), (None, clean(2, 3), None, None), (2, None, "en", "a"), (3, "", None, "b"), (4, clean(4, 5) + "\n" + "word " * 40_000, "en", "b"), (5, " \t", "de", None)]
+    extra = {"chunk": F.lit(1), "th": F.lit("t"), "keep": F.lit(True), "class_key": F.lit(2), "shard": F.lit("s"), "start": F.lit(0.5), "piece": F.lit("p"), "drop_th": F.lit(3), "own_th": F.lit(4), "drop_at": F.lit(5), "n_lines": F.lit(6)}
+    docs = spark.createDataFrame([(i, t, g, s, len(t or "")) for i, t, g, s in rows], SCHEMA).withColumns(extra)
+    names = docs.columns
+    dedup = C.line_dedup(spark, docs, "")
+    assert dedup.columns == names and dedup.count() == len(rows)
+    single = C.near_duplicates(spark, docs, "")
+    assert single.columns == names and sorted(str(r["doc_id"]) for r in single.collect()) == sorted(map(str, [1, None, 2, 3, 4, 5]))
+    mixed = C.mixing(spark, docs, "")
+    got = mixed.collect()
+    assert mixed.columns == names and got and all(r["text"].strip() and r["n_chars"] == len(r["text"]) for r in got)
+    packed = C.packing(spark, docs, "").collect()
+    assert sorted(str(r["doc_id"]) for r in packed if r["piece"] == 0) == sorted(str(i) for i, *_ in rows)
+
+
 def test_empty_documents(spark, tmp_path):
     write(spark, str(tmp_path), [], [])
     assert C.run(spark, str(tmp_path)).count() == 0
