@@ -2,6 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and
 read again as the next stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Edge cases, alike in every stage: rows without doc_id take part and come after all others where an order
+decides; repeated rows are judged, cut, mixed and packed like any other (near-duplicates keeps one);
+extra columns of ``documents``, whatever their names, pass through to the last stage, which returns its own
+columns only; an empty table gives no rows.  A null or blank text has no word, so the classifier drops it;
+where a stage is given such a text all the same, line dedup and near-duplicates keep it, mixing never takes
+it and packing packs its end id.  A text of any length is one document throughout.
+
+A stage's scratch tables go when the next one starts, and a stage's result once the next one is written.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.llm.common import owned, release, shared_dir, table
+from quillstone.llm.common import owned, release, remove, shared_dir, table
 from quillstone.llm.kneser_ney import accepted
 from quillstone.llm.minhash_join import one_of_each
 from quillstone.llm.mixing import mixed_documents
@@ -38,25 +47,25 @@ def stage(work: Stage) -> Stage:
 
 @stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; without any trusted document all with a word stay."""
     return accepted(docs, trusted_ids(spark, sf_dir))
 
 
 @stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs across documents go from all texts but their first; documents stay."""
-    return dedup_lines(docs).select(*docs.columns)
+    """Lines whose template recurs across documents go from all texts but their first (least doc_id, then text hash); documents stay."""
+    return dedup_lines(docs, counts=False)
 
 
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays: the least doc_id, null last, then the least text hash."""
     return one_of_each(docs)
 
 
 @stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are taken to their targets: whole documents as often as they fit, then blocks of words."""
+    """Sources (null is one) are taken to their targets: whole documents as often as they fit, then blocks of words."""
     return mixed_documents(docs)
 
 
@@ -74,9 +83,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is a table in the shared folder."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, work in STAGES:
         path = f"{shared_dir(spark)}/quillstone-stage-{uuid.uuid4().hex}"
         work(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     release(spark, "pipeline")
     return docs
