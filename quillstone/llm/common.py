@@ -58,6 +58,18 @@ def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
     return spark.table(name)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside pass at most ``rows`` rows at once to Python; the session's setting comes back afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def owned(owner: str) -> Iterator[None]:
     """Scratch tables written inside belong to ``owner``."""

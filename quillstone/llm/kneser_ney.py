@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucketed, materialize, partitions
+from .common import arrow_rows, bucketed, materialize, partitions
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SHAPES = 6
@@ -57,8 +57,9 @@ _SHAPES = 6
 @dataclass(frozen=True)
 class QualityParams:
     least_count: int = 2
-    chunk_tokens: int = 4_000_000
-    shard_pairs: int = 4_000_000
+    chunk_tokens: int = 1_000_000
+    shard_pairs: int = 1_500_000
+    batch_rows: int = 1_000
     quantile: float = 0.99
     low_quantile: float = 0.005
     slack: float = 1.1
@@ -139,9 +140,10 @@ class _Pairs:
         some = sizes > 0
         before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
         kinds, rank = np.unique(ids, return_inverse=True)
-        keys = rank[before].astype(np.int64) * len(kinds) + rank[tokens]
+        keys = rank[before] * len(kinds)
+        keys += rank[tokens]
         once = _distinct(keys)
-        return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], np.searchsorted(once, keys))
+        return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], np.searchsorted(once, keys).astype(np.int32))
 
 
 _ENC = "chunk long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, words array<long>, shapes array<int>, owns array<int>, own_names array<string>, counts array<long>"
@@ -177,7 +179,7 @@ class _Chunk:
                 self.words.append(_word(lang, w))
                 self.shapes.append(shape(w))
                 self.owns.append(own)
-        self.tokens.append(np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found)))
+        self.tokens.append(np.fromiter(map(number.__getitem__, found), dtype=np.int32, count=len(found)))
         self.docs.append((doc_id, h, lang, bool(good), len(found), number[""]))
         self.size += len(found) + 8
 
@@ -222,7 +224,8 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         if chunk.docs:
             yield chunk.row()
 
-    enc = bucketed(base.mapInPandas(encode, _ENC), "chunk", "kn-chunks")
+    with arrow_rows(spark, p.batch_rows):  # a batch of texts is held as Python strings
+        enc = bucketed(base.mapInPandas(encode, _ENC), "chunk", "kn-chunks")
     total = enc.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
     shards = max(partitions(spark), -(-int(total) // p.shard_pairs))
     vocabulary, kinds = _vocabulary(enc, p)
@@ -232,7 +235,7 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         out = []
         for row in docs.itertuples(index=False):
             sizes = np.asarray(row.sizes, dtype=np.int64)
-            pairs = _Pairs.of(_find(row, known, ["id"])[0].astype(np.int64), _unpack(row.tokens), np.asarray(row.starts, dtype=np.int64), sizes)
+            pairs = _Pairs.of(_find(row, known, ["id"])[0].astype(np.int64), _unpack(row.tokens).astype(np.int32), np.asarray(row.starts, dtype=np.int32), sizes)
             n = np.bincount(pairs.at[np.repeat(np.asarray(row.trusted, dtype=bool), sizes)], minlength=len(pairs.b))
             shard = _shards(pairs.b, pairs.c, shards)
             order = np.argsort(shard, kind="stable")
@@ -290,7 +293,7 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         answer = {int(r.shard): r.n for r in given[given["shard"].notna()].itertuples(index=False)}
         known = given[given["shard"].isna()]
         for row in docs.itertuples(index=False):
-            sizes, tokens, starts = np.asarray(row.sizes, dtype=np.int64), _unpack(row.tokens), np.asarray(row.starts, dtype=np.int64)
+            sizes, tokens, starts = np.asarray(row.sizes, dtype=np.int64), _unpack(row.tokens).astype(np.int32), np.asarray(row.starts, dtype=np.int32)
             ids, cc, m, floor, s, g = _find(row, known, ["id", "cc", "m", "floor", "s", "g"])
             pairs = _Pairs.of(ids.astype(np.int64), tokens, starts, sizes)
             n = np.zeros(len(pairs.b))
@@ -365,7 +368,7 @@ def _by_document(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _times(doc: np.ndarray, x: np.ndarray) -> np.ndarray:
     """How often each token's value occurs in its document."""
-    _, at, n = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)
+    _, at, n = np.unique(doc * (int(x.max()) + 1) + x, return_inverse=True, return_counts=True)  # doc is 64-bit
     return n[at]
 
 
