@@ -20,12 +20,27 @@ DOI_URLS = ["https://doi.org/", "http://doi.org/", "https://dx.doi.org/", "http:
 NOT_PAPERS = [
     "Correction:", "A Correction", "Correction to", "Erratum", "Corrigendum", "comment", "report of", "Editors' Introduction",
     "Editor's Introduction", "Foreword", "reply", "Editorial Announcement", "Ad Hoc Search Committee", "Executive Committee",
-    "List of Online Reports", "Book Review", "Ad Hoc Committee", "Committee on", "Index to Volume", "Recent Referees",
-    "Minutes of the Annual Meeting", "John Bates Clark Award", "Appendix", "Job Openings for Economists", "OUP accepted manuscript",
-    "Accepted Manuscripts", "Acknowledgment of Referees", "Acknowledgement of Referees", "Acknowledgment to Referees",
-    "Acknowledgements to Referees", "Abstracts", "Minutes of the Annual Business Meeting", "Front Matter", "Announcements",
-    "Forthcoming Papers", "Back Cover", "News Notes", "Nobel Lecture:", "Submission of Manuscripts", "Subscription Page",
-    "Table of Content", "General Information on the Association", "Information on the Association", "Referee List", "Title Page",
+    "List of Online Reports", "Book Review", "Frontmatter of Econometrica", "Backmatter of Econometrica ", "Ad Hoc Committee",
+    "Journal of Economic Perspectives", "American Economic Journal", "Journal of Economic Literature", "Committee on", "Index to Volume",
+    "Recent Referees", "Minutes of the Annual Meeting", "Journal of Political Economy", "John Bates Clark Award", "Appendix",
+    "American Economic Association", "American Economic Review", "Job Openings for Economists", "OUP accepted manuscript",
+    "Minutes of the Annual Business Meeting", "Front Matter", "The Econometric Society Annual Reports Econometrica",
+    "Backmatter of Econometrica", "Accepted Manuscripts", "Acknowledgment of Referees", "Acknowledgement of Referees",
+    "Acknowledgment to Referees", "Acknowledgements to Referees", "Abstracts", "Announcements", "Independent Auditors' Report",
+    "The Marriage Squeeze Interpretation of Dowry Inflation: Response", "Forthcoming Papers", "Data on Time to First Decision",
+    "Election of Fellows to the Econometric Society", "North American Summer Meeting of the Econometric Society",
+    "Lucas Prize Announcement", "Back Cover", "News Notes", "Nobel Lecture:", "Meeting of the Econometric Society",
+    "Submission of Manuscripts to Econometrica", "Submission Fees and Response Times in Academic Publishing", "Submission of Manuscripts",
+    "Subscription Page", "Table of Content", "The Econometric Society Annual Reports", "The Quarterly Journal of Economics",
+    "An Astonishing Sixty Years The Legacy of Hiroshima", "the Diamond Water Paradox", "General Information on the Association",
+    "Information on the Association", "Private and Social Rates of Return to Education of Academicians Note",
+    "Protectionism through Prostitution", "Voltaire on Labor Markets and Monetary Policy", "Fellows of the Econometric Society",
+    "Galileo on the Diamond/Water Paradox", "Independent Auditor's Report", "JPE Submissions", "JPE Turnaround Times",
+    "JPE Turnaround Times, Previous Two Years", "Referee List", "Title Page", "Editors Introduction", "Editor s Introduction",
+    "Editor s Note", "Report by the AEA Data Editor", "AEA Data and Code Availability Policy",
+    "Note from the AEA Secretary Treasurer about the Proceedings Supplement", "INDEPENDENT AUDITOR S REPORT", "Independent Auditor s Report",
+    "Behavior of the Firm Under Regulatory Constraint", "Auditors Report Audited Financial Statements", "John Bates Clark Medalist",
+    "A PHENOMENOLOGICAL STUDY OF TEACHING ROLE PERCEPTIONS OF COLLEGE AND UNIVERSITY PROFESSORS", "International Bibliography of Economics",
 ]
 
 

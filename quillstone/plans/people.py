@@ -292,3 +292,18 @@ def predicted_in_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     codes = F.when(key % 3 == 0, F.when(key % 2 == 0, "B2; C3").otherwise("C3")).otherwise("")
     return table(spark, sf_dir, "part").select("p_partkey", T.has_code(codes, F.lit(" B2 ")).alias("has"))
+
+
+_PHRASES = ", ".join("'" + x.replace("'", "''") + "'" for x in T.NOT_PAPERS)
+
+
+@query(
+    f"""WITH p AS (SELECT [{_PHRASES}] AS ph), t AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'On ' || upper(ph[o_orderkey % len(ph) + 1]) || ' again' ELSE 'Plain title ' || o_orderkey END AS title FROM orders, p)
+SELECT o_orderkey, title FROM t, p WHERE len(list_filter(ph, lambda x: contains(lower(title), lower(x)))) = 0"""
+)
+def not_paper_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles without any of the phrases that mark something other than a paper."""
+    key, phrases = F.col("o_orderkey"), F.array(*[F.lit(x) for x in T.NOT_PAPERS])
+    title = F.when(key % 3 == 0, F.concat(F.lit("On "), F.upper(F.get(phrases, (key % len(T.NOT_PAPERS)).cast("int"))), F.lit(" again"))).otherwise(F.concat(F.lit("Plain title "), key.cast("string")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"))
+    return rows.where(~T.is_not_paper(F.col("title")))

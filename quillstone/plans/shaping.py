@@ -181,3 +181,12 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP '2001-09-02'")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.avg("l_discount"), 9).alias("avg_disc"), F.count("*").alias("count_order"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(st) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k"""
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.sessions(table(spark, sf_dir, "events"))
