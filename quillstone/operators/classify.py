@@ -159,3 +159,27 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
     kept = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["v"])
     total = F.aggregate(kept, F.transform(F.get(vectors, 0), lambda _: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
+def softmax_classifier(train: DataFrame, label: str, regularisation: float = 0.0, iterations: int = 50) -> object:
+    """A multinomial logistic regression of one label with any number of classes, weighted by class balance."""
+    weighted = balanced_weights(train, label)
+    return LogisticRegression(featuresCol="features", labelCol=label, weightCol="weight", family="multinomial", maxIter=iterations, regParam=regularisation, tol=1e-6).fit(weighted)
+
+
+def predict_class(model: object, df: DataFrame, row: str, label: str) -> DataFrame:
+    """``row, truth, predicted, confidence``: the likeliest class and its probability."""
+    scored = model.transform(df)
+    return scored.select(F.col(row).alias("row"), F.col(label).cast("int").alias("truth"), F.col("prediction").cast("int").alias("predicted"), F.array_max(vector_to_array("probability")).alias("confidence"))
+
+
+def report(predictions: DataFrame) -> DataFrame:
+    """``class, precision, recall, f1, support`` of ``(row, truth, predicted)``, and accuracy on every row."""
+    cells = predictions.groupBy("truth", "predicted").agg(F.count("*").alias("n"))  # classes squared
+    total = cells.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("right"))
+    true = cells.groupBy(F.col("truth").alias("class")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
+    said = cells.groupBy(F.col("predicted").alias("class")).agg(F.sum("n").alias("said"))
+    rows = true.join(said, "class", "full").na.fill(0).crossJoin(F.broadcast(total))  # one row
+    precision, recall = F.coalesce(F.try_divide("tp", "said"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), F.col("said") + F.col("support")), F.lit(0.0))
+    return rows.select("class", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"), "support", (F.col("right") / F.col("all")).alias("accuracy"))

@@ -76,3 +76,19 @@ def first_of_each(evidence: DataFrame, keys: list[Column], order: list[Column])
     """Evidence deduplicated on normalized keys; the first one wins."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return evidence.withColumn("_r", place).where("_r = 1").drop("_r")
+
+
+def resolution_rows(subjects: DataFrame, outcomes: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(final, review)``: every subject's outcome, ``not_processed`` by default, and what has to be looked at by hand.
+
+    ``outcomes`` is :func:`resolve`'s table of the processed subjects.  A subject that was not accepted has a review
+    row for each piece of its evidence, ranked by confidence, or one of rank 0 without any.
+    """
+    final = subjects.select("subject").join(outcomes, "subject", "left")
+    final = final.withColumn("status", F.coalesce("status", F.lit("not_processed"))).na.fill("", ["reason", "institution"])
+    accepted = F.col("status").isin("matched_high_confidence", "matched_institution_only")
+    shown = final.withColumn("review_reason", F.when(accepted | (F.col("status") == "not_processed"), "").otherwise(F.col("reason")))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("confidence"), "seq"))
+    ranked = evidence.withColumn("candidate_rank", place).select("subject", "candidate_rank", F.col("institution").alias("candidate_institution"), F.col("year").alias("candidate_year"), F.col("confidence").alias("candidate_confidence"))
+    review = shown.where("review_reason <> ''").select("subject", "status", "review_reason").join(ranked, "subject", "left").na.fill(0, ["candidate_rank"])
+    return shown, review

@@ -125,3 +125,23 @@ def regularisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         return C.chosen(C.predict(C.one_vs_rest(train, ["is_3"], setting["regularisation"], iterations=15), test, "row"), 0.5)
 
     return E.grid_search(features, [{"regularisation": x} for x in (0.01, 1.0)], fit_predict, 3)
+
+
+@query()
+def softmax_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A multinomial classifier of the embeddings' label, tested on a fifth of the rows; fitted, so without SQL."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), F.col("label").cast("int").alias("label"))
+    split = E.stratified_split(C.scaled_vectors(rows, "embedding").drop("embedding"), "label", "row").cache()
+    model = C.softmax_classifier(split.where("part = 'train'"), "label", regularisation=0.01, iterations=15)
+    return C.predict_class(model, split.where("part = 'test'"), "row", "label")
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, o_orderkey % 4 AS truth, o_orderkey % 3 AS predicted FROM orders), c AS (SELECT unnest([0, 1, 2, 3]) AS class)
+SELECT CAST(class AS INTEGER) AS class, round(coalesce(tp / nullif(said, 0), 0), 9) AS precision, round(coalesce(tp / nullif(support, 0), 0), 9) AS recall, round(coalesce(2 * tp / nullif(said + support, 0), 0), 9) AS f1, support, round(acc, 9) AS accuracy
+FROM (SELECT class, count(*) FILTER (truth = class AND predicted = class) AS tp, count(*) FILTER (predicted = class) AS said, count(*) FILTER (truth = class) AS support, avg((truth = predicted)::INT) AS acc FROM p CROSS JOIN c GROUP BY class)"""
+)
+def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    out = C.report(table(spark, sf_dir, "orders").select(key.alias("row"), (key % 4).cast("int").alias("truth"), (key % 3).cast("int").alias("predicted")))
+    return out.select("class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support", F.round("accuracy", 9).alias("accuracy"))

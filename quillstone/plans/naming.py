@@ -172,3 +172,30 @@ def manual_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     reasons = {"negative balance": F.col("c_acctbal") < 0, "far nation": F.col("c_nationkey") > 20, "ninth": F.col("c_custkey") % 9 == 0}
     rows = table(spark, sf_dir, "customer").select("c_custkey", ordered_reasons(reasons).alias("review_reasons"))
     return rows.where("review_reasons <> ''")
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    outcomes = evidence_resolution(spark, sf_dir)
+    return S.resolution_rows(outcomes.select("subject"), outcomes.where("subject % 3 <> 0"), _evidence(spark, sf_dir))
+
+
+def _resolved_sql() -> str:
+    from .registry import _SQL
+
+    return _SQL["evidence_resolution"]
+
+
+@query(f"WITH out AS ({_resolved_sql()}) SELECT subject, CASE WHEN subject % 3 = 0 THEN 'not_processed' ELSE status END AS status, CASE WHEN subject % 3 = 0 OR status IN ('matched_high_confidence', 'matched_institution_only') THEN '' ELSE reason END AS review_reason FROM out")
+def resolution_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject's outcome; those without one are not processed."""
+    return _outcomes(spark, sf_dir)[0].select("subject", "status", "review_reason")
+
+
+@query(
+    f"""WITH out AS ({_resolved_sql()}), ev AS (SELECT event_id AS seq, event_id // 5 AS subject, CASE WHEN event_type = 'click' THEN '' ELSE 'place ' || (event_id % 2) END AS institution FROM events)
+SELECT subject, status, reason AS review_reason, count(seq) AS candidates, count(*) FILTER (ev.institution <> '') AS with_place FROM out LEFT JOIN ev USING (subject) WHERE subject % 3 <> 0 AND status NOT IN ('matched_high_confidence', 'matched_institution_only') GROUP BY ALL"""
+)
+def resolution_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates each subject shows for review."""
+    rows = _outcomes(spark, sf_dir)[1]
+    return rows.groupBy("subject", "status", "review_reason").agg(F.count_if(F.col("candidate_rank") > 0).alias("candidates"), F.count_if(F.col("candidate_institution") != "").alias("with_place"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as K
 from ..functions import people as P
 from ..functions import text as T
 from ..operators import crosswalk as X
 from ..operators import filters as R
 from ..operators import linkage as L
+from ..operators.cleaning import SourceRules, clean_source
 from .facts import table
 from .registry import query
 
@@ -307,3 +309,49 @@ def not_paper_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(key % 3 == 0, F.concat(F.lit("On "), F.upper(F.get(phrases, (key % len(T.NOT_PAPERS)).cast("int"))), F.lit(" again"))).otherwise(F.concat(F.lit("Plain title "), key.cast("string")))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"))
     return rows.where(~T.is_not_paper(F.col("title")))
+
+
+@query(
+    """SELECT n_nationkey AS x_n_nationkey, n_name AS x_n_name, '' AS x_extra, CASE n_name WHEN 'FRANCE' THEN 'FR' WHEN 'PERU' THEN 'PE' ELSE n_name END AS mapped, trim(n_name || ' ' || CASE WHEN n_regionkey = 1 THEN '' ELSE CAST(n_regionkey AS VARCHAR) END) AS combined,
+  CASE WHEN n_regionkey = 1 THEN n_name ELSE n_name || '; ' || CAST(n_regionkey AS VARCHAR) END AS joined FROM nation"""
+)
+def column_plumbing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict, padded and tolerant projections, prefixes, order, mapping, combined and joined cells."""
+    nation = table(spark, sf_dir, "nation")
+    region = F.when(F.col("n_regionkey") == 1, " ").otherwise(F.col("n_regionkey").cast("string"))
+    rows = nation.select("*", region.alias("region"))
+    made = rows.select("n_nationkey", K.map_values(F.col("n_name"), {"FRANCE": "FR", "PERU": "PE"}).alias("mapped"), K.combine_text(F.col("n_name"), F.col("region")).alias("combined"), K.join_distinct([F.array("n_name", "region"), F.array("n_name")]).alias("joined"))
+    plain = K.pad_columns(K.drop_columns(K.keep_columns(nation, ["n_name", "n_nationkey", "n_regionkey"]), ["n_regionkey", "absent"]), ["n_name", "extra", "n_nationkey"])
+    plain = K.order_columns(K.add_prefix(K.add_prefix(plain, "x_"), "x_"), ["x_n_nationkey", "absent", "x_extra"])
+    return plain.join(made, F.col("x_n_nationkey") == F.col("n_nationkey")).select(*plain.columns, "mapped", "combined", "joined")
+
+
+@query(
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'a ' || c_mktsegment WHEN 2 THEN '' ELSE c_mktsegment END AS markup, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE c_name || ' x' END AS title,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment || ' ' || c_name ELSE c_name END AS reversed, c_mktsegment || ' ' || c_name AS versions, round(1 / (1 + exp(1.0::DOUBLE - 2.0::DOUBLE * (c_custkey % 2))), 9) AS soft FROM customer"""
+)
+def text_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup and null marks, title suffixes, comma names, white space of name versions, softmax."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    markup = F.when(key % 4 == 0, "<i>NULL</i>").when(key % 4 == 1, F.concat(F.lit("<p>a</p> "), "c_mktsegment")).when(key % 4 == 2, r" \N ").otherwise(F.concat(F.lit(" <b>"), "c_mktsegment", F.lit("</b>")))
+    title = F.when(key % 3 == 0, F.concat("c_name", F.lit("  Open Access"))).otherwise(F.concat("c_name", F.lit(" x Available for Purchase")))
+    comma = F.when(key % 2 == 0, F.concat("c_name", F.lit(" , "), "c_mktsegment")).otherwise(F.col("c_name"))
+    versions = F.concat(F.lit(" "), "c_mktsegment", F.lit("\r\n\t "), "c_name")
+    soft = F.get(T.softmax(F.array(F.lit(1.0), 2.0 * (key % 2).cast("double"))), 1)
+    return rows.select("c_custkey", T.clean_markup(markup).alias("markup"), T.clean_title(title).alias("title"), T.reverse_comma(comma).alias("reversed"), P.name_versions(versions).alias("versions"), F.round(soft, 9).alias("soft"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey, 'https://doi.org/10.1/' || (o_orderkey % 400) AS doi, 'T ' || (o_orderkey % 300) AS title, o_orderpriority AS abstract, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_clerk END AS authors, o_orderstatus AS journal, year(o_orderdate) AS y FROM (SELECT *, CAST(o_custkey AS VARCHAR) AS o_clerk FROM orders)),
+f AS (SELECT *, lower(title) AS title_key FROM s WHERE journal IN ('F', 'O') AND y BETWEEN 1993 AND 1999 AND NOT contains(lower(title), 't 7') AND o_orderkey NOT IN (5, 6)),
+l AS (SELECT * EXCLUDE abstract, first_value(abstract) OVER (PARTITION BY title_key ORDER BY length(abstract) DESC, o_orderkey) AS abstract, count(*) OVER (PARTITION BY title_key) AS n FROM f),
+d AS (SELECT * FROM l WHERE NOT (n > 1 AND authors = ''))
+SELECT o_orderkey, replace(doi, 'https://doi.org/', '') AS doi, title_key, abstract, authors FROM (SELECT *, row_number() OVER (PARTITION BY doi ORDER BY o_orderkey) AS rn FROM d) WHERE rn = 1"""
+)
+def source_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleaning steps of one source in their order."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" https://doi.org/10.1/"), (key % 400).cast("string")).alias("doi"), F.concat(F.lit("T  "), (key % 300).cast("string"), F.lit(" *")).alias("title"), F.concat(F.lit("<p>"), "o_orderpriority", F.lit("</p>")).alias("abstract"), F.when(key % 5 == 0, " ").otherwise(F.col("o_custkey").cast("string")).alias("authors"), F.concat(F.lit(" "), "o_orderstatus").alias("journal"), F.year("o_orderdate").alias("year"))
+    rules = SourceRules(journals=("f", "o"), years=(1993, 1999), dropped={"o_orderkey": [5, 6]}, phrases=("T  7",))
+    return clean_source(rows, rules, "o_orderkey").select("o_orderkey", "doi", "title_key", "abstract", "authors")
