@@ -1,4 +1,3 @@
-import datetime
 import gzip
 import json
 
@@ -33,7 +32,7 @@ def test_jsonl_combine_and_sink(spark, tmp_path):
     got = files.combine_jsonl(df, "id", F.col("y"), F.col("v"))
     assert sorted((r["id"], r["v"]) for r in got.collect()) == [("", 2), ("", 4), ("a", 3)]
     files.write_jsonl(got.select("id"), str(tmp_path / "out"), "2024-01-01")
-    assert {r["collection_date"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {datetime.date(2024, 1, 1)}
+    assert {r["collection_date"] for r in spark.read.json(str(tmp_path / "out")).collect()} == {"2024-01-01"}
     (tmp_path / "bad").mkdir()
     (tmp_path / "bad/x.jsonl").write_text("{oops\n")
     with pytest.raises(Exception):  # noqa: B017
