@@ -15,6 +15,7 @@ from .kneser_ney import judge
 from .minhash_join import similar
 from .mixing import mix
 from .packing import PackParams, pack
+from .quality_rules import judge_rules, rules_sql
 from .spotsigs import fingerprint_edits
 from .template_dedup import dedup_lines
 from .url_trust import judge_urls
@@ -86,6 +87,12 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every whole text."""
+    rows = judge_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 OP6_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -101,9 +108,15 @@ FROM t GROUP BY conv_id
 """
 
 
+QUERIES = [
+    op1_kmeans_tree_search, op2_spotsigs, op3_kneser_ney_quality, op4_minhash_join, op5_template_dedup, op6_chat_format, op7_host_suffix_extract,
+    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op13_quality_rules,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_kmeans_tree_search": op1_kmeans_tree_search, "op2_spotsigs": op2_spotsigs, "op3_kneser_ney_quality": op3_kneser_ney_quality, "op4_minhash_join": op4_minhash_join, "op5_template_dedup": op5_template_dedup, "op6_chat_format": op6_chat_format, "op7_host_suffix_extract": op7_host_suffix_extract, "op8_link_trust": op8_link_trust, "op9_pattern_packing": op9_pattern_packing, "op10_sainte_lague_mix": op10_sainte_lague_mix}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL}
+    return {"op6_chat_format": OP6_SQL, "op13_quality_rules": rules_sql()}
