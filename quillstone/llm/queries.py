@@ -12,6 +12,7 @@ from .chat_format import digests, format_turns, turns_of_rows
 from .common import table
 from .html_extract import extract
 from .kneser_ney import judge
+from .lexical_search import SEARCH_SQL, search
 from .minhash_join import similar
 from .mixing import mix
 from .packing import PackParams, pack
@@ -87,6 +88,11 @@ def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op11_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every whole text."""
     rows = judge_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -110,7 +116,7 @@ FROM t GROUP BY conv_id
 
 QUERIES = [
     op1_kmeans_tree_search, op2_spotsigs, op3_kneser_ney_quality, op4_minhash_join, op5_template_dedup, op6_chat_format, op7_host_suffix_extract,
-    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op13_quality_rules,
+    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op11_wand_search, op13_quality_rules,
 ]
 
 
@@ -119,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op13_quality_rules": rules_sql()}
+    return {"op6_chat_format": OP6_SQL, "op11_wand_search": SEARCH_SQL, "op13_quality_rules": rules_sql()}
