@@ -19,6 +19,7 @@ from .packing import PackParams, pack
 from .quality_rules import judge_rules, rules_sql
 from .spotsigs import fingerprint_edits
 from .template_dedup import dedup_lines
+from .token_align import AlignParams, align
 from .url_trust import judge_urls
 
 
@@ -93,6 +94,13 @@ def op11_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_byte_owner_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How two public tokenizers' tokens of every document overlap."""
+    import public_tokenizers
+
+    return align(table(spark, sf_dir, "documents"), AlignParams(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every whole text."""
     rows = judge_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -116,7 +124,7 @@ FROM t GROUP BY conv_id
 
 QUERIES = [
     op1_kmeans_tree_search, op2_spotsigs, op3_kneser_ney_quality, op4_minhash_join, op5_template_dedup, op6_chat_format, op7_host_suffix_extract,
-    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op11_wand_search, op13_quality_rules,
+    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op11_wand_search, op12_byte_owner_align, op13_quality_rules,
 ]
 
 
