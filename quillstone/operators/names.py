@@ -15,15 +15,20 @@ from ..functions.text import sequence_ratio
 def numbered(keys: DataFrame, key: str, out: str, pattern: str) -> DataFrame:
     """Consecutive ids of the distinct non-blank keys in their order.
 
-    The keys are sorted by ranges and numbered within each range; only the ranges' sizes meet.
+    The keys are dealt to ranges between sampled splitters, sorted and numbered within each range as they are
+    written; only the ranges' sizes, one row a range, meet in one place.  No step groups by a part of the key.
     """
+    spark = keys.sparkSession
     distinct = keys.select(key).where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
-    spread = distinct.withColumn("_b", F.substring(key, 1, 2))
-    sizes = spread.groupBy("_b").agg(F.count("*").alias("_c"))  # at most one row for each pair of first characters
-    skip = F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    placed = spread.withColumn("_r", within).join(sizes.select("_b", skip.alias("_s")), "_b")
-    return placed.select(key, F.format_string(pattern, (F.col("_s") + F.col("_r")).cast("long")).alias(out))
+    ranged = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
+    place = F.monotonically_increasing_id()
+    with Scratch(spark, "ranges") as scratch:
+        # the ids hold the partition above 33 bits of the row's place in it
+        written = scratch.kept(ranged.select(key, F.shiftright(place, 33).alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1).cast("long")).alias("_at")))
+    sizes = written.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = written.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")  # no more rows than shuffle partitions
+    return placed.select(key, F.format_string(pattern, F.col("_before") + F.col("_at") + 1).alias(out))
 
 
 def exact_groups(df: DataFrame, key: str, out: str = "exact_id") -> DataFrame:
@@ -32,12 +37,15 @@ def exact_groups(df: DataFrame, key: str, out: str = "exact_id") -> DataFrame:
 
 
 def prefix_pairs(names: DataFrame, least: int = 3) -> DataFrame:
-    """Pairs of first names in a last-name block of which one begins with the other; ``names(key, first, last)``."""
-    a, b = names.select(*[F.col(c).alias(f"{c}_a") for c in ("key", "first", "last")]), names.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "first", "last")])
-    pairs = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("key_a") < F.col("key_b")))
-    short = F.least(F.length("first_a"), F.length("first_b"))
-    begins = F.startswith(F.col("first_a"), F.col("first_b")) | F.startswith(F.col("first_b"), F.col("first_a"))
-    return pairs.where((short >= least) & begins).select("key_a", "key_b", F.lit("prefix").alias("reason"))
+    """Pairs of first names in a last-name block of which one begins with the other; ``names(key, first, last)``.
+
+    Every name meets the names that equal one of its proper beginnings, so no pair is made that isn't one; equal names are none.
+    """
+    length = F.length("first")
+    beginnings = names.where(length > least).select(F.col("key").alias("long_key"), "last", F.explode(F.transform(F.sequence(F.lit(least), length - 1), lambda n: F.substring("first", F.lit(1), n))).alias("first"))
+    shorter = names.where(length >= least).select("last", "first", F.col("key").alias("short_key"))
+    pairs = beginnings.join(shorter, ["last", "first"]).where("short_key <> long_key")
+    return pairs.select(F.least("short_key", "long_key").alias("key_a"), F.greatest("short_key", "long_key").alias("key_b"), F.lit("prefix").alias("reason"))
 
 
 def initial_pairs(names: DataFrame) -> DataFrame:
@@ -50,18 +58,52 @@ def initial_pairs(names: DataFrame) -> DataFrame:
 
 
 def similar_pairs(names: DataFrame, least: float = 0.92, letters: int = 4) -> DataFrame:
-    """Pairs in a last-name block whose first names begin with the same letter, have at least ``letters`` each and are
-    that similar, compared in the order of their keys.
-
-    Both conditions are part of the join, and the lengths alone bound the similarity (2 * shorter / sum), so
-    few pairs reach the comparison.
+    """Pairs in a last-name block whose first names differ, begin with the same letter, have at least ``letters`` each
+    and are that similar, compared in the order of their keys.
+
+    The ratio is twice the number of matched letters over both lengths, so a pair of lengths ``m <= n`` must have
+    ``ceil(least * (m + n) / 2)`` letters in common, in order, and may leave out ``k`` on both sides together.  The shorter
+    name is cut into ``k + 1`` parts, of which one at least stands whole in the longer name, no further from its place than
+    the letters left out allow.  So names meet on (last name, letter, both lengths, part), which splits a block of any size,
+    and only names that share a part are compared.  ``least`` above 2/3 keeps every part non-empty.
     """
-    rows = names.where(F.length("first") >= letters).withColumn("initial", F.substring("first", 1, 1))
-    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("key", "first", "last", "initial")]) for side in "ab")
-    size_a, size_b = F.length("first_a"), F.length("first_b")
-    possible = 2 * F.least(size_a, size_b) >= least * (size_a + size_b)
-    pairs = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("initial_a") == F.col("initial_b")) & (F.col("key_a") < F.col("key_b")) & possible)
-    pairs = pairs.withColumn("ratio", sequence_ratio("first_a", "first_b"))
+    if not 2 / 3 < least <= 1:
+        raise ValueError(f"least has to be above 2/3 and at most 1, not {least}")
+    if names.schema["first"].dataType.simpleString() != "string":
+        raise ValueError("first names have to be strings")
+    size = F.length("first")
+    rows = names.where(size >= letters).select("key", "last", "first", F.substring("first", 1, 1).alias("initial"), size.alias("n"))
+    slack = 1e-9  # of a product that should be whole
+
+    def left_out(m: Column, n: Column) -> Column:
+        return (m + n - 2 * F.ceil(F.lit(least) * (m + n) / 2 - slack)).cast("int")
+
+    def start(i: Column, m: Column, k: Column) -> Column:
+        return F.floor(i * m / (k + 1)).cast("int")
+
+    shorter = rows.select("key", "last", "first", "initial", F.col("n").alias("short"))
+    longest = F.floor(F.col("short") * (2 - least) / least + slack).cast("int")
+    shorter = shorter.select("*", F.explode(F.sequence(F.col("short"), longest)).alias("long")).withColumn("k", left_out(F.col("short"), F.col("long"))).where("k > 0 and k >= long - short")
+    shorter = shorter.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"))
+    own = start(F.col("part"), F.col("short"), F.col("k"))
+    shorter = shorter.select("key", "first", "last", "initial", "short", "long", "part", F.substring("first", own + 1, start(F.col("part") + 1, F.col("short"), F.col("k")) - own).alias("text"))
+
+    longer = rows.select("key", "last", "first", "initial", F.col("n").alias("long"))
+    shortest = F.greatest(F.lit(letters), F.ceil(F.col("long") * least / (2 - least) - slack).cast("int"))
+    longer = longer.select("*", F.explode(F.sequence(F.least(shortest, F.col("long")), F.col("long"))).alias("short")).withColumn("k", left_out(F.col("short"), F.col("long"))).where("k > 0 and k >= long - short")
+    longer = longer.select("*", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("part"))
+    own = start(F.col("part"), F.col("short"), F.col("k"))
+    width = start(F.col("part") + 1, F.col("short"), F.col("k")) - own
+    gap = F.col("long") - F.col("short")
+    low, high = F.greatest(F.lit(0), own - F.floor((F.col("k") - gap) / 2)), F.least(F.col("long") - width, own + F.floor((F.col("k") + gap) / 2))
+    places = F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))
+    longer = longer.select("key", "first", "last", "initial", "short", "long", "part", F.explode(F.array_distinct(F.transform(places, lambda p: F.substring("first", p + 1, width)))).alias("text"))
+
+    a, b = (d.select("last", "initial", "short", "long", "part", "text", F.col("key").alias(f"key_{x}"), F.col("first").alias(f"first_{x}")) for d, x in ((shorter, "s"), (longer, "l")))
+    met = a.join(b, ["last", "initial", "short", "long", "part", "text"]).where("key_s <> key_l and first_s <> first_l")
+    ahead = F.col("key_s") < F.col("key_l")
+    sides = {"key_a": F.when(ahead, F.col("key_s")).otherwise(F.col("key_l")), "key_b": F.when(ahead, F.col("key_l")).otherwise(F.col("key_s")), "first_a": F.when(ahead, F.col("first_s")).otherwise(F.col("first_l")), "first_b": F.when(ahead, F.col("first_l")).otherwise(F.col("first_s"))}
+    pairs = met.select(*[c.alias(n) for n, c in sides.items()]).distinct().withColumn("ratio", sequence_ratio("first_a", "first_b"))
     return pairs.where(F.col("ratio") >= least).select("key_a", "key_b", "ratio")
 
 

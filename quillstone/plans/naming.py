@@ -81,10 +81,22 @@ def author_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.components(_edges(spark, sf_dir).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 
 
+def title_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key, first, last``: every two words that stand side by side in a title, as a person's names.
+
+    Words are lower case; a frequent last word makes a large block.
+    """
+    words = F.filter(F.split(F.lower(F.substring_index("text", "\n", 1)), r"[^\p{L}]+"), lambda w: w != "")
+    titles = table(spark, sf_dir, "documents").select(words.alias("w")).where(F.size("w") > 1)
+    both = F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("first"), F.slice("w", 2, F.size("w") - 1).alias("last"))
+    rows = titles.select(F.explode(both).alias("n")).select(F.concat_ws("_", "n.last", "n.first").alias("key"), "n.first", "n.last")
+    return rows.distinct()
+
+
 @query()
 def fuzzy_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence similarity of first names in a last-name block (no SQL has this measure)."""
-    return N.similar_pairs(_keys(spark, sf_dir), 0.8)
+    return N.similar_pairs(title_names(spark, sf_dir))
 
 
 @query()

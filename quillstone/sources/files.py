@@ -31,17 +31,49 @@ def read_delimited(spark: SparkSession, path: str, columns: list[str], sep: str,
     return spark.read.option("sep", sep).option("quote", quote).schema(schema).csv(path).na.fill("")
 
 
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` of every line, with its file, the file's block that a task read it from, and ascending places in the block."""
+    names = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "place": F.monotonically_increasing_id()}
+    return spark.read.text(path).select(F.col("value").alias("text"), *[c.alias(n) for n, c in names.items()])
+
+
+def _lines_before(blocks: DataFrame) -> DataFrame:
+    """Of ``blocks(file, block, lines)``: how many lines of the file stand before each block; a file has few blocks."""
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("before", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line, text`` of text files of any size, which are read in splits; ``line`` counts from 1.
+
+    Blocks' line counts are one small table; their sums, file by file, are what each block's lines start from.
+    """
+    lines = _blocks(spark, path)
+    starts = _lines_before(lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("place").alias("first")))
+    return lines.join(starts.select("file", "block", "first", "before"), ["file", "block"]).select("file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "text")
+
+
+def bad_json_line(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """File and number of a line that is no JSON, the first of its file; None if all are.
+
+    One aggregating pass: each block gives its number of lines and its first bad one, and no line is moved.
+    """
+    bad = (F.trim("text") != "") & F.try_parse_json("text").isNull()
+    blocks = _blocks(spark, path).groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("place").alias("first"), F.min(F.when(bad, F.col("place"))).alias("bad"))
+    found = _lines_before(blocks).where("bad IS NOT NULL").select("file", (F.col("before") + F.col("bad") - F.col("first") + 1).alias("line"))
+    row = found.orderBy("file", "line").limit(1).first()
+    return (row["file"], row["line"]) if row else None
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | None = None, strict: bool = True) -> DataFrame:
-    """One JSON record a line, blank lines skipped; ``strict``: a bad line is an error that names its file and line."""
-    if not strict:
-        reader = spark.read.option("mode", "PERMISSIVE")
-        return (reader.schema(schema) if schema else reader).json(path)
-    schema = schema or spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad_line").json(path).drop("_bad_line").schema
-    lines = spark.read.text(path, wholetext=True, lineSep=None).select("value", F.col("_metadata.file_path").alias("_file"))
-    lines = lines.select("_file", F.posexplode(F.split("value", "\\r?\\n")).alias("_line", "_text")).where(F.trim("_text") != "")
-    bad = F.concat(F.lit("bad JSON in "), "_file", F.lit(", line "), (F.col("_line") + 1).cast("string"))
-    checked = F.when(F.try_parse_json("_text").isNull(), F.raise_error(bad).cast("string")).otherwise(F.col("_text"))
-    return lines.select("_file", (F.col("_line") + 1).alias("_line"), F.from_json(checked, schema).alias("_r")).select("_r.*")
+    """One JSON record a line, blank lines skipped; ``strict``: a bad line is an error that names its file and line.
+
+    Files are read in splits; strict reading first checks all lines in a pass of its own.
+    """
+    if strict and (bad := bad_json_line(spark, path)):
+        raise ValueError(f"bad JSON in {bad[0]}, line {bad[1]}")
+    reader = spark.read.option("mode", "PERMISSIVE")
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def combine_jsonl(df: DataFrame, key: str, year: Column, position: Column) -> DataFrame:

@@ -77,12 +77,41 @@ def test_named_transport_and_doi_dedup(spark):
 
 def test_bad_lines_are_named(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id":"x"}\n\n{"id":\n')
-    with pytest.raises(Exception, match="line 3"):
-        files.read_jsonl(spark, str(tmp_path / "a.jsonl")).collect()
+    with pytest.raises(ValueError, match="a.jsonl, line 3"):
+        files.read_jsonl(spark, str(tmp_path / "a.jsonl"))
     (tmp_path / "b.jsonl").write_text('{"id":"x"}\r\n\n{"id":"y"}\n')
     assert sorted(r["id"] for r in files.read_jsonl(spark, str(tmp_path / "b.jsonl")).collect()) == ["x", "y"]
 
 
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lines_of_split_files_keep_their_numbers(spark, tmp_path, small_splits):
+    want = {}
+    for name, n in (("a", 400), ("b", 3), ("c", 150)):
+        lines = ["" if i % 7 == 3 else json.dumps({"id": f"{name}{i}", "pad": "é" * (i % 40)}) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+        want |= {(f"{name}.jsonl", i + 1): x for i, x in enumerate(lines)}
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10  # a file is read by several tasks
+    got = {(r["file"].rpartition("/")[2], r["line"]): r["text"] for r in files.numbered_lines(spark, str(tmp_path)).collect()}
+    assert got == want
+    assert files.read_jsonl(spark, str(tmp_path)).where("id IS NOT NULL").count() == sum(bool(x) for x in want.values())
+    text = (tmp_path / "a.jsonl").read_text().split("\n")
+    text[311], text[390] = '{"id": oops', "{"
+    (tmp_path / "a.jsonl").write_text("\n".join(text))
+    assert files.bad_json_line(spark, str(tmp_path))[1] == 312
+    with pytest.raises(ValueError, match="a.jsonl, line 312"):
+        files.read_jsonl(spark, str(tmp_path))
+
+
 def test_side_schema(spark, tmp_path):
     (tmp_path / "s.txt").write_text("¬paper¬¿text\nname¿text\n\n", encoding="utf-8")
     assert files.side_schema(spark, str(tmp_path / "s.txt")) == ["paper", "name"]
