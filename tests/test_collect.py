@@ -58,7 +58,6 @@ def test_transports(tmp_path):
     kept = rest.cached(lambda u, p: seen.append(u) or ((200, {}, {"u": u}) if u == "good" else (500, {}, {})), str(tmp_path / "c"))
     assert [kept("good", {})[2], kept("good", {})[2], kept("bad", {})[0], kept("bad", {})[0]] == [{"u": "good"}, {"u": "good"}, 500, 500]
     assert seen == ["good", "bad", "bad"]
-    assert rest.with_token(lambda u, p: (200, {}, p), "t")("u", {})[2] == {"Authorization": "Bearer t"}
 
 
 def from_options(options):
