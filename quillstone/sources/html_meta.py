@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.markup import TolerantParser
 
-class _Meta(HTMLParser):
+
+class _Meta(TolerantParser):
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.found: dict[str, str] = {}
         self.metas: dict[str, list[str]] = {}
         self.at = ""
-        self.marked: dict[str, list[str]] = {}
+        self.marked: dict[str, list[list[str]]] = {}
         self.open: list[tuple[str, str | None]] = []
+        self.tags: Counter[str] = Counter()  # of open elements
+        self.fields: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         values = {k: v or "" for k, v in attrs}
@@ -36,25 +40,30 @@ class _Meta(HTMLParser):
             words = set(f"{values.get('class', '')} {values.get('id', '')}".lower().replace("_", "-").split())
             field = next((f for f, names in SELECTORS.items() if words & set(names)), None)
             self.open.append((tag, field))
+            self.tags[tag] += 1
             if field:
-                self.marked.setdefault(field, []).append("")
+                self.fields[field] += 1
+                self.marked.setdefault(field, []).append([])
 
     def handle_endtag(self, tag: str) -> None:
         if tag == self.at:
             self.at = ""
-        if any(t == tag for t, _ in self.open):
-            while self.open.pop()[0] != tag:
-                pass
+        last = "" if self.tags[tag] else tag
+        while last != tag:
+            last, field = self.open.pop()
+            self.tags[last] -= 1
+            if field:
+                self.fields[field] -= 1
 
     def handle_data(self, data: str) -> None:
         if self.at:
             self.found[self.at] += data
-        for field in {f for _, f in self.open if f}:
-            self.marked[field][-1] += data
+        for field in +self.fields:
+            self.marked[field][-1].append(data)
 
     def selected(self, field: str) -> str:
         """The field's marked elements, for pages without its meta tags."""
-        return "; ".join(dict.fromkeys(filter(None, (" ".join(x.split()) for x in self.marked.get(field, [])))))
+        return "; ".join(dict.fromkeys(filter(None, (" ".join("".join(x).split()) for x in self.marked.get(field, [])))))
 
     def first(self, *names: str) -> str:
         return next((x for n in names for x in self.metas.get(n, []) if x), "")
@@ -84,8 +93,7 @@ FIELDS = ["codes", "title", "h1", "lang", "charset", "authors", "institutions",
 def metadata(page: str) -> dict[str, str]:
     """Metadata of one page; a page title stands in for a missing meta title."""
     m = _Meta()
-    m.feed(page)
-    m.close()
+    m.read(page)
     text = {k: " ".join(v.split()) for k, v in m.found.items()}
     out = {"h1": text.get("h1", ""), "lang": text.get("lang", ""), "charset": text.get("charset", "")}
     out |= {k: m.first(*names) for k, names in META.items()}

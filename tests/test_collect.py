@@ -1,6 +1,7 @@
 """Collectors, sinks and the command line without a network."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -49,6 +50,16 @@ def test_selectors_only_where_no_meta_tag():
     assert (got["authors"], got["keywords"]) == ("A", "k1k2")
 
 
+def test_no_page_stops_the_parser():
+    got = html_meta.metadata('<![foo[bar]]><title>T</title><![CDATA[x]]><![if gte]><h1>H</h1><div class="abstract">A</div><!x><?y>')
+    assert (got["title"], got["h1"], got["abstract"]) == ("T", "H", "A")
+    start = time.perf_counter()
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, '<div class="abstract">' * 3_000 + "x" * 100, "<i><b>" * 30_000 + "</i>" * 30_000, "<a x" * 60_000):
+        html_meta.metadata(page)
+    assert time.perf_counter() - start < 20
+    assert html_meta.metadata("<title>T</title> <b unending")["title"] == "T"
+
+
 def test_transports(tmp_path):
     times, waits = iter([0.0, 0.0, 1.0, 1.0]), []
     call = rest.paced(lambda u, p: (200, {}, {"n": 1}), 3.0, clock=lambda: next(times), sleep=waits.append)
