@@ -2,8 +2,11 @@
 
 Every page is parsed to blocks (the text between block-level tags) in three zones:
 
-* ``main``: inside the article (else inside the main element, else inside a container named as
-  content), but not in a menu, header, footer, sidebar, notice, advert, form or comment within it;
+* ``main``: inside the article and in the title of the main element around it (else inside the main
+  element, else inside a container named as content), but not in a menu, footer, sidebar, notice, advert,
+  form or comment within it.  The article's own header is its text.  Within an article a class name alone
+  drops nothing, unless the whole name stands for what is never text (``ad``, ``comments``); other names
+  that speak against a block need a second sign, controls or mostly links;
 * ``out``: inside such parts, or in scripts, styles and other invisible elements;
 * ``open``: everything else.
 
@@ -42,7 +45,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.markup import TolerantParser
 from .common import materialize
 from .url_trust import host_of
 
@@ -61,9 +64,8 @@ _BLOCK = frozenset(
     footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table
     tbody td tfoot th thead title tr ul""".split()
 )
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-#: Words of class and id names that mark what is not the article.
+#: Words of class and id names that mark what is not the article, wherever a page is not marked as one.
 _OUT_NAMES = frozenset(
     """ad ads adv advert advertisement advertisements adverts adsense advertising banner breadcrumb breadcrumbs byline
     comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu
@@ -71,6 +73,13 @@ _OUT_NAMES = frozenset(
     promotion reactions recommended related replies reply respond rss share sharing sidebar signup skip social sponsor
     sponsored sponsors subscribe subscription toc toolbar tooltip topbar trending widget widgets""".split()
 )
+#: Whole class and id names that also decide inside an article: what they name is never its text.
+_NEVER_TEXT = frozenset(
+    """ad ads adv advert advertisement advertisements adverts adsense advertising breadcrumb breadcrumbs comments comment-list
+    comment-section comments-section cookie-banner cookie-consent cookie-notice cookies-notice disqus disqus-thread gdpr menu nav navbar navigation newsletter
+    newsletter-signup pagination popup related related-articles related-posts related-links share-bar share-buttons share-links sharing
+    sidebar social-links social-share sponsored""".split()
+)
 #: Words of class and id names that mark the article, where no article or main element does.
 _MAIN_NAMES = frozenset("article content entry maincontent post story".split())
 _CLOSED_BY = {
@@ -79,6 +88,9 @@ _CLOSED_BY = {
 }
 _P_ENDS = _BLOCK - frozenset(["body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li", "title"])
 _SCOPE = frozenset("table ul ol dl article main section div body html td th".split())
+#: An end tag of no container closes nothing beyond these.
+_WALLS = frozenset("article main td th table".split())
+_CONTROLS = frozenset("form input button select textarea".split())
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 
 
@@ -96,7 +108,10 @@ class _Open:
     tag: str
     out: bool
     main: int  # 3 in an article, 2 in a main element, 1 in a container named as content, else 0
-    header: bool = False
+    doubted: int = -1  # of a block in an article whose name speaks against it: the number of blocks before it
+    chars: int = 0  # of the doubted block, and how many of them are in links
+    linked: int = 0
+    controls: bool = False
 
 
 @dataclass
@@ -106,11 +121,42 @@ class Page:
     blocks: list[tuple[str, int]] = field(default_factory=list)
 
 
-class _Parser(HTMLParser):
+class _Places:
+    """Where elements of some tags stand on the stack, the last one first at hand."""
+
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        self.by_tag: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.walls: list[int] = []
+
+    def push(self, tag: str, at: int) -> None:
+        self.by_tag.setdefault(tag, []).append(at)
+        if tag in _SCOPE:
+            self.scopes.append(at)
+        if tag in _WALLS:
+            self.walls.append(at)
+
+    def pop(self, tag: str) -> None:
+        self.by_tag[tag].pop()
+        if tag in _SCOPE:
+            self.scopes.pop()
+        if tag in _WALLS:
+            self.walls.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.by_tag.get(tag)
+        return found[-1] if found else 0
+
+
+class _Parser(TolerantParser):
+    """Blocks and zones.  Each tag and text costs a bounded number of steps, whatever is open: no open element is searched for."""
+
+    def __init__(self) -> None:
+        super().__init__()
         self.page = Page()
         self.stack: list[_Open] = [_Open("", False, 0)]
+        self.places = _Places()
+        self.doubts: list[int] = []  # places of open doubted elements
         self.text: list[str] = []
 
     def flush(self) -> None:
@@ -119,11 +165,14 @@ class _Parser(HTMLParser):
             self.text = []
             top = self.stack[-1]
             if block:
-                self.page.blocks.append((block, -1 if top.out else top.main))
+                rank = 3 if top.main == 2 and self.places.last("h1") else top.main  # a main element's title belongs to its article
+                self.page.blocks.append((block, -1 if top.out else rank))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _BLOCK:
             self.flush()
+        if tag in _CONTROLS and self.doubts:
+            self.stack[self.doubts[-1]].controls = True
         if tag in _VOID:
             if tag == "br":
                 self.text.append(" ")
@@ -134,7 +183,8 @@ class _Parser(HTMLParser):
             self._close(_CLOSED_BY[tag])
         up = self.stack[-1]
         names = {k: v or "" for k, v in attrs}
-        words = set(_NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{names.get('class', '')} {names.get('id', '')}").lower())) if tag not in ("html", "body") else set()
+        whole = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{names.get('class', '')} {names.get('id', '')}").lower().replace("_", "-").split() if tag not in ("html", "body") else []
+        words = {w for name in whole for w in _NAME.findall(name)}
         role = names.get("role", "").lower()
         kind = 0
         if tag == "article":
@@ -144,53 +194,66 @@ class _Parser(HTMLParser):
         elif tag in ("div", "section", "td") and words & _MAIN_NAMES and not words & _OUT_NAMES:
             kind = 1
         hidden = "hidden" in names or names.get("aria-hidden", "").lower() == "true" or "display:none" in names.get("style", "").replace(" ", "").lower()
-        named = bool(words & _OUT_NAMES) and tag not in ("main", "article") or tag == "article" and bool(words & {"comment", "comments", "reply", "related", "promo", "ad", "sponsored"})
-        header = tag == "header" and up.main > 0 and not up.out
-        out = up.out or tag in _INVISIBLE or tag in _OUT or role in _OUT_ROLES or hidden or named
-        if up.header and tag in _HEADINGS and not hidden:
-            out = False  # the headings of an article's own header belong to it
-        if out is not up.out or kind > up.main:
+        inside = up.main > 0 or tag in ("main", "article")
+        named = bool(words & _OUT_NAMES)
+        own_header = tag == "header" and up.main > 0  # an article's header is its own
+        out = up.out or tag in _INVISIBLE or (tag in _OUT and not own_header) or role in _OUT_ROLES or hidden or (named and not inside) or not _NEVER_TEXT.isdisjoint(whole)
+        doubted = named and inside and not out and tag in _BLOCK and tag not in ("main", "header")
+        if out is not up.out or kind > up.main or doubted:
             self.flush()
-        self.stack.append(_Open(tag, out, max(kind, up.main), header or (up.header and tag not in _HEADINGS)))
+        self.places.push(tag, len(self.stack))
+        if doubted:
+            self.doubts.append(len(self.stack))
+        self.stack.append(_Open(tag, out, max(kind, up.main), len(self.page.blocks) if doubted else -1))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # a slash does not close an HTML element
 
+    def _cut(self, at: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.stack) > at:
+            top, up = self.stack[-1], self.stack[-2]
+            if top.out is not up.out or top.main != up.main or top.doubted >= 0 or top.tag == "h1":
+                self.flush()
+            self.stack.pop()
+            self.places.pop(top.tag)
+            if top.doubted >= 0:
+                self.doubts.pop()
+                if top.controls or 2 * top.linked > top.chars:  # the second sign: controls, or mostly links
+                    blocks = self.page.blocks
+                    blocks[top.doubted :] = [(t, -1) for t, _ in blocks[top.doubted :]]
+                elif self.doubts:
+                    outer = self.stack[self.doubts[-1]]
+                    outer.chars, outer.linked = outer.chars + top.chars, outer.linked + top.linked
+
     def _close(self, tags: frozenset[str]) -> None:
         """Close the nearest open element of ``tags``, unless a container lies between."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in tags:
-                self.flush()
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in _SCOPE:
-                return
+        at = max(map(self.places.last, tags))
+        if at and (not self.places.scopes or at >= self.places.scopes[-1]):
+            self.flush()
+            self._cut(at)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in _BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                if self.stack[i].out is not self.stack[i - 1].out or self.stack[i].main != self.stack[i - 1].main:
-                    self.flush()
-                del self.stack[i:]
-                return
-            if tag not in _SCOPE and self.stack[i].tag in ("article", "main", "td", "th", "table"):
-                return
+        at = self.places.last(tag)
+        if at and (tag in _SCOPE or not self.places.walls or at >= self.places.walls[-1]):
+            self._cut(at)
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
+        if self.doubts:
+            inner, size = self.stack[self.doubts[-1]], len("".join(data.split()))
+            inner.chars += size
+            inner.linked += size if self.places.last("a") > self.doubts[-1] else 0
 
 
 def parse(html: str) -> Page:
     """The blocks of a page."""
     parser = _Parser()
-    cut = html.rfind("<")
-    if cut > html.rfind(">") and html[cut + 1 : cut + 2].isascii() and (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!")):
-        html = html[:cut]  # a tag that never ends is none
-    parser.feed(html)
-    parser.close()
+    parser.read(html)
     parser.flush()
+    parser._cut(1)
     return parser.page
 
 

@@ -93,20 +93,30 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     return out
 
 
+#: Comments and elements without links are passed over; a tag's quotes count after an equals sign only, and a tag that never
+#: ends reaches to the page's end, so no character is read twice.
 _LINK = re.compile(
-    r"""<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|xmp|iframe)\b.*?(?:</\1\s*>|$)|<(a|area|base)(?=[\s/])((?:[^>"']|"[^"]*"|'[^']*')*)>""",
+    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|xmp|iframe)\b.*?(?:</\1\s*>|\Z)|<(a|area|base)(?=[\s/])((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)""",
     re.I | re.S,
 )
-_HREF = re.compile(r"""(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"']\S*+)))?+""")
+
+
+def _href(attributes: str) -> str | None:
+    """The value of a tag's first ``href``; None if it has none."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == "href":
+            return next((x for x in m.groups()[1:] if x is not None), None)
+    return None
 
 
 def links(url: str | None, page: str | None) -> list[str]:
     """The absolute http(s) urls that a page links to, in order."""
     out, base = [], url or ""
     for m in _LINK.finditer(page or ""):
-        if not m[2] or not (found := _HREF.search(m[3])):
+        if not m[2] or not m[4] or (found := _href(m[3])) is None:
             continue
-        href = html.unescape(next(x for x in found.groups() if x is not None)).strip()
+        href = html.unescape(found).strip()
         try:
             target = urljoin(base, href)
         except ValueError:  # not a url, such as http://[

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def main(html):
         ("<nav>menu</nav><article><h1>T &amp; U</h1><p>a<b>b</b> c\n d<br>e<p>next</article><footer>f</footer>", "T & U\nab c d e\nnext"),
         ('<article><p>x</p><aside>side</aside><div class="ad">buy</div><section id="comments"><article class="comment"><p>c</p></article></section><p>y</article>', "x\ny"),
         ("<main><script>if(a<b)</script><style>p{}</style><p>x</p><form><p>name</p></form></main>", "x"),
-        ("<article><header><h2>Head</h2><p>by me</p></header><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "Head\na\nb\n1\n2"),
+        ("<article><header><h2>Head</h2><p>by me</p></header><ul><li>a<li>b</ul><table><tr><td>1<td>2</table></article>", "Head\nby me\na\nb\n1\n2"),
         ('<body class="has-sidebar"><div id="content"><p>x</p><div class="share-buttons">s</div></div><div>other</div>', "x"),
         ("<article><p>&nbsp;a&#233;&nbsp; b &lt;i&gt; </p><!-- no --><p> </p></article", "aé b <i>"),
         ('<article><p hidden>no</p><p style="display: none">no</p><p>yes</p><div role="alert">no</div></article>', "yes"),
@@ -97,3 +99,53 @@ def test_the_suffix_array_finds_notices_inside_articles(spark):
         assert got[205] == f"{own[1]}\n{own[2]}\nedition 5"  # editions of one article keep their text
     off = {r["page_id"]: r["text"] for r in H.extract(frame(spark, rows), H.ExtractParams(least_pages=10**9)).collect()}
     assert off[15] == f"{own[15]}\n{notice}"
+
+
+def one(html):
+    main, rest = H.split_zones(H.parse(html))
+    return main if main is not None else [t for t, is_open in rest if is_open]
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<div class='social-science'>Kept</div>", "<section id='reply'><p>Kept</p></section>", "<p class='byline'>Kept</p>", "<header><h1>T</h1><p>Kept</p></header>",
+        "<p class='notice'>Kept</p>", "<div class='share'>Kept, as it has <a href='x'>a</a> link</div>", "<span class='menu-of-the-day'>Kept</span>", "<div class='banner'><div class='reply'>Kept</div></div>",
+    ],
+)
+def test_a_name_alone_drops_no_article_text(inside):
+    assert "Kept" in " ".join(one(f"<body><nav>n</nav><article><p>before</p>{inside}<p>after</p></article><footer>f</footer>"))
+
+
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<div class='social'><a href='x'>Gone</a> <a href='y'>Gone too</a></div>", "<section id='reply'>Gone <input></section>", "<div class='ad'>Gone</div>", "<div id='comments'><p>Gone</p></div>",
+        "<div class='subscribe'><p>Gone</p><form>x</form></div>", "<aside>Gone</aside>", "<div class='cookie-notice'>Gone</div>", "<p hidden>Gone</p>", "<div class='banner'><div class='reply'><a>Gone</a></div></div>",
+    ],
+)
+def test_a_second_sign_or_a_whole_name_drops_it(inside):
+    assert one(f"<body><article><p>before</p>{inside}<p>after</p></article>") == ["before", "after"]
+    assert one(f"<body><article><p>before</p>{inside}") == ["before"]
+
+
+def test_the_title_of_main_belongs_to_its_article():
+    page = "<main><h1>Title</h1><div class='x'>menu</div><article><p>Text</p></article><h2>More</h2></main><h1>Other</h1>"
+    assert one(page) == ["Title", "Text"]
+
+
+def test_marked_sections_are_comments():
+    assert one("<article><![foo[bar]]><p>a</p><![CDATA[x]]><p>b</p><![if IE]>c<![endif]><!x y></article>") == ["a", "b", "c"]
+
+
+def test_time_grows_with_the_page_only():
+    n, start = 40_000, time.perf_counter()
+    for page in ("<b>" * n + "</i>" * n, "<i><table>" * (n // 2) + "<b>" * n + "</i>" * n, "<div class='reply'>" * n + "x" + "</div>" * n, "<li>" * n + "</ul>" * n, "<a x" * n, "<p>x" * n, "<h1><p>" * n + "</h2>" * n):
+        H.parse(page)
+    assert time.perf_counter() - start < 60
+
+
+def test_a_page_of_ten_megabytes(spark):
+    text = "<p>word and word</p>" * 500_000
+    (r,) = H.extract(spark.createDataFrame([(1, "http://a.example/1", f"<nav>n</nav><article>{text}</article>")], "page_id long, url string, html string")).collect()
+    assert r["n_chars"] == 500_000 * 14 - 1

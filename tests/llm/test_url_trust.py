@@ -1,4 +1,5 @@
 import re
+import time
 
 import numpy as np
 import pytest
@@ -96,3 +97,15 @@ def test_rules_seed_distrust_without_any_given_seed(spark):
 )
 def test_links_are_resolved(page, want):
     assert U.links("http://h.example/d/e", page) == want
+
+
+def test_links_take_time_in_proportion_to_the_page():
+    start = time.perf_counter()
+    for page in ("<a x" * 60_000, "<a x='" * 60_000, '<a href="' * 60_001, "<a x=\"<a x=\">" * 30_000, "<script>" * 60_000, "<!--" * 60_000, "<a " + " " * 60_000, "<a href=" * 60_000, "<a '" * 60_000):
+        U.links("http://h.example/", page)
+    assert time.perf_counter() - start < 20
+
+
+def test_quotes_count_after_an_equals_sign_only():
+    page = """<a title=it's href=/a>x</a> <a x='>' href="/b?x='">y</a> <a data-x="<a href='/no'>" href=/c>z</a> <a ' href=/d> <a href=/e unending"""
+    assert U.links("http://h.example/p", page) == ["http://h.example/a", "http://h.example/b?x='", "http://h.example/c", "http://h.example/d"]
