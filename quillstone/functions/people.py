@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import difflib
-import re
-import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -90,46 +88,67 @@ def is_doctoral(c: Column) -> Column:
     return F.rlike(F.coalesce(c, F.lit("")), F.lit(DOCTORAL))
 
 
-def tokens(name: str | None) -> list[str]:
-    """Runs of ASCII letters of the folded lower-case name."""
-    plain = unicodedata.normalize("NFKD", name or "").encode("ascii", "ignore").decode().lower()
-    return re.findall("[a-z]+", plain)
-
-
-def given_likeness(a: str, b: str) -> float:
-    """Of two given names: equal 1, one a matching initial 0.82, one a prefix 0.9, else the sequence ratio."""
-    if not (a and b):
-        return 0.0
-    if a == b:
-        return 1.0
-    if min(len(a), len(b)) == 1 and a[0] == b[0]:
-        return 0.82
-    return 0.9 if a.startswith(b) or b.startswith(a) else difflib.SequenceMatcher(None, a, b).ratio()
-
-
-def person_likeness(first: str | None, last: str | None, candidate: str | None) -> float:
-    """0.68 of the last names' and 0.32 of the given names' likeness; last names below 0.72 decide alone."""
-    wanted, given = tokens(last), tokens(first)
-    if not wanted or not candidate:
-        return 0.0
-    if "," in candidate:
-        family, rest = (tokens(x) for x in candidate.split(",", 1))
-    else:
-        every = tokens(candidate)
-        at = max(0, len(every) - len(wanted))
-        family, rest = every[at:], every[:at]
-    a, b = "".join(wanted), "".join(family)
-    near = 1.0 if a == b else 0.9 if a in b or b in a else difflib.SequenceMatcher(None, a, b).ratio()
-    if near < 0.72:
-        return round(0.68 * near, 4)
-    best = max((given_likeness(given[0] if given else "", x) for x in rest), default=0.0)
-    return round(min(1.0, 0.68 * near + 0.32 * best), 4)
+#: Shares of the family and the given names in a likeness, the family likeness below which given names don't
+#: count, and what contained family names, begun given names and initials are worth.
+FAMILY_SHARE, GIVEN_SHARE, FAMILY_DECIDES = 0.68, 0.32, 0.72
+CONTAINED, BEGUN, INITIAL = 0.9, 0.9, 0.82
+
+
+def name_words(folded: Column) -> Column:
+    """The runs of ASCII letters of a folded name, lower case."""
+    return F.regexp_extract_all(F.lower(folded), F.lit("[a-z]+"), F.lit(0))
+
+
+@F.pandas_udf(DoubleType())
+def best_ratio(name: pd.Series, others: pd.Series) -> pd.Series:
+    """The highest sequence ratio of a name with any of an array's; null without any."""
+    ratios = [[difflib.SequenceMatcher(None, a, b).ratio() for b in bs] if bs is not None else [] for a, bs in zip(name, others, strict=True)]
+    return pd.Series([max(x, default=None) for x in ratios], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
-def person_similarity(first: pd.Series, last: pd.Series, candidate: pd.Series) -> pd.Series:
-    """:func:`person_likeness` of a first and last name with a candidate's name."""
-    return pd.Series([person_likeness(*x) for x in zip(first, last, candidate, strict=True)], dtype="float64")
+def rounded(c: pd.Series) -> pd.Series:
+    """To four places, by the number's exact binary value (which a decimal text of it may round otherwise)."""
+    return c.map(lambda x: round(x, 4))
+
+
+def with_person_similarity(df: DataFrame, first: Column, last: Column, candidate: Column, out: str = "similarity") -> DataFrame:
+    """``out``: how alike a first and last name and a candidate's name are, from 0 to 1.
+
+    The candidate's family words stand before its comma, or are as many at its end as ``last`` has.  Family names, written
+    together, are worth 1 if equal, ``CONTAINED`` if one holds the other, else their sequence ratio.  The first given word
+    is compared with every other word of the candidate, and the best counts: 1 if equal, ``INITIAL`` for a matching initial,
+    ``BEGUN`` if one begins with the other, else the ratio.  Only what these rules leave open is compared letter by letter.
+    """
+    own, c = df.columns, F.col("_candidate")
+    blank = F.lit("")
+    folded = df.withColumn("_candidate", F.coalesce(candidate, blank)).withColumns({"_first": to_ascii(F.coalesce(first, blank)), "_last": to_ascii(F.coalesce(last, blank)), "_all": to_ascii(c), "_before": to_ascii(F.substring_index(c, ",", 1)), "_after": to_ascii(F.substr(c, F.instr(c, ",") + 1))})
+
+    words = folded.withColumns({"_wanted": name_words(F.col("_last")), "_given": F.coalesce(F.get(name_words(F.col("_first")), F.lit(0)), blank), "_words": name_words(F.col("_all"))})
+    start = F.greatest(F.lit(0), F.size("_words") - F.size("_wanted"))
+    comma = F.contains(c, F.lit(","))
+    words = words.withColumns({
+        "_family": F.when(comma, name_words(F.col("_before"))).otherwise(F.slice("_words", start + 1, F.size("_words"))),
+        "_rest": F.when(comma, name_words(F.col("_after"))).otherwise(F.slice("_words", 1, start)),
+    })
+
+    a, b, given = F.array_join("_wanted", ""), F.array_join("_family", ""), F.col("_given")
+
+    def worth(x: Column) -> Column:
+        one, same = F.least(F.length(x), F.length(given)) == 1, F.substring(x, 1, 1) == F.substring(given, 1, 1)
+        value = F.when(x == given, 1.0).when(one & same, INITIAL).when(F.startswith(x, given) | F.startswith(given, x), BEGUN)
+        return F.struct(x.alias("word"), value.alias("value"))
+
+    ruled = words.withColumns({"_a": a, "_b": b, "_sure": F.when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), CONTAINED), "_worths": F.transform("_rest", worth)})
+    near = ruled.withColumn("_near", F.coalesce("_sure", best_ratio("_a", F.when(F.col("_sure").isNull(), F.array("_b")))))
+    near = near.withColumn("_known", F.coalesce(F.array_max(F.transform("_worths", lambda x: x["value"])), F.lit(0.0)))
+    open_ = (given != "") & (F.col("_known") < 1.0) & (F.col("_near") >= FAMILY_DECIDES)
+    unsure = F.transform(F.filter("_worths", lambda x: x["value"].isNull()), lambda x: x["word"])
+    best = near.withColumn("_best", F.when(given == "", 0.0).otherwise(F.greatest("_known", F.coalesce(best_ratio("_given", F.when(open_, unsure)), F.lit(0.0)))))
+    family = F.lit(FAMILY_SHARE) * F.col("_near")
+    whole = F.when(F.col("_near") < FAMILY_DECIDES, family).otherwise(F.least(F.lit(1.0), family + F.lit(GIVEN_SHARE) * F.col("_best")))
+    scored = best.withColumn(out, rounded(F.when((F.size("_wanted") == 0) | (c == ""), 0.0).otherwise(whole)))
+    return scored.select(*[x for x in own if x != out], out)
 
 
 def orcid(c: Column) -> Column:

@@ -75,7 +75,7 @@ def person_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     following = rows.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("candidate"))
     met = rows.join(following, "p_partkey")
-    return met.select("p_partkey", P.person_similarity(P.first_sequence(F.col("p_name")), P.last_sequence(F.col("p_name")), F.col("candidate")).alias("similarity"))
+    return P.with_person_similarity(met, P.first_sequence(F.col("p_name")), P.last_sequence(F.col("p_name")), F.col("candidate")).select("p_partkey", "similarity")
 
 
 @query(

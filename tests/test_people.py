@@ -23,21 +23,31 @@ def test_promotions_and_parts(spark):
     assert tuple(one.first()) == ("Lee and Smith", "J O O Neil x", "ab c")
 
 
-def test_person_likeness():
-    assert people.person_likeness("Mary", "Lee", "Lee, Mary") == 1.0
-    assert people.person_likeness("Mary", "Lee", "M. Lee") == round(0.68 + 0.32 * 0.82, 4)
-    assert people.person_likeness("Mary", "Lee", "Marylou Lee") == round(0.68 + 0.32 * 0.9, 4)
-    assert people.person_likeness("Mary", "Lee", "Mary Leeds") == round(0.68 * 0.9 + 0.32, 4)
-    assert people.person_likeness("Mary", "Lee", "Xyz Quo") < 0.5
-    assert people.person_likeness("Mary", None, "x") == people.person_likeness("a", "b", "") == 0.0
-    assert people.person_likeness(None, "Müller", "Muller") == 0.68
-
-
-def test_person_similarity_query_equals_the_function(spark):
-    parts = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
-    for r in registry.queries()["person_similarity"](spark, SF).collect():
-        name = parts[r["p_partkey"]].split()
-        assert r["similarity"] == people.person_likeness(name[0], name[-1], parts[r["p_partkey"] + 1])
+LIKE = [  # first, last, candidate, (family likeness, given likeness or None where it doesn't count)
+    ("Mary", "Lee", "Lee, Mary", (1.0, 1.0)), ("Mary", "Lee", "M. Lee", (1.0, 0.82)), ("Mary", "Lee", "Marylou Lee", (1.0, 0.9)), ("Mary", "Lee", "Mary Leeds", (0.9, 1.0)),
+    ("Mary", "Lee", "Xyz Quo", (0.0, None)), (None, "Müller", "Muller", (1.0, 0.0)), ("Mary", "van der Berg", "Mary Ann vander Berg", (0.9, 1.0)), ("Mary", "Lee", "Lee", (1.0, 0.0)),
+    ("Ann", "Lee", "Lee, Maria, Anna", (1.0, 0.9)), ("Marta", "Lee", "Maria Lee", (1.0, 0.8)), ("Marta", "Lee", "Maria M Lee", (1.0, 0.82)), ("", "Lee", "Lee", (1.0, 0.0)), ("Maria", "Lee", "Li, Maria", (0.4, None)),
+    ("Kate", "Andersson", "Kate Anderson", (2 * 8 / 17, 1.0)), ("Al", "Lee", ", Al", (0.9, 1.0)), ("J", "Lee", "Jo Lee", (1.0, 0.82)),
+]
+
+
+def test_person_similarity_by_its_definition(spark):
+    none = [("Mary", None, "x"), ("a", "b", ""), ("a", "b", None), ("a", "123", "b")]
+    df = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate([*LIKE, *none])], "i int, first string, last string, candidate string")
+    got = {r["i"]: r["s"] for r in people.with_person_similarity(df, F.col("first"), F.col("last"), F.col("candidate"), "s").collect()}
+    want = [round(0.68 * a if b is None else 0.68 * a + 0.32 * b, 4) for *_, (a, b) in LIKE] + [0.0] * len(none)
+    assert [got[i] for i in range(len(want))] == want
+
+
+def test_person_similarity_query_compares_neighbours(spark):
+    parts = {r["p_partkey"]: r["p_name"].lower().split() for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    rows = registry.queries()["person_similarity"](spark, SF).collect()
+    assert len(rows) == len(parts) - 1
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    for r in rows:
+        (*_, last), (*others, family) = parts[r["p_partkey"]], parts[r["p_partkey"] + 1]
+        near = 1.0 if last == family else 0.9 if last in family or family in last else ratio(last, family)
+        assert r["similarity"] <= 1.0 and (r["similarity"] == round(0.68 * near, 4) if near < 0.72 else r["similarity"] >= round(0.68 * near, 4))
 
 
 def test_folded_names_equal_plain_python(spark):
