@@ -17,6 +17,8 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import hash_ranks
+
 
 def tfidf(texts: DataFrame, text: str, n: int = 2, min_df: int = 2, max_df: float = 0.9, vocabulary: int = 20_000) -> tuple[DataFrame, PipelineModel]:
     """``features``: word 1..n-grams; counts ``1 + ln(tf)``, weights ``ln((N + 1) / (df + 1)) + 1``, unit length."""
@@ -76,8 +78,8 @@ def predict(models: dict[str, object], df: DataFrame, row: str) -> DataFrame:
 
 def folds(df: DataFrame, stratum: str, key: str, k: int) -> DataFrame:
     """``fold``: rows of each stratum dealt round in the order of a seeded hash of their key."""
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit("fold-"), F.col(key).cast("string"))))
-    return df.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    ranked = hash_ranks(df, stratum, F.md5(F.concat(F.lit("fold-"), F.col(key).cast("string"))), [key], "_rank")
+    return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
 def out_of_fold(df: DataFrame, labels: list[str], row: str, k: int, regularisation: float = 0.0) -> DataFrame:

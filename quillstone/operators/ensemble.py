@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import blank, split_cell
 from .classify import metrics
+from .ranking import hash_ranks
 
 #: The order in which tuning results are compared; a smaller Hamming loss is better.
 TUNING_ORDER = [("micro_f1", False), ("macro_f1", False), ("micro_precision", False), ("micro_recall", False), ("hamming_loss", True), ("subset_accuracy", False)]
@@ -79,11 +80,10 @@ def fold_table(per_fold: DataFrame, config: list[str]) -> DataFrame:
 
 def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.2, seed: int = 2026) -> DataFrame:
     """``part``: ``test`` for the nearest whole number to ``share`` of each stratum (at least one of two rows or more), else ``train``."""
-    own = Window.partitionBy(stratum)
-    place = F.row_number().over(own.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), key))
-    size = F.count("*").over(own)
+    ranked = hash_ranks(df, stratum, F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))), [key], "_rank", "_size")
+    size = F.col("_size")
     wanted = F.when(size < 2, 0).otherwise(F.greatest(F.lit(1), F.floor(size * share + 0.5)))
-    return df.withColumn("part", F.when(place <= wanted, "test").otherwise("train"))
+    return ranked.withColumn("part", F.when(F.col("_rank") <= wanted, "test").otherwise("train")).drop("_rank", "_size")
 
 
 def grid_search(df: DataFrame, settings: list[dict[str, float]], fit_predict: Callable[[DataFrame, DataFrame, dict[str, float]], DataFrame], k: int) -> DataFrame:

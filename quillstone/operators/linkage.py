@@ -14,9 +14,14 @@ from .names import greedy_overlap
 
 
 def unique_keys(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose non-blank key occurs once."""
-    once = df.where(~blank(F.col(key))).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    return once.where("_n = 1").drop("_n")
+    """Rows whose non-blank key occurs once.
+
+    Counted by key, with the least value of every other column, which is a lone row's own: a key of many rows shrinks before
+    it is moved.
+    """
+    others = [c for c in df.columns if c != key]
+    once = df.where(~blank(F.col(key))).groupBy(key).agg(F.count("*").alias("_n"), *[F.min(c).alias(c) for c in others]).where("_n = 1")
+    return once.select(*df.columns)
 
 
 def staged_link(left: DataFrame, right: DataFrame, ids: tuple[str, str], stages: list[tuple[str, str, str]]) -> DataFrame:
@@ -48,7 +53,8 @@ def _unmatched(rows: DataFrame, key: str, found: list[DataFrame]) -> DataFrame:
 def two_pass_outer(left: DataFrame, right: DataFrame, ids: tuple[str, str], first: list[str], second: list[str]) -> DataFrame:
     """All pairs equal on ``first``; what is left is joined on ``second`` and kept on both sides.
 
-    Blank keys match each other; keys need not be unique.
+    Blank keys match each other; keys need not be unique.  A key that is heavy on both sides gives all its pairs:
+    :func:`outer_classes` says the same in a row for each row.
     """
     a, b = ids
     pairs = left.select(a, *first).join(right.select(b, *first), first).select(a, b).distinct()
@@ -58,6 +64,49 @@ def two_pass_outer(left: DataFrame, right: DataFrame, ids: tuple[str, str], firs
     return pairs.withColumn("strategy", F.lit("first_pass")).unionByName(outer.withColumn("strategy", kind))
 
 
+def outer_classes(left: DataFrame, right: DataFrame, ids: tuple[str, str], first: list[str], second: list[str]) -> DataFrame:
+    """The links of :func:`two_pass_outer` as classes: one row for each row of either side, however many partners it has.
+
+    ``side`` (left or right), ``id``, ``strategy`` (first_pass, second_pass, left_only, right_only), ``class`` (the key as JSON; null
+    without partners), ``n_left`` and ``n_right``: the members of the class on both sides, which are all linked with each other.
+    Only counts by key are joined to rows, so a key of a million blank rows on both sides gives two million rows.
+    """
+    with Scratch(left.sparkSession, "classes") as scratch:
+        a, b = ids
+        sides = {"left": left.select(F.col(a).alias("id"), *dict.fromkeys([*first, *second])), "right": right.select(F.col(b).alias("id"), *dict.fromkeys([*first, *second]))}
+        found: list[DataFrame] = []
+        for strategy, keys in (("first_pass", first), ("second_pass", second)):
+            counts = [rows.groupBy(*keys).agg(F.count("*").alias(f"n_{side}")) for side, rows in sides.items()]
+            classes = scratch.write(counts[0].join(counts[1], keys))
+            labelled = classes.withColumn("class", F.to_json(F.struct(*keys)))
+            for side, rows in sides.items():
+                found.append(rows.join(labelled, keys).select(F.lit(side).alias("side"), "id", F.lit(strategy).alias("strategy"), "class", "n_left", "n_right"))
+                sides[side] = scratch.write(rows.join(classes, keys, "left_anti"))
+        for side, rows in sides.items():
+            none = F.lit(None).cast("long")
+            found.append(rows.select(F.lit(side).alias("side"), "id", F.lit(f"{side}_only").alias("strategy"), F.lit(None).cast("string").alias("class"), none.alias("n_left"), none.alias("n_right")))
+        return scratch.kept(reduce(DataFrame.unionByName, found))
+
+
+def class_links(classes: DataFrame) -> DataFrame:
+    """``strategy, classes, links``: how many pairs the classes stand for, without making one."""
+    own = classes.where("class IS NOT NULL").groupBy("strategy", "class").agg(F.first("n_left").alias("a"), F.first("n_right").alias("b"))
+    return own.groupBy("strategy").agg(F.count("*").alias("classes"), F.sum(F.col("a") * F.col("b")).alias("links"))
+
+
+def expand_classes(classes: DataFrame, ids: tuple[str, str], most: int | None = None, part: int = 10_000) -> DataFrame:
+    """The pairs (left id, right id, strategy) of the classes of at most ``most`` links; None is all.
+
+    A class's left members are dealt to parts of about ``part`` rows, and its right ones go to each part, so no key is one task.
+    """
+    linked = classes.where("class IS NOT NULL")
+    linked = linked if most is None else linked.where(F.col("n_left") * F.col("n_right") <= most)
+    parts = F.ceil(F.col("n_left") / part).cast("int")
+    left = linked.where("side = 'left'").select(F.col("id").alias(ids[0]), "strategy", "class", F.pmod(F.xxhash64("id"), parts).cast("int").alias("_part"))
+    right = linked.where("side = 'right'").select(F.col("id").alias(ids[1]), "strategy", "class", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    return left.join(right, ["strategy", "class", "_part"]).select(*ids, "strategy")
+
+
 def lookup_join(left: DataFrame, right: DataFrame, on: Column, right_keys: list[str], indicator: str) -> DataFrame:
     """Left join to a table whose keys are asserted unique; ``indicator``: both or left_only."""
     assert_unique(right, right_keys)

@@ -72,6 +72,26 @@ def two_pass_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_pass(spark, sf_dir)
 
 
+# Blank keys, a third of all, make one heavy class.
+HEAVY = """WITH rows AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE CAST(l_orderkey // 4 AS VARCHAR) END AS doi, l_partkey % 5 AS last, l_suppkey % 3 AS first, l_linenumber FROM lineitem),
+l AS (SELECT * FROM rows WHERE l_linenumber % 2 = 0), r AS (SELECT * FROM rows WHERE l_linenumber % 2 = 1),
+c1 AS (SELECT doi, last, first, a, b FROM (SELECT doi, last, first, count(*) AS a FROM l GROUP BY ALL) JOIN (SELECT doi, last, first, count(*) AS b FROM r GROUP BY ALL) USING (doi, last, first)),
+l2 AS (SELECT * FROM l ANTI JOIN c1 USING (doi, last, first)), r2 AS (SELECT * FROM r ANTI JOIN c1 USING (doi, last, first)),
+c2 AS (SELECT doi, last, a, b FROM (SELECT doi, last, count(*) AS a FROM l2 GROUP BY ALL) JOIN (SELECT doi, last, count(*) AS b FROM r2 GROUP BY ALL) USING (doi, last))
+SELECT 'left' AS side, id, 'first_pass' AS strategy, a AS n_left, b AS n_right FROM l JOIN c1 USING (doi, last, first) UNION ALL SELECT 'right', id, 'first_pass', a, b FROM r JOIN c1 USING (doi, last, first)
+UNION ALL SELECT 'left', id, 'second_pass', a, b FROM l2 JOIN c2 USING (doi, last) UNION ALL SELECT 'right', id, 'second_pass', a, b FROM r2 JOIN c2 USING (doi, last)
+UNION ALL SELECT 'left', id, 'left_only', NULL, NULL FROM l2 ANTI JOIN c2 USING (doi, last) UNION ALL SELECT 'right', id, 'right_only', NULL, NULL FROM r2 ANTI JOIN c2 USING (doi, last)"""
+
+
+@query(HEAVY)
+def outer_link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both sides with its class of partners; a third of the keys is blank."""
+    key = F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.floor(F.col("l_orderkey") / 4).cast("string"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), key.alias("doi"), (F.col("l_partkey") % 5).alias("last"), (F.col("l_suppkey") % 3).alias("first"), "l_linenumber")
+    classes = L.outer_classes(rows.where("l_linenumber % 2 = 0"), rows.where("l_linenumber % 2 = 1"), ("id", "id"), ["doi", "last", "first"], ["doi", "last"])
+    return classes.drop("class")
+
+
 @query(
     f"""WITH t AS ({TWO_PASS}), g AS (SELECT *, (coalesce(left_id, right_id) / 10)::BIGINT // 1 AS x FROM t), d AS (SELECT left_id, right_id, strategy, coalesce(left_id, right_id) // 10 AS doi FROM g),
 w AS (SELECT *, max((strategy = 'left_only')::INT) OVER (PARTITION BY doi) AS a, max((strategy = 'right_only')::INT) OVER (PARTITION BY doi) AS b FROM d)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..functions import people as P
 from ..functions import text as T
+from ..operators import consolidated as D
 from ..operators import crosswalk as X
 from ..operators import filters as R
 from ..operators import linkage as L
@@ -355,3 +356,42 @@ def source_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" https://doi.org/10.1/"), (key % 400).cast("string")).alias("doi"), F.concat(F.lit("T  "), (key % 300).cast("string"), F.lit(" *")).alias("title"), F.concat(F.lit("<p>"), "o_orderpriority", F.lit("</p>")).alias("abstract"), F.when(key % 5 == 0, " ").otherwise(F.col("o_custkey").cast("string")).alias("authors"), F.concat(F.lit(" "), "o_orderstatus").alias("journal"), F.year("o_orderdate").alias("year"))
     rules = SourceRules(journals=("f", "o"), years=(1993, 1999), dropped={"o_orderkey": [5, 6]}, phrases=("T  7",))
     return clean_source(rows, rules, "o_orderkey").select("o_orderkey", "doi", "title_key", "abstract", "authors")
+
+
+SOURCES = """s AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END AS a_last, upper(c_name) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' x' END AS b_last,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS a_first, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE lower(c_mktsegment) || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 's' END END AS b_first FROM customer)"""
+
+
+def _two_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, name, part = F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment")
+    a_last = F.when(k % 4 == 0, "").otherwise(name)
+    b_first = F.when(k % 7 == 0, " ").otherwise(F.concat(F.lower(part), F.when(k % 2 == 0, "").otherwise("s")))
+    return table(spark, sf_dir, "customer").select(k, a_last.alias("a_last"), F.concat(F.upper(name), F.when(k % 3 == 0, "").otherwise(" x")).alias("b_last"), F.when(k % 5 != 0, part).alias("a_first"), b_first.alias("b_first"))
+
+
+@query(
+    f"""WITH {SOURCES} SELECT c_custkey, coalesce(nullif(trim(a_last), ''), trim(b_last)) AS last_name,
+  CASE WHEN length(trim(coalesce(a_first, ''))) >= length(trim(b_first)) THEN trim(coalesce(a_first, '')) ELSE trim(b_first) END AS first_name,
+  CASE WHEN trim(a_last) = '' THEN trim(b_last) WHEN lower(trim(a_last)) = lower(trim(b_last)) THEN trim(a_last) ELSE trim(a_last) || ';' || trim(b_last) END AS names FROM s"""
+)
+def consolidated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of two sources as columns of one."""
+    plan = {"last_name": ("first", ["a_last", "b_last"]), "first_name": ("longest", ["a_first", "b_first"]), "names": ("joined", ["a_last", "b_last"])}
+    return D.consolidated_names(_two_sources(spark, sf_dir), plan, ["c_custkey", *plan])
+
+
+@query(f"WITH {SOURCES} SELECT c_custkey, CASE WHEN trim(a_last) = '' THEN b_last ELSE a_last END AS a_last, CASE WHEN coalesce(trim(a_first), '') = '' AND trim(b_first) <> '' THEN b_first ELSE a_first END AS a_first FROM s")
+def filled_in_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank cells filled from another source; the counters come with the run."""
+    return D.fill_in_run(_two_sources(spark, sf_dir), {"a_last": "b_last", "a_first": "b_first"}, ("b_last", "b_first", "absent"))[0]
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT o_orderkey, v FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders UNION ALL SELECT o_orderkey, CAST(o_custkey * 7 AS VARCHAR) FROM orders) WHERE v <> ''),
+d AS (SELECT v FROM v GROUP BY v HAVING count(*) > 1) SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM v JOIN d USING (v)) THEN 1 ELSE 0 END AS tag FROM orders"""
+)
+def shared_value_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders one of whose two identifiers another order has, too."""
+    first = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(first, (F.col("o_custkey") * 7).cast("string")).alias("ids"))
+    return D.shared_value_tag(rows, "o_orderkey", F.col("ids"), "tag").select("o_orderkey", "tag")

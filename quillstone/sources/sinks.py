@@ -1,13 +1,19 @@
-"""Sinks for reports, arrays, models and self-contained charts; all take small, aggregated tables."""
+"""Sinks for reports, arrays, models and self-contained charts; all but the matrix and the model take small, aggregated tables."""
 
 from __future__ import annotations
 
 import html
+import io
 import json
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scratch import Scratch
 
 #: A report, chart or array file is made on the driver: this many rows at most.
 MOST_ROWS = 1_000_000
@@ -44,6 +50,55 @@ def write_vectors(df: DataFrame, key: str, array: str, path: str, most: int = MO
     Path(f"{path}.keys.json").write_text(json.dumps([r[key] for r in rows]))
 
 
+def write_matrix(df: DataFrame, key: str, array: str, path: str) -> None:
+    """A ``.npy`` matrix of any number of rows in the order of ``key``, byte for byte what :func:`write_vectors` makes.
+
+    ``path`` is on a file system that driver and executors share.  Rows are sorted by ranges; the ranges' counts tell where each row
+    lies, and tasks write their rows there, so no row passes through the driver and a task that is repeated writes the same bytes to
+    the same place.  ``<path>.keys`` is a table of ``place, key``.  Arrays of another length than the first, or null, are an error.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(key).alias("key"), F.col(array).cast("array<double>").alias("v"))
+    place = F.monotonically_increasing_id()
+    with Scratch(spark, "matrix") as scratch:
+        ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+        written = scratch.write(ranged.select("key", "v", F.shiftright(place, 33).alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1).cast("long")).alias("_at")))
+        sizes = written.groupBy("_range").agg(F.count("*").alias("n"), F.min(F.coalesce(F.size("v"), F.lit(-1))).alias("least"), F.max(F.coalesce(F.size("v"), F.lit(-1))).alias("most"))
+        own = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.withColumn("_before", F.coalesce(F.sum("n").over(own), F.lit(0)))  # a row a range
+        n, least, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.min("least"), F.max("most")).first()
+        if n and (least != most or least < 0):
+            raise ValueError(f"arrays of {least} to {most} numbers (-1: null) are no matrix")
+        width = most or 0
+        head = io.BytesIO()
+        np.lib.format.write_array_header_1_0(head, {"descr": "<f8", "fortran_order": False, "shape": (n, width) if n else (0,)})
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(head.getvalue())
+            f.truncate(len(head.getvalue()) + n * width * 8)
+        first = len(head.getvalue())
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = 0
+            with open(path, "r+b") as f:
+                for b in batches:
+                    at = b.column("place").to_numpy()
+                    values = b.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(at), width)
+                    cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        if x < y:
+                            f.seek(first + int(at[x]) * width * 8)
+                            f.write(values[x:y].tobytes())
+                    done += len(at)
+            yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+        placed = written.join(F.broadcast(starts.select("_range", "_before")), "_range").select((F.col("_before") + F.col("_at")).alias("place"), "key", "v")
+        done = placed.select("place", "v").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if done != n:
+            raise RuntimeError(f"{done} of {n} rows were written")
+        placed.select("place", "key").write.mode("overwrite").parquet(f"{path}.keys")
+
+
 def write_model(model: object, path: str) -> None:
     """A fitted pipeline or model in Spark's own format, replacing an older one."""
     model.write().overwrite().save(path)
