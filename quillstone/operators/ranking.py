@@ -20,8 +20,8 @@ def hash_ranks(df: DataFrame, stratum: str, digest: Column, ties: list[str], ran
     own = Window.partitionBy("_stratum")
     cells = keyed.groupBy(F.col(stratum).alias("_stratum"), F.col("_cell").alias("_of")).agg(F.count("*").alias("_rows"))
     before = F.coalesce(F.sum("_rows").over(own.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumns({"_before": before, "_size": F.sum("_rows").over(own)})  # 16 ** digits rows a stratum at most
+    cells = cells.withColumns({"_before": before, "_cell_total": F.sum("_rows").over(own)})  # 16 ** digits rows a stratum at most
     met = keyed.join(cells, F.col(stratum).eqNullSafe(F.col("_stratum")) & (F.col("_cell") == F.col("_of")))
     within = F.row_number().over(Window.partitionBy(stratum, "_cell").orderBy("_digest", *ties))
-    made = {rank: F.col("_before") + within} | ({size: F.col("_size")} if size else {})
-    return met.withColumns(made).drop("_digest", "_cell", "_stratum", "_of", "_rows", "_before", "_size")
+    made = {rank: F.col("_before") + within} | ({size: F.col("_cell_total")} if size else {})
+    return met.withColumns(made).drop("_digest", "_cell", "_stratum", "_of", "_rows", "_before", "_cell_total")
