@@ -78,12 +78,15 @@ def keys(tokens: list[str], depth: int) -> tuple[int, int]:
 
 
 def _lines(docs: DataFrame, p: TemplateParams) -> DataFrame:
-    """``doc_id, th, at, leaf, line, need`` of every line that may be dropped; ``need``: texts from which on it recurs."""
+    """``doc_id, th, at, leaf, line, need, twin`` of every line that may be dropped; ``need``: texts from which on it recurs;
+    ``twin``: does the text have another line of the leaf?"""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, hashes, ats, leaves, lines, needs = [], [], [], [], [], []
+            ids, hashes, ats, leaves, lines, needs, twins = [], [], [], [], [], [], []
             for doc_id, th, text in zip(b["doc_id"], b["th"], b["text"], strict=True):
+                seen: dict[int, int | None] = {}  # the leaf's line in this text, none if there are several
+                start = len(leaves)
                 for at, line in enumerate(text.split("\n")):
                     tokens = masked(line)
                     if tokens and len(tokens) >= p.min_tokens:
@@ -94,10 +97,13 @@ def _lines(docs: DataFrame, p: TemplateParams) -> DataFrame:
                         leaves.append(leaf)
                         lines.append(key)
                         needs.append(min(p.min_docs, p.long_docs) if len(tokens) >= p.long_tokens else p.min_docs)
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "th": np.array(hashes, dtype=np.int64), "at": np.array(ats, dtype=np.int32), "leaf": np.array(leaves, dtype=np.int64), "line": np.array(lines, dtype=np.int64), "need": np.array(needs, dtype=np.int32)})
+                        if seen.setdefault(leaf, key) != key:
+                            seen[leaf] = None
+                twins += [seen[x] is None for x in leaves[start:]]
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "th": np.array(hashes, dtype=np.int64), "at": np.array(ats, dtype=np.int32), "leaf": np.array(leaves, dtype=np.int64), "line": np.array(lines, dtype=np.int64), "need": np.array(needs, dtype=np.int32), "twin": np.array(twins, dtype=bool)})
 
     base = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return base.mapInPandas(run, "doc_id long, th long, at int, leaf long, line long, need int")
+    return base.mapInPandas(run, "doc_id long, th long, at int, leaf long, line long, need int, twin boolean")
 
 
 def recurring(docs: DataFrame, p: TemplateParams = TemplateParams()) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +123,12 @@ def recurring(docs: DataFrame, p: TemplateParams = TemplateParams()) -> tuple[Da
     unsure = materialize(per_line.join(open_leaves, "leaf"), "template-unsure")
     tokens = _tokens(docs, unsure, p)
     cells = tokens.select("leaf", "line", "n", "need", F.posexplode("tokens").alias("pos", "token"))
-    common = cells.groupBy("leaf", "need", "pos", "token").agg(F.sum("n").alias("c")).where((F.col("c") >= F.col("need")) & (F.col("token") != WILD)).select("leaf", "pos", "token", F.lit(True).alias("kept"))
+    # Texts are counted once a token: sums over lines count a text with several lines of the leaf more often, and what they
+    # count too much is found from those texts' lines alone.
+    twins = lines.where("twin").select("leaf", "line", "th").distinct().join(tokens.select("leaf", "line", "need", "tokens"), ["leaf", "line"])
+    again = twins.select("leaf", "need", "th", F.posexplode("tokens").alias("pos", "token")).groupBy("leaf", "need", "pos", "token", "th").agg((1 - F.count("*")).alias("n"))
+    counted = cells.select("leaf", "need", "pos", "token", "n").union(again.select("leaf", "need", "pos", "token", "n").where("n < 0"))
+    common = counted.groupBy("leaf", "need", "pos", "token").agg(F.sum("n").alias("c")).where((F.col("c") >= F.col("need")) & (F.col("token") != WILD)).select("leaf", "pos", "token", F.lit(True).alias("kept"))
     marked = cells.join(common, ["leaf", "pos", "token"], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     shape = marked.groupBy("leaf", "line").agg(F.count("*").alias("size"), F.count_if("kept").alias("fixed"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.when(F.col("kept"), F.col("token")).otherwise(WILD).alias("token")))), lambda x: x["token"]), " ").alias("template"))
     general = shape.where((F.col("fixed") >= p.similarity * F.col("size")) & (F.col("fixed") < F.col("size"))).select("leaf", "line", F.xxhash64("leaf", "template").alias("general"))

@@ -1,4 +1,5 @@
-from collections import Counter, defaultdict
+import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -30,12 +31,12 @@ def brute(rows, p):
         leaves[len(tokens), tokens[: p.depth]].append(tokens)
     template = {}
     for leaf, members in leaves.items():
-        cells = Counter()
+        cells = defaultdict(set)
         for m in members:
             for at, tok in enumerate(m):
-                cells[at, tok] += len(lines[m])
+                cells[at, tok] |= lines[m]
         for m in members:
-            kept = tuple(tok if tok != T.WILD and cells[at, tok] >= p.min_docs else T.WILD for at, tok in enumerate(m))
+            kept = tuple(tok if tok != T.WILD and len(cells[at, tok]) >= p.min_docs else T.WILD for at, tok in enumerate(m))
             fixed = sum(k != T.WILD for k in kept)
             ok = p.similarity * len(m) <= fixed < len(m) and sum(len(lines[x]) for x in members) >= p.min_docs and len(members) > 1 and min(len(lines[x]) for x in members) < p.min_docs
             template[m] = (leaf, kept) if ok else m
@@ -97,3 +98,19 @@ def test_long_lines_recur_from_two_texts_and_short_ones_by_frequency(spark):
     assert got[3].count("\n") == 1 and got[4] == "four\nOf."  # one template, kept in the first text
     assert ["And ornd." in got[i] for i in range(1, 6)] == [True, False, False, False, False]
     assert all("Of." in got[i] for i in (4, 5, 6, 7)) and all("in two" in got[i] for i in (5, 6))
+
+
+def test_several_variants_in_one_text_are_one_text(spark):
+    letters = "pqrst"
+    rows = [(1, "\n".join(f"a b c same w{x} z end" for x in letters)), *((i + 2, f"own {x}\na b c other{x} same z end") for i, x in enumerate(letters[:4]))]
+    got = T.dedup_lines(frame(spark, rows), T.TemplateParams(min_docs=5)).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in got} == {1: 0, 2: 1, 3: 1, 4: 1, 5: 1}
+
+
+def test_random_variants_within_and_across_texts(spark):
+    r = random.Random(6)
+    line = lambda: " ".join(["a", "b", r.choice("cd"), r.choice("efgh"), r.choice("ij"), r.choice("klmno"), "z"])
+    rows = [(i, "\n".join(line() for _ in range(r.randint(1, 6)))) for i in range(25)]
+    for p in (P, T.TemplateParams(min_docs=5, broadcast_bytes=0), T.TemplateParams(min_docs=8, similarity=0.4)):
+        got = sorted(((x["doc_id"], x["text"], x["n_dropped"]) for x in T.dedup_lines(frame(spark, rows), p).collect()), key=str)
+        assert got == brute(rows, p)
