@@ -23,7 +23,8 @@ On vectors without clusters a fixed share of the leaves has to be visited, as an
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part,
 neither do rows without vec_id, nor vectors whose length is not the table's commonest (ties:
 the longer); identical repeated rows count once; a table without vectors gives no rows; a
-query gets all candidates if there are fewer than ``k``.  Other columns are ignored.
+query gets all candidates if there are fewer than ``k``.  Products beyond the range of doubles are
+infinite scores, which tie; a sum of both infinities counts as minus infinity.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -241,8 +242,9 @@ def nearest(vectors: DataFrame, is_query: Column, p: AnnParams = AnnParams()) ->
                 if block is None and new:
                     block, new = _Block.of(pd.concat(new), dim), []
                 if block is not None:
-                    for at in range(0, len(rows), 256):
-                        yield block.best(rows.iloc[at : at + 256], k1)
+                    step = max(1, min(256, _SCORES // max(1, len(block.x))))
+                    for at in range(0, len(rows), step):
+                        yield block.best(rows.iloc[at : at + step], k1)
 
     found = held.union(asking).repartition(max(groups, partitions(spark)), "grp").sortWithinPartitions("grp", "kind")
     found = found.mapInPandas(score, "key binary, scores array<double>, ids array<long>")
@@ -283,6 +285,12 @@ def _groups(entries: DataFrame, tree: Tree, dim: int, p: AnnParams) -> tuple[tup
     return (first, parts), group + 1
 
 
+#: Scores held at once: 64 MB of doubles.
+_SCORES = 8 << 20
+#: Of a visited entry whose score is no number or minus infinity.
+_LEAST = np.finfo(np.float64).min
+
+
 @dataclass
 class _Block:
     """The entries of a group, in the order of their leaves."""
@@ -313,12 +321,18 @@ class _Block:
             lo, hi = np.searchsorted(self.leaf, [leaf, leaf + 1])
             if lo < hi:
                 rows = visits[order[a:b]]
-                near[rows, lo:hi] = qs[rows] @ self.x[lo:hi].T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    found = qs[rows] @ self.x[lo:hi].T
+                near[rows, lo:hi] = np.where(found > -np.inf, found, _LEAST)  # also of sums that have no order
         last = np.partition(near, -k1, axis=1)[:, -k1] if near.shape[1] > k1 else np.full(len(qs), -np.inf)
         # rounding: a matrix product may differ from the exact sum by far less than this
-        slack = 1e-9 * (np.abs(qs).sum(1) * np.abs(self.x).max() + 1e-300)
-        row, col = np.nonzero((near >= (last - slack)[:, None]) & (near > -np.inf))
-        exact = np.einsum("ij,ij->i", self.x[col], qs[row])
+        with np.errstate(over="ignore", invalid="ignore"):
+            slack = 1e-9 * (np.abs(qs).sum(1) * np.abs(self.x).max() + 1e-300)
+            least = np.where(last == np.inf, np.inf, last - slack)  # infinite scores tie
+        row, col = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = np.einsum("ij,ij->i", self.x[col], qs[row])
+        exact = np.where(exact > -np.inf, exact, -np.inf)
         order = np.lexsort((self.least[col], -exact, row))
         row, col, exact = row[order], col[order], exact[order]
         starts = np.searchsorted(row, np.arange(len(qs)))
@@ -354,7 +368,9 @@ def _calibrate(entries: DataFrame, queries: DataFrame, tree: Tree, dim: int, p:
         for b in batches:
             if not len(b):
                 continue
-            near = shared.value @ np.frombuffer(b"".join(b["vec"])).reshape(-1, dim).T
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = shared.value @ np.frombuffer(b"".join(b["vec"])).reshape(-1, dim).T
+            near = np.where(near > -np.inf, near, _LEAST)
             for j, vec in enumerate(b["vec"]):
                 if (i := own.get(bytes(vec))) is not None:
                     near[i, j] = -np.inf  # a vector is not its own neighbour

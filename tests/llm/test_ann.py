@@ -77,3 +77,20 @@ def test_tree_reaches_every_leaf_best_first():
     assert sorted(tree.best_first(x[0], 10**6)) == list(range(tree.leaves))
     assert set(tree.assign(x)) <= set(range(tree.leaves))
     assert pytest.approx(fit_tree(np.ones((10, 3)), 5, AnnParams()).leaves) == 1
+
+
+def wide(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_products_that_overflow_are_ties(spark):
+    rows = [(i, [1e200 * (i + 1), 1.0]) for i in range(60)]
+    got = nearest(wide(spark, rows), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert len(got) == 60 and all(r["score"] == float("inf") for r in got)
+    assert [r["vec_id"] for r in got if r["query_id"] == 20] == list(range(20))
+    mixed = [(0, [1e200, 1.0]), (1, [-1e200, 3.0]), (2, [1e-5, 2.0]), (3, [0.0, 5.0]), (4, [1e200, 1.0]), (5, [-1e300, 1.0])]
+    got = nearest(wide(spark, mixed), F.col("vec_id") % 20 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [4, 2, 3, 1, 5] and got[-1]["score"] == float("-inf")
+    both = [(0, [1e200, 1e200]), (1, [1e200, -1e200]), (2, [1.0, 1.0])]
+    got = nearest(wide(spark, both), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 2e200), (1, float("-inf"))]
