@@ -20,7 +20,6 @@ one window group: its text must fit a string (2 GB); there is no other limit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -103,56 +102,91 @@ def turns_of_rows(df: DataFrame) -> DataFrame:
     return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
-def _below(array: str) -> Callable[[Column], Column]:
-    return lambda key: F.concat(F.lit(f"{array}[]."), key)
+def _keys(c: Column) -> Column:
+    return F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+
+
+def _elements(c: Column) -> Column:
+    """The elements of a JSON list as JSON texts; null for anything else."""
+    return F.when(F.startswith(F.trim(c), F.lit("[")), F.from_json(c, "array<string>"))
 
 
 def json_paths(record: Column) -> Column:
-    """Top-level fields of a JSON record, and the fields of the first objects of its lists of turns."""
+    """The nested field paths of a JSON record: its fields, their own fields, and those of the elements of its lists (of all
+    elements together, whatever each of them has)."""
 
-    def keys(c: Column) -> Column:
-        return F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    def below(e: Column) -> Column:
+        inner = F.transform(_keys(e["value"]), lambda k: F.concat(e["key"], F.lit("."), k))
+        listed = F.flatten(F.transform(F.coalesce(_elements(e["value"]), F.array().cast("array<string>")), _keys))
+        return F.concat(F.array(e["key"]), inner, F.transform(F.array_distinct(listed), lambda k: F.concat(e["key"], F.lit("[]."), k)))
 
-    lists = [x.turns[0] for x in LAYOUTS if x.turns]
-    inner = [F.transform(keys(F.get_json_object(record, f"$.{a}[0]")), _below(a)) for a in lists]
-    return F.concat(keys(record), *inner)
+    fields = F.map_entries(F.when(_keys(record) != F.array().cast("array<string>"), F.from_json(record, "map<string,string>")))
+    return F.coalesce(F.array_distinct(F.flatten(F.transform(fields, below))), F.array().cast("array<string>"))
 
 
 def turns_of_json(df: DataFrame, conv_id: str, record: str) -> DataFrame:
     """Canonical turns of JSON records of any known layout: ``conv_id, layout, turn, role, text``.
 
-    A record without a known layout gives one row with layout, turn, role and text null.
+    A list's layout is known by the fields of all its elements; what an element lacks is empty, and so is a text that is null.
+    A text that is a list of parts is its text parts, one after the other.  A record that lists turns and also has the fields of
+    another layout gives both, the list first (layout: both names); a ``system`` field before a list is its first turn.  A record
+    with an empty list, or without a known layout (layout null), gives one row with turn, role and text null.
     """
     layouts = [x for x in LAYOUTS if not x.rows]
     base = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("record"))
     base = base.withColumn("paths", json_paths(F.col("record"))).withColumn("print", fingerprint(F.col("paths")))
-    pick = F.lit(None).cast("string")
-    for layout in reversed(layouts):
-        covers = F.size(F.array_except(F.array(*[F.lit(x) for x in layout.paths()]), "paths")) == 0
-        pick = F.when(covers, F.lit(layout.name)).otherwise(pick)
-    for layout in layouts:
-        known = F.lit("\n".join(layout.paths()))
-        pick = F.when(F.col("print") == F.xxhash64(known), F.lit(layout.name)).otherwise(pick)
-    base = base.withColumn("layout", pick)
+
+    def picked(some: list[Layout]) -> Column:
+        out = F.lit(None).cast("string")
+        for layout in reversed(some):
+            fits = F.size(F.array_except(F.array(*[F.lit(x) for x in layout.paths()]), "paths")) == 0
+            if layout.turns:
+                fits = fits | (F.size(_elements(F.get_json_object("record", f"$.{layout.turns[0]}"))) == 0)
+            out = F.when(fits, F.lit(layout.name)).otherwise(out)
+        for layout in some:  # equal fingerprints first
+            out = F.when(F.col("print") == F.xxhash64(F.lit("\n".join(layout.paths()))), F.lit(layout.name)).otherwise(out)
+        return out
+
+    base = base.withColumns({"listed": picked([x for x in layouts if x.turns]), "given": picked([x for x in layouts if x.fields])})
     kind = "array<struct<role:string,text:string>>"
-    turns = F.lit(None).cast(kind)
-    for layout in layouts:
-        turns = F.when(F.col("layout") == layout.name, _mapping(layout).cast(kind)).otherwise(turns)
-    return base.select("conv_id", "layout", F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", "turn", "t.role", "t.text")
+    none = F.array().cast(kind)
+
+    def mapped(some: list[Layout], name: str) -> Column:
+        out = none
+        for layout in some:
+            out = F.when(F.col(name) == layout.name, _mapping(layout).cast(kind)).otherwise(out)
+        return out
+
+    prompt = F.get_json_object("record", "$.system")
+    alone = F.col("listed").isNotNull() & prompt.isNotNull() & ~F.coalesce(F.col("given") == "system prompt", F.lit(False))
+    first = F.when(alone, F.array(F.struct(F.lit("system").alias("role"), prompt.alias("text"))).cast(kind)).otherwise(none)
+    turns = F.concat(first, mapped([x for x in layouts if x.turns], "listed"), mapped([x for x in layouts if x.fields], "given"))
+    layout = F.nullif(F.concat_ws(" + ", "listed", "given"), F.lit(""))
+    return base.select("conv_id", layout.alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("conv_id", "layout", "turn", "t.role", "t.text")
+
+
+def _content(turn: Column, name: str) -> Column:
+    """The text of a turn (a variant): a text, or the text parts of a list."""
+
+    def part(x: Column) -> Column:
+        return F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.try_variant_get(x, "$.text", "string"), F.lit(""))
+
+    parts = F.try_variant_get(turn, f"$.{name}", "array<variant>")
+    return F.coalesce(F.array_join(F.transform(parts, part), ""), F.try_variant_get(turn, f"$.{name}", "string"), F.lit(""))
 
 
 def _mapping(layout: Layout) -> Column:
     record = F.col("record")
     if layout.turns:
         array, role, text = layout.turns
-        listed = F.from_json(record, f"STRUCT<`{array}`: ARRAY<STRUCT<`{role}`: STRING, `{text}`: STRING>>>")[array]
         names = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
 
         def turn(x: Column) -> Column:
-            given = F.coalesce(x[role], F.lit(""))
-            return F.struct(F.coalesce(names[F.lower(given)], given).alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
+            v = F.try_parse_json(x)
+            given = F.coalesce(F.try_variant_get(v, f"$.{role}", "string"), F.lit(""))
+            return F.struct(F.coalesce(names[F.lower(given)], given).alias("role"), _content(v, text).alias("text"))
 
-        return F.transform(listed, turn)
+        return F.transform(_elements(F.get_json_object(record, f"$.{array}")), turn)
     out = []
     for role, *names in layout.fields:
         parts = [F.nullif(F.coalesce(F.get_json_object(record, f"$.{n}"), F.lit("")), F.lit("")) for n in names]

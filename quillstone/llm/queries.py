@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
-from .chat_format import digests, format_turns, turns_of_rows
+from .chat_format import digests, format_turns, turns_of_json, turns_of_rows
 from .common import table
 from .html_extract import extract
 from .kneser_ney import judge
@@ -122,9 +122,35 @@ FROM t GROUP BY conv_id
 """
 
 
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as JSON records of four layouts by conv_id, and the canonical turns that are read back from them."""
+    rows = turns_of_rows(table(spark, sf_dir, "conversations"))
+    said = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    share = F.create_map(*[F.lit(x) for kv in {"user": "human", "assistant": "gpt"}.items() for x in kv])
+
+    def record(array: str, role: str, text: str, who=lambda r: r, what=lambda x: x) -> Column:
+        return F.to_json(F.struct(F.transform("t", lambda x: F.struct(who(x["role"]).alias(role), what(x["text"]).alias(text))).alias(array)))
+
+    kinds = [
+        record("messages", "role", "content"),
+        record("conversations", "from", "value", who=lambda r: F.coalesce(share[r], r)),
+        record("dialogue", "speaker", "utterance"),
+        record("messages", "role", "content", what=lambda x: F.array(F.struct(F.lit("text").alias("type"), x.alias("text")))),
+    ]
+    kind = F.pmod(F.col("conv_id"), F.lit(4))
+    pick = kinds[3]
+    for i in (2, 1, 0):
+        pick = F.when(kind == i, kinds[i]).otherwise(pick)
+    return turns_of_json(said.select("conv_id", pick.alias("record")), "conv_id", "record")
+
+
+CHAT_SQL = """SELECT conv_id, CASE conv_id % 4 WHEN 1 THEN 'share' WHEN 2 THEN 'dialogue' ELSE 'messages' END AS layout,
+  CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS INTEGER) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"""
+
+
 QUERIES = [
     op1_kmeans_tree_search, op2_spotsigs, op3_kneser_ney_quality, op4_minhash_join, op5_template_dedup, op6_chat_format, op7_host_suffix_extract,
-    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op11_wand_search, op12_byte_owner_align, op13_quality_rules,
+    op8_link_trust, op9_pattern_packing, op10_sainte_lague_mix, op11_wand_search, op12_byte_owner_align, op13_quality_rules, chat_layouts,
 ]
 
 
@@ -133,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op11_wand_search": SEARCH_SQL, "op13_quality_rules": rules_sql()}
+    return {"op6_chat_format": OP6_SQL, "chat_layouts": CHAT_SQL, "op11_wand_search": SEARCH_SQL, "op13_quality_rules": rules_sql()}

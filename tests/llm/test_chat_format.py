@@ -66,3 +66,50 @@ def test_json_layouts(spark):
     assert sorted(got[5]) == [("prompt and completion", 0, "user", "p"), ("prompt and completion", 1, "assistant", "c")]
     assert [x[2:] for x in sorted(got[6])] == [("system", "s"), ("user", "p"), ("assistant", "")]
     assert all(got[i] == [(None, None, None, None)] for i in (7, 9, 10))
+
+
+def turns(spark, record):
+    df = spark.createDataFrame([(1, record if isinstance(record, str) or record is None else json.dumps(record))], "id long, rec string")
+    rows = sorted(C.turns_of_json(df, "id", "rec").collect(), key=lambda r: r["turn"] or 0)
+    return rows[0]["layout"], [(r["role"], r["text"]) for r in rows if r["turn"] is not None]
+
+
+def test_a_list_is_known_by_all_its_elements(spark):
+    assert turns(spark, {"messages": [{"role": "user"}, {"role": "assistant", "content": "hello"}]}) == ("messages", [("user", ""), ("assistant", "hello")])
+    assert turns(spark, {"conversations": [{"value": "x"}, {"from": "gpt"}, {}, None]}) == ("share", [("", "x"), ("assistant", ""), ("", ""), ("", "")])
+    assert turns(spark, {"messages": []}) == ("messages", [])
+    assert turns(spark, {"messages": [], "x": 1}) == ("messages", [])
+    assert turns(spark, {"messages": "text"}) == (None, []) and turns(spark, {"messages": [{"a": 1}]}) == (None, [])
+
+
+def test_a_text_may_be_a_list_of_parts(spark):
+    parts = [{"type": "text", "text": "see "}, {"type": "image_url", "image_url": {"url": "u"}}, "this", {"type": "text", "text": None}, {"type": "text", "text": "!"}]
+    assert turns(spark, {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": '["not", "parts"]'}]}) == ("messages", [("user", "see this!"), ("assistant", '["not", "parts"]')])
+    assert turns(spark, {"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": 5}]}) == ("messages", [("user", ""), ("assistant", "5")])
+
+
+def test_a_mixed_record_loses_nothing(spark):
+    mixed = {"messages": [{"role": "user", "content": "q"}], "instruction": "do", "output": "done"}
+    assert turns(spark, mixed) == ("messages + instruction", [("user", "q"), ("user", "do"), ("assistant", "done")])
+    assert turns(spark, {"system": "s", "messages": [{"role": "user", "content": "q"}]}) == ("messages", [("system", "s"), ("user", "q")])
+
+
+def test_paths_are_nested(spark):
+    record = {"a": {"b": 1, "c": {"d": 2}}, "l": [{"x": 1}, {"y": 2}, 3], "t": "[x"}
+    (r,) = spark.createDataFrame([(json.dumps(record),)], "r string").select(C.json_paths(F.col("r")).alias("p")).collect()
+    assert sorted(r["p"]) == ["a", "a.b", "a.c", "l", "l[].x", "l[].y", "t"]
+
+
+def test_layouts_of_all_conversations_and_no_python(spark):
+    import duckdb
+
+    from quillstone.llm import queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = Q.chat_layouts(spark, sf)
+    want = con.execute(f"SELECT conv_id, layout, turn, role, text FROM ({Q.CHAT_SQL})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
