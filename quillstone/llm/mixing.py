@@ -3,12 +3,12 @@
 1. A document's size is its number of words (runs without ASCII white space).
 2. Targets: the sources, in code point order with null last, share all words by weight; a target
    stops at ``most`` times its source's size and the excess is shared again by weight.
-3. A source whose target exceeds its size is taken whole as often as it fits; the rest of the
-   target is taken in blocks of ``block`` words.  The number of blocks is the rest of all targets
-   over the block size; Sainte-Lague (highest quotients) gives each source whole blocks, and each
-   source's blocks go to its shards the same way.  Shards are hash-dealt parts of a source of at
-   most about ``shard`` words, so a source of any size is many tasks.
-4. In a shard the documents lie one after the other, in seeded order, and are cut into blocks;
+3. A source whose target exceeds its size is taken whole as often as it fits; the rest of all targets
+   is apportioned in words by Sainte-Lague (highest quotients), so each source has a whole number of
+   them, and each source's words go to its shards the same way.  Shards are hash-dealt parts of a
+   source of at most about ``shard`` words, so a source of any size is many tasks.
+4. A shard's quota is as many whole blocks of ``block`` words as fit, and the beginning of one more for
+   what is left, so sources of any size meet their targets to the word.  In a shard the documents lie one after the other, in seeded order, and are cut into blocks;
    the blocks are taken in a seeded order (a permutation by a stride without common factor), so
    whether a block is taken is a formula, not a join.
 
@@ -120,8 +120,9 @@ def place(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """Every row of ``docs(doc_id, text, source)`` with its size, target and place in its shard.
 
     Adds size, source_size, target, full (how often it is taken whole), start (words of its shard
-    before it), quota, blocks, stride, first: block j of the shard is taken once more if
-    ``(j * stride + first) mod blocks < quota``.  Keeps text_hash to find the row again.
+    before it), quota, blocks, stride, first, extra: block j of the shard is taken once more if
+    ``(j * stride + first) mod blocks < quota``, and its first ``extra`` words if the two are equal.  Keeps
+    text_hash to find the row again.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
@@ -148,33 +149,47 @@ def place(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     own = np.array([r["size"] for r in per], dtype=np.int64)
     blocks = -(-own // p.block)
     quota = np.zeros(len(per), dtype=np.int64)
-    room = np.bincount(sid, weights=blocks, minlength=len(rows)).astype(np.int64) if len(per) else np.zeros(len(rows), dtype=np.int64)
-    seats = sainte_lague(rest, int(round(rest.sum() / p.block)), np.minimum(room, np.ceil(rest / p.block).astype(np.int64)))
+    seats = sainte_lague(rest, int(round(rest.sum())), np.ceil(rest).astype(np.int64))
     for s in range(len(rows)):
         at = np.nonzero(sid == s)[0] if len(rows) < 1000 else np.arange(np.searchsorted(sid, s), np.searchsorted(sid, s, side="right"))
-        quota[at] = sainte_lague(own[at], int(seats[s]), blocks[at])
+        quota[at] = sainte_lague(own[at], int(seats[s]), own[at])  # in words
     strides = []
-    for s, r, n in zip(sid.tolist(), (x["shard"] for x in per), blocks.tolist(), strict=True):
+    for s, r, n, words, size in zip(sid.tolist(), (x["shard"] for x in per), blocks.tolist(), quota.tolist(), own.tolist(), strict=True):
         step = _mix64(p.seed, s, r, 1) % max(n, 1) or 1
         while gcd(step, max(n, 1)) != 1:
             step += 1
-        strides.append((s, r, n, int(quota[len(strides)]), step, _mix64(p.seed, s, r, 2) % max(n, 1)))
-    table = spark.createDataFrame(strides, "sid int, shard int, blocks long, quota long, stride long, first long")
+        strides.append((s, r, n, *_whole(words, size, n, step, (at := _mix64(p.seed, s, r, 2) % max(n, 1)), p.block), step, at))
+    table = spark.createDataFrame(strides, "sid int, shard int, blocks long, quota long, extra long, stride long, first long")
     order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(p.seed + 1)), "doc_id", "text_hash")
     start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = keyed.withColumn("start", start).join(F.broadcast(table), ["sid", "shard"])
-    return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", "full", "start", "quota", "blocks", "stride", "first")
+    return placed.select("doc_id", "text_hash", "source", "size", "source_size", "target", "full", "start", "quota", "blocks", "stride", "first", "extra")
+
+
+def _whole(words: int, size: int, blocks: int, stride: int, first: int, block: int) -> tuple[int, int]:
+    """``(quota, extra)``: whole blocks, in the order in which they are taken, and words of the next one that make ``words``.
+
+    All blocks have ``block`` words but the shard's last one.
+    """
+    if words >= size:
+        return blocks, 0
+    short = blocks * block - size  # words that the last block lacks
+    when = ((blocks - 1) * stride + first) % blocks if blocks else 0
+    quota = words // block
+    if when <= quota:  # the last block is taken before what is left, or is it
+        quota = max(when, (words + short) // block)
+    return quota, words - quota * block + (short if when < quota else 0)
 
 
 def _taken(block: int) -> Column:
     """Words of the document that lie in taken blocks of its shard."""
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
-    some = (F.col("size") > 0) & (F.col("quota") > 0)
+    some = (F.col("size") > 0) & (F.col("quota") + F.col("extra") > 0)
 
     def overlap(total: Column, j: Column) -> Column:
-        taken = F.pmod(j * F.col("stride") + F.col("first"), F.col("blocks")) < F.col("quota")
-        words = F.least((j + 1) * block, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start"))
-        return total + F.when(taken, words).otherwise(F.lit(0).cast("long"))
+        turn = F.pmod(j * F.col("stride") + F.col("first"), F.col("blocks"))
+        until = F.when(turn < F.col("quota"), (j + 1) * block).when(turn == F.col("quota"), j * block + F.col("extra")).otherwise(F.lit(0))
+        return total + F.greatest(F.lit(0).cast("long"), F.least(until, F.col("start") + F.col("size")) - F.greatest(j * block, F.col("start")))
 
     every = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), overlap)
     return F.when(some, F.when(F.col("quota") >= F.col("blocks"), F.col("size")).otherwise(every)).otherwise(F.lit(0).cast("long"))
@@ -193,7 +208,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     ``n_chars`` is set to the new text's length where ``docs`` has it.  Texts without words are never taken.
     """
     names = docs.columns
-    own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "nth", "source"]
+    own = ["doc_id", "text_hash", "full", "words", "start", "size", "quota", "blocks", "stride", "first", "extra", "nth", "source"]
     new = dict(zip(own, fresh(docs, *[f"mix_{c}" for c in own]), strict=True))
     row_hash, row_nth, row_salt = fresh(docs, "mix_row_hash", "mix_row_nth", "mix_row_salt")
     places = place(docs, p).withColumn("words", _taken(p.block))
@@ -206,14 +221,14 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     rows = rows.withColumn(row_nth, F.row_number().over(Window.partitionBy("doc_id", row_hash, "source").orderBy(F.lit(0))))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(new["doc_id"])) & (F.col(row_hash) == F.col(new["text_hash"])) & F.col("source").cast("string").eqNullSafe(F.col(new["source"]))
     met = rows.join(places, same & (F.col(row_nth) == F.col(new["nth"])))
-    used = own[2:10]
+    used = own[2:11]
     at_chars = names.index("n_chars") if "n_chars" in names else None
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             picked, texts, held = [], [], 0
             columns = [b.column(new[c]).to_pylist() for c in used]
-            for i, (full, words, start, size, quota, blocks, stride, first) in enumerate(zip(*columns, strict=True)):
+            for i, (full, words, start, size, quota, blocks, stride, first, extra) in enumerate(zip(*columns, strict=True)):
                 text = b.column("text")[i].as_py() or ""
                 times = full + (words == size and size > 0)
                 picked += [i] * times
@@ -221,7 +236,7 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
                 held += len(text) * times
                 if words and words != size:
                     picked.append(i)
-                    texts.append(runs(text, start, quota, blocks, stride, first, p.block))
+                    texts.append(runs(text, start, quota, blocks, stride, first, extra, p.block))
                     held += len(texts[-1])
                 if held > 4 << 20:  # few texts at a time are Python strings
                     yield mixed(b, picked, texts)
@@ -239,11 +254,12 @@ def mixed_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     return met.select(*names, *[new[x] for x in used]).mapInArrow(expand, docs.schema)
 
 
-def runs(text: str, start: int, quota: int, blocks: int, stride: int, first: int, block: int) -> str:
+def runs(text: str, start: int, quota: int, blocks: int, stride: int, first: int, extra: int, block: int) -> str:
     """The slices of ``text`` whose words lie in taken blocks."""
     out, open_at, end = [], None, 0
     for n, m in enumerate(_WORD.finditer(text)):
-        if ((start + n) // block * stride + first) % blocks < quota:
+        turn = ((start + n) // block * stride + first) % blocks
+        if turn < quota or turn == quota and (start + n) % block < extra:
             if open_at is None:
                 open_at = m.start()
             end = m.end()
