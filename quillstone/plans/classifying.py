@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
+from ..operators import jointfit as J
+from ..operators import terms as T
 from .facts import table
 from .registry import query
 
@@ -117,27 +119,33 @@ def one_hot_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tfidf_multilabel_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold label scores from word n-grams, in five folds or as many as the smaller class has rows; fitted, so without SQL."""
+    labels = ["quality", "toxic"]
     rows = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id")
-    k = max(2, min(5, rows.groupBy("quality").count().agg(F.min("count")).first()[0] or 0))
-    features, _ = C.tfidf(C.folds(rows, "quality", "doc_id", k), "text", n=2, vocabulary=50_000)
-    return C.chosen(C.out_of_fold(features.select(F.col("doc_id"), "features", "quality", "toxic", "fold").cache(), ["quality", "toxic"], "doc_id", k).withColumnRenamed("doc_id", "row"), 0.5)
+    sizes = [r["count"] for r in rows.groupBy("quality").count().collect()]  # a row a class
+    k = max(2, min(5, *sizes)) if sizes else 2
+    vectors, terms = T.tfidf_arrays(rows, "doc_id", "text", n=2, vocabulary=50_000)
+    folded = C.folds(rows, "quality", "doc_id", k).select(F.col("doc_id").alias("row"), "fold", *labels)
+    data = vectors.join(folded, "row")
+    fitted = J.fit_all(data, terms.count(), labels, list(range(k)), [1.0 / max(1, sum(sizes))])
+    return C.chosen(J.predict_all(data, fitted, labels).select("row", "label", "truth", "score"), 0.5)
 
 
 @query()
 def embedding_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of one label from scaled embeddings, in five hashed folds; fitted, so without SQL."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).alias("fold"))
-    features = C.scaled_vectors(rows, "embedding").drop("embedding").cache()
-    return C.out_of_fold(features, ["is_3"], "vec_id", 5, regularisation=0.01)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "embedding", (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(5)).cast("int").alias("fold"))
+    data, width = J.scaled(rows, "embedding")
+    fitted = J.fit_all(data, width, ["is_3"], list(range(5)), [0.01])
+    return J.predict_all(data, fitted, ["is_3"]).select(F.col("row").alias("vec_id"), "label", "truth", "score")
 
 
 @query(
-    """WITH x AS (SELECT vec_id // 4 AS doc, list_transform(embedding, lambda e: e::DOUBLE) AS v, vec_id % 4 AS pos FROM embeddings), k AS (SELECT doc, i, avg(v[i]) AS m FROM x, (SELECT unnest(range(1, 5)) AS i) WHERE pos <> 3 GROUP BY ALL)
-SELECT doc, max(round(m, 9)) FILTER (i = 1) AS m1, max(round(m, 9)) FILTER (i = 2) AS m2, max(round(m, 9)) FILTER (i = 3) AS m3, max(round(m, 9)) FILTER (i = 4) AS m4 FROM k GROUP BY doc"""
+    """WITH x AS (SELECT vec_id // 4 AS doc, list_transform(embedding, lambda e: e::DOUBLE) AS v, vec_id % 4 AS pos FROM embeddings)
+SELECT doc, CAST(i AS INTEGER) AS place, round(avg(v[i]), 9) AS mean FROM x, unnest(range(1, len(v) + 1)) AS t(i) WHERE pos <> 3 GROUP BY doc, i"""
 )
 def masked_mean_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the token vectors whose mask is 1; four vectors stand in for a document's tokens."""
+    """Mean of the token vectors whose mask is 1, all of it, by place; four vectors stand in for a document's tokens."""
     rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).cast("long").alias("doc"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), (F.col("vec_id") % 4 != 3).cast("int").alias("m"), "vec_id")
     docs = rows.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v", "m"))).alias("t"))
     mean = C.masked_mean(F.transform("t", lambda x: x["v"]), F.transform("t", lambda x: x["m"]))
-    return docs.withColumn("mean", mean).select("doc", *[F.round(F.get("mean", i), 9).alias(f"m{i + 1}") for i in range(4)])
+    return docs.select("doc", F.posexplode(mean).alias("place", "mean")).select("doc", (F.col("place") + 1).alias("place"), F.round("mean", 9).alias("mean"))

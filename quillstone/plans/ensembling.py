@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import ensemble as E
+from ..operators import jointfit as J
 from ..operators import linkage as L
 from .facts import table
 from .registry import query
@@ -117,14 +118,13 @@ def tuning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def regularisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid search over the strength of a logistic regression on scaled embeddings, in three folds; fitted, so without SQL."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(3)).alias("fold"))
-    features = C.scaled_vectors(rows, "embedding").drop("embedding").cache()
-
-    def fit_predict(train: DataFrame, test: DataFrame, setting: dict[str, float]) -> DataFrame:
-        return C.chosen(C.predict(C.one_vs_rest(train, ["is_3"], setting["regularisation"], iterations=15), test, "row"), 0.5)
-
-    return E.grid_search(features, [{"regularisation": x} for x in (0.01, 1.0)], fit_predict, 3)
+    """Grid search over the strength of a logistic regression on scaled embeddings, in three folds that are fitted together; without SQL."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"), "embedding", (F.col("label") == 3).cast("int").alias("is_3"), F.pmod(F.xxhash64("vec_id"), F.lit(3)).cast("int").alias("fold"))
+    data, width = J.scaled(rows, "embedding")
+    strengths = [0.01, 1.0]
+    scores = J.predict_all(data, J.fit_all(data, width, ["is_3"], [0, 1, 2], strengths), ["is_3"])
+    parts = [C.metrics(C.chosen(scores.where(F.col("strength") == x), 0.5).withColumn("config", F.lit(i)), ("config", "fold")) for i, x in enumerate(strengths)]
+    return E.fold_table(parts[0].unionByName(parts[1]), ["config"])
 
 
 @query()

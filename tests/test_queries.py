@@ -64,22 +64,23 @@ def test_tfidf_model_beats_chance_out_of_fold(spark):
 def test_tfidf_model_has_bigrams_the_references_vocabulary_and_five_folds(spark, monkeypatch):
     from quillstone.plans import classifying
 
-    tfidf, met = classifying.C.tfidf, {}
-
-    def fitted(df, text, **params):
-        features, model = tfidf(df, text, **params)
-        met.update(params, words=model.stages[0].vocabulary)
-        return features, model
-
-    def folded(df, labels, row, k):
-        met.update(k=k, folds=df.select("fold").distinct().count())
-        return spark.createDataFrame([(1, "quality", 1, 0.5)], "doc_id long, label string, truth int, score double")
-
-    monkeypatch.setattr(classifying.C, "tfidf", fitted)
-    monkeypatch.setattr(classifying.C, "out_of_fold", folded)
-    registry.queries()["tfidf_multilabel_lr"](spark, SF)
-    assert met["vocabulary"] == 50_000 and any(" " in w for w in met["words"])
-    assert met["k"] == met["folds"] == 5
+    tfidf, met = classifying.T.tfidf_arrays, {}
+
+    def vectors(df, row, text, **params):
+        out = tfidf(df, row, text, **params)
+        met.update(params, words=[r["term"] for r in out[1].collect()])
+        return out
+
+    def fitted(data, features, labels, folds, strengths):
+        met.update(folds=data.select("fold").distinct().count(), models=len(labels) * len(folds), features=features)
+        raise InterruptedError
+
+    monkeypatch.setattr(classifying.T, "tfidf_arrays", vectors)
+    monkeypatch.setattr(classifying.J, "fit_all", fitted)
+    with pytest.raises(InterruptedError):
+        registry.queries()["tfidf_multilabel_lr"](spark, SF)
+    assert met["vocabulary"] == 50_000 and any(" " in w for w in met["words"]) and met["features"] == len(met["words"])
+    assert met["folds"] == 5 and met["models"] == 10
 
 
 def test_embedding_model_scores_every_row(spark):
