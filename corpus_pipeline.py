@@ -81,15 +81,25 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is a table in the shared folder."""
+    """All stages over ``documents``; each stage's result is a table in the shared folder.
+
+    A stage that fails leaves nothing there: its own files, its predecessor's and its scratch tables go before the error is raised.
+    """
     docs = table(spark, sf_dir, "documents")
-    before = None
-    for _, work in STAGES:
-        path = f"{shared_dir(spark)}/quillstone-stage-{uuid.uuid4().hex}"
-        work(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
-    release(spark, "pipeline")
+    written: list[str] = []
+    try:
+        for _, work in STAGES:
+            path = f"{shared_dir(spark)}/quillstone-stage-{uuid.uuid4().hex}"
+            written.append(path)
+            work(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            for before in written[:-1]:
+                remove(spark, before)
+            written = [path]
+    except BaseException:
+        for path in written:
+            remove(spark, path)
+        raise
+    finally:
+        release(spark, "pipeline")
     return docs
