@@ -130,3 +130,25 @@ def one_hot(df: DataFrame, labels: str, names: list[str], prefix: str = "has_")
 def ordered_reasons(reasons: dict[str, Column]) -> Column:
     """The names of the conditions that hold, in order, as one delimited cell."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in reasons.items()])), "; ")
+
+
+def round_columns(df: DataFrame, columns: list[str], places: int = 4) -> DataFrame:
+    """The named columns rounded, the others as they are; a missing one is an error."""
+    return require_columns(df, columns).withColumns({c: F.round(c, places) for c in columns})
+
+
+def with_constants(df: DataFrame, **values: object) -> DataFrame:
+    """Constant columns that say where rows come from, such as ``record_status`` or ``match_strategy``."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
+def common_values(a: Column, b: Column) -> Column:
+    """The distinct values that two arrays share, sorted; null arrays are empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_intersect(F.coalesce(a.cast("array<string>"), none), F.coalesce(b.cast("array<string>"), none)))
+
+
+def other_values(a: Column, b: Column) -> Column:
+    """The distinct values of an array that the second one lacks, sorted; null arrays are empty."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_except(F.coalesce(a.cast("array<string>"), none), F.coalesce(b.cast("array<string>"), none)))

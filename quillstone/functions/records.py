@@ -165,9 +165,7 @@ def walk(df: DataFrame, json: str, keep: list[str], depth: int = 12) -> DataFram
         nested = F.startswith(kind, F.lit("OBJECT<")) | F.startswith(kind, F.lit("ARRAY<"))
         flat = open_.where(~F.coalesce(nested, F.lit(False))).select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
         done = flat if done is None else done.union(flat)
-        view = f"quillstone_walk_{id(open_)}"
-        open_.where(nested).createOrReplaceTempView(view)
         own = ", ".join(f"w.`{k}`" for k in keep)
-        open_ = df.sparkSession.sql(f"SELECT {own}{', ' if own else ''}concat(w.path, coalesce(concat('.', e.key), concat('[', cast(e.pos AS string), ']'))) AS path, e.value AS v FROM {view} w, LATERAL variant_explode(w.v) e")
+        open_ = df.sparkSession.sql(f"SELECT {own}{', ' if own else ''}concat(w.path, coalesce(concat('.', e.key), concat('[', cast(e.pos AS string), ']'))) AS path, e.value AS v FROM {{nested}} w, LATERAL variant_explode(w.v) e", nested=open_.where(nested))
     deeper = F.when(F.col("path").isNotNull(), F.raise_error(F.lit(f"JSON deeper than {depth} levels")).cast("string"))
     return done.union(open_.select(*keep, "path", deeper.alias("value")))

@@ -66,8 +66,13 @@ def rolling_top_shares(papers: DataFrame | None, author_papers: DataFrame, look_
         facts = scratch.write(author_papers.select(*by, "paper", "author", "y"))
         counts = scratch.write(history_counts(facts, look_back, by))
         cuts = scratch.write(cutoffs(counts, percents, by))
-        chosen = counts.join(cuts.select(*by, "y", "p", "cutoff"), [*by, "y"]).where(F.col("c") >= F.col("cutoff")).select(*by, "y", "p", "author")
-        hits = facts.join(chosen, [*by, "y", "author"]).groupBy(*by, "y", "p").agg(F.countDistinct("paper").alias("papers_with_top"))
+        # An author of a top percent is one of every larger percent, so each has one row with the least, and so has a paper.
+        steps = cuts.groupBy(*by, "y").agg(F.collect_list(F.struct("p", "cutoff")).alias("steps"))
+        least = F.array_min(F.transform(F.filter("steps", lambda x: F.col("c") >= x["cutoff"]), lambda x: x["p"]))
+        chosen = counts.join(steps, [*by, "y"]).select(*by, "y", "author", least.alias("least")).where("least IS NOT NULL")
+        reached = facts.join(chosen, [*by, "y", "author"]).groupBy(*by, "y", "paper").agg(F.min("least").alias("least")).groupBy(*by, "y", "least").agg(F.count("*").alias("n"))
+        every = F.filter(F.array(*[F.lit(p) for p in percents]), lambda p: p >= F.col("least"))
+        hits = reached.select(*by, "y", F.explode(every).alias("p"), "n").groupBy(*by, "y", "p").agg(F.sum("n").alias("papers_with_top"))
         totals = (facts if papers is None else papers).groupBy(*by, "y").agg(F.countDistinct("paper").alias("total_papers"))
         spine = totals.select("*", F.explode(F.array(*[F.lit(p) for p in percents])).alias("p"))
         sizes = cuts.select(*by, "y", "p", F.col("n").alias("eligible_authors"), F.col("selected").alias("selected_authors"), F.col("cutoff").alias("cutoff_papers"))

@@ -12,8 +12,9 @@ def longest(value: str, order: str) -> Column:
 
 
 def longest_greatest(value: str) -> Column:
-    """The longest value of a group; of equally long ones the greatest."""
-    return F.max(F.struct(F.length(value).alias("n"), F.col(value).alias("v")))["v"]
+    """The longest trimmed value of a group; of equally long ones the greatest; blank if there is none."""
+    text = F.trim(F.coalesce(value, F.lit("")))
+    return F.max(F.struct(F.length(text).alias("n"), text.alias("v")))["v"]
 
 
 def first_nonblank(value: str, order: str) -> Column:

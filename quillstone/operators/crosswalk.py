@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank, nonblank, ordered_reasons
-from .consolidate import distinct_in_order
+from .consolidate import distinct_in_order, longest_greatest
 from .names import numbered
 
 
@@ -63,12 +63,6 @@ def longest_first(value: str, order: str) -> Column:
     return F.max_by(text, F.struct(F.length(text), -F.col(order)))
 
 
-def longest_greatest(value: str) -> Column:
-    """The longest trimmed value, the greatest of equals."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    return F.max(F.struct(F.length(text).alias("n"), text.alias("v")))["v"]
-
-
 def crosswalk(rows: DataFrame, order: str) -> DataFrame:
     """One row for each author id with eleven measures; ``rows`` in the order of ``order`` (a number, unique)."""
     known = rows.where("author_id <> ''")

@@ -5,30 +5,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import Scratch
 from ..functions.text import sequence_ratio
+from .ranking import sorted_places
 
 
 def numbered(keys: DataFrame, key: str, out: str, pattern: str) -> DataFrame:
     """Consecutive ids of the distinct non-blank keys in their order.
 
-    The keys are dealt to ranges between sampled splitters, sorted and numbered within each range as they are
-    written; only the ranges' sizes, one row a range, meet in one place.  No step groups by a part of the key.
+    Numbered by sampled ranges of the whole order, see :func:`sorted_places`; no step groups by a part of the key.
     """
-    spark = keys.sparkSession
     distinct = keys.select(key).where(F.coalesce(F.col(key), F.lit("")) != "").distinct()
-    ranged = distinct.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
-    place = F.monotonically_increasing_id()
-    with Scratch(spark, "ranges") as scratch:
-        # the ids hold the partition above 33 bits of the row's place in it
-        written = scratch.kept(ranged.select(key, F.shiftright(place, 33).alias("_range"), place.bitwiseAND(F.lit((1 << 33) - 1).cast("long")).alias("_at")))
-    sizes = written.groupBy("_range").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = written.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range")  # no more rows than shuffle partitions
-    return placed.select(key, F.format_string(pattern, F.col("_before") + F.col("_at") + 1).alias(out))
+    return sorted_places(distinct, [key], "_place").select(key, F.format_string(pattern, "_place").alias(out))
 
 
 def exact_groups(df: DataFrame, key: str, out: str = "exact_id") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..functions import text as T
 from ..operators import consolidate as D
+from ..operators import ranking as R
 from ..sources.html_meta import page_metadata
 from ..streaming import events as E
 from .facts import table
@@ -190,3 +191,27 @@ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS sessio
 )
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sessions(table(spark, sf_dir, "events"))
+
+
+@query(
+    """SELECT l_orderkey * 10 + l_linenumber AS line, row_number() OVER (ORDER BY l_linestatus, l_extendedprice DESC, l_returnflag DESC, l_orderkey, l_linenumber) AS place FROM lineitem"""
+)
+def sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's place in one order of the whole table, some keys ascending and some descending."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_extendedprice", "l_returnflag")
+    order = [F.col("l_linestatus"), F.desc("l_extendedprice"), F.desc("l_returnflag"), F.col("l_orderkey"), F.col("l_linenumber")]
+    placed = R.sorted_places(rows, order, "place")
+    return placed.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "place")
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey, list_distinct(list(CAST(l_partkey % 9 AS VARCHAR))) AS modes, list_distinct(list(l_returnflag)) AS flags FROM lineitem GROUP BY 1)
+SELECT l_orderkey, coalesce(array_to_string(list_sort(list_filter(modes, lambda x: x IN ('1', '3', '5', 'none'))), ';'), '') AS given, coalesce(array_to_string(list_sort(list_filter(modes, lambda x: x NOT IN ('1', '3', '5', 'none'))), ';'), '') AS other,
+  coalesce(array_to_string(list_sort(list_filter(flags, lambda x: x <> 'N')), ';'), '') AS flags, 'matched' AS record_status FROM f"""
+)
+def value_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's values among some given ones, and the others."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 9).cast("string")).alias("modes"), F.collect_set("l_returnflag").alias("flags"))
+    given = F.array(*[F.lit(x) for x in ("1", "3", "5", "none")])
+    rows = lines.select("l_orderkey", F.array_join(K.common_values(F.col("modes"), given), ";").alias("given"), F.array_join(K.other_values(F.col("modes"), given), ";").alias("other"), F.array_join(K.other_values(F.col("flags"), F.array(F.lit("N"))), ";").alias("flags"))
+    return K.with_constants(rows, record_status="matched")
