@@ -13,6 +13,7 @@ from ..operators import crosswalk as X
 from ..operators import filters as R
 from ..operators import linkage as L
 from ..operators.cleaning import SourceRules, clean_source
+from ..operators.works import WorkRules, clean_works
 from .facts import table
 from .registry import query
 
@@ -395,3 +396,29 @@ def shared_value_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_custkey").cast("string"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.array(first, (F.col("o_custkey") * 7).cast("string")).alias("ids"))
     return D.shared_value_tag(rows, "o_orderkey", F.col("ids"), "tag").select("o_orderkey", "tag")
+
+
+WORKS = r"""WITH w AS (SELECT o_orderkey AS k, 'Title ' || (o_orderkey % 3000) AS title, 'https://doi.org/10.1/' || (o_custkey % 4) AS doi, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'A' || o_custkey END AS authors,
+  repeat('x', CAST(o_custkey % 7 AS INTEGER)) || o_orderstatus AS inst, 'Abstract of ' || repeat('y', CAST(o_custkey % 6 AS INTEGER)) AS abstract, 'k' || (o_custkey % 5) AS kw, year(o_orderdate) AS y FROM orders WHERE o_orderkey % 11 <> 3),
+g AS (SELECT title, count(*) AS n FROM w GROUP BY 1), u AS (SELECT w.*, n FROM w JOIN g USING (title) WHERE n = 1 OR authors <> '')
+SELECT title AS works_title, CAST(n > 1 AS INTEGER) AS works_tag, min_by(authors, k) AS works_authors, CAST(min_by(y, k) AS VARCHAR) AS works_publication_year, max_by(inst, [length(inst), -k]) AS works_author_institutions, trim(max_by(abstract, [length(trim(abstract)), -k])) AS works_abstract,
+  array_to_string(list_transform(list_sort(list_transform(map_entries(map(list_distinct(list(kw)), list_transform(list_distinct(list(kw)), lambda v: list_min(list_transform(list_filter(list({'k': k, 'v': kw}), lambda e: e.v = v), lambda e: e.k))))), lambda m: {'k': m.value, 'v': m.key})), lambda m: m.v || ' (0.500)'), '; ') AS works_keywords,
+  list_sort(list_transform(map_entries(map(list_distinct(list(doi)), list_transform(list_distinct(list(doi)), lambda v: list_min(list_transform(list_filter(list({'k': k, 'v': doi}), lambda e: e.v = v), lambda e: e.k))))), lambda m: {'k': m.value, 'v': m.key}))[1].v[17:] AS works_doi_1
+FROM u GROUP BY title, n"""
+
+
+@query(WORKS)
+def works_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of the source of nested records, to one row a title."""
+    k, cust = F.col("o_orderkey"), F.col("o_custkey")
+    word = F.expr("repeat('y', cast(o_custkey % 6 AS int))")
+    index = F.concat(F.lit('{"Abstract":[0],"of":[1],"'), F.when(word == "", "<b>").otherwise(word), F.lit('":[2]}'))
+    empty = F.lit("")
+    rows = table(spark, sf_dir, "orders").select(
+        k, k.cast("string").alias("id"), F.concat(F.lit("https://doi.org/10.1/"), (cust % 4).cast("string")).alias("doi"), F.when(k % 2 == 0, F.concat(F.lit("Title: "), (k % 3000).cast("string"))).otherwise(" ").alias("title"),
+        F.concat(F.lit("Title -- "), (k % 3000).cast("string"), F.lit("?")).alias("display_name"), F.year("o_orderdate").alias("publication_year"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("A"), cust.cast("string"))).alias("authors"),
+        F.concat(F.expr("repeat('x', cast(o_custkey % 7 AS int))"), "o_orderstatus").alias("author_institutions"), index.alias("abstract_inverted_index"), F.lit('{"display_name":"t","domain":{"display_name":"d"}}').alias("primary_topic"),
+        F.concat(F.lit('[{"display_name":"k'), (cust % 5).cast("string"), F.lit('","score":0.5}]')).alias("keywords"), empty.alias("concepts"), F.lit(1).alias("cited_by_count"), empty.alias("journal"), empty.alias("issn"), (k % 11).alias("eleventh"),
+    )
+    out = clean_works(rows, "o_orderkey", WorkRules(blocked={"eleventh": [3]}, phrases=()))
+    return out.select(*[f"works_{c}" for c in ("title", "tag", "authors", "publication_year", "author_institutions", "abstract", "keywords", "doi_1")])
