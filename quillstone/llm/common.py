@@ -80,6 +80,17 @@ def owned(owner: str) -> Iterator[None]:
         _OWNER.pop()
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables that operators write inside are deleted at the end, and tables in the catalog dropped: results must be written by then."""
+    owner = uuid.uuid4().hex
+    try:
+        with owned(owner):
+            yield
+    finally:
+        release(spark, owner)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a written table, wherever the shared folder is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
