@@ -57,3 +57,28 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[100 + i] for i in range(50)} == {100}
     assert connected_components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
+
+
+def test_a_stage_that_fails_leaves_no_files(spark, tmp_path, monkeypatch):
+    import os
+    from urllib.parse import urlparse
+
+    import pytest
+
+    from quillstone.llm import common
+
+    folder = urlparse(common.shared_dir(spark)).path
+    before = set(os.listdir(folder))
+    spark.createDataFrame([(1, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def first(spark, docs, sf_dir):
+        with common.owned("pipeline"):
+            return common.materialize(docs, "first")
+
+    def second(spark, docs, sf_dir):
+        raise InterruptedError
+
+    monkeypatch.setattr(C, "STAGES", [("first", first), ("second", second)])
+    with pytest.raises(InterruptedError):
+        C.run(spark, str(tmp_path))
+    assert set(os.listdir(folder)) == before
