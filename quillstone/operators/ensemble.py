@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import product
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank, split_cell
-from .classify import metrics
+from .classify import cell_metrics, metrics
 from .ranking import hash_ranks
 
 #: The order in which tuning results are compared; a smaller Hamming loss is better.
@@ -22,11 +24,67 @@ def weight_grid(spark: SparkSession, options: dict[str, list[float]]) -> DataFra
     return spark.createDataFrame(rows, "config int, model string, weight double")
 
 
+def row_votes(models: list[str]) -> Column:
+    """A row's votes, an array of ``model, label, confidence``, of columns ``<model>_prediction`` (delimited) and ``<model>_confidence``."""
+
+    def own(m: str) -> Column:
+        confidence = F.coalesce(F.col(f"{m}_confidence").cast("double"), F.lit(0.0)).alias("confidence")
+        return F.transform(split_cell(F.col(f"{m}_prediction"), distinct=True), lambda x: F.struct(F.lit(m).alias("model"), x.alias("label"), confidence))
+
+    return F.concat(*[own(m) for m in models])
+
+
 def long_votes(joined: DataFrame, row: str, models: list[str]) -> DataFrame:
-    """``row, model, label, confidence`` of columns ``<model>_prediction`` (delimited) and ``<model>_confidence``."""
-    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_prediction").alias("cell"), F.col(f"{m}_confidence").cast("double").alias("confidence")) for m in models])
-    rows = joined.select(F.col(row).alias("row"), F.explode(each).alias("m")).select("row", "m.*")
-    return rows.select("row", "model", F.explode(split_cell(F.col("cell"), distinct=True)).alias("label"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    """``row, model, label, confidence``: :func:`row_votes`, one a row."""
+    return joined.select(F.col(row).alias("row"), F.explode(row_votes(models)).alias("v")).select("row", "v.*")
+
+
+def weighted_rows(rows: DataFrame, votes: str, weights: DataFrame, least: float = 2.0) -> DataFrame:
+    """:func:`weighted_labels` of rows that have all their votes in an array column: nothing is shuffled.
+
+    The other columns stay; ``config``, ``chosen`` (an array of labels) and ``confidence`` replace ``votes``.  A row has a row
+    for each configuration that weighs one of its votes.
+    """
+    grid: dict[int, dict[str, float]] = {}
+    for r in weights.collect():  # few rows
+        grid.setdefault(r["config"], {})[r["model"]] = r["weight"]
+    models = sorted({m for own in grid.values() for m in own})
+    kept = [c for c in rows.columns if c != votes]
+
+    def mine(m: str) -> Column:
+        return F.filter(votes, lambda v: v["model"] == m)
+
+    def labelled(label: Column) -> Column:
+        """A label with each model's number of votes for it and their confidences' sum."""
+        own = [F.filter(f"_{i}", lambda v: v["label"] == label) for i in range(len(models))]
+        cells = [F.struct(F.size(x).cast("double").alias("n"), F.aggregate(x, F.lit(0.0), lambda a, v: a + F.coalesce(v["confidence"], F.lit(0.0))).alias("c")) for x in own]
+        return F.struct(label.alias("label"), *[x.alias(f"m{i}") for i, x in enumerate(cells)])
+
+    def model_best(i: int) -> Column:
+        """What a model alone gives, compared by confidence, number of labels and text."""
+        labels = F.sort_array(F.transform(f"_{i}", lambda v: v["label"]))
+        best = F.struct(F.array_max(F.transform(f"_{i}", lambda v: v["confidence"])).alias("c"), F.size(labels).alias("n"), F.array_join(labels, "; ").alias("text"), labels.alias("labels"))
+        return F.when(F.size(f"_{i}") > 0, best)
+
+    places = range(len(models))
+    split = rows.select(*kept, *[mine(m).alias(f"_{i}") for i, m in enumerate(models)], F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["label"]))).alias("_labels"))
+    cells = split.select(*kept, F.transform("_labels", labelled).alias("_cells"), *[model_best(i).alias(f"_b{i}") for i in places])
+    configs = F.array(*[F.struct(F.lit(c).alias("config"), *[F.lit(own.get(m)).cast("double").alias(f"w{i}") for i, m in enumerate(models)]) for c, own in grid.items()])
+    each = cells.select("*", F.explode(configs).alias("_k"))
+
+    def weighed(x: Column) -> Column:
+        """A label's weight, and its weighted confidence; a model that the configuration doesn't weigh has no vote."""
+        parts = [(F.coalesce(F.col(f"_k.w{i}"), F.lit(0.0)), x[f"m{i}"]) for i in places]
+        return F.struct(x["label"].alias("label"), reduce(add, [w * m["n"] for w, m in parts]).alias("w"), reduce(add, [w * m["c"] for w, m in parts]).alias("c"))
+
+    won = F.filter(F.transform("_cells", weighed), lambda x: x["w"] >= least)
+    best = [F.when(F.col(f"_k.w{i}").isNotNull(), F.col(f"_b{i}")) for i in places]
+    best_of = F.greatest(*best) if len(best) > 1 else best[0]  # nulls are passed over
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v["c"] / v["w"]) / F.size(x)
+    text = lambda x: F.transform(x, lambda v: v["label"])
+    found = each.select(*kept, F.col("_k.config").alias("config"), won.alias("_won"), best_of.alias("_best")).where("_best IS NOT NULL")
+    any_ = F.size("_won") > 0
+    return found.select(*kept, "config", F.when(any_, text("_won")).otherwise(F.col("_best.labels")).alias("chosen"), F.when(any_, mean("_won")).otherwise(F.col("_best.c")).alias("confidence"))
 
 
 def weighted_labels(votes: DataFrame, weights: DataFrame, least: float = 2.0) -> DataFrame:
@@ -34,14 +92,10 @@ def weighted_labels(votes: DataFrame, weights: DataFrame, least: float = 2.0) ->
 
     ``votes(row, model, label, confidence)``, ``weights(config, model, weight)`` (few rows).  Confidence: the mean over the
     labels of their weighted mean confidence.  Ties between models go to more labels, then to the greater label text.
+    A row's votes meet once, whatever the number of configurations.
     """
-    met = votes.join(F.broadcast(weights), "model")
-    sums = met.groupBy("config", "row", "label").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("confidence")).alias("c")).where(F.col("w") >= least)
-    won = sums.groupBy("config", "row").agg(F.array_join(F.sort_array(F.collect_list("label")), "; ").alias("labels"), F.avg(F.col("c") / F.col("w")).alias("confidence"))
-    models = met.groupBy("config", "row", "model").agg(F.max("confidence").alias("c"), F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("label")), "; ").alias("text"))
-    best = models.groupBy("config", "row").agg(F.max(F.struct("c", "n", "text")).alias("b"))
-    out = best.join(won, ["config", "row"], "left")
-    return out.select("config", "row", F.coalesce("labels", "b.text").alias("labels"), F.coalesce("confidence", "b.c").alias("confidence"))
+    rows = votes.groupBy("row").agg(F.collect_list(F.struct("model", "label", "confidence")).alias("votes"))
+    return weighted_rows(rows, "votes", weights, least).select("config", "row", F.array_join("chosen", "; ").alias("labels"), "confidence")
 
 
 def label_matrix(rows: DataFrame, key: list[str], truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -52,16 +106,16 @@ def label_matrix(rows: DataFrame, key: list[str], truth: str, predicted: str, la
 
 
 def grid_metrics(joined: DataFrame, row: str, truth: str, models: list[str], weights: DataFrame, labels: list[str], least: float = 2.0) -> DataFrame:
-    """The metrics of every weight configuration."""
-    chosen = weighted_labels(long_votes(joined, row, models), weights, least).join(joined.select(F.col(row).alias("row"), truth), "row")
-    return metrics(label_matrix(chosen, ["config", "row"], truth, "labels", labels), ("config",))
+    """The metrics of every weight configuration; ``joined`` has one row for each ``row``, and only counts are shuffled."""
+    rows = joined.select(split_cell(F.col(truth)).alias("truth"), row_votes(models).alias("votes"))
+    return cell_metrics(weighted_rows(rows, "votes", weights, least), "truth", "chosen", labels, ("config",))
 
 
 def model_metrics(joined: DataFrame, row: str, truth: str, models: list[str], labels: list[str]) -> DataFrame:
     """The metrics of each model alone: ``model`` and the metric columns."""
-    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_prediction").alias("labels")) for m in models])
-    rows = joined.select(F.col(row).alias("row"), truth, F.explode(each).alias("m")).select("row", truth, "m.*")
-    return metrics(label_matrix(rows, ["model", "row"], truth, "labels", labels), ("model",))
+    each = F.array(*[F.struct(F.lit(m).alias("model"), split_cell(F.col(f"{m}_prediction")).alias("labels")) for m in models])
+    rows = joined.select(split_cell(F.col(truth)).alias("truth"), F.explode(each).alias("m")).select("truth", "m.*")
+    return cell_metrics(rows, "truth", "labels", labels, ("model",))
 
 
 def ranked(results: DataFrame, config: list[str]) -> DataFrame:
@@ -86,18 +140,19 @@ def stratified_split(df: DataFrame, stratum: str, key: str, share: float = 0.2,
     return ranked.withColumn("part", F.when(F.col("_rank") <= wanted, "test").otherwise("train")).drop("_rank", "_size")
 
 
-def grid_search(df: DataFrame, settings: list[dict[str, float]], fit_predict: Callable[[DataFrame, DataFrame, dict[str, float]], DataFrame], k: int) -> DataFrame:
+def grid_search(df: DataFrame, settings: list[dict[str, float]], fit_predict: Callable[[DataFrame, DataFrame, dict[str, float]], DataFrame], k: int, measure: Callable[[DataFrame, tuple[str, ...]], DataFrame] = metrics) -> DataFrame:
     """The ranked table of all settings: ``fit_predict(train, test, setting)`` gives ``(row, label, truth, predicted)`` of a fold.
 
-    ``df`` has ``fold`` from 0 to k - 1.  Every setting is measured on every fold.
+    ``df`` has ``fold`` from 0 to k - 1.  Every setting is measured on every fold, all by one aggregation: ``measure(predictions, by)``
+    takes what ``fit_predict`` gives.  ``df`` is read for each of them, so it is best a written table.
     """
     parts: DataFrame | None = None
     for at, setting in enumerate(settings):
         for i in range(k):
             got = fit_predict(df.where(F.col("fold") != i), df.where(F.col("fold") == i), setting)
-            one = metrics(got.withColumns({"config": F.lit(at), "fold": F.lit(i)}), ("config", "fold"))
+            one = got.withColumns({"config": F.lit(at), "fold": F.lit(i)})
             parts = one if parts is None else parts.unionByName(one)
-    return fold_table(parts, ["config"])
+    return fold_table(measure(parts, ("config", "fold")), ["config"])
 
 
 def complete_table(observed: DataFrame, predictions: dict[str, DataFrame], key: str, label: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import split_cell
+from ..functions.scratch import Scratch
 from ..operators import classify as C
 from ..operators import ensemble as E
 from ..operators import jointfit as J
@@ -60,9 +62,9 @@ def _rounded(df: DataFrame, *keys: str) -> DataFrame:
 @query(f"WITH {GRID} SELECT config, id AS row, labels, round(confidence, 9) AS confidence FROM ens")
 def ensemble_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted votes of three models for all sixteen weight pairs; the models' tables joined on a unique key."""
-    votes = E.long_votes(_joined(spark, sf_dir), "id", MODELS)
-    out = E.weighted_labels(votes, E.weight_grid(spark, OPTIONS))
-    return out.select("config", "row", "labels", F.round("confidence", 9).alias("confidence"))
+    rows = _joined(spark, sf_dir).select(F.col("id").alias("row"), E.row_votes(MODELS).alias("votes"))
+    out = E.weighted_rows(rows, "votes", E.weight_grid(spark, OPTIONS))
+    return out.select("config", "row", F.array_join("chosen", "; ").alias("labels"), F.round("confidence", 9).alias("confidence"))
 
 
 @query(f"WITH {GRID}, src AS (SELECT config, id, truth, labels FROM ens JOIN pr USING (id)), {METRIC_SQL.format(key='config')} SELECT config, {ROUNDED} FROM mt JOIN ex USING (config)")
@@ -107,12 +109,15 @@ SELECT config, CAST(row_number() OVER (ORDER BY micro_f1 DESC, macro_f1 DESC, mp
 )
 def tuning_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three settings measured on four folds, ranked metric by metric; a setting is a model's own predictions here."""
-    joined = _joined(spark, sf_dir).withColumn("fold", (F.col("id") % 4).cast("int"))
+    joined = Scratch(spark, "tuning").kept(_joined(spark, sf_dir).withColumn("fold", (F.col("id") % 4).cast("int")))  # read for each setting and fold
 
     def predictions(train: DataFrame, test: DataFrame, setting: dict[str, str]) -> DataFrame:
-        return E.label_matrix(test.withColumnRenamed("id", "row"), ["row"], "truth", f"{setting['model']}_prediction", LABELS)
+        return test.select(split_cell(F.col("truth")).alias("truth"), split_cell(F.col(f"{setting['model']}_prediction")).alias("predicted"))
 
-    out = E.grid_search(joined, [{"model": m} for m in MODELS], predictions, 4)
+    def measure(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return C.cell_metrics(rows, "truth", "predicted", LABELS, by)
+
+    out = E.grid_search(joined, [{"model": m} for m in MODELS], predictions, 4, measure)
     return out.select("config", "rank", *[F.round(c, 9).alias(c) for c in ("micro_f1", "std_micro_f1", "hamming_loss", "std_hamming_loss")], "folds")
 
 

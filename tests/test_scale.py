@@ -100,3 +100,41 @@ def test_a_matrix_has_the_bytes_of_numpys_own(spark, tmp_path):
         sinks.write_matrix(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "k int, v array<double>"), "k", "v", str(tmp_path / "bad.npy"))
     sinks.write_matrix(df.limit(0), "k", "v", str(tmp_path / "none.npy"))
     assert np.load(tmp_path / "none.npy").shape == (0,)
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "SinglePartition" not in x and "Broadcast" not in x]
+
+
+def test_votes_and_metrics_of_all_configurations_stay_in_their_rows(spark):
+    cells = ["A; B", "B", "C; A", "", "A"]
+    rows = [(i, cells[i % 5], cells[i % 4], (i % 7) / 7, cells[i % 3], (i % 5) / 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, truth string, x_prediction string, x_confidence double, y_prediction string, y_confidence double")
+    weights = ensemble.weight_grid(spark, {"x": [1.0, 2.0, 2.5], "y": [1.0, 2.0]})
+    votes = df.select(F.col("id").alias("row"), ensemble.row_votes(["x", "y"]).alias("votes"))
+    placed = ensemble.weighted_rows(votes, "votes", weights)
+    assert not exchanges(placed)
+    want = {(r["config"], r["row"]): (r["labels"], r["confidence"]) for r in ensemble.weighted_labels(ensemble.long_votes(df, "id", ["x", "y"]), weights).collect()}
+    got = {(r["config"], r["row"]): ("; ".join(r["chosen"]), r["confidence"]) for r in placed.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in got)
+    grid = ensemble.grid_metrics(df, "id", "truth", ["x", "y"], weights, ["A", "B", "C"])
+    assert len(exchanges(grid)) <= 2 and all("config" in x for x in exchanges(grid))  # counts of a configuration, no rows
+    chosen = placed.withColumn("labels", F.array_join("chosen", "; ")).join(df.select(F.col("id").alias("row"), "truth"), "row")
+    plain = classify.metrics(ensemble.label_matrix(chosen, ["config", "row"], "truth", "labels", ["A", "B", "C"]), ("config",))
+    told = {r["config"]: r.asDict() for r in grid.collect()}
+    assert told == {r["config"]: pytest.approx(r.asDict()) for r in plain.collect()}
+
+
+def test_every_setting_is_measured_by_one_aggregation(spark):
+    df = spark.range(80).select("id", (F.col("id") % 4).cast("int").alias("fold"), (F.col("id") % 3).alias("a"))
+    seen = []
+
+    def predictions(train, test, setting):
+        return test.select(F.array(F.col("a").cast("string")).alias("t"), F.array(F.lit(setting["v"])).alias("p"))
+
+    def measure(rows, by):
+        seen.append(by)
+        return classify.cell_metrics(rows, "t", "p", ["0", "1", "2"], by)
+
+    got = ensemble.grid_search(df, [{"v": "0"}, {"v": "1"}], predictions, 4, measure)
+    assert seen == [("config", "fold")] and [r["folds"] for r in got.collect()] == [4, 4]
