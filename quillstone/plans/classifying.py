@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import Scratch
 from ..operators import classify as C
 from ..operators import jointfit as J
 from ..operators import terms as T
@@ -125,7 +126,7 @@ def tfidf_multilabel_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = max(2, min(5, *sizes)) if sizes else 2
     vectors, terms = T.tfidf_arrays(rows, "doc_id", "text", n=2, vocabulary=50_000)
     folded = C.folds(rows, "quality", "doc_id", k).select(F.col("doc_id").alias("row"), "fold", *labels)
-    data = vectors.join(folded, "row")
+    data = Scratch(spark, "tfidf").kept(vectors.join(folded, "row"))  # read to fit and to score
     fitted = J.fit_all(data, terms.count(), labels, list(range(k)), [1.0 / max(1, sum(sizes))])
     return C.chosen(J.predict_all(data, fitted, labels).select("row", "label", "truth", "score"), 0.5)
 

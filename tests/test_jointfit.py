@@ -90,3 +90,21 @@ def test_scaled_columns(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "row int, v array<float>")
     got, n = jointfit.scaled(df, "v")
     assert n == 2 and sorted(r["values"] for r in got.collect()) == [[pytest.approx(-(0.5**0.5)), 0.0], [pytest.approx(0.5**0.5), 0.0]]
+
+
+def test_blocks_keep_every_number_and_sum_without_sorting(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jointfit, "BLOCK", 5)
+    monkeypatch.setattr(jointfit, "PER_FEATURE", 1)
+    rows = [([0, 2], [1.0, 2.0]), ([], []), ([1, 2, 3], [3.0, 4.0, 5.0]), ([], []), ([0, 1, 2, 3], [1.0, 1.0, 1.0, 1.0]), ([3], [7.0])]
+    b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array(range(6), pa.int32()), pa.array([[1.0]] * 6)], names=["indices", "values", "fold", "y"])
+    w = np.arange(10.0).reshape(5, 2)
+    dense = np.zeros((6, 4))
+    for i, (at, v) in enumerate(rows):
+        dense[i, at] = v
+    packed = [r for x in jointfit._blocks(4)(iter([b.slice(0, 6)])) for r in x.to_pylist()]
+    assert len(packed) == 2
+    got = [jointfit._scores(np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"]), w) for r in packed]
+    assert np.allclose(np.concatenate(got), dense @ w[:-1] + w[-1])
+    assert np.concatenate([np.frombuffer(r["fold"], np.int32) for r in packed]).tolist() == list(range(6))
