@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -249,11 +250,31 @@ def softmax(array: Column) -> Column:
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, v: a + v))
 
 
+def inverted_index(words: Column) -> Column:
+    """JSON map from word to positions (from 0) of an array of words, by sorting: no row meets another."""
+    placed = F.sort_array(F.transform(words, lambda x, i: F.struct(x.alias("word"), i.alias("at"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]))
+        return _let(starts, lambda at: F.transform(at, lambda i, n: _entry(s, i, F.coalesce(F.get(at, n + 1), F.size(s)))))
+
+    return F.when(F.size(words) > 0, F.to_json(F.map_from_entries(_let(placed, runs)))).otherwise("{}")
+
+
+def _entry(s: Column, start: Column, end: Column) -> Column:
+    return F.struct(F.get(s, start)["word"].alias("word"), F.transform(F.slice(s, start + 1, end - start), lambda p: p["at"]).alias("places"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def inverted_index_text(c: Column) -> Column:
     """Text of a JSON map from word to positions."""
     entries = F.map_entries(F.from_json(c, "map<string,array<int>>"))
     places = F.flatten(F.transform(entries, lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("at"), e["key"].alias("word")))))
-    return F.array_join(F.transform(F.array_sort(places), lambda p: p["word"]), " ")
+    return F.array_join(F.transform(F.sort_array(places), lambda p: p["word"]), " ")
 
 
 @F.pandas_udf(DoubleType())

@@ -133,9 +133,8 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def inverted_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to inverted indexes and back; a text without words comes back empty."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).alias("at", "word"))
-    places = words.groupBy("doc_id", "word").agg(F.sort_array(F.collect_list("at")).alias("places"))
-    index = places.groupBy("doc_id").agg(F.to_json(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "places")), lambda x: x["word"].isNotNull()))).alias("index"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    index = table(spark, sf_dir, "documents").select("doc_id", T.inverted_index(words).alias("index"))
     return index.select("doc_id", T.inverted_index_text(F.col("index")).alias("text"))
 
 

@@ -136,3 +136,18 @@ def test_votes(spark):
     votes = spark.createDataFrame([(1, "m1", "A", 1.0, 0.5), (1, "m2", "B", 1.0, 0.5), (1, "m3", "B", 0.5, 0.1), (2, "m1", "A", 1.0, 0.9), (2, "m2", "B", 1.0, 0.2)], "row int, model string, label string, weight double, confidence double")
     assert {r["row"]: r["label"] for r in classify.vote_single(votes).collect()} == {1: "B", 2: "A"}
     assert {r["row"]: (r["labels"], r["how"]) for r in classify.vote_multi(votes, 1.5).collect()} == {1: ("B", "vote"), 2: ("A", "best model")}
+
+
+def test_inverted_indexes_are_made_in_their_rows(spark):
+    import json
+
+    texts = ["b a b", "", "a", "x y x y x", "é É é \\"] + [" ".join(f"w{i * i % 37}" for i in range(3_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    made = df.select("id", text.inverted_index(F.filter(F.split("t", r"\s+"), lambda x: x != "")).alias("index"))
+    back = made.select("id", "index", text.inverted_index_text(F.col("index")).alias("text"))
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    for r in back.collect():
+        want = {}
+        for i, w in enumerate(texts[r["id"]].split()):
+            want.setdefault(w, []).append(i)
+        assert json.loads(r["index"]) == want and r["text"] == texts[r["id"]]
