@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,7 +70,8 @@ def weighted_rows(rows: DataFrame, votes: str, weights: DataFrame, least: float
     split = rows.select(*kept, *[mine(m).alias(f"_{i}") for i, m in enumerate(models)], F.array_sort(F.array_distinct(F.transform(votes, lambda v: v["label"]))).alias("_labels"))
     cells = split.select(*kept, F.transform("_labels", labelled).alias("_cells"), *[model_best(i).alias(f"_b{i}") for i in places])
     configs = F.array(*[F.struct(F.lit(c).alias("config"), *[F.lit(own.get(m)).cast("double").alias(f"w{i}") for i, m in enumerate(models)]) for c, own in grid.items()])
-    each = cells.select("*", F.explode(configs).alias("_k"))
+    met = F.filter(configs, lambda k: reduce(or_, [k[f"w{i}"].isNotNull() & F.col(f"_b{i}").isNotNull() for i in places]))
+    each = cells.select("*", F.explode_outer(met).alias("_k")).where("_k IS NOT NULL")  # a condition on the votes would be worked out again below
 
     def weighed(x: Column) -> Column:
         """A label's weight, and its weighted confidence; a model that the configuration doesn't weigh has no vote."""
@@ -82,7 +83,7 @@ def weighted_rows(rows: DataFrame, votes: str, weights: DataFrame, least: float
     best_of = F.greatest(*best) if len(best) > 1 else best[0]  # nulls are passed over
     mean = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v["c"] / v["w"]) / F.size(x)
     text = lambda x: F.transform(x, lambda v: v["label"])
-    found = each.select(*kept, F.col("_k.config").alias("config"), won.alias("_won"), best_of.alias("_best")).where("_best IS NOT NULL")
+    found = each.select(*kept, F.col("_k.config").alias("config"), won.alias("_won"), best_of.alias("_best"))
     any_ = F.size("_won") > 0
     return found.select(*kept, "config", F.when(any_, text("_won")).otherwise(F.col("_best.labels")).alias("chosen"), F.when(any_, mean("_won")).otherwise(F.col("_best.c")).alias("confidence"))
 
