@@ -33,17 +33,32 @@ def distinct_per_group(df: DataFrame, group: list[str], value: str, out: str) ->
     return df.join(counts, same, "left").select(*df.columns, out)
 
 
-def rows_per_group(df: DataFrame, group: str, out: str) -> DataFrame:
-    """The number of rows of the row's group, on every row."""
-    counts = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias(out))
+def rows_per_group(df: DataFrame, group: str, out: str, weight: str | None = None) -> DataFrame:
+    """The number of rows of the row's group, on every row; a row counts ``weight`` times."""
+    counts = df.groupBy(F.col(group).alias("_g")).agg((F.sum(weight) if weight else F.count("*")).alias(out))
     return df.join(counts, F.col(group).eqNullSafe(F.col("_g")), "left").select(*df.columns, out)
 
 
-def review_flags(rows: DataFrame, common: int = 50) -> DataFrame:
-    """``manual_review_reasons`` (ordered) and ``manual_review_flag`` of ``rows(author_id, first, last, key, author_group_method)``."""
+def distinct_names(rows: DataFrame, columns: list[str], count: str) -> DataFrame:
+    """The distinct values of the name columns with their number of rows."""
+    return rows.groupBy(*columns).agg(F.count("*").alias(count))
+
+
+def with_names(rows: DataFrame, names: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row with what ``names`` has for its name columns, null-safe; ``names`` is best a written table, which a small one is sent as."""
+    other = names.select(*[F.col(c).alias(f"_n{i}") for i, c in enumerate(columns)], *[c for c in names.columns if c not in columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_n{i}")) for i, c in enumerate(columns)])
+    return rows.join(other, same).drop(*[f"_n{i}" for i in range(len(columns))])
+
+
+def review_flags(rows: DataFrame, common: int = 50, weight: str | None = None) -> DataFrame:
+    """``manual_review_reasons`` (ordered) and ``manual_review_flag`` of ``rows(author_id, first, last, key, author_group_method)``.
+
+    ``weight``: a column of how many rows a row stands for, so that distinct names are enough, see :func:`distinct_names`.
+    """
     out = distinct_per_group(rows, ["author_id"], "key", "_keys")
     out = distinct_per_group(out.withColumn("_initial", F.substring("first", 1, 1)), ["last", "_initial"], "author_id", "_ids")
-    out = rows_per_group(out, "last", "_rows")
+    out = rows_per_group(out, "last", "_rows", weight)
     reasons = {
         "blank_first_name": F.col("first") == "",
         "blank_last_name": F.col("last") == "",
@@ -64,21 +79,28 @@ def longest_first(value: str, order: str) -> Column:
 
 
 def crosswalk(rows: DataFrame, order: str) -> DataFrame:
-    """One row for each author id with eleven measures; ``rows`` in the order of ``order`` (a number, unique)."""
+    """One row for each author id with eleven measures; ``rows`` in the order of ``order`` (a number, unique).
+
+    Rows that only differ in paper and place are one with the first place before the cells of an id are listed, so an id
+    of any number of rows lists its distinct cells only.
+    """
     known = rows.where("author_id <> ''")
-    return known.groupBy("author_id").agg(
+    cells = ["author_last_clean", "author_first_clean", "author_last_key", "author_first_key", "author_name_key", "author_full_clean", "author_group_method", "manual_review_flag", "manual_review_reasons"]
+    kinds = known.groupBy("author_id", *cells).agg(F.min(order).alias(order), F.count("*").alias("_rows"))
+    papers = known.select("author_id", nonblank(F.col("doi_full")).alias("_doi")).groupBy("author_id").agg(F.countDistinct("_doi").alias("n_papers"))
+    found = kinds.groupBy("author_id").agg(
         longest_first("author_last_clean", order).alias("author_last_clean"),
         longest_first("author_first_clean", order).alias("author_first_clean"),
         F.coalesce(F.min_by(nonblank(F.col("author_last_key")), F.when(~blank(F.col("author_last_key")), F.col(order))), F.lit("")).alias("author_last_key"),
         distinct_in_order("author_first_key", order).alias("author_first_keys"),
         distinct_in_order("author_name_key", order).alias("author_name_keys"),
         distinct_in_order("author_full_clean", order).alias("all_name_versions"),
-        F.count("*").alias("n_author_rows"),
-        F.countDistinct(nonblank(F.col("doi_full"))).alias("n_papers"),
+        F.sum("_rows").alias("n_author_rows"),
         distinct_in_order("author_group_method", order).alias("author_group_method"),
         F.max("manual_review_flag").alias("manual_review_flag"),
         distinct_in_order("manual_review_reasons", order).alias("manual_review_reasons"),
     )
+    return found.join(papers, "author_id").select("author_id", *[c for c in found.columns[1:7]], "n_author_rows", "n_papers", *found.columns[8:])
 
 
 def author_list(rows: DataFrame) -> DataFrame:
@@ -90,9 +112,12 @@ def author_list(rows: DataFrame) -> DataFrame:
     return named.groupBy("author_id").agg(best.alias("b")).select("author_id", "b.final_last_name", "b.final_first_name")
 
 
-def review_extract(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
-    """The columns of the flagged rows, sorted."""
-    return rows.where("manual_review_flag = 1").select(*columns).orderBy(*order)
+def review_extract(rows: DataFrame, columns: list[str], order: list[str], flagged: int | None = None, range_rows: int = 500_000) -> DataFrame:
+    """The columns of the flagged rows, sorted; with their number known, in ranges of about ``range_rows``, however many there are."""
+    out = rows.where("manual_review_flag = 1").select(*columns)
+    if flagged is None:
+        return out.orderBy(*order)
+    return out.repartitionByRange(max(1, -(-flagged // range_rows)), *order).sortWithinPartitions(*order)
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as K
 from ..functions import people as P
 from ..functions import text as T
+from ..functions.scratch import Scratch
 from ..operators import consolidated as D
 from ..operators import crosswalk as X
 from ..operators import filters as R
@@ -103,17 +104,32 @@ rv AS (SELECT ord, author_id, first, last, key, author_group_method, doi_full, c
   FROM (SELECT ids.*, k, i, r FROM ids JOIN (SELECT author_id, count(DISTINCT key) AS k FROM ids GROUP BY 1) USING (author_id) JOIN (SELECT last, substr(first, 1, 1) AS s, count(DISTINCT author_id) AS i FROM ids GROUP BY ALL) x ON x.last = ids.last AND x.s = substr(first, 1, 1) JOIN (SELECT last AS l2, count(*) AS r FROM ids GROUP BY 1) ON l2 = ids.last))"""
 
 
-def _author_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+NAME = ["key", "last", "first"]
+
+
+def _name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("p_name", " ")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("l_linenumber")
     first = F.when(n % 5 == 0, "").when(n % 3 == 0, F.substring("p_name", 1, 1)).otherwise(parts[0])
     rows = lines.select((F.col("l_orderkey") * 10 + n).alias("ord"), F.col("l_orderkey").cast("string").alias("doi_full"), parts[1].alias("last"), first.alias("first"))
-    rows = rows.withColumn("key", F.concat_ws("_", "last", "first"))
-    groups = rows.select("key", F.concat_ws("_", "last", F.substring("first", 1, 1)).alias("grp")).distinct()
+    return rows.withColumn("key", F.concat_ws("_", "last", "first"))
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """Ids and review flags of the distinct names; ``rows``: how many rows have the name."""
+    scratch = Scratch(rows.sparkSession, "names")
+    names = scratch.kept(X.distinct_names(rows, NAME, "rows"))
+    groups = names.select("key", F.concat_ws("_", "last", F.substring("first", 1, 1)).alias("grp")).distinct()
     sizes = groups.groupBy("grp").agg(F.min("key").alias("component"), F.count("*").alias("n")).where("n > 1")
     linked = groups.join(sizes, "grp").select(F.col("key").alias("node"), "component")
-    return X.review_flags(X.assign_ids(rows, "key", linked))
+    return scratch.kept(X.review_flags(X.assign_ids(names, "key", linked), weight="rows"))
+
+
+def _author_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Author rows with ids and flags, which depend on the name alone: rows meet the distinct names once."""
+    rows = _name_rows(spark, sf_dir)
+    return X.with_names(rows, _names(rows).drop("rows"), NAME)
 
 
 @query(f"WITH {ROWS} SELECT author_id, count(*) AS n, count(*) FILTER (manual_review_reasons <> '') AS flagged, count(DISTINCT manual_review_reasons) AS kinds, max(author_group_method) AS method FROM rv GROUP BY 1")
@@ -146,7 +162,10 @@ def author_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ROWS} SELECT author_id, doi_full, last, first, key, author_group_method, manual_review_reasons FROM rv WHERE manual_review_reasons <> ''")
 def author_review_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.review_extract(_author_rows(spark, sf_dir), ["author_id", "doi_full", "last", "first", "key", "author_group_method", "manual_review_reasons"], ["last", "first", "author_id", "doi_full"])
+    rows = _name_rows(spark, sf_dir)
+    names = _names(rows)
+    flagged = names.where("manual_review_flag = 1").agg(F.sum("rows")).first()[0] or 0
+    return X.review_extract(X.with_names(rows, names.drop("rows"), NAME), ["author_id", "doi_full", "last", "first", "key", "author_group_method", "manual_review_reasons"], ["last", "first", "author_id", "doi_full"], flagged)
 
 
 @query(
@@ -155,7 +174,7 @@ UNION ALL SELECT 'pairs', count(*), count(*) FILTER (first <> '' OR last <> '')
 )
 def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank and distinct values of two columns, and of their pairs."""
-    rows = _author_rows(spark, sf_dir).select("first", "last")
+    rows = _name_rows(spark, sf_dir).select("first", "last")
     pairs = X.pair_counts(rows, "first", "last").select(F.lit("pairs").alias("column"), F.col("pairs").alias("nonblank"), F.col("nonblank_pairs").alias("distinct_nonblank"))
     return X.value_counts(rows, ["first", "last"]).union(pairs)
 

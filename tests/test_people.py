@@ -136,3 +136,21 @@ def test_filters(spark):
 def test_longest_values_differ_in_ties(spark):
     df = spark.createDataFrame([("bb", 1), ("cc", 2), (" a ", 3), (None, 4)], "v string, o int")
     assert tuple(df.agg(crosswalk.longest_first("v", "o"), crosswalk.longest_greatest("v")).first()) == ("bb", "cc")
+
+
+def test_author_rows_meet_their_names_once(spark, tmp_path):
+    from quillstone.operators import crosswalk
+    from quillstone.plans import people as plans
+
+    spark.createDataFrame([(i // 4, i % 4 + 1, i % 6) for i in range(200)], "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate([("ann", "lee"), ("al", "lee"), ("bo", "kim"), ("cy", "roy"), ("di", "roy"), ("ed", "kim")])], "p_partkey long, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    rows = plans._author_rows(spark, str(tmp_path))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() == 200 and plan.count("Join ") == 2  # the parts, and the names
+    plain = plans._name_rows(spark, str(tmp_path)).join(rows.select("ord", "author_id", "author_group_method"), "ord")
+    want = {r["ord"]: r["manual_review_reasons"] for r in crosswalk.review_flags(plain).collect()}
+    assert {r["ord"]: r["manual_review_reasons"] for r in rows.collect()} == want
+    order = ["last", "first", "author_id", "doi_full"]
+    few = crosswalk.review_extract(rows, order, order, 200, 20)
+    assert few.rdd.getNumPartitions() == 10
+    assert [tuple(r) for r in few.collect()] == [tuple(r) for r in crosswalk.review_extract(rows, order, order).collect()]
