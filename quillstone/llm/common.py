@@ -47,12 +47,16 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
-    """Like :func:`materialize`, with rows dealt to buckets by ``key``: joins and groups by it don't move them."""
+def bucketed(df: DataFrame, key: str, what: str, *parts: str) -> DataFrame:
+    """Like :func:`materialize`, with rows dealt to buckets by ``key``: joins and groups by it don't move them.
+
+    ``parts``: columns whose values have folders of their own (``column=value``), which can be deleted alone.
+    """
     spark = df.sparkSession
     name = f"quillstone_{what.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path).saveAsTable(name)
+    writer = df.write.format("parquet").bucketBy(partitions(spark), key).option("path", path)
+    (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
     _SCRATCH.append((_OWNER[-1], path))
     _TABLES[path] = name
     return spark.table(name)
@@ -70,6 +74,28 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """A query's shuffle files go when it ends, not when the driver collects its garbage; the session's setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def current_owner() -> str:
+    """The owner of scratch tables that are written now."""
+    return _OWNER[-1]
+
+
+def last_written() -> str:
+    """The folder of the scratch table that was written last."""
+    return _SCRATCH[-1][1]
+
+
 @contextmanager
 def owned(owner: str) -> Iterator[None]:
     """Scratch tables written inside belong to ``owner``."""

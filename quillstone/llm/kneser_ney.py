@@ -6,21 +6,26 @@ shape (lower case, capitalised, upper case, digits, mark, other) in its language
 documents are counted, in full.  Vocabulary and counts grow with the input, so neither is ever
 gathered: they are tables, joined by symbol or counted in shards of symbol pairs.
 
-1. One pass cuts the corpus into chunks of about ``chunk_tokens``.  A chunk is one row: its
-   documents, its distinct words with their counts in trusted documents, and its tokens as
-   numbers of these words.  Chunks are written bucketed, so that later joins leave them in place.
-2. The words' counts are summed; the words that are symbols, and the classes, are numbered.
-3. Each chunk learns the numbers of its symbols from a join and sends its distinct pairs, with
-   their counts in its trusted documents, to shards by the hash of the pair; a frequent word's
-   pairs are thus dealt over all shards.  What is sent is sorted and packed.
+1. One pass cuts the corpus into chunks of about ``chunk_tokens``.  A chunk has its documents with
+   their tokens as numbers of its distinct words, and apart from them the sorted words with their
+   counts in trusted documents.  Chunks are written bucketed, so that later joins leave them in place.
+2. A chunk's words go to shards, each a range of word hashes.  A shard sums the counts over all
+   chunks, numbers its symbols by frequency and answers every chunk with the numbers of the words it
+   sent, in their order; the words are deleted then.  Languages, for the classes, are numbered apart.
+3. Each chunk sends its distinct pairs of symbols, with their counts in its trusted documents, to
+   shards by the hash of the pair; a frequent word's pairs are thus dealt over all shards.
 4. A shard sums the counts of its pairs over all chunks and answers every chunk with the counts of
-   the pairs it asked for; what contexts and continuations need is summed from there by symbol.
-5. Each chunk gets its answers and its symbols' values back and sums its documents' log
+   the pairs it asked for; what contexts and continuations need goes to the symbol's own shard.
+   Steps 3 and 4 are done ``pair_passes`` times, each for a part of the shards.
+5. Each chunk gets these answers and its symbols' values and sums its documents' log
    probabilities.  All discounts, of pairs and of continuations, are estimated.
 6. A document is kept if its judged perplexity is at most ``slack`` times its language's
    ``quantile`` over trusted documents and its fitted one at least the ``low_quantile`` over
    ``slack``: text that is far more predictable than any trusted text repeats itself.
 
+What is sent is sorted and packed, answers come in the order of what was asked, and neither files of
+shuffles nor tables stay longer than they are read: disk is what bounds this method.
+
 A trusted document is judged as if it were new: its own pairs are taken off the counts of pairs,
 contexts and continuations (back-off weights stay), else the model would know it by heart and every
 new document would exceed the trusted ones.  ``fitted`` is what the model says with those counts,
@@ -37,6 +42,7 @@ documents without doc_id are judged too (never trusted).  Other columns are igno
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucketed, materialize, partitions
+from .common import arrow_rows, bucketed, current_owner, last_written, materialize, owned, partitions, remove, temporary, without_shuffle_files
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SHAPES = 6
@@ -59,6 +65,7 @@ class QualityParams:
     least_count: int = 2
     chunk_tokens: int = 1_000_000
     shard_pairs: int = 1_500_000
+    pair_passes: int = 2
     batch_rows: int = 1_000
     quantile: float = 0.99
     low_quantile: float = 0.005
@@ -146,9 +153,13 @@ class _Pairs:
         return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], np.searchsorted(once, keys).astype(np.int32))
 
 
-_ENC = "chunk long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, words array<long>, shapes array<int>, owns array<int>, own_names array<string>, counts array<long>"
+_ENC = "chunk long, own_names array<string>, n_words long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, freqs binary, codes binary, words binary, counts binary, owns binary, kind string"
+_WORDS = "shard int, chunk long, own_names array<string>, words binary, counts binary, owns binary"
+_KNOWN = "shard int, chunk long, ids binary, own_names array<string>, owns binary, kinds array<long>"
 _GRAMS = "shard int, chunk long, b binary, c binary, n binary"
-_COUNTED = "shard int, chunk long, n binary, b array<long>, s array<long>, n1 array<long>, n2 array<long>, n3 array<long>, c array<long>, cc array<long>, cofc array<long>"
+_COUNTED = "shard int, chunk long, n binary, part int, b binary, s binary, n1 binary, n2 binary, n3 binary, c binary, cc binary, cofc array<long>"
+_VALUES = "shard int, cc binary, s binary, n1 binary, n2 binary, n3 binary, own string, sums array<long>, class long, of_class array<long>"
+_GIVEN = "part long, what string, shard int, a binary, cc binary, s binary, n1 binary, n2 binary, n3 binary, own string, number long, m double, floor double, classes array<array<long>>"
 _SCORED = "doc_id long, h long, lang string, trusted boolean, n_tokens long, nats double, new_nats double"
 
 
@@ -183,18 +194,26 @@ class _Chunk:
         self.docs.append((doc_id, h, lang, bool(good), len(found), number[""]))
         self.size += len(found) + 8
 
-    def row(self) -> pd.DataFrame:
-        """The chunk; its words are numbered by frequency, which packs best."""
-        tokens = np.concatenate(self.tokens)
-        order = np.argsort(-np.bincount(tokens, minlength=len(self.words)), kind="stable")
+    def rows(self) -> pd.DataFrame:
+        """The chunk's documents, and its words, sorted; tokens number them by frequency, which packs best (:func:`_by_frequency`)."""
+        numbers = np.concatenate(self.tokens)
+        words = np.array(self.words, dtype=np.int64)
+        own, code = np.array(self.owns), np.array(self.owns) * 8 + np.array(self.shapes) + 1
+        order = np.argsort(words)
+        freqs = np.bincount(numbers, minlength=len(words))[order]
         rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
+        rank[order[_by_frequency(freqs)]] = np.arange(len(order))
         doc_ids, hashes, langs, good, sizes, starts = zip(*self.docs, strict=True)
-        trusted = tokens[np.repeat(good, sizes)]
-        counts = np.bincount(rank[trusted], minlength=len(order))
-        words, shapes, owns = (np.array(x)[order] for x in (self.words, self.shapes, self.owns))
-        row = (self.number, list(doc_ids), list(hashes), list(langs), list(good), list(sizes), rank[list(starts)].tolist(), _pack(rank[tokens]), words, shapes, owns, list(self.numbers), counts)
-        return pd.DataFrame([row], columns=_names(_ENC))
+        counts = np.bincount(numbers[np.repeat(good, sizes)], minlength=len(words))[order]
+        names, none = list(self.numbers), [None] * 9
+        docs = (list(doc_ids), list(hashes), list(langs), list(good), list(sizes), rank[list(starts)].tolist(), _pack(rank[numbers]), _pack(freqs), _pack(code[order]))
+        packed = (_pack(np.diff(words[order], prepend=0)), _pack(counts), _pack(own[order]))
+        return pd.DataFrame([(self.number, names, len(words), *docs, *none[:3], "docs"), (self.number, names, len(words), *none, *packed, "words")], columns=_names(_ENC))
+
+
+def _by_frequency(freqs: np.ndarray) -> np.ndarray:
+    """The places of sorted words in the order in which tokens number them."""
+    return np.argsort(-freqs, kind="stable")
 
 
 def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
@@ -219,35 +238,83 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
             for doc_id, h, lang, good, text in zip(b["doc_id"], b["h"], b["lang"], b["trusted"], b["text"], strict=True):
                 chunk.add(None if pd.isna(doc_id) else int(doc_id), h, lang, good, text)
                 if chunk.size >= p.chunk_tokens:
-                    yield chunk.row()
+                    yield chunk.rows()
                     chunk = _Chunk(chunk.number + 1)
         if chunk.docs:
-            yield chunk.row()
+            yield chunk.rows()
+
+    owner = current_owner()
+    with temporary(spark), without_shuffle_files(spark):
+        with arrow_rows(spark, p.batch_rows):  # a batch of texts is held as Python strings
+            enc = bucketed(base.mapInPandas(encode, _ENC), "chunk", "kn-chunks", "kind")
+        scored = _scored(enc, last_written(), p)
+        with owned(owner):
+            scored = materialize(scored, "kn-scored")
+
+    good = scored.where("trusted and n_tokens > 0")
+    mean_all = good.agg((F.sum("new_nats") / F.sum("n_tokens")).alias("m")).first()["m"]
+    means = good.groupBy("lang").agg((F.sum("new_nats") / F.sum("n_tokens")).alias("mean"))
+    scored = scored.join(F.broadcast(means) if _few(means, p) else means, "lang", "left")
+    any_good = F.lit(mean_all is not None) & (F.col("n_tokens") > 0)  # without trusted text there is no model
+    prior = p.prior_tokens * F.coalesce("mean", F.lit(mean_all or 0.0))
+
+    def shrunk(nats: str) -> Column:
+        return F.when(any_good, F.exp((F.col(nats) + prior) / (F.col("n_tokens") + p.prior_tokens)))
+
+    scored = scored.withColumns({"perplexity": F.when(any_good, F.exp(F.col("nats") / F.col("n_tokens"))), "fitted": shrunk("nats"), "judged": shrunk("new_nats")})
+    good = scored.where("trusted and n_tokens > 0")
+    quantile = F.percentile_approx("judged", p.quantile, 10_000)
+    low = F.percentile_approx("fitted", p.low_quantile, 10_000)
+    every = good.agg(quantile.alias("t"), low.alias("l")).first()
+    own_t = good.groupBy("lang").agg(quantile.alias("t"), low.alias("l"), F.count("*").alias("c")).where(F.col("c") >= p.least_trusted).select("lang", "t", "l")
+    out = scored.join(F.broadcast(own_t) if _few(own_t, p) else own_t, "lang", "left")
+    out = out.withColumn("threshold", p.slack * F.coalesce("t", F.lit(every["t"]).cast("double"))).withColumn("low_threshold", F.coalesce("l", F.lit(every["l"]).cast("double")) / p.slack)
+    within = F.when(F.lit(mean_all is None), F.col("n_tokens") > 0).otherwise((F.col("judged") <= F.col("threshold")) & (F.col("fitted") >= F.col("low_threshold")))
+    lang = F.nullif(F.col("lang"), F.lit("\x00")).alias("lang")
+    return out.select("doc_id", F.col("h").alias("text_hash"), lang, "n_tokens", "perplexity", "fitted", "judged", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
 
-    with arrow_rows(spark, p.batch_rows):  # a batch of texts is held as Python strings
-        enc = bucketed(base.mapInPandas(encode, _ENC), "chunk", "kn-chunks")
-    total = enc.agg(F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
-    shards = max(partitions(spark), -(-int(total) // p.shard_pairs))
-    vocabulary, kinds = _vocabulary(enc, p)
 
-    def grams(docs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        """The chunk's distinct pairs and their counts in its trusted documents, by shard."""
+def _scored(enc: DataFrame, path: str, p: QualityParams) -> DataFrame:
+    """``_SCORED`` of every document of the chunks, which lie in ``path``."""
+    spark = enc.sparkSession
+    docs, total = enc.where("kind = 'docs'"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    n = docs.agg(F.coalesce(F.sum(total), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    shards, word_shards = (max(partitions(spark), -(-int(x) // p.shard_pairs)) for x in n)
+    known = materialize(_numbered(enc.where("kind = 'words'"), word_shards, p), "kn-numbers")
+    remove(spark, f"{path}/kind=words")
+    answers, vocabulary = known.where("chunk is not null").select("shard", "chunk", "ids"), known.where("chunk is null").select("shard", "own_names", "owns", "kinds")
+    languages = materialize(_languages(vocabulary), "kn-languages")
+    spoken = docs.select(F.col("chunk").alias("part"), F.explode(F.array_union("own_names", F.array(F.lit("")))).alias("own"))
+
+    def given(df: DataFrame, what: str, *columns: str) -> DataFrame:
+        """Rows of ``_GIVEN``: what a chunk (``part``) is told; numbers are never null, which would make all of them floats."""
+        fill = {"shard": F.lit(-1), "number": F.lit(-1), "what": F.lit(what)}
+        return df.select(*[F.col(c) if c in columns else fill.get(c, F.lit(None)).cast(t).alias(c) for c, t in (x.split() for x in _GIVEN.split(", "))])
+
+    def grams(turn: int, docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        """The chunk's distinct pairs and their counts in its trusted documents, by shard; those of the shards whose turn it is."""
         out = []
         for row in docs.itertuples(index=False):
             sizes = np.asarray(row.sizes, dtype=np.int64)
-            pairs = _Pairs.of(_find(row, known, ["id"])[0].astype(np.int64), _unpack(row.tokens).astype(np.int32), np.asarray(row.starts, dtype=np.int32), sizes)
+            pairs = _Pairs.of(_symbols(row, told)[0], _unpack(row.tokens).astype(np.int32), np.asarray(row.starts, dtype=np.int32), sizes)
             n = np.bincount(pairs.at[np.repeat(np.asarray(row.trusted, dtype=bool), sizes)], minlength=len(pairs.b))
             shard = _shards(pairs.b, pairs.c, shards)
-            order = np.argsort(shard, kind="stable")
+            mine = np.nonzero(shard % p.pair_passes == turn)[0]
+            order = mine[np.argsort(shard[mine], kind="stable")]
             for k, at in zip(*_parts(shard[order]), strict=True):
                 own = order[at]
                 out.append((k, row.chunk, _pack(np.diff(pairs.b[own], prepend=0)), _pack(pairs.c[own]), _pack(n[own])))
         return pd.DataFrame(out, columns=_names(_GRAMS))
 
-    asked = enc.select("chunk", "trusted", "sizes", "starts", "tokens", "words", "shapes", "owns", "own_names")
-    lookups = _lookups(enc)
-    met = lookups.join(vocabulary.select("sym", "id"), "sym")
-    sent = asked.groupBy("chunk").cogroup(met.groupBy("part")).applyInPandas(grams, _GRAMS)
+    asked = docs.select("chunk", "own_names", "trusted", "sizes", "starts", "tokens", "freqs", "codes")
+    named = given(spoken.join(languages.select("own", "number"), "own"), "language", "part", "own", "number")
+    numbers = given(answers.select(F.col("chunk").alias("part"), "shard", F.col("ids").alias("a")), "numbers", "part", "shard", "a")
+
+    def sent(turn: int) -> DataFrame:
+        def grams_of_turn(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            return grams(turn, docs, told)
+
+        return asked.groupBy("chunk").cogroup(numbers.union(named).groupBy("part")).applyInPandas(grams_of_turn, _GRAMS)
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         """The shard's pairs summed over the chunks, and for each chunk the counts of the pairs it sent."""
@@ -264,7 +331,6 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
         first = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.empty(0, dtype=bool)
         at = np.nonzero(first)[0]
         keys, n = keys[order][at], np.add.reduceat(n[order], at) if len(at) else n
-        none = [None] * 8
         out = []
         for row in rows.itertuples(index=False):
             b, c = np.cumsum(_unpack(row.b)), _unpack(row.c)
@@ -274,28 +340,48 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
                 wanted = i * len(kc) + j
                 k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                 found = np.where((kb[i] == b) & (kc[j] == c) & (keys[k] == wanted), n[k], 0)
-            out.append((row.shard, row.chunk, _pack(found), *none))
+            out.append((row.shard, row.chunk, _pack(found), *[None] * 9))
         own_b, own_c = keys // max(len(kc), 1), keys % max(len(kc), 1)
         levels = [np.bincount(own_b, weights=w, minlength=len(kb)).astype(np.int64) for w in (n, n == 1, n == 2, n >= 3)]
-        cofc = [int((n == i).sum()) for i in (1, 2, 3, 4)]
-        out.append((rows["shard"].iloc[0], None, None, kb, *levels, kc, np.bincount(own_c, minlength=len(kc)), cofc))
-        return pd.DataFrame(out, columns=_names(_COUNTED)).astype({"chunk": "Int64"})
-
-    counted = materialize(sent.groupBy("shard").applyInPandas(count, _COUNTED), "kn-counted")
-    values, d2, d1 = _values(counted.where("chunk is null"), vocabulary, kinds, p)
-    kinds_of = {"sym": "long", "id": "long", "cc": "long", "m": "double", "floor": "double", "s": "long", "g": "double"}
-    none = [F.lit(0).cast(k).alias(c) for c, k in kinds_of.items()]  # nulls would make all symbols floats
-    answers = counted.where("chunk is not null").select(F.col("chunk").alias("part"), "shard", "n", *none)
-    symbols = lookups.join(values, "sym").select("part", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("n"), *kinds_of)
-
-    def score(docs: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        follows = np.bincount(own_c, minlength=len(kc))
+        none = [rows["shard"].iloc[0], None, None]
+        at_b, at_c = (dict(zip(*_by_shard(k, word_shards), strict=True)) for k in (kb, kc))
+        for k in at_b.keys() | at_c.keys():
+            i, j = (x.get(k, np.empty(0, dtype=np.int64)) for x in (at_b, at_c))
+            out.append((*none, k, _pack(np.diff(kb[i], prepend=0)), *[_pack(x[i]) for x in levels], _pack(np.diff(kc[j], prepend=0)), _pack(follows[j]), None))
+        out.append((*none, *[None] * 8, [int((n == i).sum()) for i in (1, 2, 3, 4)]))
+        return pd.DataFrame(out, columns=_names(_COUNTED)).astype({"chunk": "Int64", "part": "Int32"})
+
+    # All pairs at once would take more disk than the chunks do, so the shards take turns.
+    turns = [materialize(sent(turn).groupBy("shard").applyInPandas(count, _COUNTED), "kn-counted") for turn in range(p.pair_passes)]
+    counted = functools.reduce(DataFrame.union, turns)
+    d2 = _discounts(*counted.where("cofc is not null").agg(*[F.coalesce(F.sum(F.col("cofc")[i]), F.lit(0)) for i in range(4)]).first())
+    values = materialize(_values(counted.where("part is not null"), vocabulary, word_shards), "kn-values")
+    languages, d1 = _smoothed(values, languages)
+    languages = materialize(languages, "kn-floors")
+
+    def valued(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        """Each chunk's symbols with their values, in the order of the symbols."""
+        out = []
+        columns = [_unpack(x) for x in held.iloc[0][["cc", "s", "n1", "n2", "n3"]]] if len(held) else []
+        for row in asked.itertuples(index=False):
+            ids = _unpack(row.ids)
+            at = (ids[ids > 0] >> 1) // word_shards
+            out.append((row.chunk, "values", row.shard, row.ids, *[_pack(x[at]) for x in columns], None, -1, None, None, None))
+        return pd.DataFrame(out, columns=_names(_GIVEN))
+
+    symbols = answers.groupBy("shard").cogroup(values.where("shard is not null").select("shard", "cc", "s", "n1", "n2", "n3").groupBy("shard")).applyInPandas(valued, _GIVEN)
+    counts = given(counted.where("chunk is not null").select(F.col("chunk").alias("part"), "shard", F.col("n").alias("a")), "counts", "part", "shard", "a")
+    named = given(spoken.join(languages, "own"), "language", "part", "own", "number", "m", "floor", "classes")
+
+    def score(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         out = []
-        answer = {int(r.shard): r.n for r in given[given["shard"].notna()].itertuples(index=False)}
-        known = given[given["shard"].isna()]
+        answer = {int(r.shard): r.a for r in told[told["what"] == "counts"].itertuples(index=False)}
         for row in docs.itertuples(index=False):
             sizes, tokens, starts = np.asarray(row.sizes, dtype=np.int64), _unpack(row.tokens).astype(np.int32), np.asarray(row.starts, dtype=np.int32)
-            ids, cc, m, floor, s, g = _find(row, known, ["id", "cc", "m", "floor", "s", "g"])
-            pairs = _Pairs.of(ids.astype(np.int64), tokens, starts, sizes)
+            ids, cc, s, *ns, m, floor = _symbols(row, told, values=True)
+            g = np.where(s > 0, (d2[0] * ns[0] + d2[1] * ns[1] + d2[2] * ns[2]) / np.maximum(s, 1), 1.0)
+            pairs = _Pairs.of(ids, tokens, starts, sizes)
             n = np.zeros(len(pairs.b))
             shard = _shards(pairs.b, pairs.c, shards)
             order = np.argsort(shard, kind="stable")
@@ -324,31 +410,147 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
             out.append(pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "h": row.hashes, "lang": row.langs, "trusted": row.trusted, "n_tokens": sizes, "nats": nats, "new_nats": new_nats}))
         return pd.concat(out) if out else pd.DataFrame(columns=_names(_SCORED))
 
-    chunks = enc.select(*asked.columns, "doc_ids", "hashes", "langs")
-    scored = chunks.groupBy("chunk").cogroup(answers.union(symbols).groupBy("part")).applyInPandas(score, _SCORED)
-    scored = materialize(scored, "kn-scored")
+    chunks = docs.select(*asked.columns, "doc_ids", "hashes", "langs")
+    return chunks.groupBy("chunk").cogroup(counts.union(symbols).union(named).groupBy("part")).applyInPandas(score, _SCORED)
 
-    good = scored.where("trusted and n_tokens > 0")
-    mean_all = good.agg((F.sum("new_nats") / F.sum("n_tokens")).alias("m")).first()["m"]
-    means = good.groupBy("lang").agg((F.sum("new_nats") / F.sum("n_tokens")).alias("mean"))
-    scored = scored.join(F.broadcast(means) if _few(means, p) else means, "lang", "left")
-    any_good = F.lit(mean_all is not None) & (F.col("n_tokens") > 0)  # without trusted text there is no model
-    prior = p.prior_tokens * F.coalesce("mean", F.lit(mean_all or 0.0))
 
-    def shrunk(nats: str) -> Column:
-        return F.when(any_good, F.exp((F.col(nats) + prior) / (F.col("n_tokens") + p.prior_tokens)))
+def _by_shard(ids: np.ndarray, shards: int) -> tuple[list[int], list[np.ndarray]]:
+    """The shards of symbols, and for each the places of its symbols, in order."""
+    shard = (ids >> 1) % shards
+    order = np.argsort(shard, kind="stable")
+    found, at = _parts(shard[order])
+    return found, [order[x] for x in at]
 
-    scored = scored.withColumns({"perplexity": F.when(any_good, F.exp(F.col("nats") / F.col("n_tokens"))), "fitted": shrunk("nats"), "judged": shrunk("new_nats")})
-    good = scored.where("trusted and n_tokens > 0")
-    quantile = F.percentile_approx("judged", p.quantile, 10_000)
-    low = F.percentile_approx("fitted", p.low_quantile, 10_000)
-    every = good.agg(quantile.alias("t"), low.alias("l")).first()
-    own_t = good.groupBy("lang").agg(quantile.alias("t"), low.alias("l"), F.count("*").alias("c")).where(F.col("c") >= p.least_trusted).select("lang", "t", "l")
-    out = scored.join(F.broadcast(own_t) if _few(own_t, p) else own_t, "lang", "left")
-    out = out.withColumn("threshold", p.slack * F.coalesce("t", F.lit(every["t"]).cast("double"))).withColumn("low_threshold", F.coalesce("l", F.lit(every["l"]).cast("double")) / p.slack)
-    within = F.when(F.lit(mean_all is None), F.col("n_tokens") > 0).otherwise((F.col("judged") <= F.col("threshold")) & (F.col("fitted") >= F.col("low_threshold")))
-    lang = F.nullif(F.col("lang"), F.lit("\x00")).alias("lang")
-    return out.select("doc_id", F.col("h").alias("text_hash"), lang, "n_tokens", "perplexity", "fitted", "judged", "threshold", "low_threshold", F.coalesce(within, F.lit(False)).alias("keep"))
+
+def _numbered(words: DataFrame, shards: int, p: QualityParams) -> DataFrame:
+    """``_KNOWN``: the symbols' numbers for each chunk and shard, in the order of the chunk's words (0: no symbol); and, without a chunk, each shard's symbols.
+
+    A word's number is odd, ``2 * (rank * shards + shard) + 1``; ranks go by frequency, so frequent
+    symbols have small numbers everywhere.  Classes have even numbers (:func:`_languages`).
+    """
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                w, n, own = np.cumsum(_unpack(row.words)), _unpack(row.counts), _unpack(row.owns)
+                shard = ((w >> 32) + (1 << 31)) * shards >> 32
+                for k, at in zip(*_parts(shard), strict=True):
+                    out.append((k, row.chunk, row.own_names, _pack(np.diff(w[at], prepend=0)), _pack(n[at]), _pack(own[at])))
+            yield pd.DataFrame(out, columns=_names(_WORDS))
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        shard, names = int(rows["shard"].iloc[0]), {}
+        held = []
+        for row in rows.itertuples(index=False):
+            own = np.array([names.setdefault(x, len(names)) for x in row.own_names])
+            held.append((np.cumsum(_unpack(row.words)), _unpack(row.counts), own[_unpack(row.owns)]))
+        w, n, own = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(w, kind="stable")
+        w, n, own = w[order], n[order], own[order]
+        at = np.nonzero(np.concatenate([[True], w[1:] != w[:-1]]))[0]
+        w, n, own = w[at], np.add.reduceat(n, at), own[at]
+        some = n >= max(p.least_count, 1)  # words without a count are no trusted ones
+        w, n, own = w[some], n[some], own[some]
+        order = np.argsort(-n, kind="stable")
+        ids = np.empty_like(w)
+        ids[order] = 2 * (np.arange(len(w)) * shards + shard) + 1
+        out = [(shard, None, None, list(names), _pack(own[order]), np.bincount(own, minlength=len(names)))]
+        for row, (sent, _, _) in zip(rows.itertuples(index=False), held, strict=True):
+            k = np.minimum(np.searchsorted(w, sent), max(len(w) - 1, 0))
+            found = np.where(w[k] == sent, ids[k], 0) if len(w) else np.zeros(len(sent), dtype=np.int64)
+            out.append((shard, row.chunk, _pack(found), None, None, None))
+        return pd.DataFrame(out, columns=_names(_KNOWN)).astype({"chunk": "Int64"})
+
+    with_words = words.select("chunk", "own_names", "words", "counts", "owns")
+    return with_words.mapInPandas(deal, _WORDS).groupBy("shard").applyInPandas(number, _KNOWN)
+
+
+def _languages(vocabulary: DataFrame) -> DataFrame:
+    """``own, number, kinds`` of every language that has symbols of its own, and of none (``''``); a class's number is ``2 * (8 * number + shape + 1)``."""
+    spark = vocabulary.sparkSession
+    kinds = vocabulary.select(F.explode(F.arrays_zip("own_names", "kinds")).alias("x")).groupBy(F.col("x.own_names").alias("own")).agg(F.sum("x.kinds").alias("n"))
+    kinds = kinds.where("n > 0").union(spark.createDataFrame([("", 0)], "own string, n long")).groupBy("own").agg((F.max("n") + 1 + _SHAPES).alias("kinds"))
+    # Numbers are dense: the rank in one of many equal shares of the languages, and the share.
+    share = F.pmod(F.xxhash64("own"), F.lit(64))
+    rank = F.row_number().over(Window.partitionBy(share).orderBy("own")) - 1
+    return kinds.select("own", (rank.cast("long") * 64 + share).alias("number"), "kinds")
+
+
+def _symbols(row: tuple, told: pd.DataFrame, values: bool = False) -> list[np.ndarray]:
+    """The number of each of the chunk's words: the symbol's, else its class's, else that of the class without a language.
+
+    With ``values`` also ``cc, s, n1, n2, n3`` of the symbol and ``m, floor`` of its language (see :func:`_values`).
+    """
+    spoken = {r.own: r for r in told[told["what"] == "language"].itertuples(index=False)}
+    rows = [spoken.get(x, spoken[""]) for x in row.own_names]
+    codes = _unpack(row.codes)
+    own, kind = codes >> 3, codes & 7
+    kept = told[told["what"] == ("values" if values else "numbers")].sort_values("shard")
+    ids = np.concatenate([_unpack(x) for x in kept["a"]])
+    word = ids > 0
+    ids = np.where(word, ids, 2 * (8 * np.array([r.number for r in rows], dtype=np.int64)[own] + kind))
+    order = _by_frequency(_unpack(row.freqs))
+    if not values:
+        return [ids[order]]
+    classes = np.array([np.stack(r.classes) for r in rows], dtype=np.int64)[own, kind]
+    out = [ids]
+    for i, c in enumerate(("cc", "s", "n1", "n2", "n3")):
+        x = classes[:, i]
+        x[word] = np.concatenate([_unpack(v) for v in kept[c] if v is not None])
+        out.append(x)
+    return [x[order] for x in (*out, *[np.array([getattr(r, c) for r in rows])[own] for c in ("m", "floor")])]
+
+
+def _values(stats: DataFrame, vocabulary: DataFrame, shards: int) -> DataFrame:
+    """What the symbols of a shard have in all pairs, by rank; sums over a shard's languages; classes one by one.
+
+    ``cc``: the symbol's continuations; ``s``: how often it is a context, ``n1``, ``n2``, ``n3``: how many of
+    that context's pairs are seen once, twice, more often.  ``sums``: for a language, how many words
+    have 1, 2, 3, 4 and at least 3 continuations, and all continuations.
+    """
+
+    def add(stats: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        owns = _unpack(words["owns"].iloc[0]) if len(words) else np.empty(0, dtype=np.int64)
+        held = [np.zeros(len(owns), dtype=np.int64) for _ in range(5)]
+        classes: dict[int, np.ndarray] = {}
+        for row in stats.itertuples(index=False):
+            b, c = np.cumsum(_unpack(row.b)), np.cumsum(_unpack(row.c))
+            for ids, i, x in ((c, 0, _unpack(row.cc)), *((b, i, _unpack(x)) for i, x in enumerate((row.s, row.n1, row.n2, row.n3), 1))):
+                word = ids & 1 == 1
+                held[i][(ids[word] >> 1) // shards] += x[word]  # a symbol is once in a row
+                for k, v in zip(ids[~word].tolist(), x[~word].tolist(), strict=True):
+                    classes.setdefault(k, np.zeros(5, dtype=np.int64))[i] += v
+        cc, out, none = held[0], [], [None] * 6
+        if len(words):
+            shard, names = int(words["shard"].iloc[0]), list(words["own_names"].iloc[0])
+            out.append((shard, *[_pack(x) for x in held], None, None, None, None))
+            sums = np.stack([np.bincount(owns, weights=w, minlength=len(names)).astype(np.int64) for w in (cc == 1, cc == 2, cc == 3, cc == 4, cc >= 3, cc)], axis=1)
+            out += [(*none, name, x, None, None) for name, x in zip(names, sums, strict=True) if x[-1]]
+        out += [(*none, None, None, k, x) for k, x in classes.items()]
+        return pd.DataFrame(out, columns=_names(_VALUES)).astype({"shard": "Int32", "class": "Int64"})
+
+    return stats.select("part", "b", "s", "n1", "n2", "n3", "c", "cc").groupBy("part").cogroup(vocabulary.groupBy("shard")).applyInPandas(add, _VALUES)
+
+
+def _smoothed(values: DataFrame, languages: DataFrame) -> tuple[DataFrame, list[float]]:
+    """``own, number, m, floor, classes`` by language, and the discounts of continuations.
+
+    ``m``: the continuations of all its symbols; ``floor``: the share of each of its symbols in what is
+    never seen; ``classes``: the values of each of its classes (:func:`_values`), the start mark first.
+    """
+    classes = values.where("class is not null").select(F.shiftright("class", 4).alias("number"), F.pmod(F.shiftright("class", 1), F.lit(8)).cast("int").alias("kind"), "of_class")
+    cc = F.col("of_class")[0]
+    sums = F.array(*[(cc == i).cast("long") for i in (1, 2, 3, 4)], (cc >= 3).cast("long"), cc)
+    every = values.where("own is not null").select("own", "sums").union(classes.where(cc > 0).join(languages, "number").select("own", sums))
+    every = every.groupBy("own").agg(*[F.sum(F.col("sums")[i]).alias(x) for i, x in enumerate(("m1", "m2", "m3", "m4", "more", "m"))])
+    d1 = _discounts(*every.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("m1", "m2", "m3", "m4")]).first())
+    weight = (d1[0] * F.col("m1") + d1[1] * F.col("m2") + d1[2] * F.col("more")) / F.col("m")
+    seen = classes.groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("kind", "of_class"))).alias("seen"))  # eight at most
+    zeros = F.array(*[F.lit(0).cast("long")] * 5)
+    of_kinds = F.array(*[F.coalesce(F.try_element_at("seen", F.lit(k)), zeros) for k in range(8)]).alias("classes")
+    found = languages.join(every, "own", "left").join(seen, "number", "left")
+    return found.select("own", "number", F.coalesce("m", F.lit(1)).cast("double").alias("m"), (F.coalesce(weight, F.lit(1.0)) / F.col("kinds")).alias("floor"), of_kinds), d1
 
 
 def _discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
@@ -393,80 +595,6 @@ def _parts(ordered: np.ndarray) -> tuple[list[int], list[slice]]:
     return ordered[at[:-1]].tolist(), [slice(a, b) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _find(row: tuple, known: pd.DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """What is known of each of the chunk's words: of the word, else of its class, else of the class without a language."""
-    sym = known["sym"].to_numpy(dtype=np.int64)
-    order = np.argsort(sym)
-    sym = sym[order]
-    shapes, owns = np.asarray(row.shapes, dtype=np.int64), np.asarray(row.owns, dtype=np.int64)
-    classes = np.array([[_class(x, k) for k in range(-1, _SHAPES)] for x in (*row.own_names, "")], dtype=np.int64)
-    tries = [np.asarray(row.words, dtype=np.int64), classes[owns, shapes + 1], classes[-1, shapes + 1]]
-    at = np.full(len(shapes), -1)
-    for want in tries:
-        i = np.minimum(np.searchsorted(sym, want), len(sym) - 1)
-        at = np.where((at < 0) & (sym[i] == want), i, at)
-    return [known[c].to_numpy(dtype=np.float64 if c in ("m", "floor", "g") else np.int64)[order][at] for c in columns]
-
-
-def _lookups(enc: DataFrame) -> DataFrame:
-    """``part, sym``: all symbols that a chunk may ask for (a start mark twice)."""
-
-    def classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for chunk, names in zip(b["chunk"], b["own_names"], strict=True):
-                yield pd.DataFrame({"part": chunk, "sym": [_class(x, k) for x in {*names, ""} for k in range(-1, _SHAPES)]})
-
-    words = enc.select(F.col("chunk").alias("part"), F.explode("words").alias("sym"))
-    return words.union(enc.select("chunk", "own_names").mapInPandas(classes, "part long, sym long"))
-
-
-def _vocabulary(enc: DataFrame, p: QualityParams) -> tuple[DataFrame, DataFrame]:
-    """``sym, own, id`` of every symbol and ``own, kinds`` of every language that has words of its own, and of none."""
-    spark = enc.sparkSession
-    words = enc.select("own_names", F.explode(F.arrays_zip("words", "owns", "counts")).alias("w")).where("w.counts > 0")
-    words = words.select(F.col("w.words").alias("sym"), F.element_at("own_names", F.col("w.owns") + 1).alias("own"), F.col("w.counts").alias("n"))
-    words = words.groupBy("sym").agg(F.first("own").alias("own"), F.sum("n").alias("n")).where(F.col("n") >= p.least_count)
-    words = materialize(words.select("sym", "own"), "kn-words")
-    kinds = words.groupBy("own").agg((F.count("*") + 1 + _SHAPES).alias("kinds")).union(spark.createDataFrame([("", 1 + _SHAPES)], "own string, kinds long"))
-    kinds = materialize(kinds.groupBy("own").agg(F.max("kinds").alias("kinds")), "kn-languages")
-
-    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(_class(own, i), own) for own in b["own"] for i in range(-1, _SHAPES)], columns=["sym", "own"])
-
-    every = words.union(kinds.select("own").mapInPandas(shapes, "sym long, own string"))
-    # Numbers are dense: the rank in one of many equal shares of the symbols, and the share.
-    share = max(64, words.count() // 100_000)
-    own = F.pmod("sym", F.lit(share))
-    rank = F.row_number().over(Window.partitionBy(own).orderBy("sym")) - 1
-    return materialize(every.select("sym", "own", (rank.cast("long") * share + own).alias("id")), "kn-vocabulary"), kinds
-
-
-def _values(stats: DataFrame, vocabulary: DataFrame, kinds: DataFrame, p: QualityParams) -> tuple[DataFrame, list[float], list[float]]:
-    """``sym, id, cc, m, floor, s, g`` and the discounts of pairs and of continuations.
-
-    ``cc``: the symbol's continuations, ``m``: those of all symbols of its language, ``floor``: the
-    share of symbols never seen; ``s``: how often the symbol is a context; ``g``: the back-off weight of that context.
-    """
-
-    def weight(d: list[float], n: str, s: Column) -> Column:
-        return (d[0] * F.col(f"{n}1") + d[1] * F.col(f"{n}2") + d[2] * F.col(f"{n}3")) / s
-
-    d2 = _discounts(*stats.agg(*[F.coalesce(F.sum(F.col("cofc")[i]), F.lit(0)) for i in range(4)]).first())
-    contexts = stats.select(F.explode(F.arrays_zip("b", "s", "n1", "n2", "n3")).alias("x")).select("x.*")
-    contexts = contexts.groupBy(F.col("b").alias("id")).agg(*[F.sum(x).alias(x) for x in ("s", "n1", "n2", "n3")])
-    follows = stats.select(F.explode(F.arrays_zip("c", "cc")).alias("x")).groupBy(F.col("x.c").alias("id")).agg(F.sum("x.cc").alias("cc"))
-    follows = materialize(follows.join(vocabulary.select("id", "own"), "id"), "kn-continuations")
-    d1 = _discounts(*follows.agg(*[F.count_if(F.col("cc") == i) for i in (1, 2, 3, 4)]).first())
-    sums = follows.groupBy("own").agg(F.count_if(F.col("cc") == 1).alias("m1"), F.count_if(F.col("cc") == 2).alias("m2"), F.count_if(F.col("cc") >= 3).alias("m3"), F.sum("cc").alias("m"))
-    floors = kinds.join(sums, "own", "left").select("own", "m", (F.coalesce(weight(d1, "m", F.col("m")), F.lit(1.0)) / F.col("kinds")).alias("floor"))
-    floors = materialize(floors, "kn-floors")
-    found = vocabulary.join(follows.select("id", "cc"), "id", "left").join(contexts, "id", "left").join(F.broadcast(floors) if _few(floors, p) else floors, "own")
-    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("cc", "s")]
-    values = found.select("sym", "id", *whole, F.coalesce("m", F.lit(1)).cast("double").alias("m"), "floor", F.coalesce(weight(d2, "n", F.col("s")), F.lit(1.0)).alias("g"))
-    return materialize(values, "kn-values"), d2, d1
-
-
 def _few(df: DataFrame, p: QualityParams) -> bool:
     """At most ``broadcast_rows`` rows, counted."""
     return df.count() <= p.broadcast_rows

@@ -1,4 +1,5 @@
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import kneser_ney as K
-from quillstone.llm.common import bucketed
+from quillstone.llm.common import bucketed, shared_dir
 
 P = K.QualityParams(chunk_tokens=200, shard_pairs=50, least_trusted=2)
 
@@ -160,3 +161,24 @@ def test_new_clean_documents_are_kept_like_trusted_ones(spark):
     assert len(kept & set(range(150))) >= 146 and len(kept & set(range(150, 300))) >= 144
     assert len(kept & set(range(500, 520))) >= 19  # untrusted copies of trusted text
     assert not kept & set(range(1000, 1020))
+
+
+def test_only_the_scores_stay_on_disk(spark):
+    docs, trusted = corpus()
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    where = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where))
+    tables, key = spark.catalog.listTables(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    cleanup = spark.conf.get(key)
+    got = K.judge(frame(spark, docs).repartition(3), ids, P)
+    left = set(os.listdir(where)) - before
+    assert len(left) == 1 and "kn-scored" in left.pop()
+    assert spark.catalog.listTables() == tables and spark.conf.get(key) == cleanup
+    assert got.count() == len(docs)
+
+
+def test_passes_over_the_pairs_do_not_change_the_model(spark):
+    docs, trusted = corpus()
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    one, three = ({r["doc_id"]: tuple(r) for r in K.judge(frame(spark, docs), ids, K.QualityParams(chunk_tokens=200, shard_pairs=50, pair_passes=n)).collect()} for n in (1, 3))
+    assert one == three
