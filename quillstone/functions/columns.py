@@ -152,3 +152,8 @@ def other_values(a: Column, b: Column) -> Column:
     """The distinct values of an array that the second one lacks, sorted; null arrays are empty."""
     none = F.array().cast("array<string>")
     return F.array_sort(F.array_except(F.coalesce(a.cast("array<string>"), none), F.coalesce(b.cast("array<string>"), none)))
+
+
+def spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to so many partitions, which Spark leaves apart; 0: as Spark deals them."""
+    return df.repartition(parts, *keys) if parts else df

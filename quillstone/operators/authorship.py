@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import spread
 from ..functions.scratch import Scratch
 
 
@@ -109,16 +110,17 @@ def period_of(year: Column, periods: dict[str, tuple[int, int]]) -> Column:
 EXPERIENCED, NEWCOMERS, SOLO = "with_experienced_coauthor", "only_with_other_new_coauthors", "solo"
 
 
-def entry_types(author_papers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def entry_types(author_papers: DataFrame, by: tuple[str, ...] = (), parts: int = 0) -> DataFrame:
     """Each author's kind of first-year coauthors: experienced, else other newcomers, else none.
 
     A coauthor is experienced if some author of the paper started before the paper's year; that is
     a window minimum per paper, and the number of authors tells solo papers, so no self-join of
-    authors is needed.
+    authors is needed.  Windows hold a partition's rows: ``parts`` is how many they are dealt to,
+    0 as many as Spark finds best.
     """
     paper = Window.partitionBy(*by, "paper")
-    marked = author_papers.dropDuplicates([*by, "paper", "author"]).withColumn("fy", first_year(by))
-    marked = marked.withColumns({"oldest": F.min("fy").over(paper), "size": F.count("*").over(paper), "starters": F.count_if(F.col("fy") == F.col("y")).over(paper)}).where(F.col("y") == F.col("fy"))
+    marked = spread(author_papers, parts, *by, "author").dropDuplicates([*by, "paper", "author"]).withColumn("fy", first_year(by))
+    marked = spread(marked, parts, *by, "paper").withColumns({"oldest": F.min("fy").over(paper), "size": F.count("*").over(paper), "starters": F.count_if(F.col("fy") == F.col("y")).over(paper)}).where(F.col("y") == F.col("fy"))
     out = marked.groupBy(*by, "author").agg(
         F.first("fy").alias("entry_year"),
         F.countDistinct("paper").alias("first_year_papers"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import authorship as A
 from ..operators import concentration as C
-from .facts import AP, FAP, LOOK_BACK, PERIODS, author_papers, field_author_papers, field_papers, papers
+from .facts import AP, FAP, LOOK_BACK, PERIODS, author_papers, field_author_papers, field_papers, papers, parts
 from .registry import query
 
 PCTS = [1, 5, 10]
@@ -167,12 +167,12 @@ ENTRY_BY = """SELECT {key}, count(*) FILTER (entry_type = 'with_experienced_coau
 
 @query(f"WITH {AP}," + _entry_sql("ap", "") + " SELECT * FROM e")
 def entry_coauthor_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.entry_types(author_papers(spark, sf_dir))
+    return A.entry_types(author_papers(spark, sf_dir), parts=parts(spark, sf_dir))
 
 
 @query(f"WITH {AP}," + _entry_sql("ap", "") + " " + ENTRY_BY.format(key="entry_year"))
 def entry_coauthor_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.entry_types_by(A.entry_types(author_papers(spark, sf_dir)), "entry_year")
+    return A.entry_types_by(A.entry_types(author_papers(spark, sf_dir), parts=parts(spark, sf_dir)), "entry_year")
 
 
 @query(
@@ -181,7 +181,7 @@ def entry_coauthor_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f""" SELECT field, {PERIOD_SQL.format(y="entry_year")} AS period, entry_type, count(*) AS authors FROM e WHERE entry_year BETWEEN 1996 AND 2001 GROUP BY ALL"""
 )
 def field_entry_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    detail = A.entry_types(field_author_papers(spark, sf_dir), ("field",)).withColumn("period", A.period_of(F.col("entry_year"), PERIODS))
+    detail = A.entry_types(field_author_papers(spark, sf_dir), ("field",), parts(spark, sf_dir)).withColumn("period", A.period_of(F.col("entry_year"), PERIODS))
     return detail.where("period <> ''").groupBy("field", "period", "entry_type").agg(F.count("*").alias("authors"))
 
 

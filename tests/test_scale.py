@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillstone.operators import classify, consolidated, ensemble, linkage, ranking
+from quillstone.plans import concentrating, facts
 from quillstone.sources import sinks
 
 
@@ -138,3 +139,15 @@ def test_every_setting_is_measured_by_one_aggregation(spark):
 
     got = ensemble.grid_search(df, [{"v": "0"}, {"v": "1"}], predictions, 4, measure)
     assert seen == [("config", "fold")] and [r["folds"] for r in got.collect()] == [4, 4]
+
+
+def test_tasks_of_entry_types_hold_a_bounded_share_of_the_lines(spark, monkeypatch):
+    sf_dir = "/root/testdata/sf0.001"
+    lines = facts.table(spark, sf_dir, "lineitem").count()
+    few = sorted(map(tuple, concentrating.field_entry_composition(spark, sf_dir).collect()))
+    monkeypatch.setattr(facts, "TASK_LINES", 150)
+    parts = -(-lines // 150)
+    df = concentrating.field_entry_composition(spark, sf_dir)
+    dealt = [x for x in exchanges(df) if f", {parts}), REPARTITION_BY_NUM" in x]
+    assert len(dealt) == 5  # lines by author and by paper, authors by paper, fields by author and by paper
+    assert sorted(map(tuple, df.collect())) == few
