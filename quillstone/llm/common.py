@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[str, str]] = []  # (owner, path)
 _OWNER = [""]
 _TABLES: dict[str, str] = {}  # names of bucketed scratch tables by path
+_KEPT: dict[tuple, object] = {}  # of a Python worker
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +64,31 @@ def bucketed(df: DataFrame, key: str, what: str, *parts: str) -> DataFrame:
     return spark.table(name)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's.
+
+    It is handed over as Arrow: from Python rows Spark makes an RDD that Python workers of a second kind read,
+    and those and their daemon stay beside the workers of the other stages.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows]) for i in range(len(names))], names=names), schema)
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: one thing at a time."""
+    if key not in _KEPT:
+        let_go()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Stages that share Python workers with others call this first: what a worker keeps for an earlier stage goes."""
+    if _KEPT:
+        _KEPT.clear()
+        pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Tables written inside pass at most ``rows`` rows at once to Python; the session's setting comes back afterwards."""

@@ -54,7 +54,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bucketed, current_owner, last_written, materialize, owned, partitions, remove, temporary, without_shuffle_files
+from .common import arrow_rows, bucketed, current_owner, last_written, let_go, materialize, owned, partitions, remove, temporary, without_shuffle_files
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _SHAPES = 6
@@ -67,6 +67,7 @@ class QualityParams:
     shard_pairs: int = 1_500_000
     pair_passes: int = 2
     batch_rows: int = 1_000
+    block_tokens: int = 100_000
     quantile: float = 0.99
     low_quantile: float = 0.005
     slack: float = 1.1
@@ -142,10 +143,7 @@ class _Pairs:
     @classmethod
     def of(cls, ids: np.ndarray, tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> _Pairs:
         """``ids``: symbol number by word number; ``starts``: the start mark's word number of each document."""
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        some = sizes > 0
-        before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
+        before = _before(tokens, starts, sizes)
         kinds, rank = np.unique(ids, return_inverse=True)
         keys = rank[before] * len(kinds)
         keys += rank[tokens]
@@ -233,6 +231,7 @@ def judge(docs: DataFrame, trusted: DataFrame, p: QualityParams = QualityParams(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        let_go()
         chunk = _Chunk(TaskContext.get().partitionId() << 32)
         for b in batches:
             for doc_id, h, lang, good, text in zip(b["doc_id"], b["h"], b["lang"], b["trusted"], b["text"], strict=True):
@@ -387,26 +386,26 @@ def _scored(enc: DataFrame, path: str, p: QualityParams) -> DataFrame:
             order = np.argsort(shard, kind="stable")
             for k, at in zip(*_parts(shard[order]), strict=True):
                 n[order[at]] = _unpack(answer[k])
-            n = n[pairs.at]
-            some = sizes > 0
-            before = np.empty_like(tokens)
-            before[1:] = tokens[:-1]
-            before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
+            before = _before(tokens, starts, sizes)
             low = _discounted(cc, d1) / m + floor
-            prob = _interpolated(n, s[before], d2, g[before], low[tokens])
-            nats = _by_document(-np.log(prob), sizes)
             # trusted documents once more, without what they added to the counts themselves
-            good = np.asarray(row.trusted, dtype=bool)
-            own = np.repeat(good, sizes)
-            new_nats = nats.copy()
-            if own.any():
-                doc = np.repeat(np.arange(len(sizes)), sizes)[own]
-                at, b, c = pairs.at[own], before[own], tokens[own]
-                n_new = n[own] - _times(doc, at)
-                s_new = s[b] - _times(doc, b)
-                cc_new = cc[c] - _alone(doc, at, c, n_new)
-                prob = _interpolated(n_new, s_new, d2, g[b], _discounted(cc_new, d1) / m[c] + floor[c])
-                new_nats[good] = _by_document(-np.log(prob), sizes[good])
+            good, ends = np.asarray(row.trusted, dtype=bool), np.cumsum(sizes)
+            nats, new_nats = np.empty(len(sizes)), np.empty(len(sizes))
+            for docs_at in _blocks(sizes, p.block_tokens):  # what each token needs takes much more memory than the tokens
+                own_sizes, own_good = sizes[docs_at], good[docs_at]
+                token_at = slice(ends[docs_at.start] - sizes[docs_at.start], ends[docs_at.stop - 1])
+                at, b, c = pairs.at[token_at], before[token_at], tokens[token_at]
+                nats[docs_at] = new = _by_document(-np.log(_interpolated(n[at], s[b], d2, g[b], low[c])), own_sizes)
+                own = np.repeat(own_good, own_sizes)
+                if own.any():
+                    doc, at, b, c = np.repeat(np.arange(len(own_sizes)), own_sizes)[own], at[own], b[own], c[own]
+                    n_new = n[at] - _times(doc, at)
+                    s_new = s[b] - _times(doc, b)
+                    cc_new = cc[c] - _alone(doc, at, c, n_new)
+                    prob = _interpolated(n_new, s_new, d2, g[b], _discounted(cc_new, d1) / m[c] + floor[c])
+                    new = new.copy()
+                    new[own_good] = _by_document(-np.log(prob), own_sizes[own_good])
+                new_nats[docs_at] = new
             out.append(pd.DataFrame({"doc_id": pd.array(list(row.doc_ids), dtype="Int64"), "h": row.hashes, "lang": row.langs, "trusted": row.trusted, "n_tokens": sizes, "nats": nats, "new_nats": new_nats}))
         return pd.concat(out) if out else pd.DataFrame(columns=_names(_SCORED))
 
@@ -468,9 +467,8 @@ def _numbered(words: DataFrame, shards: int, p: QualityParams) -> DataFrame:
 
 def _languages(vocabulary: DataFrame) -> DataFrame:
     """``own, number, kinds`` of every language that has symbols of its own, and of none (``''``); a class's number is ``2 * (8 * number + shape + 1)``."""
-    spark = vocabulary.sparkSession
     kinds = vocabulary.select(F.explode(F.arrays_zip("own_names", "kinds")).alias("x")).groupBy(F.col("x.own_names").alias("own")).agg(F.sum("x.kinds").alias("n"))
-    kinds = kinds.where("n > 0").union(spark.createDataFrame([("", 0)], "own string, n long")).groupBy("own").agg((F.max("n") + 1 + _SHAPES).alias("kinds"))
+    kinds = kinds.where("n > 0").union(vocabulary.sparkSession.range(1).select(F.lit("").alias("own"), F.lit(0).cast("long").alias("n"))).groupBy("own").agg((F.max("n") + 1 + _SHAPES).alias("kinds"))
     # Numbers are dense: the rank in one of many equal shares of the languages, and the share.
     share = F.pmod(F.xxhash64("own"), F.lit(64))
     rank = F.row_number().over(Window.partitionBy(share).orderBy("own")) - 1
@@ -562,6 +560,20 @@ def _interpolated(n: np.ndarray, s: np.ndarray, d: list[float], g: np.ndarray, l
     return np.where(s > 0, _discounted(n, d) / np.maximum(s, 1) + g * low, low)
 
 
+def _before(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each token; a document's first one has the start mark."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    some = sizes > 0
+    before[(np.cumsum(sizes) - sizes)[some]] = starts[some]
+    return before
+
+
+def _blocks(sizes: np.ndarray, tokens: int) -> list[slice]:
+    """Runs of documents that begin within ``tokens`` tokens of each other; together they are all documents."""
+    return _parts((np.cumsum(sizes) - sizes) // tokens)[1]
+
+
 def _by_document(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums over each document's tokens; NaN where it has none."""
     sums, ends = np.concatenate([[0.0], np.cumsum(x)]), np.cumsum(sizes)

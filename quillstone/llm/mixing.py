@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, local_rows, materialize
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -140,7 +140,7 @@ def place(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     shards = np.maximum(1, -(-sizes // width))
     kind = "sid int, source string, shards int, source_size long, target double, full int"
     sources = pd.DataFrame({"sid": np.arange(len(rows), dtype=np.int32), "source": [r["source"] for r in rows], "shards": shards.astype(np.int32), "source_size": sizes, "target": target, "full": full.astype(np.int32)})
-    sources = spark.createDataFrame([tuple(x) for x in sources.itertuples(index=False)], kind)
+    sources = local_rows(spark, [tuple(x) for x in sources.itertuples(index=False)], kind)
     keyed = base.join(F.broadcast(sources), base["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(p.seed)), F.col("shards")).cast("int"))
 
@@ -159,7 +159,7 @@ def place(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         while gcd(step, max(n, 1)) != 1:
             step += 1
         strides.append((s, r, n, *_whole(words, size, n, step, (at := _mix64(p.seed, s, r, 2) % max(n, 1)), p.block), step, at))
-    table = spark.createDataFrame(strides, "sid int, shard int, blocks long, quota long, extra long, stride long, first long")
+    table = local_rows(spark, strides, "sid int, shard int, blocks long, quota long, extra long, stride long, first long")
     order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(p.seed + 1)), "doc_id", "text_hash")
     start = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = keyed.withColumn("start", start).join(F.broadcast(table), ["sid", "shard"])

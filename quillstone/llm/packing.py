@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import arrow_rows, kept, let_go, materialize, partitions
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times) in descending length
 
@@ -54,6 +54,7 @@ class PackParams:
     cached_bytes: int = 96 << 20
     patterns_a_length: int = 8
     rank_rows: int = 100_000
+    batch_rows: int = 1_000
 
 
 class WordTokenizer:
@@ -113,14 +114,9 @@ class WordTokenizer:
         return self.encode_many([text])[0]
 
 
-_LOADED: dict[tuple[str, int], WordTokenizer] = {}
-
-
 def _tokenizer(path: str, cached_bytes: int) -> WordTokenizer:
     """One tokenizer and cache for a Python worker, which serves many tasks; the cache is bounded in bytes."""
-    if (path, cached_bytes) not in _LOADED:
-        _LOADED[path, cached_bytes] = WordTokenizer(path, cached_bytes)
-    return _LOADED[path, cached_bytes]
+    return kept(("word tokenizer", path, cached_bytes), lambda: WordTokenizer(path, cached_bytes))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
@@ -325,7 +321,8 @@ def slots(planned: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every document."""
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, p), "pack-pieces")
+    with arrow_rows(spark, p.batch_rows):  # a batch of texts is held by Spark and by Python
+        pieces = materialize(cut(docs, p), "pack-pieces")
     counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most one row for each length up to capacity
     h = np.zeros(p.capacity + 1, dtype=np.int64)
     for r in counts:
@@ -340,6 +337,7 @@ def pack(docs: DataFrame, p: PackParams) -> DataFrame:
     ranked = keyed.withColumn("r", within).join(cells, ["length", "salt"]).withColumn("rank", F.col("skip") + F.col("r") - 1)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()  # the tokenizer: all pieces are written
         for b in batches:
             sequence, offset = np.zeros(len(b), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
             lengths, ranks = b["length"].to_numpy(), b["rank"].to_numpy()

@@ -182,3 +182,22 @@ def test_passes_over_the_pairs_do_not_change_the_model(spark):
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
     one, three = ({r["doc_id"]: tuple(r) for r in K.judge(frame(spark, docs), ids, K.QualityParams(chunk_tokens=200, shard_pairs=50, pair_passes=n)).collect()} for n in (1, 3))
     assert one == three
+
+
+def test_scores_are_the_same_in_blocks_of_any_size(spark):
+    docs = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 9)), "en") for i in range(60)]
+    df, trusted = spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    found = []
+    for tokens in (1, 50, 10_000):
+        rows = K.judge(df, trusted, K.QualityParams(block_tokens=tokens, least_trusted=2)).orderBy("doc_id").collect()
+        found.append(([(r["doc_id"], r["n_tokens"], r["keep"]) for r in rows], np.array([[r[c] for c in ("perplexity", "fitted", "judged")] for r in rows], dtype=float)))
+    assert len(found[0][0]) == 60 and all(x[0] == found[0][0] for x in found)
+    for _, values in found[1:]:
+        np.testing.assert_allclose(values, found[0][1], rtol=1e-12)
+
+
+def test_blocks_are_all_documents():
+    sizes = np.array([0, 3, 500, 0, 0, 99, 1, 100, 0])
+    at = K._blocks(sizes, 100)
+    assert [i for x in at for i in range(x.start, x.stop)] == list(range(len(sizes)))
+    assert all(sizes[x][:-1].sum() <= 100 for x in at) and len(at) > 3

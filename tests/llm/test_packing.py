@@ -117,3 +117,12 @@ def test_fit_is_non_negative_least_squares():
     assert (x >= 0).all() and (grad >= -1e-3).all() and abs(float(grad @ x)) < 1e-2
     for pattern, n in K.round_counts(patterns, x, h):
         assert n >= 0 and pattern in patterns
+
+
+def test_texts_go_to_python_in_small_batches_and_the_setting_returns(spark, params, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    write = K.materialize
+    monkeypatch.setattr(K, "materialize", lambda df, what: seen.append(int(spark.conf.get(key))) or write(df, what))
+    K.pack(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), params).collect()
+    assert seen == [params.batch_rows] and spark.conf.get(key) == before
