@@ -126,3 +126,21 @@ def test_texts_go_to_python_in_small_batches_and_the_setting_returns(spark, para
     monkeypatch.setattr(K, "materialize", lambda df, what: seen.append(int(spark.conf.get(key))) or write(df, what))
     K.pack(spark.createDataFrame([(1, "one two")], "doc_id long, text string"), params).collect()
     assert seen == [params.batch_rows] and spark.conf.get(key) == before
+
+
+def test_new_latin_words_do_not_need_the_slow_tokenizer(params, monkeypatch):
+    t = K.WordTokenizer(params.tokenizer, 1 << 20)
+    letters = [*"abcdefghijklmnopqrstuvwxyz" * 4, *"ªµºßàéöøÿāſƀƻǀɏ"]
+    rng = random.Random(7)
+    known = [w for x in t.model.get_vocab() if K._LETTERS.fullmatch(w := x.removesuffix("</w>")) and w.islower() and not K._odd(w)]
+    words = {*rng.sample(known, 2000), *("".join(rng.choices(letters, k=rng.randrange(1, 30))).lower() for _ in range(2000)), *("".join(rng.choices(known, k=3))[:64] for _ in range(2000)), "é", "ɏ"}
+    want = {w: e.ids for w, e in zip(words, t.model.encode_batch(list(words), add_special_tokens=False), strict=True)}
+    monkeypatch.setattr(t, "_whole", None)  # before, every new word was tokenized by it
+    for w, ids in zip(want, t.encode_many(list(want)), strict=True):
+        assert ids.tolist() == want[w], w
+
+
+@pytest.mark.parametrize("text", ["end*** of \"words\" (here)... it's, dogs' 'tis a'b.'s x.'s", "a.b? c!? _d_ e_ f~`^ g<> h|", "élan, ñ$$ ɏ%%% ÀÉ& ǅ.", "a\x1c. b.\x1dc", "E eE éE x" + "y" * 70 + ".", "naïve–dash a…", "1.5, 2nd. 7*** a7*"])
+def test_words_and_end_marks_apart_are_the_whole(params, text):
+    t = K.WordTokenizer(params.tokenizer, 1 << 20)
+    assert t.encode(text).tolist() == t.model.encode(text, add_special_tokens=False).ids
