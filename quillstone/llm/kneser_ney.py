@@ -57,6 +57,8 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, bucketed, current_owner, last_written, let_go, materialize, owned, partitions, remove, temporary, without_shuffle_files
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Tokens of one character; setting them apart and splitting at white space gives the same tokens as ``_TOKEN``, faster.
+_MARK = re.compile(r"[^\w\s]")
 _SHAPES = 6
 
 
@@ -88,6 +90,10 @@ def shape(word: str) -> int:
     return 3 if word.isdigit() else 5
 
 
+def _tokens(text: str) -> list[str]:
+    return _MARK.sub(r" \g<0> ", text).split()
+
+
 def _symbol(lang: str, kind: str, name: str) -> int:
     h = xxhash.xxh3_64_intdigest(f"{lang}\x1f{kind}\x1f{name}".encode("utf-8", "surrogatepass"))
     return h - (h >> 63 << 64)
@@ -132,6 +138,22 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
+def _places(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """``x``, whole numbers from 0 and ``below`` a bound, sorted and each once; and the place of each number there.
+
+    Numbers are sorted with their positions in their lowest bits, where both fit: much faster than to search for each.
+    """
+    bits = len(x).bit_length()
+    if below.bit_length() + bits > 63:
+        once = _distinct(x)
+        return once, np.searchsorted(once, x).astype(np.int32)
+    both = np.sort(x.astype(np.int64) << bits | np.arange(len(x)))
+    x, at = both >> bits, np.empty(len(x), dtype=np.int32)
+    first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, dtype=bool)
+    at[both & (1 << bits) - 1] = np.cumsum(first, dtype=np.int32) - 1
+    return x[first], at
+
+
 @dataclass
 class _Pairs:
     """A chunk's token pairs: ``at[i]`` is the place of pair i in the distinct ones, ``b`` and ``c``, which are sorted."""
@@ -147,8 +169,8 @@ class _Pairs:
         kinds, rank = np.unique(ids, return_inverse=True)
         keys = rank[before] * len(kinds)
         keys += rank[tokens]
-        once = _distinct(keys)
-        return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], np.searchsorted(once, keys).astype(np.int32))
+        once, at = _places(keys, len(kinds) ** 2)
+        return cls(kinds[once // max(len(kinds), 1)], kinds[once % max(len(kinds), 1)], at)
 
 
 _ENC = "chunk long, own_names array<string>, n_words long, doc_ids array<long>, hashes array<long>, langs array<string>, trusted array<boolean>, sizes array<long>, starts array<long>, tokens binary, freqs binary, codes binary, words binary, counts binary, owns binary, kind string"
@@ -174,7 +196,7 @@ class _Chunk:
         self.numbers: dict[str, dict[str, int]] = {}
 
     def add(self, doc_id: int | None, h: int, lang: str, good: bool, text: str) -> None:
-        found = _TOKEN.findall(text)
+        found = _tokens(text)
         if lang not in self.numbers:
             self.numbers[lang] = {"": len(self.words)}  # the start mark
             self.words.append(_class(lang, -1))

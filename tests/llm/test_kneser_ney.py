@@ -201,3 +201,31 @@ def test_blocks_are_all_documents():
     at = K._blocks(sizes, 100)
     assert [i for x in at for i in range(x.start, x.stop)] == list(range(len(sizes)))
     assert all(sizes[x][:-1].sum() <= 100 for x in at) and len(at) > 3
+
+
+@pytest.mark.parametrize("text", ["", " \t\n", "a\x1cb\x1d\x1e\x1fc\x85d\xa0e f g​h　i﻿j᠎k", "don't--stop. É \ud800x _a_b漢字。ab1²½ \\g<0> \\1", "\x00a\x0bb\x0c.\r!\x7f ? "])
+def test_tokens_are_those_of_the_pattern(text):
+    assert K._tokens(text) == K._TOKEN.findall(text)
+
+
+def test_places_of_pairs_are_sorted_for_not_searched_for(monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = np.array([0, 700, 1, 299])
+    tokens, starts = rng.integers(3, 40, size=1000).astype(np.int32), np.array([0, 1, 2, 0], dtype=np.int32)
+    ids = rng.permutation(1 << 20)[:40] * 2
+    before = K._before(tokens, starts, sizes)
+    monkeypatch.setattr(K.np, "searchsorted", None)  # before, each token's pair was searched for
+    got = K._Pairs.of(ids, tokens, starts, sizes)
+    want = sorted({*zip(ids[before].tolist(), ids[tokens].tolist(), strict=True)})
+    assert list(zip(got.b.tolist(), got.c.tolist(), strict=True)) == want
+    assert (got.b[got.at] == ids[before]).all() and (got.c[got.at] == ids[tokens]).all()
+
+
+def test_places_of_numbers_too_large_to_hold_positions():
+    x = np.array([1 << 61, 5, 0, 5, (1 << 61) + 1, 0], dtype=np.int64)
+    for below in (6, 1 << 62):
+        own = x if below > 6 else x % 6
+        once, at = K._places(own, below)
+        assert once.tolist() == sorted({*own.tolist()}) and (once[at] == own).all() and at.dtype == np.int32
+    once, at = K._places(np.empty(0, dtype=np.int64), 0)
+    assert len(once) == len(at) == 0
