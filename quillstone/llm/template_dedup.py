@@ -29,6 +29,7 @@ the first text is chosen; a text all of whose lines are dropped is empty.  Other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize
 
 _DIGITS = frozenset("0123456789")
+_DIGIT = re.compile("[0-9]")
 WILD = "<*>"
 
 
@@ -65,6 +67,8 @@ def _small(df: DataFrame, row: int, p: TemplateParams, array: str | None = None,
 def masked(line: str) -> list[str]:
     """The tokens of a line, those with a digit as variable fields."""
     tokens = line.split()
+    if not _DIGIT.search(line):
+        return tokens
     return [WILD if not _DIGITS.isdisjoint(t) else t for t in tokens]
 
 
@@ -165,14 +169,15 @@ def dedup_lines(docs: DataFrame, p: TemplateParams = TemplateParams(), counts: b
 
     ``counts``: n_lines and n_dropped are added (in place of columns of these names).
     """
-    own, th, at, kept, text = fresh(docs, "own_th", "drop_th", "drop_at", "kept_at", "kept_text")
+    own, th, at, kept, text, cut = fresh(docs, "own_th", "drop_th", "drop_at", "kept_at", "kept_text", "cut_text")
     lines, templates = recurring(docs, p)
     templates = templates.select("template", F.col("first.th").alias("keeper"))
     hits = lines.join(_small(templates, 48, p), "template").where("th <> keeper")
     drops = hits.select("th", "at").distinct().groupBy(F.col("th").alias(th)).agg(F.collect_list("at").alias(at))
     drops = _small(materialize(drops, "template-drops"), 64, p, at, 8)
     met = docs.withColumn(own, F.xxhash64("text")).join(drops, (F.col(own) == F.col(th)) & F.col("text").isNotNull(), "left")
-    parts = F.split("text", "\n", -1)
+    met = met.withColumn(cut, F.split("text", "\n", -1))
+    parts = F.col(cut)  # a column of its own: inside the lambda below a text would be split once for each of its lines
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(at))  # by hash: linear in the lines
     met = met.withColumn(kept, F.when(F.col(at).isNotNull(), places))
     met = met.withColumn(text, F.when(F.col(at).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")))

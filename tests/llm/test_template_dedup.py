@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -114,3 +115,18 @@ def test_random_variants_within_and_across_texts(spark):
     for p in (P, T.TemplateParams(min_docs=5, broadcast_bytes=0), T.TemplateParams(min_docs=8, similarity=0.4)):
         got = sorted(((x["doc_id"], x["text"], x["n_dropped"]) for x in T.dedup_lines(frame(spark, rows), p).collect()), key=str)
         assert got == brute(rows, p)
+
+
+def test_a_text_is_not_split_once_for_each_of_its_lines(spark):
+    docs = spark.createDataFrame([(i, f"the same long line of words here\nown {'x' * i} line") for i in range(8)], "doc_id long, text string")
+    found = T.dedup_lines(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction(" in plan and not re.search(r"lambdafunction\([^)]*split\(", plan)
+    assert plan.count("split(text") == 1
+    assert [r["text"] for r in found.orderBy("doc_id").collect()][1:] == [f"own {'x' * i} line" for i in range(1, 8)]
+
+
+def test_lines_without_digits_are_not_masked_token_by_token(monkeypatch):
+    assert T.masked("a1 b ²  c٣ 7") == [T.WILD, "b", "²", "c٣", T.WILD]
+    monkeypatch.setattr(T, "_DIGITS", None)
+    assert T.masked(" a  b² c٣ ") == ["a", "b²", "c٣"]
