@@ -108,3 +108,38 @@ def test_blocks_keep_every_number_and_sum_without_sorting(monkeypatch):
     got = [jointfit._scores(np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"]), w) for r in packed]
     assert np.allclose(np.concatenate(got), dense @ w[:-1] + w[-1])
     assert np.concatenate([np.frombuffer(r["fold"], np.int32) for r in packed]).tolist() == list(range(6))
+
+
+def test_every_model_takes_its_next_step_in_each_pass(data):
+    every = jointfit.fit_all(data, 5, ["a", "b"], [0, 1, None], [1e-4, 1.0])
+    alone = [jointfit.fit_all(data, 5, [m.label], [m.fold], [m.strength]).passes for m in every.models[::2]]  # the small strength, which takes longest
+    assert every.passes <= max(alone) + 2  # sums come in another order, so a model may need a step more
+
+
+def test_the_diagonal_at_the_start_saves_passes():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40)) * np.geomspace(0.01, 1, 40)
+    y, total = (x @ rng.normal(size=40) > 0).astype(float), []
+
+    def evaluate(w, cols, curved, known=True):
+        p = 1 / (1 + np.exp(-(x @ w[:, :-1].T + w[:, -1])))
+        loss = -(np.log(np.where(y[:, None] > 0, p, 1 - p))).mean(0) + 1e-3 / 2 * (w[:, :-1] ** 2).sum(1)
+        bend = np.column_stack([(p * (1 - p)).T @ x**2 / 300 + 1e-3, (p * (1 - p)).mean(0)]) if known else np.ones(w.shape)
+        return loss, np.column_stack([(p - y[:, None]).T @ x / 300 + 1e-3 * w[:, :-1], (p - y[:, None]).mean(0)]), bend if curved else None
+
+    for known in (True, False):
+        w, passes = jointfit.minimise(lambda *a, k=known: evaluate(*a, known=k), np.zeros((2, 41)), 200, 1e-9)
+        assert np.abs(evaluate(w, np.arange(2), False)[1]).max() <= 1e-9 and np.allclose(w[0], w[1])
+        total.append(passes)
+    assert total[0] < total[1]
+
+
+def test_a_long_text_is_weighted_once_for_each_term(spark):
+    import time
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "other")], "id int, text string")
+    start = time.monotonic()
+    got = {r["row"]: r["values"] for r in terms.tfidf_arrays(df, "id", "text", vocabulary=50_000)[0].collect()}
+    assert time.monotonic() - start < 30  # a norm for each term would be 1.6e9 steps a row
+    assert len(got[1]) == 39_999 and got[1] == pytest.approx([39_999**-0.5] * 39_999) and got[3] == []
